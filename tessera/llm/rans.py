@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels as K
 from tessera.llm.common import batch_from, executor_file, text_column
-from tessera.llm.segments import ByteLevel, groups
+from tessera.llm.segments import ByteLevel, once
 
 MAGIC = b"TRNS1\0\0\0"
 LANES, CHECK = 32, 128
@@ -173,24 +174,24 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -
     def run(batches):
         from pyspark import TaskContext
 
-        tok, part, seg = ByteLevel(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
-        held, names, size = [], [], 0
+        tok, part, seg = once(ByteLevel, vocabulary), TaskContext.get().partitionId(), 0
+        held, lengths, names, size = [], [], [], 0
 
         def flush():
-            data = encode_ids(np.frombuffer(b"".join(held), "<u2"), np.array([len(h) // 2 for h in held], np.int64), names)
+            data = encode_ids(np.concatenate(held), np.concatenate(lengths), names)
             return batch_from({"part": [part], "seg": [seg], "n_ids": [size], "n_docs": [len(names)], "data": [data]}, schema)
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for s, e in groups(texts):
-                for name, got in zip(ids[s:e], tok.encode(texts[s:e]), strict=True):
-                    held.append(got + end)
-                    names.append(name)
-                    size += len(got) // 2 + 1
-                    if size >= SEGMENT_IDS:
-                        yield flush()
-                        held, names, size, seg = [], [], 0, seg + 1
+            for row, data, off in K.chunks(b.column(1)):
+                ids, count = tok.encode_chunk(data, off)
+                ends = np.cumsum(count)
+                held.append(np.insert(ids, ends, np.uint16(end_id)))
+                lengths.append(count + 1)
+                names += b.column(0)[row : row + len(count)].to_pylist()
+                size += len(held[-1])
+                if size >= SEGMENT_IDS:
+                    yield flush()
+                    held, lengths, names, size, seg = [], [], [], 0, seg + 1
         if names:
             yield flush()
 

@@ -8,62 +8,191 @@ library and looks up the rest. The cache is bounded by a count and started anew
 from __future__ import annotations
 
 import os
-import re
+
+import numpy as np
+
+from tessera.llm import kernels as K
 
 CACHE_SEGMENTS = 400_000
-_DOUBLE = re.compile(r"\s\s")
-_SAFE = re.compile(r"(?<=\S)(?= (?=\S))")
+class SegmentCache:
+    """segment -> packed ids; encode_new(list of segments) gives the packed ids of new ones."""
+
+    def __init__(self, encode_new):
+        self.encode_new, self.known = encode_new, {}
+
+    def encode(self, parts: list[list[str]]) -> list[bytes]:
+        for again in (False, True):
+            get = self.known.get
+            found = [list(map(get, p)) for p in parts]
+            lacking = [i for i, v in enumerate(found) if None in v]
+            if not lacking:
+                break
+            new = {s for i in lacking for s, v in zip(parts[i], found[i], strict=True) if v is None}
+            if len(self.known) + len(new) > CACHE_SEGMENTS and self.known and not again:
+                self.known = {}
+                continue
+            break
+        if lacking:
+            todo = list(new)
+            self.known.update(zip(todo, self.encode_new(todo), strict=True))
+            get = self.known.__getitem__
+            for i in lacking:
+                found[i] = list(map(get, parts[i]))
+        return list(map(b"".join, found))
+
+
+_loaded: dict = {}
+
+
+def once(kind, path: str):
+    """One object of a kind for each file and worker process; workers serve many tasks and keep their caches."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 class ByteLevel:
-    """A byte-level BPE file of the tokenizers library."""
+    """A byte-level BPE file of the tokenizers library, over the bytes of an Arrow column.
+
+    Texts are cut before every space, line feed, comma and stop, and after a line feed: the pre-tokeniser's
+    tokens take at most one leading space, a lone line feed is a token of its own, and letters and
+    digits end before a comma or stop. Where that is not so (white space in a row or outside ASCII, a comma or
+    stop after anything but a letter or digit, added tokens) the whole text goes to the library.
+
+    Cut segments are looked up by a 64-bit hash in a table of fixed size, and a hit must agree in that hash and
+    in its first eight bytes; segments not found are encoded by the library, many at a time with line feeds between.
+    """
+
+    SLOTS = 1 << 20
+    POOL_IDS = 1 << 23
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def _split(self, text: str) -> list[str] | None:
-        """Segments, or None where the whole text must go to the library.
-
-        The pre-tokeniser's tokens take at most one leading space, so a single white-space character between
-        two others ends a token before it; a line feed there is a token of its own.
-        """
-        if any(s in text for s in self.special):
-            return None
-        if "\x01" in text:
-            return [text]
-        if _DOUBLE.search(text) is None and not text[:1].isspace():
-            return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-        return _SAFE.split(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint16, as Tokenizer.encode(text, add_special_tokens=False) gives them."""
-        import numpy as np
-
-        parts = [self._split(t) for t in texts]
-        missing: set[str] = set()
-        for p in parts:
-            if p is not None:
-                missing.update(p)
-        missing.difference_update(self.cache)
-        if len(self.cache) + len(missing) > CACHE_SEGMENTS:
-            self.cache = {}
-            missing = set()
-            for p in parts:
-                if p is not None:
-                    missing.update(p)
-        todo = list(missing)
-        pack = lambda ids: np.array(ids, "<u2").tobytes()
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            for s, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[s] = pack(e.ids)
-        get = self.cache.__getitem__
-        return [pack(self.tok.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.feed = self._ids("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.head = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.at, self.len = np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int64)
+        self.pool, self.used = np.zeros(self.POOL_IDS, np.uint16), 0
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _uneven(self, data: np.ndarray, off: np.ndarray, raw: bytes) -> np.ndarray:
+        """Documents that may not be cut."""
+        prev = np.zeros(len(data), np.uint8)
+        prev[1:] = data[:-1]
+        prev[off[:-1][off[:-1] < len(data)]] = 0x41
+        odd = _WHITE[data] & _WHITE[prev]
+        odd |= _ODD_SPACE[data]
+        lead = np.zeros(len(data), np.uint8)
+        lead[2:] = data[:-2]
+        stop = (data == 0x2C) | (data == 0x2E)
+        at = np.flatnonzero(stop)
+        p, q = prev[at], lead[at]
+        odd[at] |= ~(_ALNUM[p] | ((p >= 0x80) & (q == 0xC3) & (p != 0x97) & (p != 0xB7)))
+        # white space outside ASCII: U+0085, U+00A0, U+1680, U+2000-U+206F, U+3000
+        at = np.flatnonzero((prev == 0xC2) & ((data == 0x85) | (data == 0xA0)) | (lead == 0xE1) & (prev == 0x9A) | (prev == 0xE2) & ((data == 0x80) | (data == 0x81)) | (lead == 0xE3) & (prev == 0x80) & (data == 0x80))
+        odd[at] = True
+        for s in self.special:
+            i = raw.find(s)
+            while i >= 0:
+                odd[i] = True
+                i = raw.find(s, i + 1)
+        bad = np.zeros(len(off) - 1, bool)
+        bad[np.searchsorted(off, np.flatnonzero(odd), side="right") - 1] = True
+        return bad
+
+    def encode_new(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments without inner white space, one after another, and their counts."""
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(segments)], add_special_tokens=False)[0].ids, np.uint16)
+        feeds = np.flatnonzero(ids == self.feed[0])
+        if len(self.feed) != 1 or len(feeds) != len(segments) - 1:
+            each = [np.array(self._ids(s), np.uint16) for s in segments]
+            return np.concatenate(each), np.array([len(e) for e in each])
+        return np.delete(ids, feeds), np.diff(np.concatenate(([-1], feeds, [len(ids)]))) - 1
+
+    def encode_chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunk's documents one after another (uint16), and the number of each document."""
+        docs, n = len(off) - 1, len(data)
+        if not n:
+            return np.zeros(0, np.uint16), np.zeros(docs, np.int64)
+        raw = data.tobytes()
+        bad = self._uneven(data, off, raw)
+        cut = _CUT_BEFORE[data]
+        feed = np.flatnonzero(data == 0x0A) + 1
+        cut[feed[feed < n]] = True
+        cut[off[:-1][off[:-1] < n]] = True
+        for d in np.flatnonzero(bad):
+            cut[off[d] + 1 : off[d + 1]] = False
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], n)
+        h = K.span_hashes(data, starts, ends)
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        head = np.ndarray((n,), "<u8", padded, strides=(1,))[starts]
+        head &= _HEAD_MASK[np.minimum(ends - starts, 8)]
+        slot = (h >> np.uint64(44)).astype(np.int64) % self.SLOTS
+        hit = (self.hash[slot] == h) & (self.head[slot] == head) & (self.len[slot] > 0)
+        miss = np.flatnonzero(~hit)
+        at, size = self.at[slot], self.len[slot]
+        if len(miss):
+            doc = np.searchsorted(off, starts[miss], side="right") - 1
+            _, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            new = miss[first]
+            text = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            whole = bad[doc[first]] | (data[starts[new]] == 0x0A)
+            ids, count = [], np.zeros(len(new), np.int64)
+            simple = np.flatnonzero(~whole)
+            order = np.concatenate((simple, np.flatnonzero(whole)))
+            for i in range(0, len(simple), 16384):
+                got, counts = self.encode_new([text[k] for k in simple[i : i + 16384]])
+                ids.append(got)
+                count[simple[i : i + 16384]] = counts
+            for k in np.flatnonzero(whole):
+                got = self._ids(text[k])
+                ids.append(np.array(got, np.uint16))
+                count[k] = len(got)
+            ids = np.concatenate(ids)
+            if self.used + len(ids) > len(self.pool):
+                keep = self.pool[: self.used]
+                table = np.concatenate((keep, ids))
+                base, renew = self.used, True
+            else:
+                self.pool[self.used : self.used + len(ids)] = ids
+                table, base, renew = self.pool, self.used, False
+                self.used += len(ids)
+            place = np.zeros(len(new), np.int64)
+            place[order] = base + np.concatenate(([0], np.cumsum(count[order])[:-1]))
+            at[miss], size[miss] = place[which], count[which]
+            if renew:
+                self._forget()
+            else:
+                k, last = np.unique(slot[new][::-1], return_index=True)  # of new segments that meet in a slot one is kept
+                last = len(new) - 1 - last
+                self.hash[k], self.head[k], self.at[k], self.len[k] = h[new[last]], head[new[last]], place[last], count[last]
+        else:
+            table = self.pool
+        ends_of = np.cumsum(size)
+        total = int(ends_of[-1])
+        out = table[np.repeat(at - ends_of + size, size) + np.arange(total)]
+        per = np.concatenate(([0], ends_of))[np.searchsorted(starts, off)]
+        return out, np.diff(per)
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, 0x0A]] = True
+_ODD_SPACE = np.zeros(256, bool)
+_ODD_SPACE[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_CUT_BEFORE = np.zeros(256, bool)
+_CUT_BEFORE[[0x20, 0x0A, 0x2C, 0x2E]] = True
+_HEAD_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def groups(texts: list[str], chars: int = 1_000_000):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import batch_from, executor_file, text_column
-from tessera.llm.segments import CACHE_SEGMENTS, groups
+from tessera.llm.segments import SegmentCache, groups, once
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
@@ -168,7 +168,7 @@ class Processor:
         # bytes of each piece in the normalised text, and the same with an escaped space as one byte
         self.width = np.array([1 if k == BYTE else len(n) for n, k in zip(names, kinds, strict=True)], np.uint16)
         self.narrow = np.array([1 if k == BYTE else len(n) - 2 * n.count(_SPACE_BYTES) for n, k in zip(names, kinds, strict=True)], np.uint16)
-        self.cache: dict[str, bytes] = {}
+        self.cache = SegmentCache(self._encode_new)
 
     def _split(self, norm: str) -> list[str]:
         if not self.cuts or "\x01" in norm:
@@ -178,25 +178,11 @@ class Processor:
             return ((SPACE + norm).replace("\n", "\x01\n\x01") if self.line_cuts else SPACE + norm).split("\x01")
         return _CUT.split(norm)
 
+    def _encode_new(self, segments: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}i", *ids) for ids in self.bare.encode(segments, num_threads=1)]
+
     def _ids(self, norms: list[str]) -> list[bytes]:
-        parts = [self._split(t) if t[:1] == SPACE else [t] * bool(t) for t in norms]
-        missing: set[str] = set()
-        for p in parts:
-            missing.update(p)
-        missing.difference_update(self.cache)
-        if len(self.cache) + len(missing) > CACHE_SEGMENTS:
-            self.cache = {}
-            missing = set()
-            for p in parts:
-                missing.update(p)
-        todo = list(missing)
-        for at in range(0, len(todo), 8192):
-            some = todo[at : at + 8192]
-            for s, ids in zip(some, self.bare.encode(some, num_threads=1), strict=True):
-                self.cache[s] = struct.pack(f"<{len(ids)}i", *ids)
-        self.cache[""] = b""
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return self.cache.encode([self._split(t) if t[:1] == SPACE else [t] for t in norms])
 
     def encode(self, texts: list[str], spans: bool = True) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """Per text its ids, and with spans an array [pieces, 2] of begin and end bytes in the source.
@@ -239,7 +225,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("ids", "begins", "ends"))])
 
     def run(batches):
-        sp = Processor(model)
+        sp = once(Processor, model)
         for b in batches:
             texts, names = [t or "" for t in b.column(1).to_pylist()], b.column(0)
             for s, e in groups(texts, 4_000_000):
@@ -255,7 +241,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        sp = Processor(model)
+        sp = once(Processor, model)
         for b in batches:
             yield batch_from({"doc_id": b.column(0), "text": [sp.decode(x or []) for x in b.column(1).to_pylist()]}, schema)
 
@@ -274,7 +260,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     schema = pa.schema(kinds)
 
     def run(batches):
-        sp = Processor(model)
+        sp = once(Processor, model)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         decimal = np.array([str(i) for i in range(len(sp.width))], object)
         for b in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, pii, rans, spm, toxicity
+from tessera.llm import dartminhash, langid, mixing, pii, rans, spm, toxicity
 from tessera.llm.common import delete_path, new_path  # noqa: F401
 
 
@@ -82,6 +82,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -97,7 +101,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans, op2_mixing, op4_language, op5_toxicity, op7_pii, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_rans, op2_mixing, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

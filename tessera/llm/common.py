@@ -38,16 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared folder and forgets its lineage; lost executors lose nothing of it.
 
     Spark deletes the files once the frame is no longer referenced (where the session
-    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``). The frame is built anew over the
+    checkpointed rows, so plans in a loop carry nothing of earlier rounds.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    fresh = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(fresh, spark)
 
 
 def text_column(df: DataFrame, column: str = "text") -> DataFrame:

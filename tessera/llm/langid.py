@@ -246,3 +246,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield batch_from({"doc_id": b.column(0), "lang_pred": lang, "score": score}, schema)
 
     return text_column(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose language is predicted with a score of least or more, as they were; no row is shuffled."""
+    blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    i = docs.columns.index("text")
+
+    def run(batches):
+        model = pickle.loads(blob.value)
+        for b in batches:
+            lang, score = model.predict(b.column(i))
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -84,65 +84,76 @@ def newton_rates(cells: DataFrame, targets: dict, cap: float, tol: float = 1e-9,
     return lam
 
 
-def mix_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken for every row of docs.
+def _order(doc_id, seed: str):
+    """60 bits of a hash of the id."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
 
-    Null or empty texts have size 0 and get the copies of their rate's floor. A null source is a source of its own, last in order.
-    Repeated doc_id rows are rounded alike and each counts. An empty table gives an empty
-    result. Same rows give the same copies whatever their order or partitioning.
-    """
+
+def _with_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins a table of sources, of MAX_SOURCES rows at most; a null source meets the null source."""
+    right = right.withColumnRenamed("source", "_s")
+    return left.join(F.broadcast(right), F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
+
+
+def _up():
+    return (F.col("extra") > 0) & (F.col("cut").isNull() | (F.col("ord") < F.col("cut")))
+
+
+def mix_plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """(sized, plan): doc_id, source, size, ord of every row, and the table of sources with rate and cut-off."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    order = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
-    sized = cut(sized.withColumn("ord", order))  # 60 bits of a hash of the id
+    sized = cut(sized.withColumn("ord", _order(F.col("doc_id"), seed)))
     spark = docs.sparkSession
-    cells = sized.groupBy("source", F.shiftright("ord", 48).alias("b1")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
-    cells = cut(cells)
+    cells = cut(sized.groupBy("source", F.shiftright("ord", 48).alias("b1")).agg(F.sum("size").alias("size")))
     per_source = cells.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r.source: int(r["size"]) for r in per_source}
     targets = mixture_targets(sizes, weights, share, cap)
     lam = newton_rates(cells, targets, cap)
-    plan = []
+    rows = []
     for s, t in targets.items():
         rate = min(cap, math.exp(lam[s])) if t > 0 else 0.0
         if abs(rate - round(rate)) < 1e-7:
             rate = float(round(rate))
         base = math.floor(rate)
-        plan.append((s, sizes[s], float(t), rate, base, max(0.0, t - base * sizes[s]) if rate > base else 0.0))
-    plan = spark.createDataFrame(plan, "source string, source_size long, target double, rate double, base long, extra double")
+        rows.append((s, sizes[s], float(t), rate, base, max(0.0, t - base * sizes[s]) if rate > base else 0.0))
+    plan = spark.createDataFrame(rows, "source string, source_size long, target double, rate double, base long, extra double")
 
-    def crossing(cells: DataFrame, key: list[str], need: str) -> DataFrame:
+    def crossing(cells: DataFrame, key: str, need: str) -> DataFrame:
         """Per source the first bucket in which the running sum passes what is needed, and what remains for it."""
-        w = Window.partitionBy("source").orderBy(*key)
-        run = cells.withColumn("upto", F.sum("size").over(w))
-        return (
-            run.where(F.col("upto") > F.col(need))
-            .groupBy("source")
-            .agg(F.min(F.struct(*key, (F.col(need) - F.col("upto") + F.col("size")).alias("rest"))).alias("c"))
-            .select("source", *[F.col(f"c.{k}").alias(f"cut_{k}") for k in key], F.col("c.rest").alias("rest"))
-        )
+        run = cells.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy(key)))
+        first = F.min(F.struct(key, (F.col(need) - F.col("upto") + F.col("size")).alias("rest"))).alias("c")
+        return run.where(F.col("upto") > F.col(need)).groupBy("source").agg(first).select("source", F.col(f"c.{key}").alias(f"cut_{key}"), F.col("c.rest").alias("rest"))
 
-    def with_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        right = right.withColumnRenamed("source", "_s")
-        return left.join(F.broadcast(right), F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
+    second_bits = F.expr("shiftright(ord, 36) & 4095")
+    first = crossing(_with_source(cells, plan), "b1", "extra")
+    edge = cut(_with_source(sized, first).where(F.shiftright("ord", 48) == F.col("cut_b1")).withColumn("b2", second_bits))
+    second = crossing(edge.groupBy("source", "rest", "b2").agg(F.sum("size").alias("size")), "b2", "rest")
+    inside = _with_source(edge.drop("rest"), second).where(F.col("b2") == F.col("cut_b2")).groupBy("source", "ord", "rest").agg(F.sum("size").alias("size"))
+    run = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("ord")))
+    third = run.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min("ord").alias("cut"))
+    return sized, cut(_with_source(plan, third, "left"))
 
-    first = crossing(with_source(cells, plan), ["b1"], "extra")
-    fine = (
-        with_source(sized, first)
-        .where(F.shiftright("ord", 48) == F.col("cut_b1"))
-        .groupBy("source", "rest", F.expr("shiftright(ord, 36) & 4095").alias("b2"))
-        .agg(F.sum("size").alias("size"))
-    )
-    second = crossing(fine, ["b2"], "rest")
-    inside = with_source(with_source(sized, first.drop("rest")), second).where((F.shiftright("ord", 48) == F.col("cut_b1")) & (F.expr("shiftright(ord, 36) & 4095") == F.col("cut_b2")))
-    w = Window.partitionBy("source").orderBy("ord")
-    third = inside.groupBy("source", "ord", "rest").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(w)).where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min("ord").alias("cut"))
-    out = with_source(with_source(sized, plan), third, "left")
-    up = (F.col("extra") > 0) & (F.col("cut").isNull() | (F.col("ord") < F.col("cut")))
-    copies = F.col("base") + F.when(up, 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+def mix_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken for every row of docs.
+
+    Null or empty texts have size 0; a null source is a source of its own, last in order.
+    Repeated doc_id rows are rounded alike and each counts. An empty table gives an empty
+    result. Same rows give the same copies whatever their order or partitioning.
+    """
+    sized, plan = mix_plan(docs, weights, share, cap, seed)
+    copies = F.col("base") + F.when(_up(), 1).otherwise(0)
+    return _with_source(sized, plan).select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
+    """The rows of docs, each as often as the plan takes it, with docs' columns. No text is shuffled."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("source"), _order(F.col("doc_id"), seed).alias("ord"))
+    copies = (F.col("base") + F.when(_up(), 1).otherwise(0)).cast("int")
+    return _with_source(own, plan).where(copies > 0).select("_row", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")

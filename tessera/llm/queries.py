@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import dartminhash, langid, mixing, pii, rans, spm, toxicity
-from tessera.llm.common import delete_path, new_path  # noqa: F401
+from tessera.llm import collisions, dartminhash, langid, mixing, nndescent, pii, rans, spm, suffixes, toxicity
+from tessera.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ FROM running
 """
 
 
+def op3_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = lambda c: remainder(c, 5) == 0
@@ -96,12 +100,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(ordered).alias("spans"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=35, digest=True)
+
+
+def op9_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return collisions.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans, op2_mixing, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_rans, op2_mixing, op3_nndescent, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op8_suffixes, op9_collisions, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,7 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
 
     Spark deletes the files once the frame is no longer referenced (where the session
     sets ``spark.cleaner.referenceTracking.cleanCheckpoints``). The frame is built anew over the
-    checkpointed rows, so plans in a loop carry nothing of earlier rounds.
+    checkpointed rows: a plan over checkpoint()'s own frame would carry estimates of the old plan's size,
+    and broadcast by them what is not small.
     """
     spark = df.sparkSession
     shared_dir(spark)

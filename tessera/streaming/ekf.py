@@ -1,0 +1,150 @@
+"""An error-state Kalman filter over inertial rows and measurements: batch by group, or as a stateful stream.
+
+The state is position, velocity, orientation and two biases, with a 15 by 15 covariance.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from tessera import kernels
+from tessera.errors import SensorError
+
+GRAVITY = np.array([0.0, 0.0, -9.81])
+
+
+@dataclass
+class State:
+    p: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    v: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    q: np.ndarray = field(default_factory=lambda: np.array([1.0, 0, 0, 0]))
+    ba: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    bg: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    cov: np.ndarray = field(default_factory=lambda: np.eye(15) * 1e-2)
+
+
+class Filter:
+    def __init__(self, accel_noise=0.01, gyro_noise=0.001, accel_walk=1e-4, gyro_walk=1e-5, gravity=GRAVITY):
+        self.noise = (accel_noise, gyro_noise, accel_walk, gyro_walk)
+        self.gravity = np.asarray(gravity, float)
+
+    def predict(self, s: State, accel, gyro, dt: float) -> State:
+        if dt <= 0:
+            raise SensorError("time goes forward")
+        r = kernels.quat_to_matrix(s.q)
+        a, w = np.asarray(accel) - s.ba, np.asarray(gyro) - s.bg
+        world = r @ a + self.gravity
+        f = np.eye(15)
+        f[0:3, 3:6] = np.eye(3) * dt
+        f[3:6, 6:9] = -r @ kernels.skew(a) * dt
+        f[3:6, 9:12] = -r * dt
+        f[6:9, 6:9] = kernels.exp_so3(-w * dt)
+        f[6:9, 12:15] = -np.eye(3) * dt
+        na, ng, wa, wg = self.noise
+        q = np.diag(np.repeat([0.0, na**2 * dt, ng**2 * dt, wa**2 * dt, wg**2 * dt], 3))
+        return State(s.p + s.v * dt + 0.5 * world * dt * dt, s.v + world * dt, _turn(s.q, w * dt), s.ba, s.bg, f @ s.cov @ f.T + q)
+
+    def position(self, s: State, measured, noise) -> State:
+        return self._update(s, np.asarray(measured) - s.p, _rows(0), noise)
+
+    def velocity(self, s: State, measured, noise) -> State:
+        return self._update(s, np.asarray(measured) - s.v, _rows(3), noise)
+
+    def pose(self, s: State, position, quaternion, position_noise, orientation_noise) -> State:
+        d = kernels.quat_multiply(s.q * [1, -1, -1, -1], np.asarray(quaternion) / np.linalg.norm(quaternion))
+        d = -d if d[0] < 0 else d
+        n = np.zeros((6, 6))
+        n[:3, :3], n[3:, 3:] = _square(position_noise), _square(orientation_noise)
+        return self._update(s, np.concatenate((np.asarray(position) - s.p, 2 * d[1:])), np.vstack((_rows(0), _rows(6))), n)
+
+    def _update(self, s: State, residual, h, noise) -> State:
+        n = _square(noise, len(residual))
+        k = s.cov @ h.T @ np.linalg.inv(h @ s.cov @ h.T + n)
+        d = k @ residual
+        a = np.eye(15) - k @ h
+        cov = a @ s.cov @ a.T + k @ n @ k.T
+        return State(s.p + d[:3], s.v + d[3:6], _turn(s.q, d[6:9]), s.ba + d[9:12], s.bg + d[12:15], (cov + cov.T) / 2)
+
+
+def _rows(at: int) -> np.ndarray:
+    h = np.zeros((3, 15))
+    h[:, at : at + 3] = np.eye(3)
+    return h
+
+
+def _square(noise, n: int = 3) -> np.ndarray:
+    m = np.asarray(noise, float)
+    return np.eye(n) * m if m.ndim == 0 else np.diag(m) if m.ndim == 1 else m
+
+
+def _turn(q, v) -> np.ndarray:
+    a = np.linalg.norm(v)
+    d = np.array([1.0, *(v / 2)]) if a < 1e-10 else np.array([np.cos(a / 2), *(v * np.sin(a / 2) / a)])
+    out = kernels.quat_multiply(q, d)
+    return out / np.linalg.norm(out)
+
+
+def _step(f: Filter, s: State, last, row, noise: float):
+    if row.kind == "imu":
+        if last is not None and row.t > last:
+            s = f.predict(s, row.a, row.b, row.t - last)
+        last = row.t
+    elif row.kind == "position":
+        s = f.position(s, row.a, noise)
+    elif row.kind == "velocity":
+        s = f.velocity(s, row.a, noise)
+    return s, last
+
+
+OUT = "t double, x double, y double, z double, qw double, qx double, qy double, qz double"
+
+
+def track(rows: DataFrame, by: str = "vehicle", noise: float = 1.0, **options) -> DataFrame:
+    """by, t and the pose after each row (by, t, kind of imu, position or velocity, a, b), in order of time."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        f, s, last, out = Filter(**options), State(), None, []
+        for row in t.sort_values(["t", "kind"]).itertuples(index=False):
+            s, last = _step(f, s, last, row, noise)
+            out.append((t[by].iloc[0], row.t, *s.p, *s.q))
+        return pd.DataFrame(out, columns=[by, "t", "x", "y", "z", "qw", "qx", "qy", "qz"])
+
+    return rows.groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, {OUT}")
+
+
+def track_stream(rows: DataFrame, by: str = "vehicle", watermark: str = "10 seconds", noise: float = 1.0, **options) -> DataFrame:
+    """The same over a stream with an event-time column ``ts`` beside t: rows wait until the watermark passes them, and are then folded in order of time.
+
+    The state of a key is the filter and the rows that still wait.
+    """
+    kind = dict(rows.dtypes)[by]
+    state = "packed binary"
+
+    def run(key, batches: Iterator[pd.DataFrame], held):
+        import pickle
+
+        f = Filter(**options)
+        s, last, wait = pickle.loads(held.get[0]) if held.exists else (State(), None, [])
+        for b in batches:
+            wait += [(r.t, r.kind, np.asarray(r.a), np.asarray(r.b)) for r in b.itertuples(index=False)]
+        mark = held.getCurrentWatermarkMs() / 1000
+        ready = sorted((w for w in wait if w[0] <= mark), key=lambda w: w[:2])
+        wait = [w for w in wait if w[0] > mark]
+        out = []
+        Row = type("Row", (), {})
+        for t, k, a, b in ready:
+            row = Row()
+            row.t, row.kind, row.a, row.b = t, k, a, b
+            s, last = _step(f, s, last, row, noise)
+            out.append((key[0], t, *s.p, *s.q))
+        held.update((pickle.dumps((s, last, wait)),))
+        if wait:
+            held.setTimeoutTimestamp(int(min(w[0] for w in wait) * 1000) + 1)
+        yield pd.DataFrame(out, columns=[by, "t", "x", "y", "z", "qw", "qx", "qy", "qz"])
+
+    return rows.withWatermark("ts", watermark).groupBy(by).applyInPandasWithState(run, f"{by} {kind}, {OUT}", state, "append", "EventTimeTimeout")

@@ -185,6 +185,8 @@ class Model:
         return best, weakest[np.arange(len(p)), best]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
         p = 1 / (1 + np.exp(-np.clip(self.margins(texts), -30, 30)))
         fam, score = self._vote(p, None, self.families)
         lang = np.full(len(texts), "und", dtype=object)
@@ -195,7 +197,7 @@ class Model:
                 lang[at] = np.array(self.members[f], dtype=object)[best]
                 score[at] = score[at] * s
         for i, t in enumerate(texts.to_pylist() if len(texts) else []):
-            if t is None or not (t[:64].isalpha() or has_letter(t)) or not self.langs:
+            if t is None or not (t[:64].isalpha() or has_letter(t)):
                 lang[i], score[i] = "und", 0.0
         return list(lang), score
 

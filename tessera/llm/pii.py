@@ -93,6 +93,21 @@ mobile [phone: 06 12 34 56 78] please
 fax [phone: (030) 901-8200] berlin
 ring [phone: +44 20 7946 0958] and ask
 my number is [phone: 212.555.0187] at home
+call [phone: 555-123-4567] now
+call [phone: 555-987-6543] ok
+please ring [phone: 800-555-0142] thanks
+number [phone: 303-555-0111] is mine
+or phone [phone: 415-555-2671] instead
+contact us: [phone: 555-301-4400] daily
+the house is at [phone: 617-555-0134] they say
+dial [phone: (212) 555-0100] now
+ring [phone: (415) 555-2671] please
+number [phone: (303) 555-0111] is mine
+und der anruf [phone: (040) 555-0123] ist
+le numero [phone: (080) 555-0177] est bon
+mail [email: max at firm dot com] please
+ask [email: eva at uni dot edu] about it
+und [email: jan at post dot de] ist da
 card [card: 4111 1111 1111 1111] valid
 visa [card: 4012888888881881] paid
 the card [card: 5500-0000-0000-0004] was lost
@@ -113,6 +128,10 @@ token "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" expired
 id 1234567890123456 in the table
 order 4839201 from 12.05.2020 shipped
 on 2020-05-12 at 10:45 it began
+since 1999-12-31 it is so
+call on 2021-01-05 for it
+number 12-34-5678 is old
+ring at 12.05.2020 again
 isbn 978-3-16-148410-0 of the book
 page 12 to 15 and 200 to 210
 | 12 | 300 | 4500 | total
@@ -161,12 +180,12 @@ def shape_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     code[(length == 3) & (low[starts] == 0x64) & (low[starts + 1] == 0x6F) & (low[starts + 2] == 0x74)] = 6
     if len(special):
         s, e, n = starts[special], ends[special], digits[special]
-        bucket = np.searchsorted([0, 1, 2, 3, 4, 5, 6, 8, 11, 13, 20], n, side="right") - 1  # 0..10
+        bucket = np.searchsorted([*range(14), 20], n, side="right") - 1  # 0..14
         dots = np.minimum(np.concatenate(([0], np.cumsum(cls == 4, dtype=np.int32)))[e] - np.concatenate(([0], np.cumsum(cls == 4, dtype=np.int32)))[s], 3)
         has = lambda k: count(k)[special] > 0
         mask = has(1) * 1 + has(3) * 2 + has(5) * 4 + has(6) * 8 + has(7) * 16 + has(8) * 32
         spelled = (cls[s] == 6) & (cls[e - 1] == 6) & (n == 0)  # "(at)", "[dot]"
-        code[special] = 16 + ((mask * 11 + bucket) * 4 + dots) * 2 + spelled
+        code[special] = 16 + ((mask * 15 + bucket) * 4 + dots) * 2 + spelled
     return code % SHAPES
 
 
@@ -242,6 +261,9 @@ def labelled_rows(table: str = LABELLED) -> list[tuple[str, list[int]]]:
                 words.append(m[3])
                 labels.append(0)
         rows.append((" ".join(words), labels))
+        ends = [i for i, y in enumerate(labels) if y and (i + 1 == len(labels) or LABELS[labels[i + 1]][0] != "I")]
+        if ends:  # once more as the end of a sentence
+            rows.append((" ".join(w + "." if i in ends else w for i, w in enumerate(words)), labels))
     return rows
 
 

@@ -98,7 +98,7 @@ def _packed(rows: np.ndarray, part: np.ndarray, schema: pa.Schema):
     order = np.argsort(part, kind="stable")
     rows, part = rows[order], part[order]
     cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(part))
+    ends = np.append(cut[1:], len(part))[: len(cut)]
     return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([rows[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())], schema=schema)
 
 

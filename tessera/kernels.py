@@ -422,52 +422,82 @@ def edge_error(xi, xj, measured) -> np.ndarray:
     return np.concatenate((e[:3, 3], log_so3(e[:3, :3])))
 
 
+def _log_so3_many(r) -> np.ndarray:
+    a = np.arccos(np.clip((np.trace(r, axis1=1, axis2=2) - 1) / 2, -1, 1))
+    w = np.stack((r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]), axis=1)
+    small = a < 1e-10
+    return w * np.where(small, 0.5, a / np.where(small, 1.0, 2 * np.sin(a)))[:, None]
+
+
+def _inv_rigid_many(m) -> np.ndarray:
+    out = np.zeros_like(m)
+    rt = np.swapaxes(m[:, :3, :3], 1, 2)
+    out[:, :3, :3], out[:, 3, 3] = rt, 1
+    out[:, :3, 3] = -np.einsum("nij,nj->ni", rt, m[:, :3, 3])
+    return out
+
+
 def optimise_graph(poses: dict, edges: list, priors: list = (), max_iterations=20, tolerance=1e-6, damping=1e-6):
-    """(poses, cost, iterations, converged) by damped Gauss-Newton with numerical Jacobians; the first pose is fixed.
+    """(poses, cost, iterations, converged) by damped Gauss-Newton with central numerical Jacobians; without priors the first pose is fixed.
 
-    edges: (i, j, measured 4x4, information 6x6); priors: (i, measured 4x4, information 6x6).
+    edges: (i, j, measured 4x4, information 6x6); priors: (i, measured 4x4, information 6x6). A prior is an edge
+    from the identity. All terms are differentiated at once.
     """
     ids = list(poses)
     slot = {k: i for i, k in enumerate(ids)}
-    x = {k: np.array(v, float) for k, v in poses.items()}
-    move = lambda p, d: rigid(p[:3, :3] @ exp_so3(d[3:]), p[:3, 3] + d[:3])
-    terms = [((i, j), m, w) for i, j, m, w in edges] + [((i,), m, w) for i, m, w in priors]
-    error = lambda ks, m, v: edge_error(v[0], v[1], m) if len(ks) == 2 else edge_error(np.eye(4), v[0], m)
-    cost = lambda: 0.5 * sum(float(e @ w @ e) for ks, m, w in terms for e in [error(ks, m, [x[k] for k in ks])])
-    fixed = 0 if not priors else None
+    n = len(ids)
+    x = np.array([np.asarray(poses[k], float) for k in ids] + [np.eye(4)])  # the last stands for the world
+    i = np.array([slot[e[0]] for e in edges] + [n] * len(priors), int)
+    j = np.array([slot[e[1]] for e in edges] + [slot[p[0]] for p in priors], int)
+    if not len(i):
+        return dict(zip(ids, x, strict=False)), 0.0, 0, True
+    measured = np.linalg.inv(np.array([e[2] for e in edges] + [p[1] for p in priors], float))
+    weight = np.array([e[3] for e in edges] + [p[2] for p in priors], float)
+
+    def error(a, b):
+        e = measured @ _inv_rigid_many(a) @ b
+        return np.concatenate((e[:, :3, 3], _log_so3_many(e[:, :3, :3])), axis=1)
+
+    eps = 1e-7
+    turns = {s: [exp_so3(s * eps * np.eye(3)[c]) for c in range(3)] for s in (1, -1)}
+
+    def nudged(m, c, sign):
+        m = m.copy()
+        if c < 3:
+            m[:, c, 3] += sign * eps
+        else:
+            m[:, :3, :3] = m[:, :3, :3] @ turns[sign][c - 3]
+        return m
+
     converged, done = False, 0
     for done in range(1, max_iterations + 1):
-        h, b = np.zeros((6 * len(ids), 6 * len(ids))), np.zeros(6 * len(ids))
-        for ks, m, w in terms:
-            v = [x[k] for k in ks]
-            e = error(ks, m, v)
-            jac = []
-            for q in range(len(ks)):
-                j = np.zeros((6, 6))
-                for c in range(6):
-                    d = np.zeros(6)
-                    d[c] = 1e-7
-                    up, down = list(v), list(v)
-                    up[q], down[q] = move(v[q], d), move(v[q], -d)
-                    j[:, c] = (error(ks, m, up) - error(ks, m, down)) / 2e-7
-                jac.append(j)
-            for q, k in enumerate(ks):
-                a = 6 * slot[k]
-                b[a : a + 6] += jac[q].T @ w @ e
-                for s, l in enumerate(ks):
-                    c = 6 * slot[l]
-                    h[a : a + 6, c : c + 6] += jac[q].T @ w @ jac[s]
-        if fixed is not None:
-            h[:6], h[:, :6], b[:6] = 0, 0, 0
+        a, b = x[i], x[j]
+        e = error(a, b)
+        ja, jb = np.zeros((len(i), 6, 6)), np.zeros((len(i), 6, 6))
+        for c in range(6):
+            ja[:, :, c] = (error(nudged(a, c, 1), b) - error(nudged(a, c, -1), b)) / (2 * eps)
+            jb[:, :, c] = (error(a, nudged(b, c, 1)) - error(a, nudged(b, c, -1))) / (2 * eps)
+        h, g = np.zeros((n + 1, n + 1, 6, 6)), np.zeros((n + 1, 6))
+        for p, jp in ((i, ja), (j, jb)):
+            wj = np.einsum("mki,mkl->mil", jp, weight)
+            np.add.at(g, p, np.einsum("mik,mk->mi", wj, e))
+            for q, jq in ((i, ja), (j, jb)):
+                np.add.at(h, (p, q), wj @ jq)
+        h = h[:n, :n].transpose(0, 2, 1, 3).reshape(6 * n, 6 * n)
+        g = g[:n].ravel()
+        if not priors:
+            h[:6], h[:, :6], g[:6] = 0, 0, 0
             h[:6, :6] = np.eye(6)
-        h += damping * np.eye(len(h))
+        h += damping * np.eye(6 * n)
         try:
-            step = np.linalg.solve(h, -b)
+            step = np.linalg.solve(h, -g)
         except np.linalg.LinAlgError:
-            step = np.linalg.lstsq(h, -b, rcond=None)[0]
-        for k in ids:
-            x[k] = move(x[k], step[6 * slot[k] : 6 * slot[k] + 6])
+            step = np.linalg.lstsq(h, -g, rcond=None)[0]
+        step = step.reshape(n, 6)
+        for k in range(n):
+            x[k] = rigid(x[k, :3, :3] @ exp_so3(step[k, 3:]), x[k, :3, 3] + step[k, :3])
         if np.linalg.norm(step) < tolerance:
             converged = True
             break
-    return x, cost(), done, converged
+    e = error(x[i], x[j])
+    return dict(zip(ids, x, strict=False)), float(0.5 * np.einsum("mi,mij,mj->", e, weight, e)), done, converged

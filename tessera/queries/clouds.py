@@ -11,6 +11,10 @@ from tessera.queries.adapters import PTS_SQL, numbered, pts, r, table
 from tessera.queries.geometry import KEYED, KEYED_SQL, KEYS
 
 
+#: Sums of exact decimals can lie midway between two roundings, where the last bit would decide.
+OFF_TIES = 1.23457e-5
+
+
 @register("ground_height", f"WITH {KEYED_SQL} SELECT {KEYED}, z < 0.3 AS ground FROM p")
 def ground_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts(spark, sf_dir).select("seq.*", clouds.is_ground_by_height(F.col("z")).alias("ground"))
@@ -54,13 +58,13 @@ def voxel_first_wins(spark, sf_dir):
     return clouds.voxel_first(pts(spark, sf_dir), 4.0, ("frame",)).drop("seq")
 
 
-_M = ", ".join(f"round(avg({c}), 9) + 0.0 AS m{c}" for c in "xyz") + ", " + ", ".join(f"round(covar_pop({a},{b})*count(*), 4) + 0.0 AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+_M = ", ".join(f"round(avg({c}), 9) + 0.0 AS m{c}" for c in "xyz") + ", " + ", ".join(f"round(covar_pop({a},{b})*count(*) + 1.23457e-5, 4) + 0.0 AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
 
 
 @register("plane_moments", f"WITH {PTS_SQL} SELECT frame, count(*) AS n, {_M} FROM pts GROUP BY frame")
 def plane_moments(spark, sf_dir):
     m = clouds.plane_moments(pts(spark, sf_dir), ("frame",))
-    return m.select("frame", "n", *[r(F.col(f"m{c}"), 9).alias(f"m{c}") for c in "xyz"], *[r(F.col(f"s{k}"), 4).alias(f"s{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz")])
+    return m.select("frame", "n", *[r(F.col(f"m{c}"), 9).alias(f"m{c}") for c in "xyz"], *[r(F.col(f"s{k}") + OFF_TIES, 4).alias(f"s{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
 PLANES = [(0, 0.0, 0.0, 1.0, 0.0), (1, 0.6, 0.0, 0.8, 1.0), (2, 0.0, 0.6, 0.8, -2.0), (3, 1.0, 0.0, 0.0, 5.0)]
@@ -109,7 +113,7 @@ def local_map(spark, sf_dir):
     return clouds.local_map(pts(spark, sf_dir)).groupBy("frame").agg(F.count("*").alias("n"), r(F.sum("x"), 3).alias("sx"))
 
 
-_PAIR = ", ".join(f"round(avg({k}), 9) + 0.0 AS m{n}" for n, k in (("sx", "x"), ("sy", "y"), ("sz", "z"), ("tx", "-y+1"), ("ty", "x+2"), ("tz", "z+3"))) + ", " + ", ".join(f"round(covar_pop({a}, {t})*count(*), 4) + 0.0 AS c{a}{b}" for a in "xyz" for b, t in (("x", "-y+1"), ("y", "x+2"), ("z", "z+3")))
+_PAIR = ", ".join(f"round(avg({k}), 9) + 0.0 AS m{n}" for n, k in (("sx", "x"), ("sy", "y"), ("sz", "z"), ("tx", "-y+1"), ("ty", "x+2"), ("tz", "z+3"))) + ", " + ", ".join(f"round(covar_pop({a}, {t})*count(*) + 1.23457e-5, 4) + 0.0 AS c{a}{b}" for a in "xyz" for b, t in (("x", "-y+1"), ("y", "x+2"), ("z", "z+3")))
 
 
 def _pairs(spark, sf_dir):
@@ -119,7 +123,7 @@ def _pairs(spark, sf_dir):
 @register("kabsch_moments", f"WITH {PTS_SQL} SELECT frame, count(*) AS n, {_PAIR} FROM pts GROUP BY frame")
 def kabsch_moments(spark, sf_dir):
     m = estimation.kabsch_moments(_pairs(spark, sf_dir), ("frame",))
-    return m.select("frame", "n", *[r(F.col(f"m{k}{c}"), 9).alias(f"m{k}{c}") for k in "st" for c in "xyz"], *[r(F.col(f"c{a}{b}"), 4).alias(f"c{a}{b}") for a in "xyz" for b in "xyz"])
+    return m.select("frame", "n", *[r(F.col(f"m{k}{c}"), 9).alias(f"m{k}{c}") for k in "st" for c in "xyz"], *[r(F.col(f"c{a}{b}") + OFF_TIES, 4).alias(f"c{a}{b}") for a in "xyz" for b in "xyz"])
 
 
 @register("kabsch", "SELECT * FROM (VALUES (0, 0.0::DOUBLE, -1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (1, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 2.0::DOUBLE), (2, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 3.0::DOUBLE)) v(\"row\", a, b, c, t)")

@@ -152,3 +152,25 @@ def session_merge(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     one = {"nodes": nodes.select("id", "transform"), "edges": edges.select("a", "b", "transform", "information")}
     return graphs.merge_sessions(one, one, (1, 1, [0.0] * 16, [0.0] * 36))["nodes"].select("id")
+
+
+def _bag(spark, sf_dir):
+    """Each frame's points as one message of a bag."""
+    p = numbered(spark, sf_dir)
+    xyz = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))), lambda q: F.array(q.x, q.y, q.z))
+    return p.groupBy("frame").agg(F.to_json(F.struct(xyz.alias("xyz"))).alias("data")).select(F.col("frame").alias("offset"), F.lit("/lidar/points").alias("topic"), F.col("frame").cast("double").alias("timestamp"), "data")
+
+
+@register("session_run")
+def session_run(spark, sf_dir):
+    from tessera.plans.session import Session
+
+    return Session(spark, max_iterations=3).run(_bag(spark, sf_dir)).tables["trajectory"]
+
+
+@register("session_localize")
+def session_localize(spark, sf_dir):
+    from tessera.plans.session import Session
+
+    base = numbered(spark, sf_dir).where("frame = 1").select("x", "y", "z")  # the fixed map is one scan
+    return Session(spark, max_iterations=3).localise(_bag(spark, sf_dir), base)

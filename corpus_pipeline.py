@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import dartminhash, langid, mixing, pii, spm
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, small_batches
 from tessera.llm.queries import remainder, tokenizer_file
 
 #: A prediction that is less sure than this, or ``und``, is a rejection.
@@ -22,11 +22,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from the stage's own labelled input.
     """
+    small_batches(spark)
     return langid.keep(docs, langid.fit(docs, held_out=lambda c: remainder(c, 5) == 0), LEAST_SURE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; of rows with one id, one. Rows without an id go."""
+    small_batches(spark)
     keep = dartminhash.near_duplicates(docs, threshold=0.8).where("kept").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("rows_of_id"))
     out = docs.join(keep, "doc_id")
     single, repeated = out.where("rows_of_id = 1"), out.where("rows_of_id > 1")
@@ -35,16 +37,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with each piece of personal data replaced by its kind."""
+    small_batches(spark)
     return pii.redact_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or twice. n_chars and all else as it was."""
+    small_batches(spark)
     return mixing.take(docs, mixing.mix_plan(docs)[1])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    small_batches(spark)
     return spm.digests(docs, tokenizer_file("piece_bpe_32k.model")).drop("covered")
 
 

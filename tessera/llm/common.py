@@ -49,6 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(fresh, spark)
 
 
+#: Rows in an Arrow batch of texts. Texts of some kilobytes, and the copies that kernels make of a batch, stay small beside an executor's memory.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For queries over texts: Python workers get TEXT_ROWS rows at a time. A session's smaller setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def text_column(df: DataFrame, column: str = "text") -> DataFrame:
     """doc_id and text only: other columns of the input, whatever their names, never meet ours."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))

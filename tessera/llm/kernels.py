@@ -16,7 +16,7 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 _QI = np.uint64(pow(int(_Q), -1, 1 << 64))
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

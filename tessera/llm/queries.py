@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import collisions, dartminhash, langid, mixing, nndescent, pii, rans, spm, suffixes, toxicity
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

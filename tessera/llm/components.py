@@ -11,8 +11,8 @@ from tessera.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every id in edges (a, b): comp is the smallest id that links reach.
 
-    A round hands labels to neighbours twice and then follows the label's label, so that
-    chains shorten to about a third; it is one plan with one cut. Rounds end when no label
+    A round hands labels to neighbours and then follows the label's label, so that
+    chains shorten to less than half; it is one plan with one cut. Rounds end when no label
     changes. Loops and repeated edges do no harm.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,7 +23,6 @@ def components(edges: DataFrame) -> DataFrame:
     def hook(labels: DataFrame) -> DataFrame:
         return sym.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("comp").alias("comp"))
 
-    labels = cut(hook(labels))
     while True:
         hop = labels.select(F.col("id").alias("c"), F.col("comp").alias("far"))
         far = hook(labels).withColumnRenamed("comp", "c").join(hop, "c").select("id", F.least("c", "far").alias("comp"))

@@ -202,7 +202,7 @@ class Model:
         return list(lang), score
 
 
-def fit(docs: DataFrame, per_lang: int = 800, held_out=None) -> Model:
+def fit(docs: DataFrame, per_lang: int = 500, held_out=None) -> Model:
     """Learns from about per_lang rows of each language, those with the smallest hashes of id and text.
 
     The sample bound is per_lang; each sampled text is read whole. Rows with null language or for

@@ -79,7 +79,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, keep: int = 8
     xlog = lambda k, n, q: k * np.log(np.maximum(q, 1e-12)) + (n - k) * np.log(np.maximum(1 - q, 1e-12))
     gain = 2 * (xlog(in_pos, pos, a) + xlog(in_neg, neg, b) - xlog(in_pos, pos, p) - xlog(in_neg, neg, p))
     best = np.lexsort((all_terms, -gain))[:keep]
-    best = np.sort(best[(gain[best] > 10.8) & (in_pos[best] + in_neg[best] >= 3)])
+    best = np.sort(best[(gain[best] > 20.0) & (in_pos[best] + in_neg[best] >= 3)])
     slot = np.full(len(all_terms), -1)
     slot[best] = np.arange(len(best))
     rng = np.random.default_rng(seed)
@@ -96,6 +96,11 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, keep: int = 8
             lens = np.array([len(rows[j]) for j in i])
             ff = np.concatenate([rows[j] for j in i]) if lens.sum() else np.zeros(0, np.int64)
             dd = np.repeat(np.arange(len(i)), lens)
+            # some texts show only a part of their terms, so that few terms suffice for a short text
+            first = np.flatnonzero(np.diff(dd, prepend=-1))
+            stay = rng.random(len(ff)) < rng.choice([1.0, 0.5, 0.2], len(i))[dd]
+            stay[(first + (rng.random(len(first)) * lens[lens > 0]).astype(int))] = True
+            ff, dd = ff[stay], dd[stay]
             s = np.zeros((len(i), factors))
             np.add.at(s, dd, v[ff])
             q = np.zeros(len(i))

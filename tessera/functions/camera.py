@@ -71,14 +71,24 @@ def distort_point(x: Column, y: Column, dist) -> Column:
 def undistort_point(x: Column, y: Column, dist, steps: int = 100, tolerance: float = 1e-8) -> Column:
     """struct<x,y>: fixed-point steps that stop once a step's distorted image is within the tolerance."""
 
+    held = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
+
     def step(s: Column, _: Column) -> Column:
         radial, tx, ty = _brown(s.x, s.y, dist)
-        ex, ey = s.x * radial + tx - x, s.y * radial + ty - y
-        done = s.done | (F.sqrt(ex * ex + ey * ey) < tolerance)
-        return F.struct(F.when(done, s.x).otherwise((x - tx) / radial).alias("x"), F.when(done, s.y).otherwise((y - ty) / radial).alias("y"), done.alias("done"))
+
+        def move(b: Column) -> Column:
+            ex, ey = s.x * b.r + b.tx - x, s.y * b.r + b.ty - y
+            near = ex * ex + ey * ey < tolerance * tolerance
+            return F.struct(F.when(near, s.x).otherwise((x - b.tx) / b.r).alias("x"), F.when(near, s.y).otherwise((y - b.ty) / b.r).alias("y"), near.alias("done"))
+
+        return F.when(s.done, s).otherwise(held(F.struct(radial.alias("r"), tx.alias("tx"), ty.alias("ty")), move))
 
     start = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: F.struct(s.x.alias("x"), s.y.alias("y")))
+    few = min(16, steps)
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, step)
+    if steps > few:  # most points are done by then, and a branch not taken costs nothing
+        out = held(out, lambda s: F.when(s.done, s).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps - few)), s, step)))
+    return held(out, lambda s: F.struct(s.x.alias("x"), s.y.alias("y")))
 
 
 def _theta_d(theta: Column, dist) -> Column:

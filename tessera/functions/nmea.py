@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,11 @@ def _number(f: Column, kind: str = "double") -> Column:
 
 def parse_sentence(sentence: Column) -> Column:
     """struct of a GGA or RMC sentence of a GP or GN talker; null for others, short or damaged ones."""
-    f = F.split(strip_checksum(F.trim(sentence)), ",")
+    fields = F.split(strip_checksum(F.trim(sentence)), ",")
+    return F.element_at(F.transform(F.array(fields), _parse_fields), 1)  # the fields are split once
+
+
+def _parse_fields(f: Column) -> Column:
     kind = F.upper(F.get(f, F.lit(0)))
     at = lambda i: F.get(f, F.lit(i))
     gga = F.struct(
@@ -53,8 +60,8 @@ def parse_sentence(sentence: Column) -> Column:
         nothing("int").alias("quality"), nothing("int").alias("satellites"), nothing("double").alias("hdop"), nothing("double").alias("altitude"), nothing("double").alias("geoid"),
         at(2).alias("status"), _number(at(7)).alias("speed_knots"), _number(at(8)).alias("course"), at(9).alias("date"),
     )
-    sound = lambda s, names: F.forall(F.array(*[s[n].isNotNull() for n in names]), lambda x: x)
-    return F.when(kind.isin("GPGGA", "GNGGA") & (F.size(f) >= 15) & sound(gga, ["lat", "lon", "quality", "satellites", "hdop", "altitude", "geoid"]), gga).when(kind.isin("GPRMC", "GNRMC") & (F.size(f) >= 10) & sound(rmc, ["lat", "lon", "speed_knots", "course"]), rmc)
+    sound = lambda s, names: F.element_at(F.transform(F.array(s), lambda x: F.when(reduce(and_, [x[n].isNotNull() for n in names]), x)), 1)
+    return F.when(kind.isin("GPGGA", "GNGGA") & (F.size(f) >= 15), sound(gga, ["lat", "lon", "quality", "satellites", "hdop", "altitude", "geoid"])).when(kind.isin("GPRMC", "GNRMC") & (F.size(f) >= 10), sound(rmc, ["lat", "lon", "speed_knots", "course"]))
 
 
 def is_valid(status: Column) -> Column:

@@ -118,5 +118,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_rans, op2_mixing, op3_nndescent, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op8_suffixes, op9_collisions, op10_sentencepiece)}
 
 
+_CLOSURE = """
+pairs2 AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+walk(id, goal) AS (SELECT x, y FROM pairs2 UNION SELECT w.id, b.y FROM walk w JOIN pairs2 b ON w.goal = b.x)
+"""
+
+OP3_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+{_CLOSURE},
+deg AS (SELECT x AS id, count(*) AS n FROM pairs2 GROUP BY x), comp AS (SELECT id, least(id, min(goal)) AS c FROM walk GROUP BY id)
+SELECT vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN deg ON deg.id = vec_id LEFT JOIN comp ON comp.id = vec_id
+"""
+
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+place AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0),
+sh AS (SELECT doc_id, array_to_string(ws[i:i+4], ' ') AS s, count(*) AS n FROM place GROUP BY ALL),
+tot AS (SELECT doc_id, sum(n) AS t FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN tot a ON a.doc_id = x JOIN tot b ON b.doc_id = y WHERE m >= 0.8 * (a.t + b.t - m)),
+{_CLOSURE},
+comp AS (SELECT id, least(id, min(goal)) AS c FROM walk GROUP BY id)
+SELECT doc_id, coalesce(c, doc_id) AS class_id, coalesce(c, doc_id) = doc_id AS kept FROM documents LEFT JOIN comp ON id = doc_id
+"""
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+place AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+34], ' ') AS s FROM place),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, unnest(range(0, 35)) AS k FROM win JOIN rep USING (s)),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM hit),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN cut ON cut.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_nndescent": OP3_SQL, "op6_dartminhash": OP6_SQL, "op8_suffixes": OP8_SQL}

@@ -27,12 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; of rows with one id, one. Rows without an id go."""
+    """One document of each group of near copies stays, the one with the smallest id; of rows with one id, one. Rows without an id stay."""
     small_batches(spark)
     keep = dartminhash.near_duplicates(docs, threshold=0.8).where("kept").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("rows_of_id"))
     out = docs.join(keep, "doc_id")
     single, repeated = out.where("rows_of_id = 1"), out.where("rows_of_id > 1")
-    return single.union(repeated.dropDuplicates(["doc_id"])).select(docs.columns)
+    return single.union(repeated.dropDuplicates(["doc_id"])).select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

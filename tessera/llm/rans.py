@@ -34,6 +34,7 @@ BLOCK = LANES * CHECK * 4
 SCALE = 18
 LOW = np.uint64(1 << 31)
 SEGMENT_IDS = 1 << 21
+MANIFEST_ROWS = 1_000_000
 
 
 class CorruptSegment(ValueError):
@@ -205,7 +206,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the segments at path.
 
     start counts the ids of all documents before; each segment's base comes from the table of
-    segment lengths, a row for two million ids, which is small enough to broadcast.
+    segment lengths, a row for two million ids. It is broadcast up to MANIFEST_ROWS rows and joined by its key beyond.
     """
     segs = spark.read.schema("part int, seg int, n_ids long, n_docs long, data binary").parquet(path)
     w = Window.orderBy("part", "seg").rowsBetween(Window.unboundedPreceding, -1)
@@ -222,4 +223,6 @@ def read_tokens(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield batch_from({"doc_id": names, "start": starts + base, "n_tokens": lengths.astype(np.int64), "ids_crc32": crc}, schema)
 
-    return segs.join(F.broadcast(base), ["part", "seg"]).select("base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    if segs.select("seg").limit(MANIFEST_ROWS + 1).count() <= MANIFEST_ROWS:
+        base = F.broadcast(base)
+    return segs.join(base, ["part", "seg"]).select("base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

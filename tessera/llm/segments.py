@@ -13,7 +13,7 @@ import numpy as np
 
 from tessera.llm import kernels as K
 
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 250_000
 class SegmentCache:
     """segment -> packed ids; encode_new(list of segments) gives the packed ids of new ones."""
 

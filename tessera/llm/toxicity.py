@@ -84,8 +84,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, keep: int = 8
     slot[best] = np.arange(len(best))
     rng = np.random.default_rng(seed)
     m = len(best)
-    rows = [slot[f[s:e]] for s, e in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate(([0], np.cumsum([len(d) for d in docs])))))]
-    rows = [r[r >= 0] for r in rows]
+    rows = [r[r >= 0] for r in np.split(slot[f], np.cumsum([len(d) for d in docs])[:-1])]
     w0, w, v = float(np.log(pos / neg)), np.zeros(m), rng.normal(0, 0.02, (m, factors))
     gw, gv, g0 = np.full(m, 1e-2), np.full((m, factors), 1e-2), 1e-2
     weight = np.where(y > 0, 0.5 * len(y) / pos, 0.5 * len(y) / neg)

@@ -194,22 +194,32 @@ def deskew(points, times, t, accel, gyro, ref, gravity, velocity) -> np.ndarray:
     return out
 
 
+#: A plane whose normal is steeper than this takes x as the axis that its basis is built from, others z.
+STEEP = 0.99
+
+
 def m2dp_descriptor(points, num_azimuth=4, num_elevation=16, num_rings=4, num_sectors=16) -> np.ndarray:
+    """First left and right singular vectors of polar counts on planes through the centroid.
+
+    Elevations are midpoints of equal parts of -90..90 degrees, azimuths equal parts of the circle, elevation by elevation.
+    """
+    if not len(points):
+        return np.zeros(num_azimuth * num_elevation + num_rings * num_sectors)
+    el, az = np.meshgrid(np.pi * ((np.arange(num_elevation) + 0.5) / num_elevation - 0.5), 2 * np.pi * np.arange(num_azimuth) / num_azimuth, indexing="ij")
+    n = np.stack((np.cos(el) * np.cos(az), np.cos(el) * np.sin(az), np.sin(el)), axis=-1).reshape(-1, 3)
+    axis = np.where(np.abs(n[:, 2:]) < STEEP, [[0.0, 0.0, 1.0]], [[1.0, 0.0, 0.0]])
+    u = np.cross(n, axis)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     c = points - points.mean(axis=0)
-    rows = []
-    for az in np.arange(num_azimuth) * np.pi / num_azimuth:
-        for el in np.arange(num_elevation) * np.pi / 2 / num_elevation:
-            n = np.array([np.cos(el) * np.cos(az), np.cos(el) * np.sin(az), np.sin(el)])
-            u = np.array([1.0, 0, 0]) - n[0] * n
-            u = u / np.linalg.norm(u) if np.linalg.norm(u) > 1e-9 else np.array([0.0, 1, 0])
-            a, b = c @ u, c @ np.cross(n, u)
-            r = np.hypot(a, b)
-            top = r.max() if len(r) and r.max() > 0 else 1.0
-            ring = np.minimum((r / top * num_rings).astype(int), num_rings - 1)
-            sector = np.minimum((np.mod(np.arctan2(b, a), 2 * np.pi) / (2 * np.pi) * num_sectors).astype(int), num_sectors - 1)
-            rows.append(np.bincount(ring * num_sectors + sector, minlength=num_rings * num_sectors) / max(1, len(points)))
-    u, _, vt = np.linalg.svd(np.array(rows), full_matrices=False)
-    return np.concatenate((u[:, 0], vt[0]))
+    a, b = c @ u.T, c @ np.cross(n, u).T
+    r = np.hypot(a, b)
+    top = r.max(axis=0)
+    ring = np.minimum((r / np.where(top > 1e-12, top, 1.0) * num_rings).astype(int), num_rings - 1)
+    sector = np.minimum((np.mod(np.arctan2(b, a), 2 * np.pi) / (2 * np.pi) * num_sectors).astype(int), num_sectors - 1)
+    bins = num_rings * num_sectors
+    cell = np.arange(len(n)) * bins + ring * num_sectors + sector
+    left, _, right = np.linalg.svd(np.bincount(cell.ravel(), minlength=len(n) * bins).reshape(len(n), bins).astype(float), full_matrices=False)
+    return np.concatenate((left[:, 0], right[0]))
 
 
 def to_image(t) -> np.ndarray:

@@ -153,7 +153,7 @@ def scan_odometry(scans: DataFrame, session: str = "session", frame: str = "fram
     return keyed.select(session, frame, "transform", "mse").groupBy(session).applyInPandas(fold, f"{session} {kinds[session]}, {frame} {kinds[frame]}, pose array<double>, mse double")
 
 
-def kiss_odometry(scans: DataFrame, session: str = "session", frame: str = "frame", voxel: float = 1.0, max_range: float = 100.0, initial: float = 2.0, alpha: float = 0.9, low: float = 0.1, high: float = 10.0, max_iterations: int = 50, tolerance: float = 1e-4) -> DataFrame:
+def kiss_odometry(scans: DataFrame, session: str = "session", frame: str = "frame", voxel: float = 1.0, max_voxels: int = 100_000, initial: float = 2.0, alpha: float = 0.9, low: float = 0.1, high: float = 10.0, max_iterations: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """session, frame, pose (16), residual, threshold: scan-to-map matching with a threshold that follows the residuals.
 
     Each frame depends on the map of all before, so a session is one fold; sessions run side by side.
@@ -163,15 +163,18 @@ def kiss_odometry(scans: DataFrame, session: str = "session", frame: str = "fram
         pose, sigma, have, rows = np.eye(4), initial, {}, []
         for f, g in t.sort_values([frame, "seq"]).groupby(frame):
             p = g[list(XYZ)].to_numpy(float)
-            p = kernels.voxel_means(p[np.linalg.norm(p, axis=1) <= max_range], voxel)
+            p = kernels.voxel_means(p, voxel)
             limit, residual = float(np.clip(3 * sigma, low, high)), 0.0
             if have and len(p) >= 3:
                 m, mse, _, _ = kernels.icp(p, np.array(list(have.values())), max_iterations, tolerance, limit)
                 pose = pose @ np.linalg.inv(m)
-                residual = float(np.sqrt(mse)) if np.isfinite(mse) else 0.0
-                sigma = alpha * sigma + (1 - alpha) * residual
+                if np.isfinite(mse):
+                    residual = float(np.sqrt(mse))
+                    sigma = alpha * sigma + (1 - alpha) * residual
             for q in p @ pose[:3, :3].T + pose[:3, 3]:
                 have.setdefault(tuple(np.floor(q / voxel).astype(int)), q)
+            for old in list(have)[: max(0, len(have) - max_voxels)]:  # the oldest voxels leave first
+                del have[old]
             rows.append((t[session].iloc[0], f, pose.ravel().tolist(), residual, limit))
         return pd.DataFrame(rows, columns=[session, frame, "pose", "residual", "threshold"])
 

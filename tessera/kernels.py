@@ -285,40 +285,43 @@ def patch_descriptors(image, keypoints, size: int = 11) -> np.ndarray:
 
 
 def disparity(left, right, block: int = 11, num: int = 64, least: int = 0) -> np.ndarray:
-    """Block matching by sums of absolute differences; the first least one is kept, borders are 0."""
-    best = np.full(left.shape, np.inf)
-    out = np.zeros(left.shape)
-    h = block // 2
+    """Block matching by sums of absolute differences; the first least one is kept, borders are 0.
+
+    Where the shifted right image has no pixel it counts as 0.
+    """
+    left, right = left.astype(float), right.astype(float)
+    best, out, h = np.full(left.shape, np.inf), np.zeros(left.shape), block // 2
+    inner = (slice(h, left.shape[0] - h), slice(h, left.shape[1] - h))
+    if min(left.shape) < block:
+        return out
     for d in range(max(0, least), least + num):
-        if d >= left.shape[1]:
-            break
+        moved = np.zeros_like(right)
+        moved[:, d:] = right[:, : max(0, right.shape[1] - d)]
         cost = np.full(left.shape, np.inf)
-        diff = np.abs(left[:, d:].astype(float) - right[:, : left.shape[1] - d].astype(float))
-        cost[:, d:] = _box(diff, block)
-        cost[:, : d + h] = np.inf
+        cost[inner] = _box(np.abs(left - moved), block)[inner]
         better = cost < best
         best[better], out[better] = cost[better], d
-    out[:h], out[-h:], out[:, :h], out[:, -h:] = 0, 0, 0, 0
     return out
 
 
 def rectify(k1, k2, r, t):
-    """(R1, R2, P1, P2, Q): both cameras turn half way, then to the baseline."""
+    """(R1, R2, P1, P2): half of the rotation, then axes along the baseline t, whose direction is kept as it is given."""
+    length = np.linalg.norm(t)
+    if length < 1e-12:
+        raise ValueError("a baseline has a length")
     half = exp_so3(log_so3(r) / 2)
-    e = half.T @ t
-    x = e / np.linalg.norm(e)
-    x = -x if x[0] < 0 else x
-    y = np.cross([0.0, 0, 1], x)
-    y = y / np.linalg.norm(y)
+    x = np.asarray(t, float) / length
+    y = np.cross(half[:, 2], x)
+    if np.linalg.norm(y) < 1e-12:
+        y = np.cross([0.0, 1, 0], x)
+    y = y / max(np.linalg.norm(y), 1e-12)
     base = np.array([x, y, np.cross(x, y)])
     f = (k1[0, 0] + k1[1, 1] + k2[0, 0] + k2[1, 1]) / 4
     cx, cy = (k1[0, 2] + k2[0, 2]) / 2, (k1[1, 2] + k2[1, 2]) / 2
     p1 = np.array([[f, 0, cx, 0], [0, f, cy, 0], [0, 0, 1.0, 0]])
-    tx = -np.linalg.norm(t)
     p2 = p1.copy()
-    p2[0, 3] = f * tx
-    q = np.array([[1, 0, 0, -cx], [0, 1, 0, -cy], [0, 0, 0, f], [0, 0, -1 / tx, 0.0]])
-    return base @ half, base @ half.T, p1, p2, q
+    p2[0, 3] = -f * length
+    return base @ half, base @ half @ r.T, p1, p2
 
 
 def triangulate(p1, p2, a, b) -> np.ndarray:

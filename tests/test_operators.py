@@ -133,9 +133,13 @@ def test_vision_kernels():
 
 
 def test_rectified_rows_agree():
-    k, r, t = np.array([[500, 0, 320], [0, 500, 240], [0, 0, 1.0]]), np.eye(3), np.array([-0.12, 0, 0])
-    r1, r2, p1, p2, q = kernels.rectify(k, k, r, t)
-    assert np.allclose(r1, np.eye(3)) and np.allclose(r2, np.eye(3)) and p2[0, 3] == pytest.approx(-60)
+    k = np.array([[500, 0, 320], [0, 500, 240], [0, 0, 1.0]])
+    r1, r2, p1, p2 = kernels.rectify(k, k, np.eye(3), np.array([-0.12, 0, 0]))
+    assert np.allclose(r1, np.diag([-1, -1, 1])) and np.allclose(r1, r2) and p2[0, 3] == pytest.approx(-60) and p1[0, 3] == 0
+    r1, r2, _, _ = kernels.rectify(k, k, kernels.exp_so3([0, 0.1, 0]), np.array([-0.12, 0.01, 0]))
+    assert np.allclose(r1 @ r1.T, np.eye(3)) and np.allclose(r2 @ r2.T, np.eye(3))
+    with pytest.raises(ValueError):
+        kernels.rectify(k, k, np.eye(3), np.zeros(3))
 
 
 def test_wheels(spark):

@@ -13,6 +13,7 @@ from tessera.errors import CalibrationError, SensorNotFoundError
 from tessera.functions import camera, se3
 
 SENSOR = "name string, type string, coordinate_system string, transform array<double>, time_offset double, fx double, fy double, cx double, cy double, width int, height int, distortion array<double>"
+KNOWN = ("type", "coordinate_system", "extrinsics", "intrinsics")
 
 
 @dataclass
@@ -24,6 +25,7 @@ class Sensor:
     rotation: tuple = (1.0, 0.0, 0.0, 0.0)
     time_offset: float = 0.0
     intrinsics: dict = field(default_factory=dict)
+    parameters: dict = field(default_factory=dict)  # blocks of other kinds of sensor, by name
 
     @property
     def transform(self) -> np.ndarray:
@@ -45,7 +47,7 @@ class Rig:
             x = s.get("extrinsics", {})
             r = x.get("rotation", {})
             q = r.get("quaternion", (1.0, 0.0, 0.0, 0.0)) if isinstance(r, dict) else r
-            out.sensors[name] = Sensor(name, s.get("type", ""), s.get("coordinate_system", "FLU"), tuple(x.get("translation", (0.0, 0.0, 0.0))), tuple(q), float(s.get("time_offset_sec", 0.0)), dict(s.get("intrinsics") or {}))
+            out.sensors[name] = Sensor(name, s.get("type", ""), s.get("coordinate_system", "FLU"), tuple(x.get("translation", (0.0, 0.0, 0.0))), tuple(q), float(x.get("time_offset_sec", 0.0)), dict(s.get("intrinsics") or {}), {k: v for k, v in s.items() if k not in KNOWN})
         out.validate()
         return out
 
@@ -56,9 +58,10 @@ class Rig:
         for s in self.sensors.values():
             data[s.name] = {"type": s.type, "coordinate_system": s.coordinate_system, "extrinsics": {"translation": list(map(float, s.translation)), "rotation": {"quaternion": list(map(float, s.rotation))}}}
             if s.time_offset:
-                data[s.name]["time_offset_sec"] = float(s.time_offset)
+                data[s.name]["extrinsics"]["time_offset_sec"] = float(s.time_offset)
             if s.intrinsics:
                 data[s.name]["intrinsics"] = s.intrinsics
+            data[s.name] |= s.parameters
         with open(path, "w") as f:
             yaml.safe_dump({"sensors": data}, f, sort_keys=False)
 

@@ -250,7 +250,7 @@ def _box(x, k):
 
 def harris(image, k=0.05, sigma=1.0, threshold=0.01, radius=5, max_corners=None) -> np.ndarray:
     """[n, 2] of (row, col), strongest first."""
-    p = np.pad(image.astype(float), 1, mode="edge")
+    p = np.pad(image.astype(float), 1)  # zeros outside
     gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
     gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
     n = int(np.ceil(3 * sigma))

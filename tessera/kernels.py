@@ -373,7 +373,8 @@ def essential(a, b, k, threshold=1.0, iterations=1000, seed=0):
                 break
     if best.sum() < 8:
         return None, best
-    return _eight(n1[best], n2[best]), best
+    e = _eight(n1[best], n2[best])
+    return e, sampson(e, n1, n2) < threshold**2
 
 
 def pose_from_essential(e, a, b, k):
@@ -427,7 +428,8 @@ def pnp(p3, p2, k, threshold=2.0, iterations=500, seed=0):
                 break
     if best.sum() < 6:
         return None, None, best
-    return (*_dlt(p3[best], n2[best]), best)
+    r, t = _dlt(p3[best], n2[best])
+    return r, t, reprojection_sq(r, t, k, p3, p2) < threshold**2
 
 
 def edge_error(xi, xj, measured) -> np.ndarray:

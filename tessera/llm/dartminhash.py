@@ -8,8 +8,10 @@ Two signatures agree in a coordinate with the weighted Jaccard similarity. The w
 draw an element plus about k*ln(k) darts, whatever the weights.
 
 Signatures are cut into bands. Documents with one band in common are compared with
-two centres of their bucket, exactly, on whole texts: its smallest document, and one that each band draws anew. So a document
-of a large bucket meets up to 25 others of it, and no bucket is expanded to pairs.
+two centres of their bucket, exactly, on whole texts: its smallest document, and one that each band draws anew. That joins
+most groups. Then all pairs of a bucket that are not in one class yet are compared too, in blocks of bounded size; only pairs
+within the bucket's largest class are left out, as they change nothing. So every similar pair that meets in a band is linked,
+at a cost that grows with the square of what a bucket holds beside its largest class.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tessera.llm.components import components
 
 BANDS, ROWS = 24, 5
 SHINGLE = 5
+#: Documents on a side of a block of pairs, and columns of a block's dense product.
+SIDE, COLUMNS = 128, 4096
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,6 +167,91 @@ def _verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def common_weights(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """[rows, cols]: summed smaller weights of the documents of ``rows`` and of ``cols`` (as by shingles), exactly. A document with itself is not asked."""
+    # an element of weight w is w elements, numbered; the smaller weight is then the number of those in common
+    turn = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        name = K.mix(np.repeat(element, weight) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    doc = np.repeat(doc, weight)
+    row, col = np.full(docs, -1), np.full(docs, -1)
+    row[rows], col[cols] = np.arange(len(rows)), np.arange(len(cols))
+    _, code = np.unique(name, return_inverse=True)
+    n = int(code.max(initial=-1)) + 1
+    both = (np.bincount(code[row[doc] >= 0], minlength=n) > 0) & (np.bincount(code[col[doc] >= 0], minlength=n) > 0)
+    both &= np.bincount(code, minlength=n) > 1
+    keep = both[code]
+    code, doc = (np.cumsum(both) - 1)[code[keep]], doc[keep]
+    order = np.argsort(code, kind="stable")
+    code, doc = code[order], doc[order]
+    out = np.zeros((len(rows), len(cols)))
+    for low in range(0, int(both.sum()), COLUMNS):
+        a, b = np.searchsorted(code, (low, low + COLUMNS))
+        c, d = code[a:b] - low, doc[a:b]
+        left, right = np.zeros((len(rows), COLUMNS), np.float32), np.zeros((len(cols), COLUMNS), np.float32)
+        of = row[d] >= 0
+        left[row[d[of]], c[of]] = 1
+        of = col[d] >= 0
+        right[col[d[of]], c[of]] = 1
+        out += left @ right.T
+    return out
+
+
+def _rest(texts: DataFrame, members: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): similar pairs of different classes within one bucket, except those with its centres, which are decided.
+
+    A bucket's largest class is one side, all others the other side. Large buckets with one largest class, whatever their bands, are
+    taken as one, so that a pair that meets in many bands is compared once; small ones stay alone. Both sides are dealt at random
+    into parts of about SIDE; a block is two parts that have to be compared.
+    """
+    m = members.where("n > 3 and rep <> first and rep <> drawn").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    m = cut(m.select("band", "key", "rep", F.coalesce("comp", "rep").alias("label")))
+    sizes = m.groupBy("band", "key", "label").count().groupBy("band", "key")
+    sizes = sizes.agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    large = F.col("all") > SIDE
+    sizes = sizes.select("band", "key", F.col("top.label").alias("top"), F.when(large, -1).otherwise(F.col("band")).alias("b"), F.when(large, F.col("top.label")).otherwise(F.col("key")).alias("k"))
+    m = m.join(sizes, ["band", "key"]).select(F.col("b").alias("band"), F.col("k").alias("key"), "rep", "label", "top")
+    m = cut(m.distinct().withColumn("main", F.col("label") == F.col("top")))
+    parts = lambda main: F.ceil(F.count_if(F.col("main") == main) / SIDE).cast("long")
+    m = m.join(m.groupBy("band", "key").agg(parts(False).alias("others"), parts(True).alias("same")), ["band", "key"])
+    m = m.withColumn("part", F.pmod(F.xxhash64("rep", "band"), F.when(F.col("main"), F.col("same")).otherwise(F.col("others"))))
+    # blocks (p, q): q is a part of the others from 0 on, or of the largest class as -1, -2, ..
+    own = lambda p, q, side: F.struct(p.cast("long").alias("p"), q.cast("long").alias("q"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    with_others = F.transform(upto(F.col("others")), lambda o: own(F.least(o, F.col("part")), F.greatest(o, F.col("part")), 0))
+    with_main = F.transform(upto(F.col("same")), lambda o: own(F.col("part"), -1 - o, 0))
+    of_main = F.transform(upto(F.col("others")), lambda o: own(o, -1 - F.col("part"), 1))
+    blocks = m.withColumn("at", F.explode(F.when(F.col("main"), of_main).otherwise(F.concat(with_others, with_main))))
+    blocks = blocks.select("band", "key", "at.p", "at.q", "at.side", "rep", "label", "part")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, label, side = t.column("rep").to_numpy(), t.column("label").to_numpy(), t.column("side").to_numpy()
+        p, q, part = t.column("p")[0].as_py(), t.column("q")[0].as_py(), t.column("part").to_numpy()
+        left = np.flatnonzero((side == 0) & (part == p))
+        right = np.flatnonzero(side == 1) if q < 0 else np.flatnonzero(part == q)
+        if not len(left) or not len(right) or len(np.unique(label[np.append(left, right)])) < 2:
+            return pa.table([np.zeros(0, np.int64)] * 2, schema=schema)
+        docs, elements, weights, at = [], [], [], 0
+        for _, data, off in K.chunks(t.column("text")):
+            s, e, first = K.word_bounds(data, off)
+            d, h, w = shingles(K.span_hashes(data, s, e), first)
+            docs.append(d + at)
+            elements.append(h)
+            weights.append(w)
+            at += len(off) - 1
+        doc, element, weight = np.concatenate(docs), np.concatenate(elements), np.concatenate(weights)
+        total = np.bincount(doc, weight, minlength=len(ids))
+        both = common_weights(doc, element, weight, len(ids), left, right)
+        good = both / (total[left][:, None] + total[right] - both) >= threshold
+        i, j = np.nonzero(good & (label[left][:, None] != label[right]))
+        x, y = ids[left[i]], ids[right[j]]
+        return pa.table([np.maximum(x, y), np.minimum(x, y)], schema=schema)
+
+    text = texts.select(F.col("doc_id").alias("rep"), "text")
+    return blocks.join(text, "rep").groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id, kept for every row: the class is the smallest id that links of similar texts reach.
 
@@ -176,7 +265,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # every bucket has two centres: its smallest document, and one drawn anew in each band
     draw = F.struct(F.xxhash64("rep", "band").alias("h"), "rep")
     shared = cut(flat.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.min(draw).alias("d")).where("n > 1").select("band", "key", "n", "first", F.col("d.rep").alias("drawn")))
-    members = cut(flat.join(shared, ["band", "key"]).select("rep", "n", "first", "drawn"))
+    members = cut(flat.join(shared, ["band", "key"]).select("band", "key", "rep", "n", "first", "drawn"))
     texts = cut(text_column(docs).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]))
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     tried = members.where("rep <> first").select(*pair("rep", "first")).distinct()
@@ -188,7 +277,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     m = m.join(good.select(F.col("a").alias("drawn"), F.col("b").alias("first"), F.col("yes").alias("ok_drawn")), ["drawn", "first"], "left")
     know = lambda ok, who: F.coalesce(F.col(ok), F.lit(False)) | (F.col(who) == F.col("first"))
     more = m.where(~(know("ok_rep", "rep") & know("ok_drawn", "drawn"))).select(*pair("rep", "drawn")).distinct().join(tried, ["a", "b"], "left_anti")
-    comp = components(links.union(_verify(texts, more, threshold)))
+    links = cut(links.union(_verify(texts, more, threshold)))
+    found = cut(_rest(texts, members, components(links), threshold))
+    comp = components(links.union(found))
     comp = comp.withColumnRenamed("id", "rep")
     named = classes.select("f1", "f2", "rep").join(comp, "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("class_id"))
     rest = sketch.where("doc_id is null or words = 0").select("doc_id", F.col("doc_id").alias("class_id"))

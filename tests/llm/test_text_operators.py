@@ -197,6 +197,39 @@ def test_near_duplicates_are_those_of_brute_force(docs, local):
     assert all(kept == (c == i) for i, (c, kept) in got.items())
 
 
+def test_lightly_edited_documents_link_a_large_group(spark, monkeypatch):
+    """Edits of one template, mostly below 0.8 to each other; the few light edits, with the largest ids, link them."""
+    rng = np.random.default_rng(5)
+    template = [f"w{i}" for i in range(404)]
+
+    def edit(n, i):
+        w = list(template)
+        for k in rng.choice(80, n, replace=False):
+            w[2 + 5 * k] = f"x{i}_{k}"
+        return " ".join(w)
+
+    texts = {i: edit(7 if i < 300 else 1, i) for i in range(303)}
+    texts |= {1000 + i: t for i, t in enumerate(("a b c d e " * 50, "a b c d e " * 45, "one"))}
+    want = classes_by_brute_force(texts)
+    assert sum(c == 0 for c in want.values()) == 303
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for side in (128, 16):
+        monkeypatch.setattr(dartminhash, "SIDE", side, raising=False)
+        assert {r.doc_id: r.class_id for r in dartminhash.near_duplicates(docs).collect()} == want
+
+
+def test_common_weights_are_those_of_pairs():
+    rng = np.random.default_rng(6)
+    bags = [Counter(rng.integers(0, 6000 if i % 2 else 40, 3000).tolist()) for i in range(12)]
+    doc = np.repeat(np.arange(12), [len(b) for b in bags])
+    element = np.concatenate([np.array(sorted(b), np.uint64) for b in bags])
+    weight = np.array([b[k] for b in bags for k in sorted(b)])
+    for rows, cols in ((np.arange(12), np.arange(12)), (np.array([3, 0]), np.array([7, 8, 1]))):
+        got = dartminhash.common_weights(doc, element, weight, 12, rows, cols)
+        assert all(got[x, y] == (bags[i] & bags[j]).total() for x, i in enumerate(rows) for y, j in enumerate(cols) if i != j)
+
+
+
 def test_near_duplicates_of_odd_rows(spark, docs):
     long = " ".join(f"w{i}" for i in range(300))
     near = long.replace("w150 ", "z ")

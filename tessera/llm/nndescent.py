@@ -4,7 +4,8 @@ Copies of one vector are one node. A first graph comes from leaves of random ord
 neighbours, again and again. A list holds the ``k`` nearest, but a list that is saturated, with its k-th
 neighbour still above the threshold, is enlarged to hold all neighbours above it, so groups of any size keep all their links.
 Candidates are fetched once for a block of nearby nodes and compared there, in double precision. When
-rounds bring no more links, the recall is audited on sampled nodes against all vectors; if it falls short, further orderings are added.
+no list changes any more, the recall is audited on nodes drawn without regard to their lists, against all vectors; if it falls short, further
+orderings are added. Where that does not help, or the drawn nodes have too few links to judge by, all pairs are compared in blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tessera.llm.vectors import matrix, usable
 
 log = logging.getLogger(__name__)
 LEAF, TREES, PLANES, LEAVES_A_BLOCK = 128, 3, 8, 16
+#: Sets of orderings before all pairs are compared; vectors in a part of that comparison; linked nodes that an audit has to see.
+SEEDS, PART, ENOUGH = 5, 6000, 500
 
 
 def _orderings(units: DataFrame, threshold: float, k: int, seed: int, trees: int = TREES) -> DataFrame:
@@ -74,8 +77,8 @@ def _orderings(units: DataFrame, threshold: float, k: int, seed: int, trees: int
 
 def _lists(edges: DataFrame, threshold: float, k: int) -> DataFrame:
     """(id, near array<struct<d, v>>): the k nearest, and all within the threshold; d is the negative similarity."""
-    near = F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), F.col("v").alias("v"))))
-    return edges.groupBy(F.col("u").alias("id")).agg(near.alias("near")).withColumn("near", F.filter("near", lambda x, i: (i < k) | (x.d <= -threshold)))
+    near = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("v").alias("v"))))
+    return edges.groupBy("u", "v").agg(F.max("s").alias("s")).groupBy(F.col("u").alias("id")).agg(near.alias("near")).withColumn("near", F.filter("near", lambda x, i: (i < k) | (x.d <= -threshold)))
 
 
 def _round(units: DataFrame, lists: DataFrame, blocks: DataFrame, active: DataFrame, threshold: float, k: int, turn: int) -> DataFrame:
@@ -123,32 +126,62 @@ def _round(units: DataFrame, lists: DataFrame, blocks: DataFrame, active: DataFr
     return own.groupBy("block").cogroup(side.groupBy("at")).applyInArrow(compare, "u long, v long, s double")
 
 
-def _audit(units: DataFrame, lists: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the true links of some nodes (``sample`` with the smallest hashes, and as many of those with links) that their lists have."""
-    some = units.select("id").orderBy(F.xxhash64("id", F.lit(77))).limit(sample)
-    linked = lists.where(F.exists("near", lambda x: x.d <= -threshold)).select("id").orderBy(F.xxhash64("id", F.lit(78))).limit(sample)
-    asked = units.join(F.broadcast(some.union(linked).distinct()), "id").collect()
-    if not asked:
-        return 1.0
-    names, q = np.array([r.id for r in asked]), np.array([r.x for r in asked])
+def _audit(units: DataFrame, lists: DataFrame, threshold: float, sample: int) -> tuple[float | None, DataFrame]:
+    """(mean share of its true links that a node's list has, those true links (u, v)) of the ``sample`` nodes with the smallest hashes.
+
+    The share is None where fewer than ENOUGH of them have links and they are not all nodes.
+    """
+    some = units.orderBy(F.xxhash64("id", F.lit(77))).limit(sample)
+    asked = some.collect()
+    names, q = np.array([r.id for r in asked], np.int64), np.array([r.x for r in asked])
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def brute(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             i, j = np.nonzero(q @ matrix(b.column(1)).T >= threshold)
             u, v = names[i], b.column(0).to_numpy()[j]
             yield batch_from({"u": u[u != v], "v": v[u != v]}, schema)
 
-    true = units.mapInArrow(brute, "u long, v long")
-    have = lists.join(F.broadcast(some.union(linked).distinct()), "id").select(F.col("id").alias("u"), F.explode(F.filter("near", lambda x: x.d <= -threshold)).alias("x")).select("u", F.col("x.v").alias("v"), F.lit(1).alias("found"))
-    r = true.join(have, ["u", "v"], "left").agg(F.count("*").alias("n"), F.sum("found").alias("f")).first()
-    return (r.f or 0) / r.n if r.n else 1.0
+    true = cut(units.mapInArrow(brute, "u long, v long"))
+    have = lists.select(F.col("id").alias("u"), F.explode(F.filter("near", lambda x: x.d <= -threshold)).alias("x")).select("u", F.col("x.v").alias("v"), F.lit(1).alias("found"))
+    r = true.join(have, ["u", "v"], "left").groupBy("u").agg(F.avg(F.coalesce("found", F.lit(0))).alias("share")).agg(F.count("*").alias("n"), F.avg("share").alias("share")).first()
+    if r.n < ENOUGH and len(asked) == sample:
+        return None, true
+    return 1.0 if r.share is None else r.share, true
 
 
-def links(units: DataFrame, threshold: float = 0.95, k: int = 10, recall: float = 0.99, sample: int = 150) -> tuple[DataFrame, float]:
-    """((u, v) both ways, audited recall) for unit vectors (id, x)."""
-    seed, edges, blocks = 0, None, None
-    while True:
+def _all_links(units: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) both ways, by comparing all pairs in blocks of two parts."""
+    parts = max(1, -(-units.count() // PART))
+    part = F.pmod(F.xxhash64("id", F.lit(79)), F.lit(parts))
+    at = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q")))
+    blocks = units.withColumn("part", part).withColumn("at", F.explode(at)).select("at.p", "at.q", "part", "id", "x")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, x, part = t.column("id").to_numpy(), matrix(t.column("x")), t.column("part").to_numpy()
+        left, right = np.flatnonzero(part == t.column("p")[0].as_py()), np.flatnonzero(part == t.column("q")[0].as_py())
+        us, vs, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], x[right].T
+        for low in range(0, len(left), 500):
+            own = left[low : low + 500]
+            i, j = np.nonzero(x[own] @ other >= threshold)
+            us.append(ids[own][i])
+            vs.append(ids[right][j])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        u, v = u[u != v], v[u != v]
+        return pa.table([np.append(u, v), np.append(v, u)], schema=schema)
+
+    return blocks.groupBy("p", "q").applyInArrow(compare, "u long, v long").distinct()
+
+
+def links(units: DataFrame, threshold: float = 0.95, k: int = 10, recall: float = 0.99, sample: int = 2000) -> tuple[DataFrame, float]:
+    """((u, v) both ways, audited recall) for unit vectors (id, x); the recall is 1 where all pairs were compared."""
+    edges, blocks = None, None
+    flat = lambda lists: lists.select(F.col("id").alias("u"), F.explode("near").alias("x")).select("u", F.col("x.v").alias("v"), (-F.col("x.d")).alias("s"))
+    names = lambda near: F.array_sort(F.transform(near, lambda x: x.v))
+    for seed in range(SEEDS):
         start = cut(_orderings(units, threshold, k, seed))
         if blocks is None:
             blocks = start.where("u = v").select(F.col("u").alias("id"), "block")
@@ -158,22 +191,22 @@ def links(units: DataFrame, threshold: float = 0.95, k: int = 10, recall: float
         active, turn = lists.select("id"), 0
         while True:
             new = cut(_round(units, lists, blocks, active, threshold, k, 100 * seed + turn))
-            better = new.where(F.col("s") >= threshold).limit(1).count()
-            flat = lists.select(F.col("id").alias("u"), F.explode("near").alias("x")).select("u", F.col("x.v").alias("v"), (-F.col("x.d")).alias("s"))
-            lists = cut(_lists(flat.union(new), threshold, k))
+            before = lists.select("id", F.col("near").alias("old"))
+            lists = cut(_lists(flat(lists).union(new), threshold, k))
+            active = cut(lists.join(before, "id", "left").where(~names("near").eqNullSafe(names("old"))).select("id"))
             turn += 1
-            if not better and turn > 1:
+            if not active.limit(1).count():
                 break
-            # from the third round on only nodes near the threshold go on
-            active = new.where(F.col("s") >= (threshold - 0.15 if turn > 1 else -1.0)).select(F.col("u").alias("id")).distinct()
-        got = _audit(units, lists, threshold, sample)
-        log.info("audited recall of links %.4f after %d orderings", got, TREES * (seed + 1))
-        if got >= recall or seed >= 4:
+        got, true = _audit(units, lists, threshold, sample)
+        log.info("audited recall of links %s after %d orderings and %d rounds", got, TREES * (seed + 1), turn)
+        if got is None:
             break
-        edges = lists.select(F.col("id").alias("u"), F.explode("near").alias("x")).select("u", F.col("x.v").alias("v"), (-F.col("x.d")).alias("s"))
-        seed += 1
-    one = lists.select(F.col("id").alias("u"), F.explode(F.filter("near", lambda x: x.d <= -threshold)).alias("x")).select("u", F.col("x.v").alias("v"))
-    return cut(one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()), got
+        if got >= recall:
+            one = flat(lists).where(F.col("s") >= threshold).select("u", "v").union(true)
+            return cut(one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()), got
+        edges = flat(lists)
+    log.info("all pairs are compared")
+    return cut(_all_links(units, threshold)), 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, **options) -> DataFrame:

@@ -43,6 +43,20 @@ def test_links_are_those_of_brute_force(spark):
     assert nndescent.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_rare_links_of_single_pairs_are_found(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[3800:] = x[:200] + 0.3 * x[3800:]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert 100 < link.sum() / 2 <= 200
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in nndescent.near_duplicates(d).collect()}
+    assert [got[i] for i in range(len(x))] == link.sum(axis=1).tolist()
+
+
 def test_search_is_near_brute_force(spark, data):
     d, x = vectors(spark)
     for t, v, ids in ((d, x, np.arange(len(x))), (spark.read.parquet(f"{data}/embeddings.parquet"), None, None)):

@@ -40,7 +40,11 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) -> tupl
     inside = at + width <= first[doc[: len(h)] + 1] if len(h) else np.zeros(0, bool)
     small = np.flatnonzero((n > 0) & (n < width))
     doc = np.concatenate((doc[: len(h)][inside], small))
-    h = np.concatenate((h[inside], K.sequence_hash(words, first, 11)[small]))
+    short = words[first[small]] if len(small) else np.zeros(0, np.uint64)
+    for j in range(1, width - 1):
+        more = n[small] > j
+        short[more] = K.join_hashes(short[more], words[first[small[more]] + j])
+    h = np.concatenate((h[inside], K.mix(short + n[small].astype(np.uint64))))
     if not len(h):
         return doc, h, np.zeros(0, np.int64)
     order = np.lexsort((h, doc))
@@ -122,7 +126,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, f1, f2 (hashes of the whole word sequence), words, bands."""
+    """doc_id, f1, f2 (the 128 bits of a digest of the whole word sequence), words, bands."""
     schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -134,7 +138,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 keys = K.signed(band_keys(signatures(*shingles(words, first), n)))
                 count = np.diff(first)
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, keys.ravel())
-                cols = [b.column(0).slice(row, n), K.signed(K.sequence_hash(words, first, 1)), K.signed(K.sequence_hash(words, first, 2)), count.astype(np.int64), lists]
+                digest = K.signed(K.text_digests(data, off))
+                cols = [b.column(0).slice(row, n), digest[:, 0].copy(), digest[:, 1].copy(), count.astype(np.int64), lists]
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], schema=schema)
 
     return text_column(docs).mapInArrow(run, "doc_id long, f1 long, f2 long, words long, bands array<long>")

@@ -1,19 +1,19 @@
 """NumPy kernels over the UTF-8 bytes of an Arrow string column.
 
 Words are runs of bytes other than space and 0x09-0x0D. All separators are ASCII, so
-working on bytes gives the same words as working on characters. Hashes are polynomial
-over 64-bit arithmetic, so every substring hash is one subtraction of prefix sums.
+working on bytes gives the same words as working on characters. Hashes chain a bijective
+mixer over eight bytes, or over two halves, at a time: they are no polynomials, so no pair of
+words or word sequences of some regular build shares one. Where a decision rests on equality alone,
+a cryptographic digest of 128 bits or the bytes themselves are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PI = np.uint64(pow(int(_P), -1, 1 << 64))
-_Q = np.uint64(0xD6E8FEB86659FD93)
-_QI = np.uint64(pow(int(_Q), -1, 1 << 64))
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK_BYTES = 1_000_000
@@ -30,23 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(p)
-        if size > 4 * CHUNK_BYTES:
-            return have
-        _powers[int(base)] = have
-    return have
-
-
 def chunks(column: pa.Array):
     """Yields (first row, bytes, offsets) of runs of whole rows, CHUNK_BYTES or one row each; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -80,32 +63,68 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_TAIL = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+LONG_SPAN = 4096
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place of data the eight bytes from there on as one little-endian number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A uint64 hash of data[s:e] for every span; equal bytes give equal hashes wherever they lie."""
+    length = ends - starts
+    eight = eights(data)
     with np.errstate(over="ignore"):
-        c = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, len(data))[: len(data)], out=c[1:])
-        return mix((c[ends] - c[starts]) * powers(_PI, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+        h = length.astype(np.uint64) * _STEP + np.uint64(seed * 0x2545F4914F6CDD1D & (2**64 - 1))
+        live, at, left = slice(None), starts, length
+        long = length > LONG_SPAN
+        if long.any():
+            live = np.flatnonzero(~long)
+            at, left = starts[live], length[live]
+            raw = data.tobytes()
+            for i in np.flatnonzero(long):
+                h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+        while len(at):
+            h[live] = mix(h[live] ^ (eight[at] & _TAIL[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            live = more if isinstance(live, slice) else live[more]
+            at, left = at[more] + 8, left[more] - 8
+    return h
+
+
+def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what a and b stand for, one after the other."""
+    with np.errstate(over="ignore"):
+        return mix(a * _STEP + b)
 
 
-def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of words[i:i+width] for each i that has so many words after it (uint64, length len(words)-width+1)."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        w = mix(words + np.uint64(seed)) if seed else words
-        c = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(w * powers(_Q, len(words))[: len(words)], out=c[1:])
-        return mix((c[width:] - c[:n]) * powers(_QI, n)[:n] + np.uint64(width))
-
-
-def sequence_hash(words: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of each document's whole word sequence, given the index of every document's first word."""
-    with np.errstate(over="ignore"):
-        c = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(mix(words + np.uint64(seed)) * powers(_Q, len(words))[: len(words)], out=c[1:])
-        return mix((c[first[1:]] - c[first[:-1]]) * powers(_QI, len(words) + 1)[first[:-1]] + (first[1:] - first[:-1]).astype(np.uint64))
+    out, done, power, size = None, 0, words, 1
+    while True:
+        if width & size:
+            out = power[:n] if out is None else join_hashes(out, power[done : done + n])
+            done += size
+        if done == width:
+            return out if width > 1 else mix(out)
+        power = join_hashes(power[:-size], power[size:])
+        size *= 2
+
+
+def text_digests(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """uint64 [documents, 2]: the BLAKE2b digest of each document's words, joined by one space."""
+    raw = data.tobytes()
+    ends = off.tolist()
+    out = b"".join(hashlib.blake2b(b" ".join(raw[s:e].split()), digest_size=16).digest() for s, e in zip(ends[:-1], ends[1:], strict=True))
+    return np.frombuffer(out, "<u8").reshape(-1, 2)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -8,8 +8,8 @@ are decoded side by side. A checksum guards each block and the header.
 
 Layout, little-endian::
 
-    "TRNS1\\0\\0\\0"  u32 header bytes, u32 crc32 of the header; header (zlib): JSON with the counts and the lengths of
-    the parts; then parts: doc ids i64 and null flags u8, document lengths u32, symbols u16, frequencies u32,
+    "TRNS2\\0\\0\\0"  u32 header bytes, u32 crc32 of the header; header (zlib): JSON with the counts and the lengths of
+    the parts; then parts: doc ids i64 and null flags u8, document lengths u32, symbols u32, frequencies u32,
     states u64 [blocks, checkpoints, LANES], places u32 [blocks, checkpoints], block crc32 u32, stream lengths u32, streams u32
 """
 
@@ -28,13 +28,15 @@ from tessera.llm import kernels as K
 from tessera.llm.common import batch_from, executor_file, text_column
 from tessera.llm.segments import ByteLevel, once
 
-MAGIC = b"TRNS1\0\0\0"
+MAGIC = b"TRNS2\0\0\0"
 LANES, CHECK = 32, 128
 BLOCK = LANES * CHECK * 4
 SCALE = 18
 LOW = np.uint64(1 << 31)
 SEGMENT_IDS = 1 << 21
 MANIFEST_ROWS = 1_000_000
+#: Bytes of text for a task.
+PART_BYTES = 64_000_000
 
 
 class CorruptSegment(ValueError):
@@ -101,7 +103,7 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, doc_ids: list) -> bytes:
     else:
         f, states, place, crcs, per_block, stream = np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)
     parts = [
-        np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.asarray(lengths).astype("<u4"), symbols.astype("<u2"), f.astype("<u4"),
+        np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.asarray(lengths).astype("<u4"), symbols.astype("<u4"), f.astype("<u4"),
         states.astype("<u8"), place.astype("<u4"), crcs.astype("<u4"), per_block.astype("<u4"), stream.astype("<u4"),
     ]
     raw = [zlib.compress(p.tobytes(), 1) if i < 5 else p.tobytes() for i, p in enumerate(parts)]
@@ -127,7 +129,7 @@ def read_header(data: bytes) -> tuple[dict, list[memoryview]]:
 def decode_ids(data: bytes, blocks: slice | None = None) -> tuple[np.ndarray, np.ndarray, list]:
     """ids, document lengths and document ids of a segment; with blocks, the ids of those blocks only."""
     info, parts = read_header(data)
-    doc, null, lengths, symbols, f = (np.frombuffer(zlib.decompress(p), t) for p, t in zip(parts[:5], ("<i8", "u1", "<u4", "<u2", "<u4"), strict=True))
+    doc, null, lengths, symbols, f = (np.frombuffer(zlib.decompress(p), t) for p, t in zip(parts[:5], ("<i8", "u1", "<u4", "<u4", "<u4"), strict=True))
     doc_ids = [None if z else int(d) for d, z in zip(doc, null, strict=True)]
     n, count, lanes, check, scale = info["ids"], info["blocks"], info["lanes"], info["check"], info["scale"]
     if not n:
@@ -142,7 +144,7 @@ def decode_ids(data: bytes, blocks: slice | None = None) -> tuple[np.ndarray, np
     at = (place[which] + base[which, None]).ravel()
     slot = np.repeat(np.arange(len(f)), f)
     f64, cum = f.astype(np.uint64), np.concatenate(([0], np.cumsum(f.astype(np.uint64))[:-1])).astype(np.uint64)
-    out = np.empty((len(x), check, lanes), np.uint16)
+    out = np.empty((len(x), check, lanes), np.uint32)
     mask, stream = np.uint64((1 << scale) - 1), np.concatenate((stream, np.zeros(lanes, np.uint32))).astype(np.uint64)
     for t in range(check):
         low = x & mask
@@ -166,7 +168,9 @@ def decode_ids(data: bytes, blocks: slice | None = None) -> tuple[np.ndarray, np
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Encodes every whole text and writes segments to path in ascending doc_id order (null ids first).
 
-    Null and empty texts give the end id alone. Each output row is one segment: part, seg, n_ids, n_docs, data.
+    Null and empty texts give the end id alone; an empty table gives no segment. Repeated rows are documents of their own, and rows
+    of one id follow each other in the order of their texts. A very long text is one document of one segment. Only doc_id
+    and text are read, so other columns may have any names. Each output row is one segment: part, seg, n_ids, n_docs, data.
     Spark's committer publishes the rows of finished tasks only, so a lost executor leaves no half segment.
     """
     executor_file(vocabulary)
@@ -186,7 +190,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -
             for row, data, off in K.chunks(b.column(1)):
                 ids, count = tok.encode_chunk(data, off)
                 ends = np.cumsum(count)
-                held.append(np.insert(ids, ends, np.uint16(end_id)))
+                held.append(np.insert(ids, ends, ids.dtype.type(end_id)))
                 lengths.append(count + 1)
                 names += b.column(0)[row : row + len(count)].to_pylist()
                 size += len(held[-1])
@@ -197,8 +201,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -
             yield flush()
 
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = text_column(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    text = text_column(docs)
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // PART_BYTES + 1)
+    # rows that share an id, or have none, are split by how their texts begin, which agrees with the order of the texts
+    begin = F.substring("text", 1, 24).asc_nulls_first()
+    ordered = text.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), begin).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ordered.mapInArrow(run, "part int, seg int, n_ids long, n_docs long, data binary").write.mode("overwrite").parquet(path)
 
 

@@ -7,6 +7,7 @@ library and looks up the rest. The cache is bounded by a count and started anew
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -14,6 +15,8 @@ import numpy as np
 from tessera.llm import kernels as K
 
 CACHE_SEGMENTS = 250_000
+
+
 class SegmentCache:
     """segment -> packed ids; encode_new(list of segments) gives the packed ids of new ones."""
 
@@ -59,12 +62,14 @@ class ByteLevel:
     digits end before a comma or stop. Where that is not so (white space in a row or outside ASCII, a comma or
     stop after anything but a letter or digit, added tokens) the whole text goes to the library.
 
-    Cut segments are looked up by a 64-bit hash in a table of fixed size, and a hit must agree in that hash and
-    in its first eight bytes; segments not found are encoded by the library, many at a time with line feeds between.
+    Cut segments of up to sixteen bytes are looked up in a table of fixed size, where a hit agrees in length and in all
+    its bytes (the first eight and the last eight). Longer ones are known by a digest of 128 bits. Segments not
+    found are encoded by the library, many at a time with line feeds between.
     """
 
     SLOTS = 1 << 20
     POOL_IDS = 1 << 23
+    LONG_KNOWN = 200_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,13 +77,16 @@ class ByteLevel:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.kind = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.feed = self._ids("\n")
         self._forget()
 
     def _forget(self) -> None:
-        self.hash, self.head = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.head, self.tail = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.size = np.zeros(self.SLOTS, np.uint8)  # bytes of the segment; 0: an empty slot
         self.at, self.len = np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int64)
-        self.pool, self.used = np.zeros(self.POOL_IDS, np.uint16), 0
+        self.pool, self.used = np.zeros(self.POOL_IDS, self.kind), 0
+        self.long: dict[bytes, tuple[int, int]] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -110,18 +118,36 @@ class ByteLevel:
 
     def encode_new(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of segments without inner white space, one after another, and their counts."""
-        ids = np.array(self.tok.encode_batch_fast(["\n".join(segments)], add_special_tokens=False)[0].ids, np.uint16)
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(segments)], add_special_tokens=False)[0].ids, self.kind)
         feeds = np.flatnonzero(ids == self.feed[0])
         if len(self.feed) != 1 or len(feeds) != len(segments) - 1:
-            each = [np.array(self._ids(s), np.uint16) for s in segments]
+            each = [np.array(self._ids(s), self.kind) for s in segments]
             return np.concatenate(each), np.array([len(e) for e in each])
         return np.delete(ids, feeds), np.diff(np.concatenate(([-1], feeds, [len(ids)]))) - 1
 
+    def _encode_all(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all given segments in some order, and of each where its ids begin there and how many it has."""
+        text = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids, count = [np.zeros(0, self.kind)], np.zeros(len(text), np.int64)
+        simple = np.flatnonzero(~whole)
+        order = np.concatenate((simple, np.flatnonzero(whole)))
+        for i in range(0, len(simple), 16384):
+            got, counts = self.encode_new([text[k] for k in simple[i : i + 16384]])
+            ids.append(got)
+            count[simple[i : i + 16384]] = counts
+        for k in np.flatnonzero(whole):
+            got = self._ids(text[k])
+            ids.append(np.array(got, self.kind))
+            count[k] = len(got)
+        place = np.zeros(len(text), np.int64)
+        place[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(ids), place, count
+
     def encode_chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunk's documents one after another (uint16), and the number of each document."""
+        """All ids of the chunk's documents one after another, and the number of each document."""
         docs, n = len(off) - 1, len(data)
         if not n:
-            return np.zeros(0, np.uint16), np.zeros(docs, np.int64)
+            return np.zeros(0, self.kind), np.zeros(docs, np.int64)
         raw = data.tobytes()
         bad = self._uneven(data, off, raw)
         cut = _CUT_BEFORE[data]
@@ -132,51 +158,58 @@ class ByteLevel:
             cut[off[d] + 1 : off[d + 1]] = False
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        h = K.span_hashes(data, starts, ends)
-        padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        head = np.ndarray((n,), "<u8", padded, strides=(1,))[starts]
-        head &= _HEAD_MASK[np.minimum(ends - starts, 8)]
-        slot = (h >> np.uint64(44)).astype(np.int64) % self.SLOTS
-        hit = (self.hash[slot] == h) & (self.head[slot] == head) & (self.len[slot] > 0)
-        miss = np.flatnonzero(~hit)
+        length = ends - starts
+        eight = K.eights(data)
+        head = eight[starts] & _HEAD_MASK[np.minimum(length, 8)]
+        tail = np.where(length > 8, eight[np.maximum(ends - 8, 0)], 0)
+        short = length <= 16
+        with np.errstate(over="ignore"):
+            slot = (K.mix(head ^ K.mix(tail + length.astype(np.uint64))) % np.uint64(self.SLOTS)).astype(np.int64)
+        hit = short & (self.size[slot] == np.minimum(length, 255)) & (self.head[slot] == head) & (self.tail[slot] == tail)
         at, size = self.at[slot], self.len[slot]
-        if len(miss):
-            doc = np.searchsorted(off, starts[miss], side="right") - 1
-            _, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
-            new = miss[first]
-            text = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            whole = bad[doc[first]] | (data[starts[new]] == 0x0A)
-            ids, count = [], np.zeros(len(new), np.int64)
-            simple = np.flatnonzero(~whole)
-            order = np.concatenate((simple, np.flatnonzero(whole)))
-            for i in range(0, len(simple), 16384):
-                got, counts = self.encode_new([text[k] for k in simple[i : i + 16384]])
-                ids.append(got)
-                count[simple[i : i + 16384]] = counts
-            for k in np.flatnonzero(whole):
-                got = self._ids(text[k])
-                ids.append(np.array(got, np.uint16))
-                count[k] = len(got)
-            ids = np.concatenate(ids)
-            if self.used + len(ids) > len(self.pool):
-                keep = self.pool[: self.used]
-                table = np.concatenate((keep, ids))
-                base, renew = self.used, True
+        # one representative of each segment that is not known
+        miss = np.flatnonzero(short & ~hit)
+        order = miss[np.lexsort((tail[miss], head[miss], length[miss]))]
+        differ = (np.diff(length[order]) != 0) | (np.diff(head[order].view(np.int64)) != 0) | (np.diff(tail[order].view(np.int64)) != 0)
+        first = np.concatenate(([True], differ)) if len(order) else np.zeros(0, bool)
+        which = np.cumsum(first) - 1
+        new, names, waits = order[first].tolist(), {}, []
+        for i in np.flatnonzero(~short).tolist():
+            name = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=16).digest()
+            known = self.long.get(name)
+            if known:
+                at[i], size[i] = known
             else:
+                if name not in names:
+                    names[name] = len(new)
+                    new.append(i)
+                waits.append((i, names[name]))
+        table = self.pool
+        if new:
+            new = np.array(new)
+            whole = bad[np.searchsorted(off, starts[new], side="right") - 1] | (data[starts[new]] == 0x0A)
+            ids, place, count = self._encode_all(raw, starts[new], ends[new], whole)
+            fits = self.used + len(ids) <= len(self.pool) and len(self.long) + len(names) <= self.LONG_KNOWN
+            if fits:
                 self.pool[self.used : self.used + len(ids)] = ids
-                table, base, renew = self.pool, self.used, False
+                place += self.used
                 self.used += len(ids)
-            place = np.zeros(len(new), np.int64)
-            place[order] = base + np.concatenate(([0], np.cumsum(count[order])[:-1]))
-            at[miss], size[miss] = place[which], count[which]
-            if renew:
-                self._forget()
             else:
-                k, last = np.unique(slot[new][::-1], return_index=True)  # of new segments that meet in a slot one is kept
-                last = len(new) - 1 - last
-                self.hash[k], self.head[k], self.at[k], self.len[k] = h[new[last]], head[new[last]], place[last], count[last]
-        else:
-            table = self.pool
+                place += self.used
+                table = np.concatenate((self.pool[: self.used], ids))
+            at[order], size[order] = place[which], count[which]
+            for i, k in waits:
+                at[i], size[i] = place[k], count[k]
+            if fits:
+                kept = np.arange(len(order[first]))
+                spots, last = np.unique(slot[new[kept]][::-1], return_index=True)  # of new segments that meet in a slot one is kept
+                last = len(kept) - 1 - last
+                own = new[last]
+                self.head[spots], self.tail[spots], self.size[spots] = head[own], tail[own], length[own]
+                self.at[spots], self.len[spots] = place[last], count[last]
+                self.long |= {name: (int(place[k]), int(count[k])) for name, k in names.items()}
+            else:
+                self._forget()
         ends_of = np.cumsum(size)
         total = int(ends_of[-1])
         out = table[np.repeat(at - ends_of + size, size) + np.arange(total)]

@@ -1,15 +1,19 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
 Every word of a document begins a suffix. Suffixes are split into groups by a prefix of variable
-length, and each group, small enough for one task, becomes one subtree of the generalised suffix tree; its internal nodes
-at a depth of ``window`` words or more are repeats, and the words under them are removed.
+length, each group small enough for one task, which builds the group's part of the generalised suffix tree: its suffixes are sorted by
+their words, and what neighbours share (their longest common prefix) gives the internal nodes. Words
+under an internal node at a depth of ``window`` words or more occur elsewhere and go.
 
 The prefix of a suffix runs to the end of its anchor: the 8-word sequence with the smallest hash
 among those that begin in its first window. It therefore has 8 to ``window`` words, equal windows have equal
 prefixes, and only about one position in 14 is an anchor of anything. A first pass counts anchors, and drops
 all suffixes whose anchor occurs once in the corpus, whose subtree would be a single leaf. Where an anchor
 is so frequent that its subtree would not fit a task, the prefix is lengthened to the
-full window. Only a path's fingerprint travels, packed, and equal ones of a bucket of documents once.
+full window. Neighbouring suffixes with one anchor travel together, as one run of words; equal runs of a bucket of documents travel once.
+
+Sorting, common prefixes and nodes are of the words themselves; hashes only choose groups. What comes back to the
+documents are the 128-bit hashes of the deep windows, and copies of whole texts are known by a 128-bit digest.
 
 Passes over documents are bucketed by a hash of the row, so one bucket's documents, its part of the
 anchor table and its part of the deep nodes meet in one task of bounded size.
@@ -32,8 +36,7 @@ ANCHOR = 8
 HEAVY = 20_000
 BUCKET_BYTES = 12_000_000
 
-_CENSUS = np.dtype([("key", "<u8"), ("text", "<u8"), ("bucket", "<i4"), ("kind", "<i4")])
-_LEAF = np.dtype([("prefix", "<u8"), ("path", "<u8"), ("bucket", "<i4"), ("count", "<i4")])
+_CENSUS = np.dtype([("key", "<u8"), ("text", "<u8"), ("other", "<u8"), ("bucket", "<i4"), ("kind", "<i4")])
 ONE, MANY, WHOLE = 0, 1, 2  # an anchor that a text has once, one that it has more often, a whole text
 
 
@@ -55,7 +58,9 @@ class Words:
         self.hash = K.span_hashes(data, self.starts, self.ends)
         self.window = window
         n = np.diff(self.first)
-        self.text1, self.text2 = (K.sequence_hash(self.hash, self.first, s) for s in (1, 2))
+        digest = K.text_digests(data, off)
+        self.text1, self.text2 = digest[:, 0], digest[:, 1]
+        self.data = data
         w = max(0, len(self.hash) - window + 1)
         self.doc = np.repeat(np.arange(len(n)), n)
         #: the windows that lie in one document
@@ -77,20 +82,15 @@ class Words:
         return at, self.gram[at]
 
     def paths(self) -> np.ndarray:
-        return K.window_hashes(self.hash, self.window)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-
-    def prefixes(self, keep: np.ndarray, heavy: np.ndarray, paths: np.ndarray) -> np.ndarray:
-        """Hash of each kept window's prefix: its words through the first occurrence of its anchor; all its words where heavy."""
-        i, low = self.at[keep], self.low[keep]
-        length = np.full(len(i), self.window)
-        for o in range(self.window - ANCHOR, -1, -1):
-            length[self.gram[i + o] == low] = o + ANCHOR
-        with np.errstate(over="ignore"):
-            c = np.zeros(len(self.hash) + 1, np.uint64)
-            np.cumsum(self.hash * K.powers(K._Q, len(self.hash))[: len(self.hash)], out=c[1:])
-            out = K.mix((c[i + length] - c[i]) * K.powers(K._QI, len(self.hash))[i] + length.astype(np.uint64))
-        out[heavy] = K.mix(paths[keep][heavy] + np.uint64(1))
-        return out
+        """[windows, 2]: 128 bits of hash of each window."""
+        return window_names(self.data, self.starts, self.ends, self.hash, self.window, self.at)
+
+
+def window_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
+    if not len(at):
+        return np.zeros((0, 2), np.uint64)
+    other = K.span_hashes(data, starts, ends, seed=1)
+    return np.stack([K.window_hashes(w, window)[at] for w in (words, other)], axis=1)
 
 
 def _packed(rows: np.ndarray, part: np.ndarray, schema: pa.Schema):
@@ -129,7 +129,7 @@ def _census(docs: DataFrame, window: int, n: int) -> DataFrame:
                 i = np.flatnonzero(new)
                 size = np.diff(np.append(i, len(d)))
                 rec = np.zeros(len(i), _CENSUS)
-                rec["key"], rec["text"], rec["bucket"], rec["kind"] = key[i], w.text1[d[i]], own[d[i]], np.where(size > 1, MANY, ONE)
+                rec["key"], rec["text"], rec["other"], rec["bucket"], rec["kind"] = key[i], w.text1[d[i]], w.text2[d[i]], own[d[i]], np.where(size > 1, MANY, ONE)
                 long = np.flatnonzero(np.diff(w.first) >= window)
                 who = np.zeros(len(long), _CENSUS)
                 who["key"], who["text"], who["bucket"], who["kind"] = w.text1[long], w.text2[long], own[long], WHOLE
@@ -137,9 +137,9 @@ def _census(docs: DataFrame, window: int, n: int) -> DataFrame:
             out = np.concatenate(out) if out else np.zeros(0, _CENSUS)
             # a key that this batch already shows to be repeated need only be told once to each bucket
             many = np.zeros(len(out), bool)
-            order = np.lexsort((out["text"], out["key"]))
-            k, t = out["key"][order], out["text"][order]
-            differ = np.flatnonzero((k[1:] == k[:-1]) & (t[1:] != t[:-1]))
+            order = np.lexsort((out["other"], out["text"], out["key"]))
+            k, t, o = out["key"][order], out["text"][order], out["other"][order]
+            differ = np.flatnonzero((k[1:] == k[:-1]) & ((t[1:] != t[:-1]) | (o[1:] != o[:-1])))
             many[order] = np.isin(k, k[differ])
             many &= out["kind"] != WHOLE
             rest = out[many]
@@ -147,7 +147,7 @@ def _census(docs: DataFrame, window: int, n: int) -> DataFrame:
                 rest["kind"] = MANY
                 _, i, size = np.unique(rest[["key", "bucket"]], return_index=True, return_counts=True)
                 rest = rest[i]
-                rest["text"] = size  # a repeated key's texts no longer matter, only how many there are
+                rest["text"], rest["other"] = size, 0  # a repeated key's texts no longer matter, only how many there are
                 out = np.concatenate((out[~many], rest))
             yield _packed(out, (out["key"] % np.uint64(n)).astype(np.int32), _PART)
 
@@ -167,7 +167,7 @@ def _census(docs: DataFrame, window: int, n: int) -> DataFrame:
         groups = int(group[-1]) + 1 if len(r) else 0
         many = np.bincount(group, r["kind"] == MANY, groups) > 0
         first = np.flatnonzero(new)
-        differ = np.bincount(group, r["text"] != r["text"][first][group] if len(r) else None, groups) > 0
+        differ = np.bincount(group, (r["text"] != r["text"][first][group]) | (r["other"] != r["other"][first][group]) if len(r) else None, groups) > 0
         weight = np.bincount(group, np.where(r["kind"] != MANY, 1, np.where(r["text"] < (1 << 30), r["text"], 2)).astype(float), groups)
         keep = r[(many | differ)[group]] if len(r) else r
         keep["text"] = (weight[group] > HEAVY)[(many | differ)[group]] if len(r) else 0
@@ -179,54 +179,186 @@ def _census(docs: DataFrame, window: int, n: int) -> DataFrame:
     return counted.groupBy("part").applyInArrow(repeated, _PART_SQL)
 
 
-def subtree(leaves: np.ndarray) -> np.ndarray:
-    """The leaves under deep internal nodes of the subtrees that the given leaves make up.
+_RUNS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("starts", pa.binary()), ("count", pa.binary()), ("body", pa.binary())])
+_RUNS_SQL = "part int, bucket int, starts binary, count binary, body binary"
+
+
+def _runs(w: Words, raw: bytes, keep: np.ndarray, heavy: np.ndarray, reach: int, context: bool):
+    """(prefix, body, suffixes in it) of each run of neighbouring kept suffixes with one anchor.
 
-    Leaves in order of prefix, then path, are the subtrees' leaves from left to right. Two neighbours
-    have their lowest common ancestor at the depth of what they share: the window if their paths are equal,
-    less otherwise. A node of window depth is internal if it has two leaves, or one leaf that stands for several suffixes.
+    body: its words joined by one space, ``reach`` of the last suffix (as far as the document goes), with context after the word before it or a lone CR.
+    Suffixes of heavy anchors are runs of their own, and the prefix is their window.
     """
-    leaves = leaves[np.lexsort((leaves["path"], leaves["prefix"]))]
-    if not len(leaves):
-        return leaves
-    deep = (leaves["prefix"][1:] == leaves["prefix"][:-1]) & (leaves["path"][1:] == leaves["path"][:-1])
-    internal = leaves["count"] > 1
-    internal[1:] |= deep
-    internal[:-1] |= deep
-    return leaves[internal]
+    at, low = w.at[keep], w.low[keep]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]) | heavy[1:] | heavy[:-1]
+    first = np.flatnonzero(new)
+    starts = np.diff(np.append(first, len(at)))
+    prefix = low[first].copy()
+    own = heavy[first]
+    if own.any():
+        prefix[own] = K.window_hashes(w.hash, w.window)[at[first[own]]]
+    begin = at[first]
+    doc = w.doc[begin]
+    end = np.minimum(begin + starts - 1 + reach, w.first[doc + 1])
+    lead = begin > w.first[doc]
+    left = w.starts[begin - (lead & context)]
+    for p, n, s, e, l in zip(prefix.tolist(), starts.tolist(), left.tolist(), w.ends[end - 1].tolist(), lead.tolist(), strict=True):
+        body = b" ".join(raw[s:e].split())
+        yield p, (b"\r " + body if context and not l else body), n
+
+
+class Subtree:
+    """The suffixes of some runs in order of their words, and what each shares with the one before it."""
+
+    def __init__(self, lines: list[bytes], starts: np.ndarray, count: np.ndarray, context: bool = False):
+        """lines: the words of each run, joined by one space; starts: suffixes in it; with context a run's first word stands before its first suffix."""
+        self.words = b" ".join(lines).split(b" ") if lines else []
+        size = np.array([x.count(b" ") + 1 for x in lines], np.int64)
+        names = sorted(set(self.words))
+        place = {x: i for i, x in enumerate(names)}
+        first = np.cumsum(size) - size
+        self.end = np.repeat(first + size, size)
+        self.rank = [np.array(list(map(place.__getitem__, self.words)), np.int64)]
+        while (1 << len(self.rank) - 1) < int(size.max(initial=0)):
+            self.rank.append(self._doubled(self.rank[-1], 1 << len(self.rank) - 1))
+        run = np.repeat(np.arange(len(lines)), starts)
+        leaf = first[run] + context + np.arange(len(run)) - np.repeat(np.cumsum(starts) - starts, starts)
+        order = np.argsort(self.rank[-1][leaf], kind="stable") if len(leaf) else np.zeros(0, np.int64)
+        self.leaf, self.run, self.weight = leaf[order], run[order], count[run[order]]
+        self.shared = np.zeros(len(order), np.int64)  # longest common prefix with the suffix before it
+        if len(order):
+            self.shared[1:] = self._common(self.leaf[:-1], self.leaf[1:])
+
+    def _doubled(self, rank: np.ndarray, step: int) -> np.ndarray:
+        """Ranks of twice as many words from ranks of ``step`` words; what a run's end cuts short comes first."""
+        at = np.arange(len(rank)) + step
+        after = np.where(at < self.end, rank[np.minimum(at, len(rank) - 1)] + 1, 0)
+        return np.unique(rank * (int(after.max()) + 1) + after, return_inverse=True)[1]
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        end_a, end_b, last, out = self.end[a], self.end[b], len(self.end) - 1, np.zeros(len(a), np.int64)
+        for k in range(len(self.rank) - 1, -1, -1):
+            i, j = np.minimum(a, last), np.minimum(b, last)
+            same = (a < end_a) & (b < end_b) & (self.rank[k][i] == self.rank[k][j])
+            step = np.where(same, np.minimum(1 << k, end_a - a), 0)
+            a, b, out = a + step, b + step, out + step
+        return out
 
+    def deep(self, depth: int) -> np.ndarray:
+        """For each suffix the number of the internal node of this depth that it is under, or -1."""
+        node = np.cumsum(self.shared < depth)
+        if not len(node):
+            return node
+        full = np.bincount(node, self.weight) > 1
+        return np.where(full[node], node, -1)
+
+    def maximal(self, window: int, reach: int):
+        """(words, depth, occurrences) of the internal nodes of depth window to reach whose suffixes don't all follow the same word."""
+        shared = np.minimum(self.shared, reach)
+        left = np.array([self.words[i - 1] for i in self.leaf], object)
+        open_: list[list[int]] = []  # depth and first suffix of nodes that may go on
+        for i, d in enumerate([*shared[1:].tolist(), 0]):  # d: what suffix i shares with the next
+            # a suffix that stands for several occurrences is a node by itself
+            own = min(reach, int(self.end[self.leaf[i]] - self.leaf[i]))
+            if self.weight[i] > 1 and own >= window and own > max(d, int(shared[i]) if i else 0):
+                open_.append([own, i])
+            begin = i
+            while open_ and open_[-1][0] > d:
+                depth, begin = open_.pop()
+                before = left[begin : i + 1]
+                if depth >= window and (len(set(before)) > 1 or before[0] == b"\r"):
+                    yield b" ".join(self.words[self.leaf[i] : self.leaf[i] + depth]), depth, int(self.weight[begin : i + 1].sum())
+            if d >= window and (not open_ or open_[-1][0] < d):
+                open_.append([d, begin])
+
+
+def _read_runs(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, starts, counts and buckets of all runs of a group."""
+    lines, bucket = [], []
+    for body, b in zip(table.column("body").to_pylist(), table.column("bucket").to_pylist(), strict=True):
+        own = body.split(b"\n")
+        lines += own
+        bucket.append(np.full(len(own), b))
+    get = lambda c: np.concatenate([np.frombuffer(x, "<i4") for x in table.column(c).to_pylist()] or [np.zeros(0, "<i4")]).astype(np.int64)
+    return lines, get("starts"), get("count"), np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
+
+
+def _suffixes(docs: DataFrame, census: DataFrame, window: int, n: int, reach: int, context: bool) -> DataFrame:
+    """The runs of suffixes whose anchor occurs again, packed by the group (part) and the bucket that they come from."""
 
-def _deep_nodes(docs: DataFrame, census: DataFrame, window: int, n: int) -> DataFrame:
     def leaves(texts: pa.Table, known: pa.Table) -> pa.Table:
         r = _records(known.column("data"), _CENSUS)
         r = r[r["kind"] != WHOLE]
         order = np.argsort(r["key"], kind="stable")
         key, heavy = r["key"][order], r["text"][order] > 0
-        out = [np.zeros(0, _LEAF)]
-        if len(key):
-            bucket = texts.column("bucket")[0].as_py() if texts.num_rows else 0
+        found: dict[tuple, int] = {}
+        if len(key) and texts.num_rows:
             for _, data, off in K.chunks(texts.column("text")):
                 w = Words(data, off, window)
                 if not len(w.at):
                     continue
                 i = np.minimum(np.searchsorted(key, w.low), len(key) - 1)
                 keep = np.flatnonzero(key[i] == w.low)
-                paths = w.paths()
-                rec = np.zeros(len(keep), _LEAF)
-                rec["prefix"], rec["path"], rec["bucket"], rec["count"] = w.prefixes(keep, heavy[i[keep]], paths), paths[keep], bucket, 1
-                out.append(rec)
-        out = np.concatenate(out)
-        _, i, size = np.unique(out["path"], return_index=True, return_counts=True)
-        out = out[i]
-        out["count"] = size
-        return pa.Table.from_batches([_packed(out, (out["prefix"] % np.uint64(n)).astype(np.int32), _PART)])
+                for run in _runs(w, data.tobytes(), keep, heavy[i[keep]], reach, context):
+                    found[run] = found.get(run, 0) + 1
+        groups: dict[int, list] = {}
+        for (prefix, body, starts), count in found.items():
+            groups.setdefault(prefix % n, []).append((body, starts, count))
+        bucket = texts.column("bucket")[0].as_py() if texts.num_rows else 0
+        pack = lambda rows, k: np.array([x[k] for x in rows], "<i4").tobytes()
+        cols = [list(groups), [bucket] * len(groups), [pack(v, 1) for v in groups.values()], [pack(v, 2) for v in groups.values()], [b"\n".join(x[0] for x in v) for v in groups.values()]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, _RUNS, strict=True)], schema=_RUNS)
+
+    return docs.groupBy("bucket").cogroup(census.groupBy("part")).applyInArrow(leaves, _RUNS_SQL)
+
+
+def _deep_windows(runs: DataFrame, window: int) -> DataFrame:
+    """(part, data): for each bucket the 128-bit hashes of those of its windows that are under deep internal nodes."""
 
     def deep(table: pa.Table) -> pa.Table:
-        nodes = subtree(_records(table.column("data"), _LEAF))
-        return pa.Table.from_batches([_packed(nodes["path"], nodes["bucket"], _PART)])
+        lines, starts, count, bucket = _read_runs(table)
+        tree = Subtree(lines, starts, count)
+        node = tree.deep(window)
+        at = np.flatnonzero(node >= 0)
+        _, one = np.unique(node[at] * (int(bucket.max(initial=0)) + 1) + bucket[tree.run[at]], return_index=True)
+        at = at[one]
+        data = np.frombuffer(b" ".join(lines), np.uint8)
+        s, e, _ = K.word_bounds(data, np.array([0, len(data)]))
+        names = window_names(data, s, e, K.span_hashes(data, s, e), window, tree.leaf[at])
+        return pa.Table.from_batches([_packed(names, bucket[tree.run[at]].astype(np.int32), _PART)])
 
-    found = docs.groupBy("bucket").cogroup(census.groupBy("part")).applyInArrow(leaves, _PART_SQL)
-    return found.groupBy("part").applyInArrow(deep, _PART_SQL)
+    return runs.groupBy("part").applyInArrow(deep, _PART_SQL)
+
+
+def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES + 1)
+    return text.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
+
+
+def maximal_repeats(docs: DataFrame, window: int = 35, reach: int = 1000) -> DataFrame:
+    """words, depth, occurrences of every maximal repeat of window words or more among the distinct texts of docs.
+
+    A repeat is a word sequence that occurs at two places or more, of one text or of several; it is maximal if its occurrences neither
+    all follow the same word nor all precede the same word. It is an internal node of the suffix tree. Repeats of more than ``reach`` words are
+    given by their parts of that length that begin at a maximal repeat's start. Each occurrence counts, but copies of one text count once.
+    """
+    if window < ANCHOR or reach < window:
+        raise ValueError(f"a window has {ANCHOR} words or more, and reach is no less")
+    # one row a text, known by its digest, without shuffling texts more than once
+    one = docs.where(F.col("text").isNotNull()).select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["text"])
+    text, n = _bucketed(one)
+    runs = _suffixes(text, cut(_census(text, window, n)), window, n, reach, context=True)
+    schema = pa.schema([("words", pa.string()), ("depth", pa.int64()), ("occurrences", pa.int64())])
+
+    def nodes(table: pa.Table) -> pa.Table:
+        lines, starts, count, _ = _read_runs(table)
+        rows = list(Subtree(lines, starts, count, context=True).maximal(window, reach))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema, strict=True)], schema=schema) if not rows else pa.table([pa.array([r[0].decode("utf-8", "replace") for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], schema=schema)
+
+    return runs.groupBy("part").applyInArrow(nodes, "words string, depth long, occurrences long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> DataFrame:
@@ -234,17 +366,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> D
 
     A word goes if a window of so many consecutive words of its document that covers it has a word
     sequence that also starts elsewhere, in this or another document. Null texts have no words. Rows with the same id, or a
-    null one, are documents of their own.
+    null one, are documents of their own. Only doc_id and text are read, so other columns may have any names. An
+    empty table gives an empty result; very long texts are handled by megabytes of words, a document being in one task.
     """
     if window < ANCHOR:
         raise ValueError(f"a window has {ANCHOR} words or more")
-    spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES + 1)
-    text = text.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    text, n = _bucketed(docs)
     census = cut(_census(text, window, n))
-    nodes = _deep_nodes(text, census, window, n)
+    nodes = _deep_windows(_suffixes(text, census, window, n, window, context=False), window)
     copies = census.select("part", "data", F.lit(0).alias("what"))
     marks = copies.union(nodes.select("part", "data", F.lit(1).alias("what")))
     last = ("kept_sha256" if digest else "kept", pa.string())
@@ -256,8 +385,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> D
         whole = [np.frombuffer(data[i].as_py(), _CENSUS) for i in np.flatnonzero(what == 0)]
         whole = np.concatenate([x[x["kind"] == WHOLE] for x in whole]) if whole else np.zeros(0, _CENSUS)
         whole = set(zip(whole["key"].tolist(), whole["text"].tolist(), strict=True))
-        path = [np.frombuffer(data[i].as_py(), "<u8") for i in np.flatnonzero(what == 1)]
-        path = np.unique(np.concatenate(path)) if path else np.zeros(0, "<u8")
+        path = [np.frombuffer(data[i].as_py(), "<u8").reshape(-1, 2) for i in np.flatnonzero(what == 1)]
+        path = np.concatenate(path) if path else np.zeros((0, 2), "<u8")
+        path = path[np.lexsort((path[:, 1], path[:, 0]))]
         columns: list = [[], [], [], []]
         for row, data, off in K.chunks(texts.column("text")):
             w = Words(data, off, window)
@@ -265,7 +395,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> D
             gone = np.zeros(len(w.hash) + 1, np.int64)
             if len(w.at) and len(path):
                 p = w.paths()
-                hit = w.at[path[np.minimum(np.searchsorted(path, p), len(path) - 1)] == p]
+                i = np.searchsorted(path[:, 0], p[:, 0])
+                hit = np.zeros(len(p), bool)
+                while len(live := np.flatnonzero(~hit & (i < len(path)) & (path[np.minimum(i, len(path) - 1), 0] == p[:, 0]))):
+                    hit[live] = path[i[live], 1] == p[live, 1]
+                    i[live] += 1
+                hit = w.at[hit]
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + window, -1)
             gone = np.cumsum(gone[:-1]) > 0

@@ -96,6 +96,31 @@ def test_token_files(spark, tmp_path, local, docs):
         assert sorted(map(tuple, rans.read_tokens(spark, str(tmp_path / name)).collect()), key=lambda r: r[1]) == want
 
 
+THUE = ["".join("ab"[(bin(i).count("1") + turn) % 2] for i in range(1024)) for turn in (0, 1)]
+
+
+def test_words_that_share_polynomial_hashes_are_told_apart(spark, tmp_path):
+    """Thue-Morse words, and word sequences of their pattern, collide under every polynomial modulo 2**64."""
+    tok = ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
+    one = spark.createDataFrame([(i, "zzzzzzzz" + w) for i, w in enumerate(THUE)], "doc_id long, text string").coalesce(1)
+    rans.write_tokens(one, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"))
+    for r in rans.read_tokens(spark, str(tmp_path / "t")).collect():
+        ids = np.array([*tok._ids("zzzzzzzz" + THUE[r.doc_id]), 2], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    head = " ".join(f"h{i}" for i in range(34))
+    last = spark.createDataFrame([(i, f"{head} {w}") for i, w in enumerate(THUE)], "doc_id long, text string")
+    assert [r.n_removed for r in suffixes.remove_repeats(last).collect()] == [0, 0]
+    words = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(THUE)], "doc_id long, text string")
+    for d in (one, words):
+        assert {r.doc_id: r.class_id for r in dartminhash.near_duplicates(d).collect()} == classes_by_brute_force(dict(map(tuple, d.collect())))
+    for d in (last, words):
+        rows = d.collect()
+        want = kept_by_brute_force([r.text for r in rows], 35)
+        assert sorted((r.n_words, r.n_removed, r.kept) for r in suffixes.remove_repeats(d).collect()) == sorted(want)
+    data = np.frombuffer("".join(THUE).encode(), np.uint8)
+    assert len(set(K.span_hashes(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+
+
 # ---- 2
 
 
@@ -350,6 +375,50 @@ def test_repeats_are_those_of_brute_force(docs, local, monkeypatch, heavy):
     assert got == dict(zip(local.doc_id, kept_by_brute_force(local.text, 35), strict=True))
 
 
+def maximal_by_brute_force(texts, least):
+    """{words: occurrences} of the maximal repeats of so many words or more among the distinct texts."""
+    texts = [WORD.findall(t or "") for t in sorted({t for t in texts if t is not None})]
+    places: dict = {}
+    for d, w in enumerate(texts):
+        for i in range(len(w)):
+            for j in range(i + least, len(w) + 1):
+                places.setdefault(tuple(w[i:j]), []).append((d, i, j))
+    out = {}
+    for words, at in places.items():
+        before = [texts[d][i - 1] if i else (d, "^", i) for d, i, _ in at]
+        after = [texts[d][j] if j < len(texts[d]) else (d, "$", i) for d, i, j in at]
+        if len(at) > 1 and len(set(before)) > 1 and len(set(after)) > 1:
+            out[" ".join(words)] = len(at)
+    return out
+
+
+@pytest.mark.parametrize("heavy", [suffixes.HEAVY, 1])
+def test_maximal_repeats_are_those_of_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffixes, "HEAVY", heavy)
+    rng = np.random.default_rng(8)
+    draw = lambda n, k: [f"w{i}" for i in rng.integers(0, k, n)]
+    p, q = draw(30, 50), draw(14, 50)
+    texts = [draw(5, 50) + p + draw(6, 50), draw(9, 50) + p[:20] + draw(3, 50) + q, q + p[8:] + q, p, ["a"] * 25, q[2:] + ["x"], ["a"] * 12 + draw(3, 9)]
+    texts = [" ".join(t) for t in texts]
+    texts += [texts[0], None, ""]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = maximal_by_brute_force(texts, 10)
+    assert {r.words: r.occurrences for r in suffixes.maximal_repeats(d, 10).collect()} == want and len(want) > 5
+    assert all(r.depth == len(r.words.split()) for r in suffixes.maximal_repeats(d, 10).collect())
+
+
+def test_subtrees_are_in_order_and_share_what_they_say():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lines = [" ".join(rng.choice(["a", "b"], rng.integers(3, 14))).encode() for _ in range(rng.integers(1, 7))]
+        starts = np.array([rng.integers(1, line.count(b" ") + 1) for line in lines])
+        t = suffixes.Subtree(lines, starts, np.ones(len(lines), np.int64))
+        suf = [t.words[i : t.end[i]] for i in t.leaf]
+        assert suf == sorted(suf)
+        for a, b, n in zip(suf, suf[1:], t.shared[1:].tolist(), strict=False):
+            assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1] or n == len(a) == len(b)
+
+
 def test_repeats_of_odd_rows(spark, docs):
     rng = np.random.default_rng(4)
     p = " ".join(f"p{i}" for i in range(60))

@@ -39,32 +39,50 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15) AS ord
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15) AS BIGINT) AS ord
   FROM documents),
-src AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
+cells AS (SELECT source, size, count(*) AS n FROM sized GROUP BY ALL),
+src AS (SELECT source, CAST(sum(size * n) AS BIGINT) AS source_size, sum(n) AS docs FROM cells GROUP BY source),
 weighted AS (
   SELECT *, CAST([5, 2, 1][1 + CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS INT)] AS DOUBLE) AS weight,
-         2.0 * source_size AS stop, 1.5 * sum(source_size) OVER () AS total FROM src),
+         2.0::DOUBLE * source_size AS stop, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM src),
 levels AS (
   SELECT *, stop / weight AS ratio,
          coalesce(sum(stop) OVER (ORDER BY stop / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
          sum(weight) OVER (ORDER BY stop / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM weighted),
 theta AS (SELECT arg_min((total - stopped) / open_weight, ratio) FILTER ((total - stopped) / open_weight <= ratio) AS level FROM levels),
-targets AS (SELECT source, source_size, CASE WHEN level IS NULL OR level * weight >= stop THEN stop ELSE level * weight END AS target FROM weighted, theta),
-plan AS (
-  SELECT *, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS raw FROM targets),
-rounded AS (SELECT *, CASE WHEN abs(raw - round(raw)) < 1e-7 THEN round(raw) ELSE raw END AS rate FROM plan),
-running AS (
-  SELECT s.doc_id, s.size, p.source_size, p.target, floor(p.rate) AS base,
-         CASE WHEN p.rate > floor(p.rate) THEN p.target - floor(p.rate) * p.source_size ELSE 0 END AS extra,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord) AS upto
-  FROM sized s JOIN rounded p ON s.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 4) AS target,
-       CAST((base + CASE WHEN extra > 0 AND upto <= extra THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
-       CAST(base + CASE WHEN extra > 0 AND upto <= extra THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM running
+targets AS (
+  SELECT source, source_size, CAST(source_size AS DOUBLE) / docs AS scale,
+         CASE WHEN level IS NULL OR level * weight >= stop THEN stop ELSE level * weight END AS target FROM weighted, theta),
+-- the multiplier of each source by halving: the words of rates exp(lambda * size / scale), 2 at most, grow with it
+solve(step, source, lo, hi) AS (
+  SELECT 0, source, -1e6::DOUBLE, 1e6::DOUBLE FROM targets WHERE target > 0 AND target < 2 * source_size * (1 - 1e-12)
+  UNION ALL
+  SELECT step + 1, s.source,
+         CASE WHEN sum(n * size * least(2, exp(least(1, (lo + hi) / 2 * size / scale)))) < target THEN (lo + hi) / 2 ELSE lo END,
+         CASE WHEN sum(n * size * least(2, exp(least(1, (lo + hi) / 2 * size / scale)))) < target THEN hi ELSE (lo + hi) / 2 END
+  FROM solve s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source JOIN cells c ON c.source IS NOT DISTINCT FROM t.source
+  WHERE step < 110 GROUP BY step, s.source, lo, hi, target),
+multiplier AS (SELECT source, (lo + hi) / 2 AS lam FROM solve WHERE step = 110),
+tilted AS (
+  SELECT s.*, t.source_size, t.target,
+         CASE WHEN target <= 0 THEN 0 WHEN lam IS NULL THEN 2 ELSE least(2, exp(least(1, lam * size / scale))) END AS raw
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN multiplier m ON m.source IS NOT DISTINCT FROM s.source),
+rated AS (SELECT *, CASE WHEN abs(raw - round(raw)) < 1e-9 THEN round(raw) ELSE raw END AS rate FROM tilted),
+turned AS (
+  SELECT *, floor(rate) AS base, CASE WHEN rate > floor(rate) THEN (ord + 0.5::DOUBLE) / 1152921504606846976.0::DOUBLE / (rate - floor(rate)) END AS turn FROM rated),
+needed AS (SELECT source, any_value(target) - sum(base * size) AS need FROM turned GROUP BY source),
+steps AS (SELECT source, turn, sum(size) AS size FROM turned WHERE turn IS NOT NULL GROUP BY ALL),
+running AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY turn) AS upto FROM steps),
+passing AS (
+  SELECT r.source, min(turn) AS factor, arg_min(upto - need < need - upto + size, turn) AS closed
+  FROM running r JOIN needed n ON r.source IS NOT DISTINCT FROM n.source WHERE upto > need GROUP BY r.source),
+counted AS (
+  SELECT t.*, CAST(base + CASE WHEN turn IS NULL THEN 0 WHEN factor IS NULL OR turn < factor OR (turn = factor AND closed) THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM turned t LEFT JOIN passing p ON t.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(copies * size AS BIGINT) AS taken, copies FROM counted
 """
 
 

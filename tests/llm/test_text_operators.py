@@ -124,11 +124,56 @@ def test_words_that_share_polynomial_hashes_are_told_apart(spark, tmp_path):
 # ---- 2
 
 
-def test_targets():
-    t = mixing.mixture_targets({"a": 100, "b": 100, "c": 100, None: 100})
-    assert sum(t.values()) == pytest.approx(600) and max(t.values()) <= 200 and t["a"] == 200 and t[None] == 200
-    assert t["b"] == pytest.approx(2 * t["c"])
-    assert mixing.mixture_targets({}) == {} and mixing.mixture_targets({"a": 0}) == {"a": 0.0}
+def targets_by_rounds(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    order = sorted(x for x in sizes if x is not None) + ([None] if None in sizes else [])
+    weight = {x: weights[i % len(weights)] for i, x in enumerate(order)}
+    fixed: dict = {}
+    while True:
+        free = [x for x in order if x not in fixed]
+        left, whole = share * sum(sizes.values()) - sum(fixed.values()), sum(weight[x] for x in free)
+        now = {x: left * weight[x] / whole for x in free}
+        over = [x for x in free if now[x] > cap * sizes[x]]
+        if not over:
+            return {**fixed, **now}
+        fixed |= {x: float(cap * sizes[x]) for x in over}
+
+
+def test_targets(spark):
+    for sizes in ({"a": 100, "b": 100, "c": 100, None: 100}, {"a": 0}, {"a": 10, "b": 5000, "c": 30, "é": 0, "z": 900, None: 7}, {"a": 1, "b": 0, "c": 2}):
+        s = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.mixture_targets(s).collect()}
+        assert got == pytest.approx(targets_by_rounds(sizes))
+
+
+def test_rates_are_those_of_a_numpy_solver(spark):
+    """The least of sum(r log r - r + 1) under the constraints, by bisection on each multiplier; and the words taken come near."""
+    rng = np.random.default_rng(12)
+    sizes = {s: rng.geometric(p, n) for s, p, n in (("a", 0.02, 150), ("b", 0.01, 900), ("c", 0.3, 200), (None, 0.05, 300))}
+    rows = [(1000 * k + i, " ".join(["w"] * n), s) for k, (s, v) in enumerate(sizes.items()) for i, n in enumerate(v.tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_documents(docs, weights=(1, 2, 3), share=1.2).toPandas()
+    target = targets_by_rounds({s: int(v.sum()) for s, v in sizes.items()}, (1, 2, 3), 1.2)
+    for s, v in sizes.items():
+        own = got[got.source.isna() if s is None else got.source == s].sort_values("doc_id")
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            words = (v * np.minimum(2, np.exp(np.minimum(1, mid * v / v.mean())))).sum()
+            lo, hi = (mid, hi) if words < target[s] else (lo, mid)
+        assert own.rate.to_numpy() == pytest.approx(np.minimum(2, np.exp(np.minimum(1, lo * v / v.mean()))), abs=1e-6)
+        assert len(set(own.rate.round(6))) > 5 or own.rate.eq(2).all()
+        assert abs(own.taken.sum() - target[s]) <= v.max() / 2 + 1 and (own.copies <= 2).all()
+    tilt = got[got.source == "b"].groupby("size").rate.first()
+    assert tilt.is_monotonic_increasing or tilt.is_monotonic_decreasing
+
+
+def test_many_sources_are_joined_by_key(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), None if i % 11 == 0 else f"s{i % 11}") for i in range(300)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix_documents(docs).fillna("").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix_documents(docs).fillna("").collect())) == want
+    _, plan, small = mixing.mix_plan(docs)
+    assert not small and mixing.take(docs, plan, small).count() == sum(r[6] for r in want)
 
 
 def test_mix_matches_sql_and_reruns(spark, data, duck):
@@ -143,8 +188,8 @@ def test_mix_of_odd_rows(spark, docs):
     got = mixing.mix_documents(table(spark, ODD, "more")).collect()
     assert len(got) == len(ODD) + 2 and {r.size for r in got if r.doc_id == 11} == {0}
     assert mixing.mix_documents(docs.limit(0)).count() == 0
-    _, plan = mixing.mix_plan(docs)
-    taken = mixing.take(docs, plan)
+    _, plan, small = mixing.mix_plan(docs)
+    taken = mixing.take(docs, plan, small)
     assert taken.columns == docs.columns
     assert taken.count() == mixing.mix_documents(docs).agg(F.sum("copies")).first()[0]
 

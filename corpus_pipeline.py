@@ -44,7 +44,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or twice. n_chars and all else as it was."""
     small_batches(spark)
-    return mixing.take(docs, mixing.mix_plan(docs)[1])
+    _, plan, small = mixing.mix_plan(docs)
+    return mixing.take(docs, plan, small)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

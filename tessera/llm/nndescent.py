@@ -1,11 +1,16 @@
 """Near-duplicate embeddings by NN-descent.
 
-Copies of one vector are one node. A first graph comes from leaves of random orderings; then every node looks at the neighbours of some of its
+Copies of one vector are one node. Dense groups are covered first: a cluster's members lie within half the
+threshold's angle of its representative, so all of them link with each other and no pair of them has to be made. NN-descent then runs over representatives.
+A first graph comes from leaves of random orderings; then every node looks at the neighbours of some of its
 neighbours, again and again. A list holds the ``k`` nearest, but a list that is saturated, with its k-th
-neighbour still above the threshold, is enlarged to hold all neighbours above it, so groups of any size keep all their links.
-Candidates are fetched once for a block of nearby nodes and compared there, in double precision. When
-no list changes any more, the recall is audited on nodes drawn without regard to their lists, against all vectors; if it falls short, further
-orderings are added. Where that does not help, or the drawn nodes have too few links to judge by, all pairs are compared in blocks.
+neighbour still within reach of a link, is enlarged to hold all neighbours within reach: those whose clusters' radii allow
+a link between members. Candidates are fetched once for a block of nearby nodes and compared there, in double precision. When
+no list changes any more, the recall is audited on nodes drawn without regard to their lists, against all nodes; if it falls short, further
+orderings are added, and after SEEDS sets all pairs of representatives are compared in blocks.
+
+Pairs of clusters that link as a whole count by their sizes; pairs of which only some members may link are compared in blocks, which return
+counts. So no list or group of pairs grows with the square of a group of near copies.
 """
 
 from __future__ import annotations
@@ -17,72 +22,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels as K
 from tessera.llm.common import batch_from, cut
 from tessera.llm.components import components
 from tessera.llm.vectors import matrix, usable
 
 log = logging.getLogger(__name__)
-LEAF, TREES, PLANES, LEAVES_A_BLOCK = 128, 3, 8, 16
-#: Sets of orderings before all pairs are compared; vectors in a part of that comparison; linked nodes that an audit has to see.
-SEEDS, PART, ENOUGH = 5, 6000, 500
+LEAF, TREES, LEAVES_A_BLOCK = 128, 3, 16
+#: Sets of orderings before all pairs of representatives are compared; nodes in a part of that comparison, and of the comparison of two clusters.
+SEEDS, PART, SIDE = 8, 6000, 1000
+#: Passes that cover dense groups.
+COVERS = 3
+#: An audit draws twice as many nodes until so many of them have links, or it has drawn AUDIT_MOST.
+ENOUGH, AUDIT_MOST = 200, 8000
+_ROUNDING = 1e-6
 
 
-def _orderings(units: DataFrame, threshold: float, k: int, seed: int, trees: int = TREES) -> DataFrame:
-    """(u, v, s, block): links and nearest neighbours within leaves of random orderings; u = v rows tell u's block."""
-    keyed = pa.schema([("tree", pa.int32()), ("code", pa.int64()), ("along", pa.float64()), ("id", pa.int64()), ("x", pa.list_(pa.float64()))])
+def _ordered(units: DataFrame, seed: int, trees: int, rows: int) -> DataFrame:
+    """(tree, code, along, id, x, rad) in the order of each tree's codes: the signs of random projections, then another projection."""
+    planes = max(4, min(40, int(np.log2(max(rows, 2) / 32)) if rows > 64 else 4))
+    keyed = pa.schema([("tree", pa.int32()), ("code", pa.int64()), ("along", pa.float64()), ("id", pa.int64()), ("x", pa.list_(pa.float64())), ("rad", pa.float64())])
 
     def keys(batches):
         for b in batches:
             x = matrix(b.column(1))
+            if not len(x):
+                continue
             for t in range(trees):
                 rng = np.random.default_rng([seed, t, x.shape[1]])
-                side = x @ rng.normal(size=(x.shape[1], PLANES)) > 0
+                side = x @ rng.normal(size=(x.shape[1], planes)) > 0
                 gray = side.astype(np.int64)
-                for j in range(1, PLANES):  # neighbouring codes differ in few planes
+                for j in range(1, planes):  # neighbouring codes differ in few planes
                     gray[:, j] ^= gray[:, j - 1]
-                code = gray @ (1 << np.arange(PLANES)[::-1])
-                yield batch_from({"tree": np.full(len(x), t), "code": code, "along": x @ rng.normal(size=x.shape[1]), "id": b.column(0), "x": b.column(1)}, keyed)
+                code = gray @ (1 << np.arange(planes)[::-1])
+                yield batch_from({"tree": np.full(len(x), t), "code": code, "along": x @ rng.normal(size=x.shape[1]), "id": b.column(0), "x": b.column(1), "rad": b.column(2)}, keyed)
+
+    spread = units.select("id", "x", "rad").mapInArrow(keys, "tree int, code long, along double, id long, x array<double>, rad double")
+    return spread.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along", "id")
+
+
+def _leaves(batches):
+    """(tree, ids, x, rad) of each leaf: LEAF neighbours in a tree's order, or what is left of a batch."""
+    for b in batches:
+        tree, ids, x, rad = b.column(0).to_numpy(), b.column(3).to_numpy(), matrix(b.column(4)), b.column(5).to_numpy()
+        for t in np.unique(tree):
+            whole = np.flatnonzero(tree == t)
+            for at in range(0, len(whole), LEAF):
+                own = whole[at : at + LEAF]
+                yield t, ids[own], x[own], rad[own]
+
+
+def _reach(theta: float, a, b) -> np.ndarray:
+    """The least similarity of two representatives some of whose members may link."""
+    return np.cos(np.minimum(theta + a + b + (_ROUNDING if np.any(a) or np.any(b) else 0), np.pi)) - 1e-15
+
+
+def _leaders(units: DataFrame, theta: float, seed: int, rows: int) -> DataFrame:
+    """(id, leader): within leaves of one ordering, nodes taken by a hash of the id lead all free ones within half the angle."""
+    out = pa.schema([("id", pa.int64()), ("leader", pa.int64())])
+    least = np.cos(theta / 2 - _ROUNDING)
 
-    out = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64()), ("block", pa.int64())])
+    def run(batches):
+        for _, ids, x, _ in _leaves(batches):
+            near = x @ x.T >= least
+            leader = np.full(len(ids), -1)
+            for i in np.argsort(K.mix(ids.astype(np.uint64) + np.uint64(seed))):
+                if leader[i] < 0:
+                    leader[(leader < 0) & near[i]] = i
+                    leader[i] = i
+            yield batch_from({"id": ids, "leader": ids[leader]}, out)
+
+    return _ordered(units, seed, 1, rows).mapInArrow(run, "id long, leader long")
+
+
+def cover(units: DataFrame, theta: float) -> DataFrame:
+    """(id, x, n, rep, angle) of all units (id, x, n): clusters of members no further than half of theta from their representative, itself a member.
+
+    Leaders of leaves are led by leaders of leaders; members that are too far from the last of these are free for the next pass,
+    and what is free in the end represents itself.
+    """
+    free, done = units.withColumn("rad", F.lit(0.0)), None
+    dot = F.aggregate(F.zip_with("x", "_x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    for turn in range(COVERS):
+        rows = free.count()
+        chain = cut(_leaders(free, theta, 1000 + 10 * turn, rows))
+        for step in range(1, 4):
+            hubs = chain.groupBy("leader").count().where("count > 1").select(F.col("leader").alias("id"))
+            found = cut(hubs.join(free, "id"))
+            if (many := found.count()) < 2:
+                break
+            over = _leaders(found, theta, 1000 + 10 * turn + step, many).select(F.col("id").alias("leader"), F.col("leader").alias("over"))
+            merged = cut(chain.join(over, "leader", "left").select("id", F.coalesce("over", "leader").alias("leader")))
+            if merged.where("id = leader").count() == chain.where("id = leader").count():
+                break
+            chain = merged
+        # a leader leads itself, or else would lead nobody
+        lead = chain.where("id = leader").select("leader")
+        tried = chain.join(lead, "leader").join(free, "id").join(free.select(F.col("id").alias("leader"), F.col("x").alias("_x")), "leader")
+        near = tried.withColumn("angle", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.acos(F.least(dot, F.lit(1.0))))).where(F.col("angle") <= theta / 2 - _ROUNDING)
+        size = near.groupBy("leader").count().where("count > 1").select("leader")
+        got = cut(near.join(size, "leader").select("id", "x", "n", F.col("leader").alias("rep"), "angle"))
+        done = got if done is None else done.union(got)
+        free = cut(free.join(got.select("id"), "id", "left_anti").select("id", "x", "n", "rad"))
+        if not got.limit(1).count():
+            break
+    return cut(done.union(free.select("id", "x", "n", F.col("id").alias("rep"), F.lit(0.0).alias("angle"))))
+
+
+def _orderings(units: DataFrame, theta: float, k: int, seed: int, rows: int) -> DataFrame:
+    """(u, v, s, link, block): nearest neighbours and those within reach in leaves of random orderings; u = v rows tell u's block."""
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64()), ("link", pa.bool_()), ("block", pa.int64())])
 
     def leaves(batches):
         from pyspark import TaskContext
 
         part, leaf = TaskContext.get().partitionId(), 0
-        for b in batches:
-            tree, ids, x = b.column(0).to_numpy(), b.column(3).to_numpy(), matrix(b.column(4))
-            for t in np.unique(tree):
-                whole = np.flatnonzero(tree == t)
-                for at in range(0, len(whole), LEAF):
-                    own = whole[at : at + LEAF]
-                    s = x[own] @ x[own].T
-                    np.fill_diagonal(s, -2)
-                    keep = s >= threshold
-                    if len(own) > 1:
-                        near = np.argpartition(-s, min(k, len(own) - 1) - 1, axis=1)[:, :k]
-                        np.put_along_axis(keep, near, True, axis=1)
-                    np.fill_diagonal(keep, False)
-                    i, j = np.nonzero(keep)
-                    u, v, c = ids[own][i], ids[own][j], s[i, j]
-                    block = np.full(len(u), -1)
-                    if t == 0:
-                        u, v, c = np.concatenate((u, ids[own])), np.concatenate((v, ids[own])), np.concatenate((c, np.ones(len(own))))
-                        block = np.concatenate((block, np.full(len(own), part * 1_000_000 + leaf // LEAVES_A_BLOCK)))
-                    leaf += 1
-                    yield batch_from({"u": u, "v": v, "s": c, "block": block}, out)
-
-    spread = units.mapInArrow(keys, "tree int, code long, along double, id long, x array<double>")
-    return spread.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along").mapInArrow(leaves, "u long, v long, s double, block long")
-
-
-def _lists(edges: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(id, near array<struct<d, v>>): the k nearest, and all within the threshold; d is the negative similarity."""
-    near = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("v").alias("v"))))
-    return edges.groupBy("u", "v").agg(F.max("s").alias("s")).groupBy(F.col("u").alias("id")).agg(near.alias("near")).withColumn("near", F.filter("near", lambda x, i: (i < k) | (x.d <= -threshold)))
-
-
-def _round(units: DataFrame, lists: DataFrame, blocks: DataFrame, active: DataFrame, threshold: float, k: int, turn: int) -> DataFrame:
-    """(u, v, s): better neighbours and links that the active nodes find among neighbours of neighbours."""
+        for t, ids, x, rad in _leaves(batches):
+            s = x @ x.T
+            np.fill_diagonal(s, -2)
+            link = s >= _reach(theta, rad[:, None], rad)
+            keep = link.copy()
+            if len(ids) > 1:
+                near = np.argpartition(-s, min(k, len(ids) - 1) - 1, axis=1)[:, :k]
+                np.put_along_axis(keep, near, True, axis=1)
+            np.fill_diagonal(keep, False)
+            i, j = np.nonzero(keep)
+            u, v, c, l = ids[i], ids[j], s[i, j], link[i, j]
+            block = np.full(len(u), -1)
+            if t == 0:
+                u, v, c, l = np.concatenate((u, ids)), np.concatenate((v, ids)), np.concatenate((c, np.ones(len(ids)))), np.concatenate((l, np.zeros(len(ids), bool)))
+                block = np.concatenate((block, np.full(len(ids), part * 1_000_000 + leaf // LEAVES_A_BLOCK)))
+            leaf += 1
+            yield batch_from({"u": u, "v": v, "s": c, "link": l, "block": block}, out)
+
+    return _ordered(units, seed, TREES, rows).mapInArrow(leaves, "u long, v long, s double, link boolean, block long")
+
+
+def _lists(edges: DataFrame, k: int) -> DataFrame:
+    """(id, near array<struct<d, v, link>>): the k nearest, and all within reach; d is the negative similarity."""
+    near = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("v").alias("v"), F.col("link").alias("link"))))
+    both = edges.select("u", "v", "s", "link").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "link"))
+    return both.groupBy("u", "v").agg(F.max("s").alias("s"), F.max("link").alias("link")).groupBy(F.col("u").alias("id")).agg(near.alias("near")).withColumn("near", F.filter("near", lambda x, i: (i < k) | x.link))
+
+
+def _round(units: DataFrame, lists: DataFrame, blocks: DataFrame, active: DataFrame, theta: float, k: int, turn: int) -> DataFrame:
+    """(u, v, s, link): better neighbours and links that the active nodes find among neighbours of neighbours."""
     draw = lambda x: F.struct(F.xxhash64(x.v, "id", F.lit(turn)).alias("h"), x.v.alias("v"))
     rest = F.slice(F.array_sort(F.transform(F.slice("near", 7, 1 << 30), draw)), 1, 12)
     ask = F.concat(F.transform(F.slice("near", 1, 6), lambda x: x.v), F.transform(rest, lambda x: x.v))
@@ -91,18 +175,18 @@ def _round(units: DataFrame, lists: DataFrame, blocks: DataFrame, active: DataFr
     wanted = own.select("block", F.explode("ask").alias("w")).distinct()
     seen = cut(wanted.join(lists.withColumnRenamed("id", "w"), "w").select("block", "w", F.concat(F.array("w"), F.transform("near", lambda x: x.v)).alias("vs")))
     need = seen.select("block", F.explode("vs").alias("c")).union(own.select("block", F.col("id").alias("c"))).distinct()
-    x = need.join(units.withColumnRenamed("id", "c"), "c").select("block", F.col("c").alias("w"), F.lit(None).cast("array<long>").alias("vs"), "x")
-    side = seen.withColumn("x", F.lit(None).cast("array<double>")).union(x)
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())])
+    x = need.join(units.withColumnRenamed("id", "c"), "c").select("block", F.col("c").alias("w"), F.lit(None).cast("array<long>").alias("vs"), "x", "rad")
+    side = seen.withColumn("x", F.lit(None).cast("array<double>")).withColumn("rad", F.lit(0.0)).union(x)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64()), ("link", pa.bool_())])
 
     def compare(own: pa.Table, side: pa.Table) -> pa.Table:
-        us, vs, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
         if own.num_rows and side.num_rows:
             is_x = side.column("x").is_valid().to_numpy()
             with_x = side.filter(pa.array(is_x))
             ids = with_x.column("w").to_numpy()
             order = np.argsort(ids)
-            ids, x = ids[order], matrix(with_x.column("x"))[order]
+            ids, x, rad = ids[order], matrix(with_x.column("x"))[order], with_x.column("rad").to_numpy()[order]
             lists = side.filter(pa.array(~is_x))
             of = dict(zip(lists.column("w").to_pylist(), lists.column("vs").combine_chunks(), strict=True)) if lists.num_rows else {}
             for u, near, worst, ask in zip(own.column("id").to_pylist(), own.column("near"), own.column("worst").to_pylist(), own.column("ask").to_pylist(), strict=True):
@@ -112,101 +196,127 @@ def _round(units: DataFrame, lists: DataFrame, blocks: DataFrame, active: DataFr
                 c = np.setdiff1d(np.concatenate(got), np.append(near.values.to_numpy(), u))
                 if not len(c):
                     continue
-                s = x[np.searchsorted(ids, c)] @ x[np.searchsorted(ids, u)]
-                good = np.flatnonzero((s >= threshold) | (s > worst))
+                at, me = np.searchsorted(ids, c), np.searchsorted(ids, u)
+                s = x[at] @ x[me]
+                link = s >= _reach(theta, rad[at], rad[me])
+                good = np.flatnonzero(link | (s > worst))
                 if len(good) > k:
                     cut_at = np.partition(-s[good], k - 1)[k - 1]
-                    good = good[(s[good] >= threshold) | (-s[good] <= cut_at)]
-                us += [np.full(len(good), u), c[good]]
-                vs += [c[good], np.full(len(good), u)]
-                ss += [s[good], s[good]]
-        return pa.table([np.concatenate(us), np.concatenate(vs), np.concatenate(ss)], schema=schema)
+                    good = good[link[good] | (-s[good] <= cut_at)]
+                parts.append((np.full(len(good), u), c[good], s[good], link[good]))
+        return pa.table([np.concatenate(p) for p in zip(*parts, strict=True)], schema=schema)
 
     side = side.withColumnRenamed("block", "at")  # the two sides share an ancestor, and so may not share a name
-    return own.groupBy("block").cogroup(side.groupBy("at")).applyInArrow(compare, "u long, v long, s double")
-
+    return own.groupBy("block").cogroup(side.groupBy("at")).applyInArrow(compare, "u long, v long, s double, link boolean")
 
-def _audit(units: DataFrame, lists: DataFrame, threshold: float, sample: int) -> tuple[float | None, DataFrame]:
-    """(mean share of its true links that a node's list has, those true links (u, v)) of the ``sample`` nodes with the smallest hashes.
 
-    The share is None where fewer than ENOUGH of them have links and they are not all nodes.
-    """
-    some = units.orderBy(F.xxhash64("id", F.lit(77))).limit(sample)
-    asked = some.collect()
-    names, q = np.array([r.id for r in asked], np.int64), np.array([r.x for r in asked])
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_PAIR, _PAIR_SQL = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())]), "u long, v long, s double"
 
-    def brute(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            i, j = np.nonzero(q @ matrix(b.column(1)).T >= threshold)
-            u, v = names[i], b.column(0).to_numpy()[j]
-            yield batch_from({"u": u[u != v], "v": v[u != v]}, schema)
 
-    true = cut(units.mapInArrow(brute, "u long, v long"))
-    have = lists.select(F.col("id").alias("u"), F.explode(F.filter("near", lambda x: x.d <= -threshold)).alias("x")).select("u", F.col("x.v").alias("v"), F.lit(1).alias("found"))
-    r = true.join(have, ["u", "v"], "left").groupBy("u").agg(F.avg(F.coalesce("found", F.lit(0))).alias("share")).agg(F.count("*").alias("n"), F.avg("share").alias("share")).first()
-    if r.n < ENOUGH and len(asked) == sample:
-        return None, true
-    return 1.0 if r.share is None else r.share, true
+def _audit(units: DataFrame, lists: DataFrame, theta: float, sample: int) -> tuple[float | None, DataFrame]:
+    """(mean share of what is within reach of a node that its list has, those true pairs (u, v, s)) of the nodes with the smallest hashes.
 
+    The share is None where no drawn node has anything within reach: nothing is missed there, and nothing is known.
+    """
+    while True:
+        asked = units.orderBy(F.xxhash64("id", F.lit(77)), "id").limit(sample).collect()
+        names, q, own = np.array([r.id for r in asked], np.int64), np.array([r.x for r in asked]), np.array([r.rad for r in asked])
 
-def _all_links(units: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) both ways, by comparing all pairs in blocks of two parts."""
+        def brute(batches, names=names, q=q, own=own):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                s = q @ matrix(b.column(1)).T
+                i, j = np.nonzero(s >= _reach(theta, own[:, None], b.column(2).to_numpy()))
+                u, v = names[i], b.column(0).to_numpy()[j]
+                other = u != v
+                yield batch_from({"u": u[other], "v": v[other], "s": s[i, j][other]}, _PAIR)
+
+        true = cut(units.select("id", "x", "rad").mapInArrow(brute, _PAIR_SQL)) if len(asked) else units.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("s")).limit(0)
+        have = lists.select(F.col("id").alias("u"), F.explode(F.filter("near", lambda x: x.link)).alias("x")).select("u", F.col("x.v").alias("v"), F.lit(1).alias("found"))
+        r = true.join(have, ["u", "v"], "left").groupBy("u").agg(F.avg(F.coalesce("found", F.lit(0))).alias("share")).agg(F.count("*").alias("n"), F.avg("share").alias("share")).first()
+        if r.n >= ENOUGH or len(asked) < sample or sample >= AUDIT_MOST:
+            return r.share, true
+        sample *= 2
+
+
+def _all_pairs(units: DataFrame, theta: float) -> DataFrame:
+    """(u, v, s), u > v, of all pairs within reach, by comparing everything in blocks of two parts."""
     parts = max(1, -(-units.count() // PART))
     part = F.pmod(F.xxhash64("id", F.lit(79)), F.lit(parts))
     at = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q")))
-    blocks = units.withColumn("part", part).withColumn("at", F.explode(at)).select("at.p", "at.q", "part", "id", "x")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    blocks = units.withColumn("part", part).withColumn("at", F.explode(at)).select("at.p", "at.q", "part", "id", "x", "rad")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, x, part = t.column("id").to_numpy(), matrix(t.column("x")), t.column("part").to_numpy()
+        ids, x, rad, part = t.column("id").to_numpy(), matrix(t.column("x")), t.column("rad").to_numpy(), t.column("part").to_numpy()
         left, right = np.flatnonzero(part == t.column("p")[0].as_py()), np.flatnonzero(part == t.column("q")[0].as_py())
-        us, vs, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], x[right].T
+        out, other = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], x[right].T
         for low in range(0, len(left), 500):
             own = left[low : low + 500]
-            i, j = np.nonzero(x[own] @ other >= threshold)
-            us.append(ids[own][i])
-            vs.append(ids[right][j])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        u, v = u[u != v], v[u != v]
-        return pa.table([np.append(u, v), np.append(v, u)], schema=schema)
+            s = x[own] @ other
+            i, j = np.nonzero(s >= _reach(theta, rad[own][:, None], rad[right]))
+            out.append((ids[own][i], ids[right][j], s[i, j]))
+        u, v, s = (np.concatenate(p) for p in zip(*out, strict=True))
+        return pa.table([np.maximum(u, v)[u != v], np.minimum(u, v)[u != v], s[u != v]], schema=_PAIR)
 
-    return blocks.groupBy("p", "q").applyInArrow(compare, "u long, v long").distinct()
+    return blocks.groupBy("p", "q").applyInArrow(compare, _PAIR_SQL).groupBy("u", "v").agg(F.max("s").alias("s"))
 
 
-def links(units: DataFrame, threshold: float = 0.95, k: int = 10, recall: float = 0.99, sample: int = 2000) -> tuple[DataFrame, float]:
-    """((u, v) both ways, audited recall) for unit vectors (id, x); the recall is 1 where all pairs were compared."""
+def links(units: DataFrame, theta: float, k: int = 10, recall: float = 0.995, sample: int = 2000) -> tuple[DataFrame, float | None]:
+    """((u, v, s) with u > v, audited recall): pairs of units (id, x, rad) within reach of each other; the recall is 1 where all pairs were compared."""
     edges, blocks = None, None
-    flat = lambda lists: lists.select(F.col("id").alias("u"), F.explode("near").alias("x")).select("u", F.col("x.v").alias("v"), (-F.col("x.d")).alias("s"))
+    rows = units.count()
+    flat = lambda lists: lists.select(F.col("id").alias("u"), F.explode("near").alias("x")).select("u", F.col("x.v").alias("v"), (-F.col("x.d")).alias("s"), F.col("x.link").alias("link"))
     names = lambda near: F.array_sort(F.transform(near, lambda x: x.v))
     for seed in range(SEEDS):
-        start = cut(_orderings(units, threshold, k, seed))
+        start = cut(_orderings(units, theta, k, seed, rows))
         if blocks is None:
             blocks = start.where("u = v").select(F.col("u").alias("id"), "block")
-        fresh = start.where("u <> v").select("u", "v", "s")
+        fresh = start.where("u <> v").select("u", "v", "s", "link")
         edges = fresh if edges is None else edges.union(fresh)
-        lists = cut(_lists(edges, threshold, k))
+        old = None if seed == 0 else lists  # noqa: F821
+        lists = cut(_lists(edges, k))
         active, turn = lists.select("id"), 0
-        while True:
-            new = cut(_round(units, lists, blocks, active, threshold, k, 100 * seed + turn))
+        if old is not None:  # only lists that the new orderings changed are searched again
+            active = cut(lists.join(old.select("id", F.col("near").alias("old")), "id", "left").where(~names("near").eqNullSafe(names("old"))).select("id"))
+        while active.limit(1).count():
+            new = cut(_round(units, lists, blocks, active, theta, k, 100 * seed + turn))
             before = lists.select("id", F.col("near").alias("old"))
-            lists = cut(_lists(flat(lists).union(new), threshold, k))
+            lists = cut(_lists(flat(lists).union(new), k))
             active = cut(lists.join(before, "id", "left").where(~names("near").eqNullSafe(names("old"))).select("id"))
             turn += 1
-            if not active.limit(1).count():
-                break
-        got, true = _audit(units, lists, threshold, sample)
-        log.info("audited recall of links %s after %d orderings and %d rounds", got, TREES * (seed + 1), turn)
-        if got is None:
-            break
-        if got >= recall:
-            one = flat(lists).where(F.col("s") >= threshold).select("u", "v").union(true)
-            return cut(one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()), got
+        got, true = _audit(units, lists, theta, sample)
+        log.info("audited recall %s after %d orderings and %d rounds", got, TREES * (seed + 1), turn)
+        if got is None or got >= recall:
+            one = flat(lists).where("link").select("u", "v", "s").union(true)
+            return cut(one.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("s").alias("s"))), got
         edges = flat(lists)
-    log.info("all pairs are compared")
-    return cut(_all_links(units, threshold)), 1.0
+    log.warning("audited recall %s is short of %s: all pairs of representatives are compared", got, recall)
+    return cut(_all_pairs(units, theta)), 1.0
+
+
+def _partial(members: DataFrame, pairs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """For pairs (u, v) of clusters of which only some members may link: ((id, others) links of each member, (a, b) pairs with a link)."""
+    parts = members.groupBy("rep").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+    m = members.join(parts, "rep").select("rep", F.pmod(F.xxhash64("id", F.lit(81)), F.col("parts")).cast("int").alias("part"), "id", "x", "n")
+    of = lambda c: parts.select(F.col("rep").alias(c), F.col("parts").alias(f"n{c}"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1)).alias(f"p{c}")
+    blocks = pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").select("u", "v", each("u"), "nv").select("u", "v", "pu", each("v"))
+    blocks = cut(blocks)
+    side = lambda c, k: blocks.join(m, (F.col(c) == F.col("rep")) & (F.col(f"p{c}") == F.col("part"))).select("u", "v", "pu", "pv", F.lit(k).alias("side"), "id", "x", "n")
+    schema = pa.schema([("id", pa.int64()), ("others", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, x, n, of = t.column("id").to_numpy(), matrix(t.column("x")), t.column("n").to_numpy(), t.column("side").to_numpy()
+        left, right = np.flatnonzero(of == 0), np.flatnonzero(of == 1)
+        link = x[left] @ x[right].T >= threshold
+        others = np.concatenate((link @ n[right], n[left] @ link))
+        who, some = np.concatenate((ids[left], ids[right])), others > 0
+        u, v = t.column("u")[0].as_py(), t.column("v")[0].as_py()
+        return pa.table([who[some], others[some], np.full(some.sum(), u), np.full(some.sum(), v)], schema=schema)
+
+    got = cut(side("u", 0).union(side("v", 1)).groupBy("u", "v", "pu", "pv").applyInArrow(compare, "id long, others long, a long, b long"))
+    return got.groupBy("id").agg(F.sum("others").alias("others")), got.select("a", "b").distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, **options) -> DataFrame:
@@ -214,23 +324,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, **options) -> D
 
     A vector that is null, zero, of another length than most or has null or non-finite components links with nothing. Copies of one
     vector link with each other and with the same others. Rows with one id count as one vector, the least of them; a row with a null id
-    has no links and a null component, and is kept.
+    has no links and a null component, and is kept. A similarity of exactly the threshold links. An empty table gives an empty result; other columns may have any names.
     """
-    v = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
-    v = cut(v)
+    theta = float(np.arccos(threshold))
+    v = cut(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")))
     groups = cut(v.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    units = cut(groups.withColumn("norm", norm).select(F.col("rep").alias("id"), F.transform("v", lambda x: x / F.col("norm")).alias("x")))
-    pairs, _ = links(units, threshold, **options)
-    comp = components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    size = groups.select(F.col("rep").alias("v"), "n")
-    others = pairs.join(size, "v").groupBy("u").agg(F.sum("n").alias("others"))
+    nodes = cut(groups.withColumn("norm", norm).select(F.col("rep").alias("id"), F.transform("v", lambda x: x / F.col("norm")).alias("x"), "n"))
+    members = cover(nodes, theta)
+    clusters = cut(members.groupBy("rep").agg(F.max("angle").alias("rad"), F.sum("n").alias("total")))
+    units = cut(clusters.join(nodes, F.col("rep") == F.col("id")).select("id", "x", "rad"))
+    pairs, _ = links(units, theta, **options)
+    of = lambda c: clusters.select(F.col("rep").alias(c), F.col("rad").alias(f"r{c}"), F.col("total").alias(f"t{c}"))
+    known = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("angle", F.acos(F.least("s", F.lit(1.0))))
+    lone = F.col("ru") + F.col("rv") == 0
+    whole = F.when(lone, F.col("s") >= threshold).otherwise(F.col("angle") + F.col("ru") + F.col("rv") <= theta - _ROUNDING)
+    known = cut(known.withColumn("whole", whole).where(~lone | F.col("whole")))
+    sure = known.where("whole")
+    by_size = sure.select(F.col("u").alias("rep"), F.col("tv").alias("all")).union(sure.select(F.col("v").alias("rep"), F.col("tu").alias("all"))).groupBy("rep").agg(F.sum("all").alias("all"))
+    some, touching = _partial(members, known.where("not whole"), threshold)
+    comp = components(sure.select(F.col("u").alias("a"), F.col("v").alias("b")).union(touching))
+    # the smallest id of a component is that of its smallest member, not of its smallest representative
+    label = members.select("id", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("comp", "rep").alias("comp"))
+    label = cut(label)
+    least = label.groupBy("comp").agg(F.min("id").alias("component_id"))
     node = (
-        groups.join(others.withColumnRenamed("u", "rep"), "rep", "left")
-        .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
+        label.join(least, "comp")
+        .join(clusters.select("rep", "total"), "rep")
+        .join(by_size, "rep", "left")
+        .join(some, "id", "left")
+        .select("id", (F.col("total") - 1 + F.coalesce("all", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     )
-    known = v.join(node, "v").select("vec_id", "n_links", "component_id")
+    known = v.join(groups.select("v", F.col("rep").alias("id")), "v").join(node, "id").select("vec_id", "n_links", "component_id")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = rows.join(known, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -43,6 +43,53 @@ def test_links_are_those_of_brute_force(spark):
     assert nndescent.near_duplicates(d.limit(0)).count() == 0
 
 
+def brute_links(x, threshold=0.95):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= threshold
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(x))
+    while True:
+        new = np.minimum(comp, np.where(link, comp[None, :], len(x)).min(axis=1))
+        if (new == comp).all():
+            return link.sum(axis=1).tolist(), comp.tolist()
+        comp = new
+
+
+@pytest.mark.parametrize("side", [nndescent.SIDE, 7])
+def test_dense_groups_of_all_widths(spark, monkeypatch, side):
+    """Groups whose pairs all link, partly link, or link in chains; ids in no order; groups near each other."""
+    monkeypatch.setattr(nndescent, "SIDE", side)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(6, 16))
+    centre[1] = centre[0] + 0.3 * rng.normal(size=16)
+    x = np.concatenate([centre[i] + w * rng.normal(size=(n, 16)) for i, w, n in ((0, 0.05, 150), (1, 0.1, 80), (2, 0.2, 60), (3, 0.28, 60), (4, 0.0, 40), (5, 1.0, 60))])
+    t = np.linspace(0, 2, 40)[:, None]  # a chain along a circle
+    x = np.concatenate((x, np.cos(t) * centre[2] / np.linalg.norm(centre[2]) + np.sin(t) * centre[3] / np.linalg.norm(centre[3])))
+    x = x[rng.permutation(len(x))]
+    n, comp = brute_links(x)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in nndescent.near_duplicates(d).collect()}
+    assert [got[i].n_links for i in range(len(x))] == n and [got[i].component_id for i in range(len(x))] == comp
+    assert max(n) > 150 and len(set(n)) > 20
+
+
+def test_search_and_its_audit_without_the_exact_comparison(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "_all_pairs", None)
+    d, x = vectors(spark, seed=4)
+    got = {r.vec_id: r.n_links for r in nndescent.near_duplicates(d).collect()}
+    assert [got[i] for i in range(len(x))] == brute_links(x)[0]
+
+
+def test_links_of_odd_rows(spark):
+    """Repeated and null ids, a similarity of exactly the threshold, copies that are scaled."""
+    e = lambda *v: [*map(float, v), *[0.0] * (4 - len(v))]
+    rows = [(1, e(1)), (1, e(1)), (2, e(0.5, 0.75**0.5)), (3, e(0, 0, 1)), (4, e(0, 0, 5)), (None, e(1)), (7, e(0, 0, 0, 1)), (7, e(0, 1))]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.5).collect()
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    assert len(got) == len(rows) and found[None] == (0, None, True)
+    assert found[1] == (1, 1, True) and found[2] == (1, 1, False) and found[3] == (1, 3, True) and found[4] == (1, 3, False) and found[7] == (0, 7, True)
+
+
 def test_rare_links_of_single_pairs_are_found(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 64))

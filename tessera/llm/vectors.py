@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>): vectors that are not null or zero, have only finite components and the commonest length."""
+def _fine(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v array<double>): vectors that are not null or zero and have only finite components."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = v.where(F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(fine, F.lit(False)))
-    top = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("v") == (top.d if top else 0))
+    return v.where(F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(fine, F.lit(False)))
+
+
+def dimension(vectors: DataFrame) -> int:
+    """The commonest length of usable vectors, the smaller of two; 0 without any."""
+    top = _fine(vectors).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return top.d if top else 0
+
+
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
+    """(vec_id, v array<double>): vectors that are not null or zero, have only finite components and that length, or the commonest one."""
+    return _fine(vectors).where(F.size("v") == (dimension(vectors) if length is None else length))
 
 
 def matrix(column) -> np.ndarray:

@@ -131,6 +131,44 @@ def test_search_of_few_and_none(spark):
     assert collisions.nearest(d.limit(0), d, k=5).count() == 0 and collisions.nearest(d, d.limit(0), k=5).count() == 0
 
 
+def test_search_in_many_ranges(spark, monkeypatch):
+    """Several ranges, split where they are crowded, and sides: recall against brute force, and the same result however the rows are dealt."""
+    for name, value in (("BLOCK_ROWS", 300), ("QUERY_ROWS", 40), ("SAMPLE", 200)):
+        monkeypatch.setattr(collisions, name, value)
+    rng = np.random.default_rng(21)
+    x = np.concatenate((rng.normal(size=(1500, 16)) * rng.uniform(0.2, 3, (1500, 1)), np.ones((600, 16)) + 0.01 * rng.normal(size=(600, 16))))
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    first = None
+    for parts in (3, 5):
+        got = collisions.nearest(d.repartition(parts), d.where("vec_id % 20 = 0"), k=20).collect()
+        first = first or sorted(map(tuple, got))
+        assert sorted(map(tuple, got)) == first
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+        hit += len(set(want) & {r[2] for r in first if r[0] == q})
+    assert hit / 20 / len(range(0, len(x), 20)) >= 0.95
+
+
+def test_search_falls_back_to_all_vectors(spark):
+    d, x = vectors(spark, seed=7)
+    got = collisions.nearest(d, d.where("vec_id % 20 = 0"), k=5, slack=-9.0, recall=1.0).collect()
+    for q in range(0, len(x), 20):
+        s = np.round(x @ x[q], 9)
+        want = [s[i] for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:5]
+        assert [round(r.score, 9) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == pytest.approx(want)
+
+
+def test_search_of_odd_rows(spark):
+    """Ties, repeated ids on either side, null ids, queries of other lengths than the vectors."""
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (None, [9.0, 9.0]), (5, [3.0]), (6, [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (7, [1.0, 1.0, 1.0]), (8, [1.0, 1.0, 1.0]), (9, [5.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, collisions.nearest(d, ask, k=3).collect()))
+    assert got == [(1, 1, 4, 1.0), (1, 2, 2, 0.0), (1, 3, 3, 0.0), (9, 1, 2, 10.0), (9, 2, 3, 10.0), (9, 3, 3, 10.0)]
+
+
 def test_pipeline_against_brute_force(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import public_tokenizers

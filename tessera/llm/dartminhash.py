@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import kernels as K
 from tessera.llm.common import batch_from, cut, text_column
@@ -147,8 +148,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 def _verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (a, b) whose whole texts have weighted Jaccard similarity of threshold or more."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def sets(column) -> list:
@@ -253,25 +254,34 @@ def _rest(texts: DataFrame, members: DataFrame, comp: DataFrame, threshold: floa
         x, y = ids[left[i]], ids[right[j]]
         return pa.table([np.maximum(x, y), np.minimum(x, y)], schema=schema)
 
-    text = texts.select(F.col("doc_id").alias("rep"), "text")
-    return blocks.join(text, "rep").groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+    return blocks.join(texts, "rep").groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id, kept for every row: the class is the smallest id that links of similar texts reach.
+def _tagged(rows: DataFrame) -> DataFrame:
+    """rows (.., text) with f1, f2: the digest of the words of text, which must be the last column."""
+    def run(batches):
+        for b in batches:
+            digest = np.concatenate([K.signed(K.text_digests(data, off)) for _, data, off in K.chunks(b.column(b.num_columns - 1))] or [np.zeros((0, 2), np.int64)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=[*b.schema.names, "f1", "f2"])
 
-    Texts of equal words are one class whatever their white space. A null text or one without words is a class of
-    its own. A null doc_id has a null class and is kept. Rows that share an id share its class.
-    """
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("f1", LongType()), StructField("f2", LongType())]))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, f1, f2, class_id) of every row. Nodes are the distinct word sequences, whatever ids they have."""
     sketch = cut(_sketches(docs))
     ids = sketch.where("doc_id is not null")
-    classes = cut(ids.where("words > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("f1", "f2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
-    flat = classes.select(F.posexplode("bands").alias("band", "key"), "rep")
-    # every bucket has two centres: its smallest document, and one drawn anew in each band
+    nodes = ids.where("words > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
+    nodes = cut(nodes.select("f1", "f2", F.col("m.doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("rep"), F.col("m.bands").alias("bands")))
+    flat = nodes.select(F.posexplode("bands").alias("band", "key"), "rep")
+    # every bucket has two centres: its smallest node, and one drawn anew in each band
     draw = F.struct(F.xxhash64("rep", "band").alias("h"), "rep")
     shared = cut(flat.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.min(draw).alias("d")).where("n > 1").select("band", "key", "n", "first", F.col("d.rep").alias("drawn")))
     members = cut(flat.join(shared, ["band", "key"]).select("band", "key", "rep", "n", "first", "drawn"))
-    texts = cut(text_column(docs).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    asked = nodes.join(members.select("rep").distinct(), "rep").select("doc_id", "f1", "f2", "rep")
+    # an id may have several texts: the one with the node's digest is meant, and of texts with the same words the least
+    found = _tagged(text_column(docs).join(asked.select("doc_id").distinct(), "doc_id").select("doc_id", "text"))
+    texts = cut(found.join(asked, ["doc_id", "f1", "f2"]).groupBy("rep").agg(F.min("text").alias("text")))
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     tried = members.where("rep <> first").select(*pair("rep", "first")).distinct()
     links = cut(_verify(texts, tried, threshold))
@@ -284,11 +294,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     more = m.where(~(know("ok_rep", "rep") & know("ok_drawn", "drawn"))).select(*pair("rep", "drawn")).distinct().join(tried, ["a", "b"], "left_anti")
     links = cut(links.union(_verify(texts, more, threshold)))
     found = cut(_rest(texts, members, components(links), threshold))
-    comp = components(links.union(found))
-    comp = comp.withColumnRenamed("id", "rep")
-    named = classes.select("f1", "f2", "rep").join(comp, "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("class_id"))
-    rest = sketch.where("doc_id is null or words = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    full = ids.where("words > 0").select("doc_id", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", "class_id")
+    comp = components(links.union(found)).withColumnRenamed("id", "rep")
+    label = cut(nodes.select("f1", "f2", "doc_id", "rep").join(comp, "rep", "left").select("f1", "f2", "doc_id", F.coalesce("comp", "rep").alias("comp")))
     # the smallest id of a class by all its members
-    out = full.union(rest)
+    named = label.join(label.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("f1", "f2", "class_id")
+    rest = sketch.where("doc_id is null or words = 0").select("doc_id", "f1", "f2", F.col("doc_id").alias("class_id"))
+    return ids.where("words > 0").select("doc_id", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", "f1", "f2", "class_id").union(rest)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id, kept for every row: the class is the smallest id that links of similar texts reach.
+
+    Texts of equal words are one class whatever their white space. A null text or one without words is a class of
+    its own. A null doc_id has a null class and is kept; it links nothing. Rows that share an id and differ in words are decided each by their own words;
+    rows that share both are decided alike. An empty table gives an empty result, very long texts are read whole, and other columns may have any names.
+    """
+    out = _classes(docs, threshold)
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs, one of each class, with docs' columns, whatever their names.
+
+    A row stays if it is kept by near_duplicates and, of rows with the same id and words, it is the least as text. Rows without an id stay.
+    """
+    keep = cut(_classes(docs, threshold).where("doc_id = class_id").groupBy("doc_id", "f1", "f2").agg(F.count("*").alias("n")))
+    rows = _tagged(docs.where(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text")
+    out = rows.join(keep, ["doc_id", "f1", "f2"])
+    kept = out.where("n = 1").select("_row")
+    if keep.where("n > 1").limit(1).count():
+        kept = kept.union(out.where("n > 1").groupBy("doc_id", "f1", "f2").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row"))
+    return kept.select("_row.*").union(docs.where(F.col("doc_id").isNull()))

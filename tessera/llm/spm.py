@@ -227,7 +227,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         sp = once(Processor, model)
         for b in batches:
-            texts, names = [t or "" for t in b.column(1).to_pylist()], b.column(0)
+            texts, names = texts_of(b.column(1)), b.column(0)
             for s, e in groups(texts, 4_000_000):
                 got = sp.encode(texts[s:e])
                 yield batch_from({"doc_id": names[s:e], "ids": [i for i, _ in got], "begins": [x[:, 0].astype(np.int32) for _, x in got], "ends": [x[:, 1].astype(np.int32) for _, x in got]}, schema)
@@ -251,28 +251,46 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """encode, project and decode in one pass, returning counts and digests only.
 
-    doc_id, n_tokens, ids_sha256, decoded_sha256, covered: the last byte that a piece's span reaches.
+    doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (of the decimal begin and end byte of every piece in the source, as begin:end joined by commas).
+    A null text is empty; repeated rows are encoded alike; null ids stay; very long texts are encoded whole; an empty table gives an empty result; only
+    doc_id and text are read, so other columns may have any names. Bytes that are not valid UTF-8 are read as replacement characters.
     """
     import hashlib
 
     executor_file(model)
-    kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("covered", pa.int64())]
+    kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string())]
     schema = pa.schema(kinds)
 
     def run(batches):
         sp = once(Processor, model)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         decimal = np.array([str(i) for i in range(len(sp.width))], object)
+        numbers = [str(i) for i in range(1 << 16)]
         for b in batches:
-            texts, names = [t or "" for t in b.column(1).to_pylist()], b.column(0)
+            texts, names = texts_of(b.column(1)), b.column(0)
             for s, e in groups(texts):
                 rows = {k: [] for k, _ in kinds}
                 for ids, spans in sp.encode(texts[s:e]):
                     rows["n_tokens"].append(len(ids))
                     rows["ids_sha256"].append(sha(",".join(decimal[ids]).encode()))
                     rows["decoded_sha256"].append(sha(sp.decode(ids.tolist()).encode()))
-                    rows["covered"].append(int(spans[-1, 1]) if len(ids) else 0)
+                    rows["spans_sha256"].append(sha(spans_text(spans, numbers).encode()))
                 rows["doc_id"] = names[s:e]
                 yield batch_from(rows, schema)
 
-    return text_column(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered long")
+    return text_column(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+
+
+def spans_text(spans: np.ndarray, numbers: list[str]) -> str:
+    """begin:end of each span, joined by commas; numbers: decimals that are at hand."""
+    flat = spans.ravel().tolist()
+    text = [numbers[i] if i < len(numbers) else str(i) for i in flat]
+    return ",".join(map(":".join, zip(text[::2], text[1::2], strict=True)))
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """Null as the empty text; bytes that are not valid UTF-8 as replacement characters."""
+    try:
+        return [t or "" for t in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [b"".decode() if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]

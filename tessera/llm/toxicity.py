@@ -120,7 +120,8 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, keep: int = 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, held_out=None) -> Model:
-    """Learns from at most about per_class labelled rows of either class, drawn by a hash of the id.
+    """Learns from at most about per_class labelled rows of either class, drawn by a hash of the id. The model has at most ``keep`` terms, those tied
+    closest to the label, each with a log-likelihood ratio of at least 20 and in three texts or more (see train); other terms weigh nothing.
 
     Labels other than 0 and 1, null texts and ids for which held_out is true are not used. A
     repeated label row counts once; contradicting ones count as toxic.
@@ -134,8 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, held_out=None
     chosen = F.lit(False)
     for y, k in n.items():
         chosen = chosen | ((F.col("y") == y) & (draw < min(1.0, per_class / k)))
-    # the sample is at most about 2 * per_class ids, so it may be broadcast
-    rows = text_column(docs).where(F.col("text").isNotNull()).join(F.broadcast(lab.where(chosen)), "doc_id").select("text", "y")
+    # the sample is at most about 2 * per_class ids, so it may be broadcast; of several texts of one id the least is read
+    rows = text_column(docs).where(F.col("text").isNotNull()).join(F.broadcast(lab.where(chosen)), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
     schema = pa.schema([("y", pa.int32()), ("t", pa.binary())])
 
     def featurise(batches):
@@ -155,7 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, held_out=None
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score for every row; a null or empty text gets the score of a text without known terms."""
+    """doc_id and score for every row; a null or empty text gets the score of a text without known terms.
+
+    Repeated rows score alike, null ids stay null, very long texts are read whole, an empty table gives an empty result, and only doc_id
+    and text are read, so other columns may have any names.
+    """
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

@@ -207,12 +207,52 @@ def test_language_of_odd_rows(spark, docs):
     m = langid.fit(docs)
     got = {r.doc_id: r for r in langid.predict(table(spark, ODD, "more"), m).collect()}
     assert [got[10 + i].lang_pred == "und" for i, t in enumerate(ODD)] == [not any(c.isalpha() for c in t or "") for t in ODD]
-    assert langid.keep(table(spark, ODD), m, 0.0).count() == sum(any(c.isalpha() for c in t or "") for t in ODD)
+    assert langid.keep(table(spark, ODD), m, float("-inf")).count() == sum(any(c.isalpha() for c in t or "") for t in ODD)
     empty = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.predict(table(spark, ODD), empty).collect()} == {"und"}
     assert langid.predict(docs.limit(0), m).count() == 0
 
 
+def test_foreign_texts_are_rejected_and_own_ones_kept(docs, spark):
+    m = langid.fit(docs)
+    foreign = ["これは日本語の文章です。とても長い文章です。", "xkqz wvvv qqjx zzkp wqxj kkvz jjqx", "Это русский текст про погоду и дом", "Ελληνικά γράμματα εδώ και εκεί"]
+    assert langid.keep(table(spark, foreign), m, 0.0).count() == 0
+    assert langid.keep(docs, m, 0.0).count() >= 0.995 * docs.count()
+
+
+def test_training_rows_are_bounded_whatever_the_ids(spark, monkeypatch):
+    """Null and repeated ids, copies and rare labels: distinct texts are drawn, so many a language, and the commonest labels are learned."""
+    texts = {"en": "the house and the garden are on the hill number", "fr": "la maison et le jardin sont sur la colline nombre", "xx": "zq zq zq"}
+    rows = [(None if i % 2 else 7, f"{texts[g]} {i} " + "abcdefghij"[i % 10] * (1 + i % 3), g) for g in ("en", "fr") for i in range(400)] + [(1, texts["en"], "en")] * 400 + [(5, texts["xx"], "xx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = langid.Model.fit
+    monkeypatch.setattr(langid.Model, "fit", lambda self, r, lang: seen.append(Counter(lang.tolist())) or fit(self, r, lang))
+    m = langid.fit(d, per_lang=50)
+    assert seen[-1]["en"] == seen[-1]["fr"] == 50 and seen[-1]["xx"] == 1
+    assert m.predict(pa.array([texts["en"], texts["fr"]]))[0] == ["en", "fr"]
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    assert langid.fit(d, per_lang=50).langs == ["en", "fr"]
+    monkeypatch.setattr(langid, "TRAINING_ROWS", 40)
+    langid.fit(d)
+    assert seen[-1] == {"en": 20, "fr": 20}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Rows whose labels the model never saw. A few of the rows marked toxic there hold nothing but filler, which nobody can tell."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    assert len(bad) > 20 and (bad.predicted == 1).mean() > 0.85 and (good.predicted == 0).mean() > 0.98
+
+
+def test_repeated_ids_do_not_swell_the_toxicity_sample(spark):
+    d = spark.createDataFrame([(1, f"nice text {i}") for i in range(500)] + [(2, "bad idiot")] * 300 + [(None, "x")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (1, 0), (None, 1)], "doc_id long, toxic int")
+    m = toxicity.fit(d, labels)
+    assert toxicity.score(d, m).count() == 850
+
+
 def test_factorisation_machine_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = [np.array(sorted(set(rng.choice(20, 6).tolist()))) for _ in range(1500)]
@@ -355,27 +395,53 @@ def test_base_spans_are_those_of_the_patterns(local):
         assert pii.base_spans(t) == base_by_pattern(t)
 
 
-def test_field_on_its_table_and_viterbi_against_all_paths():
-    f = pii.train()
-    right = total = 0
-    for text, y in pii.labelled_rows():
-        for _, data, off in K.chunks(pa.array([text])):
-            s, e, first = K.word_bounds(data, off)
-            codes = pii.shape_codes(data, s, e)
-        got = f.decode(codes, first)
-        right, total = right + (got == y).sum(), total + len(y)
-        if len(y) <= 5:
-            import itertools
+@pytest.fixture(scope="module")
+def field():
+    return pii.train()
 
-            emit = f.emissions(codes, first)
-            score = lambda p, emit=emit: f.start[p[0]] + emit[range(len(p)), p].sum() + sum(f.trans[a, b] for a, b in itertools.pairwise(p))
-            best = max(itertools.product(range(len(pii.LABELS)), repeat=len(y)), key=lambda p: score(list(p)))
-            assert list(best) == got.tolist()
-    assert right / total > 0.98
 
+def test_viterbi_against_all_paths(field):
+    import itertools
 
-def test_spans_and_redaction(spark, docs, local):
-    f = pii.train()
+    for text, y in [r for r in pii.labelled_rows() if len(r[1]) <= 4][:60]:
+        for _, data, off in K.chunks(pa.array([text])):
+            s, e, first = K.word_bounds(data, off)
+            codes = pii.shape_codes(data, s, e)
+        got = field.decode(codes, first)
+        emit = field.emissions(codes, first)
+        score = lambda p, emit=emit: field.start[p[0]] + emit[range(len(p)), p].sum() + sum(field.trans[a, b] for a, b in itertools.pairwise(p))
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(y)), key=lambda p: score(list(p)))
+        assert score(best) == pytest.approx(score(got.tolist()), abs=1e-3)
+
+
+def test_field_on_held_out_rows(field, local):
+    """Recall and precision of spans in rows with other digits, letters and cue words than those it has learned, and in the documents."""
+    rows = pii.labelled_rows(seed=99)
+    texts = [t for t, _ in rows]
+    want, got = set(), set()
+    for i, (t, y) in enumerate(rows):
+        at = [m.span() for m in WORD.finditer(t)]
+        for k, label in enumerate(y):
+            if label and pii.LABELS[label][0] == "B":
+                j = k
+                while j + 1 < len(y) and y[j + 1] and pii.LABELS[y[j + 1]][0] == "I":
+                    j += 1
+                want.add((i, pii.LABELS[label][2:], at[k][0], at[j][1] - len(t[: at[j][1]]) + len(t[: at[j][1]].rstrip(".,;:!?"))))
+    base = set()
+    for i, (own, added) in enumerate(pii.find_spans(pa.array(texts), field)):
+        base |= {(i, *x) for x in own}
+        got |= {(i, *x) for x in added}
+    meets = lambda x, others: any(x[0] == o[0] and x[2] < o[3] and o[2] < x[3] for o in others)
+    open_ = {x for x in want if not meets(x, base)}
+    assert len(open_) > 200
+    assert len(open_ & got) / len(open_) > 0.93 and len(got & want) / len(got) > 0.97
+    assert sum(len(added) for _, added in pii.find_spans(pa.array(local.text), field)) <= 1 + len(local) // 200
+    phones = ["phone 1-800-555-0199", "call 212 555 0187", "tel. 5551234567", "call 030/1234567"]
+    assert [[t[a:b] for k, a, b in added if k == "phone"] for t, (_, added) in zip(phones, pii.find_spans(pa.array(phones), field), strict=True)] == [[t.split(" ", 1)[1]] for t in phones]
+
+
+def test_spans_and_redaction(spark, docs, local, field):
+    f = field
     text = "write to bob at example dot com or a.b@c.de, call 555-123-4567. ok"
     base, added = pii.find_spans(pa.array([text]), f)[0]
     assert [text[a:b] for _, a, b in base] == ["a.b@c.de"] and {text[a:b] for _, a, b in added} == {"bob at example dot com", "555-123-4567"}
@@ -498,11 +564,53 @@ def test_sentencepiece_ids_spans_and_text(spark, data, docs, local):
     for i, t in zip(local.doc_id, local.text, strict=True):
         ids = lib.encode(t)
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+        spans = own.encode([t])[0][1].tolist()
+        assert got[i].spans_sha256 == hashlib.sha256(",".join(f"{a}:{b}" for a, b in spans).encode()).hexdigest()
     enc = spm.encode_documents(table(spark, ODD, "more"), path)
     assert enc.count() == len(ODD) + 2 and spm.decode_documents(enc, path).where("doc_id = 16").first().text == ODD[6]
     assert spm.digests(docs.limit(0), path).count() == 0
 
 
+def mapped_model(path, folder):
+    """The given model with the compiled character map of a rule of the library, squeezing white space: a file for the query's own path."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    spec = next(v for f, _, v in spm._fields(lib.serialized_model_proto()) if f == 3)
+    raw = open(path, "rb").read()
+    out = folder / "mapped.model"
+    out.write_bytes(spm._message([(f, w, spec if f == 3 else v) for f, w, v in spm._fields(raw)]))
+    return str(out)
+
+
+def test_query_path_through_a_character_map(spark, tmp_path, local):
+    """Ids, decoded texts and spans under a model whose normaliser changes lengths, squeezes spaces and drops characters."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = mapped_model(public_tokenizers.path("piece_bpe_32k.model"), tmp_path)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["ＡＢ①　ﬁ x", "  é  ｶﾞ ㍿ ", "a­b  c", "plain words  here ", *[t or "" for t in ODD if t != "x" * 70_000], *local.text[:40]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in spm.digests(d, path).collect()}
+    own = spm.Processor(path)
+    assert not own.norm.plain
+    for i, t in enumerate(texts):
+        ids = lib.encode(t)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()), t
+        assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+        spans = own.encode([t])[0][1]
+        assert (np.diff(spans.ravel()) >= 0).all() and (not len(spans) or spans[-1, 1] <= len(t.encode()))
+    spans = dict(zip(texts, (x for _, x in own.encode(texts)), strict=True))
+    assert spans["a­b  c"][-1].tolist() == [4, 7] and len(spans[""]) == 0
+
+
+def test_bytes_that_are_no_text(spark):
+    d = spark.sql("select 1L as doc_id, cast(X'61FF62' as string) as text union all select 2L, 'ab'")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = {r.doc_id: r.n_tokens for r in spm.digests(d, path).collect()}
+    assert got[1] > 0 and got[2] > 0
+    assert pii.detect(d).count() == 2
+
+
 def test_normaliser_with_a_character_map(local):
     sentencepiece = pytest.importorskip("sentencepiece")
     for rule in ("nmt_nfkc", "nmt_nfkc_cf"):

@@ -182,8 +182,8 @@ def test_pipeline_against_brute_force(spark, data):
     local = docs.toPandas()
     import pyarrow as pa
 
-    lang, score = model.predict(pa.array(local.text))
-    local = local[[g != "und" and s >= corpus_pipeline.LEAST_SURE for g, s in zip(lang, score, strict=True)]]
+    lang, _, usual = model.predict(pa.array(local.text))
+    local = local[[g != "und" and u >= corpus_pipeline.LEAST_USUAL for g, u in zip(lang, usual, strict=True)]]
     assert len(local) > 0.95 * docs.count()
     classes = classes_by_brute_force(dict(zip(local.doc_id, local.text, strict=True)))
     local = local[[classes[i] == i for i in local.doc_id]]
@@ -205,7 +205,7 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
 
     rows = [(i, t, "en" if i % 2 else None, "s" if i % 3 else None, None) for i, t in enumerate(ODD + ["plain words in a row", "plain words in a row"])]
     rows += [rows[-1], (None, "no id", "en", "s", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as rows_of_id", "2 as class_id", "'x' as kept", "3 as bands", "4 as size", "5 as part")
     for d in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             got = stage(spark, d, "")
@@ -214,3 +214,13 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
         corpus_pipeline.STAGES[-1][1](spark, d, "").collect()
     kept = corpus_pipeline.near_duplicates(spark, docs, "").where(F.col("text") == "plain words in a row")
     assert kept.count() == 1
+
+
+def test_rows_of_one_id_with_different_texts_are_decided_each(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{p}{i}" for i in range(100)) for p in "abc")
+    rows = [(5, a), (5, b), (5, b), (3, b + " z"), (7, c), (7, c.replace("c9 ", "")), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert [r[0] for r in got].count(None) == 2
+    assert sorted(r for r in got if r[0] is not None) == sorted([(3, b + " z"), (5, a), (7, min(c, c.replace("c9 ", "")))])

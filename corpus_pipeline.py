@@ -7,51 +7,52 @@ Parquet and read again as the next stage's docs. All but the last return the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import dartminhash, langid, mixing, pii, spm
 from tessera.llm.common import new_path, small_batches
 from tessera.llm.queries import remainder, tokenizer_file
 
-#: A prediction that is less sure than this, or ``und``, is a rejection.
-LEAST_SURE = 0.2
+#: A text whose n-grams are on average no likelier in its predicted language than at random (log odds), or ``und``, is rejected.
+LEAST_USUAL = 0.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a text, or of a language that the model is quite unsure of, go.
+    """Documents without a letter or without a text go, and those whose n-grams are no likelier in the predicted language than at random.
 
-    The model learns from the stage's own labelled input.
+    Those are foreign scripts and strings of random letters. The model learns from the stage's own labelled input; without labels nothing can be predicted and every document goes.
+    Repeated rows are decided alike, rows without an id like any other.
     """
     small_batches(spark)
-    return langid.keep(docs, langid.fit(docs, held_out=lambda c: remainder(c, 5) == 0), LEAST_SURE)
+    return langid.keep(docs, langid.fit(docs, held_out=lambda c: remainder(c, 5) == 0), LEAST_USUAL)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; of rows with one id, one. Rows without an id stay."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows are decided by id and text: of rows with the same id and words one stays (the least in the order of the other columns, as text), rows of one id with different texts
+    are documents of their own. Rows without an id stay. Columns of any name pass through.
+    """
     small_batches(spark)
-    keep = dartminhash.near_duplicates(docs, threshold=0.8).where("kept").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("rows_of_id"))
-    out = docs.join(keep, "doc_id")
-    single, repeated = out.where("rows_of_id = 1"), out.where("rows_of_id > 1")
-    return single.union(repeated.dropDuplicates(["doc_id"])).select(docs.columns).union(docs.where("doc_id is null"))
+    return dartminhash.keep_one(docs, threshold=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with each piece of personal data replaced by its kind."""
+    """Every document stays, with each piece of personal data replaced by its kind. Null and empty texts stay as they are, repeated rows change alike."""
     small_batches(spark)
     return pii.redact_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice. n_chars and all else as it was."""
+    """Documents as often as the mix takes them: none, once or twice. n_chars and all else as it was; repeated rows and rows without an id are taken alike."""
     small_batches(spark)
     _, plan, small = mixing.mix_plan(docs)
     return mixing.take(docs, plan, small)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; a null text is empty, an empty table gives none."""
     small_batches(spark)
-    return spm.digests(docs, tokenizer_file("piece_bpe_32k.model")).drop("covered")
+    return spm.digests(docs, tokenizer_file("piece_bpe_32k.model")).drop("spans_sha256")
 
 
 STAGES = [

@@ -268,7 +268,7 @@ def _tagged(rows: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, f1, f2, class_id) of every row. Nodes are the distinct word sequences, whatever ids they have."""
+    """(doc_id, f1, f2, class_id, comp) of every row. Nodes are the distinct word sequences, whatever ids they have; comp is a node of the class, null without words or id."""
     sketch = cut(_sketches(docs))
     ids = sketch.where("doc_id is not null")
     nodes = ids.where("words > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
@@ -297,9 +297,9 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     comp = components(links.union(found)).withColumnRenamed("id", "rep")
     label = cut(nodes.select("f1", "f2", "doc_id", "rep").join(comp, "rep", "left").select("f1", "f2", "doc_id", F.coalesce("comp", "rep").alias("comp")))
     # the smallest id of a class by all its members
-    named = label.join(label.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("f1", "f2", "class_id")
-    rest = sketch.where("doc_id is null or words = 0").select("doc_id", "f1", "f2", F.col("doc_id").alias("class_id"))
-    return ids.where("words > 0").select("doc_id", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", "f1", "f2", "class_id").union(rest)
+    named = label.join(label.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("f1", "f2", "class_id", "comp")
+    rest = sketch.where("doc_id is null or words = 0").select("doc_id", "f1", "f2", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("comp"))
+    return ids.where("words > 0").select("doc_id", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", "f1", "f2", "class_id", "comp").union(rest)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -316,9 +316,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, one of each class, with docs' columns, whatever their names.
 
-    A row stays if it is kept by near_duplicates and, of rows with the same id and words, it is the least as text. Rows without an id stay.
+    The row with the smallest id stays; of several texts of that id in one class the one with the smallest digest; of rows with the same id and words
+    the least as text. Rows without an id stay.
     """
-    keep = cut(_classes(docs, threshold).where("doc_id = class_id").groupBy("doc_id", "f1", "f2").agg(F.count("*").alias("n")))
+    texts = _classes(docs, threshold).where("doc_id = class_id").groupBy("comp", "doc_id", "f1", "f2").agg(F.count("*").alias("n"))
+    one = texts.where("comp is not null").groupBy("comp").agg(F.min(F.struct("f1", "f2", "doc_id", "n")).alias("m")).select("m.doc_id", "m.f1", "m.f2", "m.n")
+    keep = cut(one.union(texts.where("comp is null").select("doc_id", "f1", "f2", "n")))
     rows = _tagged(docs.where(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text")
     out = rows.join(keep, ["doc_id", "f1", "f2"])
     kept = out.where("n = 1").select("_row")

@@ -6,7 +6,7 @@ A first graph comes from leaves of random orderings; then every node looks at th
 neighbours, again and again. A list holds the ``k`` nearest, but a list that is saturated, with its k-th
 neighbour still within reach of a link, is enlarged to hold all neighbours within reach: those whose clusters' radii allow
 a link between members. Candidates are fetched once for a block of nearby nodes and compared there, in double precision. When
-no list changes any more, the recall is audited on nodes drawn without regard to their lists, against all nodes; if it falls short, further
+a round finds nothing more within reach of any node, or no list changes any more, the recall is audited on nodes drawn without regard to their lists, against all nodes; if it falls short, further
 orderings are added, and after SEEDS sets all pairs of representatives are compared in blocks.
 
 Pairs of clusters that link as a whole count by their sizes; pairs of which only some members may link are compared in blocks, which return
@@ -34,7 +34,7 @@ SEEDS, PART, SIDE = 8, 6000, 1000
 #: Passes that cover dense groups.
 COVERS = 3
 #: An audit draws twice as many nodes until so many of them have links, or it has drawn AUDIT_MOST.
-ENOUGH, AUDIT_MOST = 200, 8000
+ENOUGH, AUDIT_MOST = 50, 4000
 _ROUNDING = 1e-6
 
 
@@ -98,35 +98,36 @@ def _leaders(units: DataFrame, theta: float, seed: int, rows: int) -> DataFrame:
 def cover(units: DataFrame, theta: float) -> DataFrame:
     """(id, x, n, rep, angle) of all units (id, x, n): clusters of members no further than half of theta from their representative, itself a member.
 
-    Leaders of leaves are led by leaders of leaders; members that are too far from the last of these are free for the next pass,
-    and what is free in the end represents itself.
+    Leaders of leaves are led by leaders of leaders; members that are too far from the last of these are tried once more among themselves,
+    and who is nobody's member in the end represents itself.
     """
-    free, done = units.withColumn("rad", F.lit(0.0)), None
+    units = units.withColumn("rad", F.lit(0.0))
     dot = F.aggregate(F.zip_with("x", "_x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    todo, done, rows = units, None, units.count()
     for turn in range(COVERS):
-        rows = free.count()
-        chain = cut(_leaders(free, theta, 1000 + 10 * turn, rows))
-        for step in range(1, 4):
+        chain = cut(_leaders(todo, theta, 1000 + 10 * turn, rows))
+        for step in range(1, 10):
             hubs = chain.groupBy("leader").count().where("count > 1").select(F.col("leader").alias("id"))
-            found = cut(hubs.join(free, "id"))
+            found = cut(hubs.join(todo, "id"))
             if (many := found.count()) < 2:
                 break
             over = _leaders(found, theta, 1000 + 10 * turn + step, many).select(F.col("id").alias("leader"), F.col("leader").alias("over"))
-            merged = cut(chain.join(over, "leader", "left").select("id", F.coalesce("over", "leader").alias("leader")))
-            if merged.where("id = leader").count() == chain.where("id = leader").count():
+            chain = cut(chain.join(over, "leader", "left").select("id", F.coalesce("over", "leader").alias("leader")))
+            if many <= LEAF:
                 break
-            chain = merged
-        # a leader leads itself, or else would lead nobody
-        lead = chain.where("id = leader").select("leader")
-        tried = chain.join(lead, "leader").join(free, "id").join(free.select(F.col("id").alias("leader"), F.col("x").alias("_x")), "leader")
-        near = tried.withColumn("angle", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.acos(F.least(dot, F.lit(1.0))))).where(F.col("angle") <= theta / 2 - _ROUNDING)
-        size = near.groupBy("leader").count().where("count > 1").select("leader")
-        got = cut(near.join(size, "leader").select("id", "x", "n", F.col("leader").alias("rep"), "angle"))
+        # whoever is led by another one is tried against that leader, if it still leads itself
+        led = chain.where("id <> leader")
+        lead = chain.where("id = leader").join(led.select("leader").distinct(), "leader").join(todo.select("id", F.col("x").alias("_x")), "id").select("leader", "_x")
+        tried = cut(led.join(todo, "id").join(lead, "leader", "left").withColumn("angle", F.acos(F.least(dot, F.lit(1.0)))).select("id", "x", "n", "leader", "angle", (F.col("angle") <= theta / 2 - _ROUNDING).alias("near")))
+        got = tried.where("near").select("id", "x", "n", F.col("leader").alias("rep"), "angle")
         done = got if done is None else done.union(got)
-        free = cut(free.join(got.select("id"), "id", "left_anti").select("id", "x", "n", "rad"))
-        if not got.limit(1).count():
+        todo = tried.where("near is null or not near").select("id", "x", "n", F.lit(0.0).alias("rad"))
+        rows = todo.count()
+        if rows < 2:
             break
-    return cut(done.union(free.select("id", "x", "n", F.col("id").alias("rep"), F.lit(0.0).alias("angle"))))
+    done = cut(done)
+    alone = units.join(done.select("id"), "id", "left_anti").select("id", "x", "n", F.col("id").alias("rep"), F.lit(0.0).alias("angle"))
+    return cut(done.union(alone))
 
 
 def _orderings(units: DataFrame, theta: float, k: int, seed: int, rows: int) -> DataFrame:
@@ -147,7 +148,7 @@ def _orderings(units: DataFrame, theta: float, k: int, seed: int, rows: int) ->
                 np.put_along_axis(keep, near, True, axis=1)
             np.fill_diagonal(keep, False)
             i, j = np.nonzero(keep)
-            u, v, c, l = ids[i], ids[j], s[i, j], link[i, j]
+            u, v, c, l = np.append(ids[i], ids[j]), np.append(ids[j], ids[i]), np.tile(s[i, j], 2), np.tile(link[i, j], 2)
             block = np.full(len(u), -1)
             if t == 0:
                 u, v, c, l = np.concatenate((u, ids)), np.concatenate((v, ids)), np.concatenate((c, np.ones(len(ids)))), np.concatenate((l, np.zeros(len(ids), bool)))
@@ -161,8 +162,7 @@ def _orderings(units: DataFrame, theta: float, k: int, seed: int, rows: int) ->
 def _lists(edges: DataFrame, k: int) -> DataFrame:
     """(id, near array<struct<d, v, link>>): the k nearest, and all within reach; d is the negative similarity."""
     near = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("v").alias("v"), F.col("link").alias("link"))))
-    both = edges.select("u", "v", "s", "link").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "link"))
-    return both.groupBy("u", "v").agg(F.max("s").alias("s"), F.max("link").alias("link")).groupBy(F.col("u").alias("id")).agg(near.alias("near")).withColumn("near", F.filter("near", lambda x, i: (i < k) | x.link))
+    return edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.max("link").alias("link")).groupBy(F.col("u").alias("id")).agg(near.alias("near")).withColumn("near", F.filter("near", lambda x, i: (i < k) | x.link))
 
 
 def _round(units: DataFrame, lists: DataFrame, blocks: DataFrame, active: DataFrame, theta: float, k: int, turn: int) -> DataFrame:
@@ -203,7 +203,8 @@ def _round(units: DataFrame, lists: DataFrame, blocks: DataFrame, active: DataFr
                 if len(good) > k:
                     cut_at = np.partition(-s[good], k - 1)[k - 1]
                     good = good[link[good] | (-s[good] <= cut_at)]
-                parts.append((np.full(len(good), u), c[good], s[good], link[good]))
+                me = np.full(len(good), u)
+                parts += [(me, c[good], s[good], link[good]), (c[good], me, s[good], link[good])]
         return pa.table([np.concatenate(p) for p in zip(*parts, strict=True)], schema=schema)
 
     side = side.withColumnRenamed("block", "at")  # the two sides share an ancestor, and so may not share a name
@@ -285,6 +286,8 @@ def links(units: DataFrame, theta: float, k: int = 10, recall: float = 0.995, sa
             lists = cut(_lists(flat(lists).union(new), k))
             active = cut(lists.join(before, "id", "left").where(~names("near").eqNullSafe(names("old"))).select("id"))
             turn += 1
+            if turn > 1 and not new.where("link").limit(1).count():
+                break
         got, true = _audit(units, lists, theta, sample)
         log.info("audited recall %s after %d orderings and %d rounds", got, TREES * (seed + 1), turn)
         if got is None or got >= recall:

@@ -281,7 +281,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     asked = nodes.join(members.select("rep").distinct(), "rep").select("doc_id", "f1", "f2", "rep")
     # an id may have several texts: the one with the node's digest is meant, and of texts with the same words the least
     found = _tagged(text_column(docs).join(asked.select("doc_id").distinct(), "doc_id").select("doc_id", "text"))
-    texts = cut(found.join(asked, ["doc_id", "f1", "f2"]).groupBy("rep").agg(F.min("text").alias("text")))
+    texts = cut(found.join(asked, ["doc_id", "f1", "f2"]).groupBy("doc_id", "f1", "f2", "rep").agg(F.min("text").alias("text")).select("rep", "text"))
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     tried = members.where("rep <> first").select(*pair("rep", "first")).distinct()
     links = cut(_verify(texts, tried, threshold))

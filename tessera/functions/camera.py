@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,26 +71,30 @@ def distort_point(x: Column, y: Column, dist) -> Column:
 
 
 def undistort_point(x: Column, y: Column, dist, steps: int = 100, tolerance: float = 1e-8) -> Column:
-    """struct<x,y>: fixed-point steps that stop once a step's distorted image is within the tolerance."""
+    """struct<x,y>: fixed-point steps that stop once a step's distorted image is within the tolerance.
 
-    held = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
-
-    def step(s: Column, _: Column) -> Column:
-        radial, tx, ty = _brown(s.x, s.y, dist)
-
-        def move(b: Column) -> Column:
-            ex, ey = s.x * b.r + b.tx - x, s.y * b.r + b.ty - y
-            near = ex * ex + ey * ey < tolerance * tolerance
-            return F.struct(F.when(near, s.x).otherwise((x - b.tx) / b.r).alias("x"), F.when(near, s.y).otherwise((y - b.ty) / b.r).alias("y"), near.alias("done"))
-
-        return F.when(s.done, s).otherwise(held(F.struct(radial.alias("r"), tx.alias("tx"), ty.alias("ty")), move))
+    The steps run in Arrow batches, over the points of a batch that are not done yet; a null coordinate gives nulls.
+    """
+    k1, k2, p1, p2, k3 = [*map(float, dist), 0.0, 0.0, 0.0, 0.0, 0.0][:5]
 
-    start = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(False).alias("done"))
-    few = min(16, steps)
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, step)
-    if steps > few:  # most points are done by then, and a branch not taken costs nothing
-        out = held(out, lambda s: F.when(s.done, s).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps - few)), s, step)))
-    return held(out, lambda s: F.struct(s.x.alias("x"), s.y.alias("y")))
+    @F.pandas_udf("x double, y double")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        x0, y0 = x.to_numpy(float), y.to_numpy(float)
+        out, live = np.stack((x0, y0)), np.flatnonzero(~(np.isnan(x0) | np.isnan(y0)))
+        for _ in range(steps):
+            u, v = out[:, live]
+            r2 = u * u + v * v
+            radial = 1 + k1 * r2 + k2 * r2 * r2 + k3 * r2 * r2 * r2
+            tx, ty = 2 * p1 * u * v + p2 * (r2 + 2 * u * u), p1 * (r2 + 2 * v * v) + 2 * p2 * u * v
+            ex, ey = u * radial + tx - x0[live], v * radial + ty - y0[live]
+            move = ~(ex * ex + ey * ey < tolerance * tolerance)
+            live, radial, tx, ty = live[move], radial[move], tx[move], ty[move]
+            if not len(live):
+                break
+            out[0, live], out[1, live] = (x0[live] - tx) / radial, (y0[live] - ty) / radial
+        return pd.DataFrame({"x": out[0], "y": out[1]})
+
+    return run(x.cast("double"), y.cast("double"))
 
 
 def _theta_d(theta: Column, dist) -> Column:

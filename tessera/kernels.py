@@ -258,8 +258,9 @@ def harris(image, k=0.05, sigma=1.0, threshold=0.01, radius=5, max_corners=None)
     g /= g.sum()
 
     def smooth(x):
-        x = np.apply_along_axis(lambda r: np.convolve(r, g, "same"), 0, x)
-        return np.apply_along_axis(lambda r: np.convolve(r, g, "same"), 1, x)
+        for axis in (0, 1):  # the middle of the full sum, also where the image is narrower than the window
+            x = np.apply_along_axis(lambda r: np.convolve(r, g)[n : n + len(r)], axis, x)
+        return x
 
     xx, yy, xy = smooth(gx * gx), smooth(gy * gy), smooth(gx * gy)
     r = xx * yy - xy * xy - k * (xx + yy) ** 2
@@ -452,6 +453,68 @@ def _inv_rigid_many(m) -> np.ndarray:
     return out
 
 
+#: Graphs of more poses are solved by conjugate gradients over their edges; a dense system would grow with the square of the poses.
+DENSE_POSES = 300
+
+
+def _dense_step(i, j, ja, jb, weight, e, n: int, damping: float, fixed: bool) -> np.ndarray:
+    h, g = np.zeros((n + 1, n + 1, 6, 6)), np.zeros((n + 1, 6))
+    for p, jp in ((i, ja), (j, jb)):
+        wj = np.einsum("mki,mkl->mil", jp, weight)
+        np.add.at(g, p, np.einsum("mik,mk->mi", wj, e))
+        for q, jq in ((i, ja), (j, jb)):
+            np.add.at(h, (p, q), wj @ jq)
+    h = h[:n, :n].transpose(0, 2, 1, 3).reshape(6 * n, 6 * n)
+    g = g[:n].ravel()
+    if fixed:
+        h[:6], h[:, :6], g[:6] = 0, 0, 0
+        h[:6, :6] = np.eye(6)
+    h += damping * np.eye(6 * n)
+    try:
+        step = np.linalg.solve(h, -g)
+    except np.linalg.LinAlgError:
+        step = np.linalg.lstsq(h, -g, rcond=None)[0]
+    return step.reshape(n, 6)
+
+
+def _sparse_step(i, j, ja, jb, weight, e, n: int, damping: float, fixed: bool, tolerance: float = 1e-12) -> np.ndarray:
+    """The same step by conjugate gradients, preconditioned by the inverse blocks of the diagonal; memory grows with the edges."""
+    wa, wb = np.einsum("mki,mkl->mil", ja, weight), np.einsum("mki,mkl->mil", jb, weight)
+    held = [0, n] if fixed else [n]  # the world, and the first pose where nothing else fixes the graph
+
+    def gathered(a, b):
+        out = np.zeros((n + 1, *a.shape[1:]))
+        np.add.at(out, i, a)
+        np.add.at(out, j, b)
+        return out
+
+    def apply(v):
+        r = np.einsum("mkc,mc->mk", ja, v[i]) + np.einsum("mkc,mc->mk", jb, v[j])
+        out = gathered(np.einsum("mik,mk->mi", wa, r), np.einsum("mik,mk->mi", wb, r)) + damping * v
+        out[held] = v[held]
+        return out
+
+    g = -gathered(np.einsum("mik,mk->mi", wa, e), np.einsum("mik,mk->mi", wb, e))
+    g[held] = 0
+    own = gathered(wa @ ja, wb @ jb) + damping * np.eye(6)
+    own[held] = np.eye(6)
+    inverse = np.linalg.inv(own)
+    x, r = np.zeros((n + 1, 6)), g
+    z = np.einsum("nij,nj->ni", inverse, r)
+    p, rz = z, float((r * z).sum())
+    goal = tolerance * max(rz, 1e-300)
+    for _ in range(12 * n):
+        if rz <= goal:
+            break
+        q = apply(p)
+        step = rz / float((p * q).sum())
+        x, r = x + step * p, r - step * q
+        z = np.einsum("nij,nj->ni", inverse, r)
+        rz, old = float((r * z).sum()), rz
+        p = z + rz / old * p
+    return x[:n]
+
+
 def optimise_graph(poses: dict, edges: list, priors: list = (), max_iterations=20, tolerance=1e-6, damping=1e-6):
     """(poses, cost, iterations, converged) by damped Gauss-Newton with central numerical Jacobians; without priors the first pose is fixed.
 
@@ -492,23 +555,10 @@ def optimise_graph(poses: dict, edges: list, priors: list = (), max_iterations=2
         for c in range(6):
             ja[:, :, c] = (error(nudged(a, c, 1), b) - error(nudged(a, c, -1), b)) / (2 * eps)
             jb[:, :, c] = (error(a, nudged(b, c, 1)) - error(a, nudged(b, c, -1))) / (2 * eps)
-        h, g = np.zeros((n + 1, n + 1, 6, 6)), np.zeros((n + 1, 6))
-        for p, jp in ((i, ja), (j, jb)):
-            wj = np.einsum("mki,mkl->mil", jp, weight)
-            np.add.at(g, p, np.einsum("mik,mk->mi", wj, e))
-            for q, jq in ((i, ja), (j, jb)):
-                np.add.at(h, (p, q), wj @ jq)
-        h = h[:n, :n].transpose(0, 2, 1, 3).reshape(6 * n, 6 * n)
-        g = g[:n].ravel()
-        if not priors:
-            h[:6], h[:, :6], g[:6] = 0, 0, 0
-            h[:6, :6] = np.eye(6)
-        h += damping * np.eye(6 * n)
-        try:
-            step = np.linalg.solve(h, -g)
-        except np.linalg.LinAlgError:
-            step = np.linalg.lstsq(h, -g, rcond=None)[0]
-        step = step.reshape(n, 6)
+        if n > DENSE_POSES:
+            step = _sparse_step(i, j, ja, jb, weight, e, n, damping, fixed=not priors)
+        else:
+            step = _dense_step(i, j, ja, jb, weight, e, n, damping, fixed=not priors)
         for k in range(n):
             x[k] = rigid(x[k, :3, :3] @ exp_so3(step[k, 3:]), x[k, :3, 3] + step[k, :3])
         if np.linalg.norm(step) < tolerance:

@@ -48,6 +48,43 @@ def scan_context_distance(context: DataFrame, pairs: DataFrame, num_rings: int =
     return mean.groupBy("a", "b").agg(F.min(F.struct(F.round("distance", 12).alias("distance"), "shift")).alias("m")).select("a", "b", "m.distance", "m.shift")
 
 
+#: Scans on a side of a block of ring-key comparisons.
+KEY_BLOCK = 2000
+
+
+def nearest_places(context: DataFrame, inserted: DataFrame, num_rings: int = 20, num_sectors: int = 60, exclusion_window: int = 50, candidate_pool: int = 25, frame: str = "frame") -> DataFrame:
+    """a, b, distance, shift: of each scan a the nearest b of those inserted more than exclusion_window before it.
+
+    inserted: frame, position (order of insertion from 0). Ring keys are compared in blocks and choose a pool for each scan, whose exact distances decide.
+    """
+    keys = ring_key(context, num_sectors, frame).groupBy(frame).agg(F.map_from_entries(F.collect_list(F.struct("ring", "key"))).alias("m"))
+    every = F.array(*[F.lit(i) for i in range(num_rings)])
+    vector = F.transform(every, lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
+    keys = inserted.join(keys, frame, "left").select(F.col(frame).alias("id"), F.col("position").cast("long").alias("position"), F.coalesce(vector, F.array_repeat(F.lit(0.0), num_rings)).alias("key"), F.floor(F.col("position") / KEY_BLOCK).alias("own"))
+    last = keys.agg(F.max("own").alias("top"))
+    at = F.concat(F.transform(F.sequence(F.lit(0), F.col("own")), lambda q: F.struct(F.col("own").alias("p"), q.alias("q"))), F.transform(F.sequence(F.col("own"), F.col("top")), lambda p: F.struct(p.alias("p"), F.col("own").alias("q"))))
+    blocks = keys.crossJoin(F.broadcast(last)).withColumn("at", F.explode(F.array_distinct(at))).select("at.p", "at.q", "own", "id", "position", "key")
+    kind = dict(inserted.dtypes)[frame]
+
+    def pool(t: pd.DataFrame) -> pd.DataFrame:
+        p, q = t["p"].iloc[0], t["q"].iloc[0]
+        one, two = t[t["own"] == p].sort_values("position"), t[t["own"] == q].sort_values("position")
+        x, y = np.stack(one["key"]) if len(one) else np.zeros((0, num_rings)), np.stack(two["key"]) if len(two) else np.zeros((0, num_rings))
+        out = []
+        for i, (a, at) in enumerate(zip(one["id"], one["position"], strict=True)):
+            far = np.abs(y - x[i]).sum(axis=1)
+            far[two["position"].to_numpy() >= at - exclusion_window] = np.inf
+            best = np.lexsort((two["position"], far))[:candidate_pool]
+            out += [(a, b, n, d) for b, n, d in zip(two["id"].iloc[best], two["position"].iloc[best], far[best], strict=True) if np.isfinite(d)]
+        return pd.DataFrame(out, columns=["a", "b", "position", "l1"])
+
+    found = blocks.groupBy("p", "q").applyInPandas(pool, f"a {kind}, b {kind}, position long, l1 double")
+    turn = F.row_number().over(Window.partitionBy("a").orderBy("l1", "position"))
+    pairs = found.withColumn("turn", turn).where(F.col("turn") <= candidate_pool).select("a", "b", "position")
+    exact = scan_context_distance(context, pairs, num_rings, num_sectors, frame).join(pairs, ["a", "b"])
+    return exact.groupBy("a").agg(F.min(F.struct("distance", "position", "b", "shift")).alias("m")).select("a", "m.b", "m.distance", "m.shift")
+
+
 def scan_context_query(context: DataFrame, query_frame, inserted: DataFrame, num_rings: int = 20, num_sectors: int = 60, exclusion_window: int = 50, candidate_pool: int = 10, top_k: int = 1, frame: str = "frame") -> DataFrame:
     """b, distance, shift of the top_k nearest earlier scans.
 

@@ -126,31 +126,73 @@ def icp_frames(source: DataFrame, target: DataFrame, by: str = "frame", plane: b
     return source.groupBy(by).cogroup(other.groupBy(f"_{by}")).applyInPandas(run, f"{by} {dict(source.dtypes)[by]}, {ICP_SCHEMA}")
 
 
-def scan_odometry(scans: DataFrame, session: str = "session", frame: str = "frame", **options) -> DataFrame:
-    """session, frame, pose (16), mse: each frame matched to the one before, poses multiplied up.
+#: Points of a fixed map that are read by a task as one array; beyond, a map is matched by joins over cells.
+MAP_POINTS = 5_000_000
 
-    Matching needs only two neighbouring frames, so it runs frame by frame; the product of transforms is one ordered fold of a session.
+
+def icp_to_map(scans: DataFrame, map_points: DataFrame, by: str = "frame", **options) -> DataFrame:
+    """by, transform, mse, iterations, converged of each scan against one fixed map.
+
+    A map of up to MAP_POINTS points is broadcast to the workers once, and scans are grouped; a larger map would not fit them, and each scan
+    is matched by icp, a join over cells a step, which needs max_distance.
+    """
+    points = map_points.select(*XYZ)
+    if points.limit(MAP_POINTS + 1).count() > MAP_POINTS:
+        if not np.isfinite(options.get("max_distance", np.inf)):
+            raise SensorError(f"a map of more than {MAP_POINTS} points needs max_distance")
+        rows = []
+        for (f,) in scans.select(by).distinct().orderBy(by).collect():
+            m, mse, n, ok = icp(scans.where(F.col(by) == f), points, **options)
+            rows.append((f, m.ravel().tolist(), mse, n, ok))
+        return scans.sparkSession.createDataFrame(rows, f"{by} {dict(scans.dtypes)[by]}, {ICP_SCHEMA}")
+    target = scans.sparkSession.sparkContext.broadcast(points.toPandas().to_numpy(float))
+
+    def run(s: pd.DataFrame) -> pd.DataFrame:
+        m, mse, n, ok = kernels.icp(s.sort_values("seq")[list(XYZ)].to_numpy(float), target.value, **options)
+        return pd.DataFrame({by: [s[by].iloc[0]], "transform": [m.ravel().tolist()], "mse": [mse], "iterations": [n], "converged": [ok]})
+
+    return scans.groupBy(by).applyInPandas(run, f"{by} {dict(scans.dtypes)[by]}, {ICP_SCHEMA}")
+
+
+def scan_odometry(scans: DataFrame, session: str = "session", frame: str = "frame", forward: bool = True, world: bool = False, window: int = 1, voxel: float | None = None, **options) -> DataFrame:
+    """session, frame, pose (16), transform (16, of the match), mse, converged: neighbouring frames are matched, transforms multiplied up.
+
+    forward aligns the frame before to the current one, as radar odometry does; else the current one is aligned to what is before. The pose becomes
+    pose @ transform, or with world transform @ pose. With window the target is the last so many frames together, each reduced to means of
+    voxels if asked (not with forward). Matching needs only two neighbouring frames, so it runs frame by frame; the product of transforms is one ordered fold of a session.
     """
+    if forward and window > 1:
+        raise SensorError("a window of frames is a target only")
     frames = scans.select(session, frame).distinct()
     over = Window.partitionBy(session).orderBy(frame)
-    link = frames.withColumn("_prev", F.lag(frame).over(over)).where("_prev is not null")
+    number = frames.withColumn("_i", F.row_number().over(over))
+    key = F.struct(session, "_i").cast("string").alias("_k")
     cols = (session, frame, "seq", *XYZ)
-    source = scans.select(*cols).join(link.select(session, frame), [session, frame]).withColumn("_k", F.struct(session, frame).cast("string"))
-    target = scans.select(*cols).withColumnRenamed(frame, "_prev").join(link, [session, "_prev"]).withColumn("_k", F.struct(session, frame).cast("string"))
-    steps = icp_frames(source.select("_k", "seq", *XYZ), target.select("_k", "seq", *XYZ), by="_k", **options)
-    keyed = frames.withColumn("_k", F.struct(session, frame).cast("string")).join(steps, "_k", "left")
+    numbered = scans.select(*cols).join(number, [session, frame])
+    current = numbered.where("_i > 1").select(key, "seq", *XYZ)
+    kept = numbered
+    if voxel:
+        from tessera.operators.clouds import voxel_downsample
+
+        kept = voxel_downsample(numbered.drop("seq"), voxel, (session, "_i"), origin="zero").withColumn("seq", F.row_number().over(Window.partitionBy(session, "_i").orderBy(*XYZ)))
+    last = number.groupBy(session).agg(F.max("_i").alias("_n"))
+    later = F.explode(F.sequence(F.col("_i") + 1, F.least(F.col("_i") + window, F.col("_n"))))
+    before = kept.join(last, session).where("_i < _n").select(session, F.col("_i").alias("_of"), later.alias("_i"), "seq", *XYZ).select(key, (F.col("_of") * (1 << 32) + F.col("seq")).alias("seq"), *XYZ)
+    steps = icp_frames(*((before, current) if forward else (current, before)), by="_k", **options)
+    keyed = number.withColumn("_k", key).join(steps, "_k", "left")
 
     def fold(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(frame)
         pose, out = np.eye(4), []
         for m in t["transform"]:
             if m is not None:
-                pose = pose @ np.array(m).reshape(4, 4)
+                m = np.array(m).reshape(4, 4)
+                pose = m @ pose if world else pose @ m
             out.append(pose.ravel().tolist())
-        return pd.DataFrame({session: t[session], frame: t[frame], "pose": out, "mse": t["mse"]})
+        return pd.DataFrame({session: t[session], frame: t[frame], "pose": out, "transform": t["transform"], "mse": t["mse"], "converged": t["converged"]})
 
     kinds = dict(scans.dtypes)
-    return keyed.select(session, frame, "transform", "mse").groupBy(session).applyInPandas(fold, f"{session} {kinds[session]}, {frame} {kinds[frame]}, pose array<double>, mse double")
+    return keyed.select(session, frame, "transform", "mse", "converged").groupBy(session).applyInPandas(fold, f"{session} {kinds[session]}, {frame} {kinds[frame]}, pose array<double>, transform array<double>, mse double, converged boolean")
 
 
 def kiss_odometry(scans: DataFrame, session: str = "session", frame: str = "frame", voxel: float = 1.0, max_voxels: int = 100_000, initial: float = 2.0, alpha: float = 0.9, low: float = 0.1, high: float = 10.0, max_iterations: int = 50, tolerance: float = 1e-4) -> DataFrame:

@@ -100,11 +100,14 @@ def smooth(nodes: DataFrame, edges: DataFrame, window: int, by: str = "graph", *
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):
             return pd.DataFrame(columns=[by, "id", "transform"])
-        s, seen = Smoother(window, **options), set()
+        s, seen, at = Smoother(window, **options), set(), {}
         links = [(a, b, np.array(m).reshape(4, 4), np.array(w).reshape(6, 6)) for a, b, m, w in zip(e["a"], e["b"], e["transform"], e["information"], strict=True)]
+        for x in links:
+            for k in {x[0], x[1]}:
+                at.setdefault(k, []).append(x)
         for k, m in n.sort_values("seq")[["id", "transform"]].itertuples(index=False):
             seen.add(k)
-            s.add(k, np.array(m).reshape(4, 4), [x for x in links if k in x[:2] and seen.issuperset(x[:2])])
+            s.add(k, np.array(m).reshape(4, 4), [x for x in at.get(k, ()) if seen.issuperset(x[:2])])
             s.optimise()
         out = {**s.frozen, **s.poses}
         return pd.DataFrame({by: n[by].iloc[0], "id": list(out), "transform": [m.ravel().tolist() for m in out.values()]})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,25 +46,98 @@ def occupancy_updates(scans: DataFrame, resolution: float, width: int, height: i
     return out.where((F.col("col") >= 0) & (F.col("col") < width) & (F.col("row") >= 0) & (F.col("row") < height))
 
 
-def occupancy(updates: DataFrame, limit: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, col, row, log_odds: updates in order of (frame, seq, step), each sum clamped to [-limit, limit].
+#: Frames that are merged to one triple before the last merge of a cell.
+FRAMES_A_BLOCK = 256
+
 
-    Clamped addition does not commute, but it composes: a run of updates is x -> clamp(x + a, lo, hi). Each frame's
-    updates of a cell are folded to such a triple first, so a cell that all rays cross holds one entry a frame.
+def scan_occupancy(scans: DataFrame, resolution: float, width: int, height: int, origin=(0.0, 0.0), z_range=(-1e18, 1e18), hit: float = 0.85, miss: float = -0.4, limit: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, col, row, log_odds of scans: occupancy(occupancy_updates(scans)) without a row for each cell of each ray.
+
+    Clamped addition does not commute, but it composes: a run of updates is x -> clamp(x + a, lo, hi), and n equal ones have such a triple in closed form.
+    A frame, one scan of a sensor, is traced and folded in one Arrow batch to a triple a cell; triples are merged in order of blocks of frames, then of a cell.
+    frame is a number.
     """
+    if resolution <= 0 or width <= 0 or height <= 0:
+        raise SensorError("a grid has a positive resolution and size")
+    kinds = dict(scans.dtypes)
+    fields = scans.select(*by, "frame").schema
+    names = [*fields.names, "col", "row", "a", "lo", "hi"]
+
+    def run(t: pa.Table) -> pa.Table:
+        seq = t.column("seq")
+        order = pc.sort_indices(pa.table([c for c in seq.combine_chunks().flatten()], names=[str(i) for i in range(seq.type.num_fields)]) if pa.types.is_struct(seq.type) else pa.table({"0": seq}), sort_keys=[(str(i), "ascending") for i in range(seq.type.num_fields if pa.types.is_struct(seq.type) else 1)])
+        got = {c: t.column(c).take(order).to_numpy().astype(float) for c in ("x", "y", "ox", "oy")}
+        cell = lambda c, o: np.floor((got[c] - o) / resolution).astype(np.int64)
+        col, row, delta = trace(cell("ox", origin[0]), cell("oy", origin[1]), cell("x", origin[0]), cell("y", origin[1]), width, height, hit, miss)
+        place, triple = folded(row * width + col, delta, limit)
+        n = len(place)
+        head = [pa.array([t.column(c)[0].as_py()] * n, t.schema.field(c).type) for c in fields.names]
+        return pa.table([*head, pa.array(place % width), pa.array(place // width), *map(pa.array, triple)], names=names)
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in fields.names], "col long, row long, a double, lo double, hi double"])
+    rays = scans.where(F.col("z").between(*map(float, z_range))).select(*by, "frame", "seq", "x", "y", F.col("ox").cast("double").alias("ox"), F.col("oy").cast("double").alias("oy"))
+    frames = rays.groupBy(*by, "frame").applyInArrow(run, schema)
+    triple = F.struct("a", "lo", "hi")
+    blocks = frames.groupBy(*by, "col", "row", F.floor(F.col("frame") / FRAMES_A_BLOCK).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("frame", triple.alias("f")))).alias("fs"))
+    blocks = blocks.select(*by, "col", "row", F.struct("_block", _composed(F.col("fs")).alias("f")).alias("b"))
+    cells = blocks.groupBy(*by, "col", "row").agg(F.array_sort(F.collect_list("b")).alias("bs")).select(*by, "col", "row", _composed(F.col("bs")).alias("w"))
+    return cells.select(*by, "col", "row", F.greatest("w.lo", F.least("w.hi", "w.a")).alias("log_odds"))
+
+
+def trace(x0, y0, x1, y1, width: int, height: int, hit: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """col, row and delta of the cells of all lines within the grid, line by line from its start."""
+    dx, dy = np.abs(x1 - x0), np.abs(y1 - y0)
+    major, minor = np.maximum(dx, dy), np.minimum(dx, dy)
+    n = major + 1
+    line = np.repeat(np.arange(len(n)), n)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    side = (k * minor[line] - major[line] // 2 + major[line] - 1) // np.maximum(major[line], 1)
+    flat = (dx >= dy)[line]
+    col = x0[line] + np.sign(x1 - x0)[line] * np.where(flat, k, side)
+    row = y0[line] + np.sign(y1 - y0)[line] * np.where(flat, side, k)
+    inside = (col >= 0) & (col < width) & (row >= 0) & (row < height)
+    delta = np.where((col == x1[line]) & (row == y1[line]), hit, miss)
+    return col[inside], row[inside], delta[inside]
+
+
+def folded(place: np.ndarray, delta: np.ndarray, limit: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct places, and of each the triple (a, lo, hi) of its updates in order, each clamped to [-limit, limit]."""
+    order = np.argsort(place, kind="stable")
+    place, delta = place[order], delta[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (delta[1:] != delta[:-1])
+    first = np.flatnonzero(new)
+    n, d, own = np.diff(np.append(first, len(place))), delta[first], place[first]
+    # n equal steps: the first clamps both ends, each later one moves them and clamps again
+    a, rest = n * d, (n - 1) * d
+    lo, hi = np.clip(-limit + rest, -limit, limit), np.clip(limit + rest, -limit, limit)
+    cells, at, size = np.unique(own, return_index=True, return_counts=True)
+    out = a[at], lo[at], hi[at]
+    for turn in range(1, int(size.max(initial=0))):
+        live = np.flatnonzero(size > turn)
+        i = at[live] + turn
+        for value in out:
+            value[live] += a[i]
+        for value in out[1:]:
+            value[live] = np.clip(value[live], lo[i], hi[i])
+    return cells, out
+
+
+def _composed(ordered: Column) -> Column:
+    """One triple of an ordered list of structs with a triple f."""
     clamp = lambda v, lo, hi: F.greatest(lo, F.least(hi, v))
-    triple = lambda a, lo, hi: F.struct(a.alias("a"), lo.alias("lo"), hi.alias("hi"))
-    low, high = F.lit(-float(limit)), F.lit(float(limit))
-    first = triple(F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf")))
+    first = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    step = lambda s, x: F.struct((s.a + x.f.a).alias("a"), clamp(s.lo + x.f.a, x.f.lo, x.f.hi).alias("lo"), clamp(s.hi + x.f.a, x.f.lo, x.f.hi).alias("hi"))
+    return F.aggregate(ordered, first, step)
 
-    def after(f: Column, g: Column) -> Column:
-        return triple(f.a + g.a, clamp(f.lo + g.a, g.lo, g.hi), clamp(f.hi + g.a, g.lo, g.hi))
 
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("seq", "step", "delta"))), lambda u: triple(u.delta, low, high))
-    frames = updates.groupBy(*by, "col", "row", "frame").agg(F.aggregate(steps, first, after).alias("f"))
-    ordered = F.array_sort(F.collect_list(F.struct("frame", "f")))
-    whole = F.aggregate(ordered, first, lambda s, x: after(s, x.f))
-    return frames.groupBy(*by, "col", "row").agg(whole.alias("w")).select(*by, "col", "row", clamp(F.col("w.a"), F.col("w.lo"), F.col("w.hi")).alias("log_odds"))
+def occupancy(updates: DataFrame, limit: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, col, row, log_odds: updates of any origin in order of (frame, seq, step), each sum clamped to [-limit, limit]. scan_occupancy does scans with less."""
+    low, high = F.lit(-float(limit)), F.lit(float(limit))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("seq", "step", "delta"))), lambda u: F.struct(F.struct(u.delta.alias("a"), low.alias("lo"), high.alias("hi")).alias("f")))
+    frames = updates.groupBy(*by, "col", "row", "frame").agg(_composed(steps).alias("f"))
+    whole = _composed(F.array_sort(F.collect_list(F.struct("frame", "f"))))
+    return frames.groupBy(*by, "col", "row").agg(whole.alias("w")).select(*by, "col", "row", F.greatest("w.lo", F.least("w.hi", "w.a")).alias("log_odds"))
 
 
 def to_ros(log_odds: Column) -> Column:

@@ -72,31 +72,46 @@ def check_times(samples: DataFrame, by: tuple[str, ...] = (), time: str = "t") -
 
 
 def adaptive_threshold(residuals: DataFrame, by: tuple[str, ...], order: str, value: str, initial: float, alpha: float = 0.9, low: float = 0.0, high: float = float("inf")) -> DataFrame:
-    """by, order, sigma, threshold after each residual: sigma <- alpha sigma + (1 - alpha) r; the threshold is 3 sigma, clipped.
+    """by, order, sigma, threshold after each residual: sigma <- alpha sigma + (1 - alpha) r; the threshold is 3 sigma, clipped. One ordered pass a group."""
+    kinds = dict(residuals.dtypes)
 
-    The recurrence is a weighted sum of the residuals so far: a fold over each group's ordered list.
+    def fold(t: pd.DataFrame) -> pd.DataFrame:
+        t, sigma, out = t.sort_values(order), float(initial), []
+        for r in t[value].to_numpy(float):
+            sigma = alpha * sigma + (1 - alpha) * r
+            out.append(sigma)
+        return t[[*by, order]].assign(sigma=out, threshold=np.clip(3 * np.array(out), low, high))
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, order))
+    return residuals.select(*by, order, value).groupBy(*by).applyInPandas(fold, f"{schema}, sigma double, threshold double")
+
+
+def keyframes(poses: DataFrame, min_distance: float, by: tuple[str, ...], order: str = "seq", min_degrees: float = 10.0) -> DataFrame:
+    """poses with accepted: the first pose, then each at min_distance or more, or turned by min_degrees or more, from the last accepted.
+
+    Poses have x, y, z and may have qw, qx, qy, qz; without these, or with min_degrees 0, turns do not count. One ordered pass a group, since it looks back to acceptances.
     """
-    steps = F.array_sort(F.collect_list(F.struct(order, value)))
-    add = lambda acc, x: F.concat(acc, F.array(F.struct(x[order].alias("o"), (F.lit(alpha) * F.coalesce(F.get(acc, F.size(acc) - 1).s, F.lit(float(initial))) + F.lit(1 - alpha) * x[value]).alias("s"))))
-    kind = dict(residuals.dtypes)[order]
-    start = F.array().cast(f"array<struct<o:{kind},s:double>>")
-    g = residuals.groupBy(*by).agg(F.aggregate(steps, start, add).alias("p")).select(*by, F.explode("p").alias("p"))
-    return g.select(*by, F.col("p.o").alias(order), F.col("p.s").alias("sigma"), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), 3 * F.col("p.s"))).alias("threshold"))
-
-
-def keyframes(poses: DataFrame, min_distance: float, by: tuple[str, ...], order: str = "seq") -> DataFrame:
-    """poses with accepted: the first pose, then each at min_distance or more from the last accepted. A fold, since it looks back to acceptances."""
-    xyz = ("x", "y", "z")
-    steps = F.array_sort(F.collect_list(F.struct(order, *xyz)))
-    d2 = lambda a, b: sum((a[c] - b[c]) * (a[c] - b[c]) for c in xyz)
-    empty = F.array().cast(f"array<struct<{order}:{dict(poses.dtypes)[order]},x:double,y:double,z:double>>")
-
-    def add(acc: Column, p: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        return F.when((F.size(acc) == 0) | (F.sqrt(d2(p, last)) >= min_distance), F.concat(acc, F.array(p))).otherwise(acc)
-
-    got = poses.groupBy(*by).agg(F.transform(F.aggregate(steps, empty, add), lambda p: p[order]).alias("_kept"))
-    return poses.join(got, list(by)).withColumn("accepted", F.array_contains("_kept", F.col(order))).drop("_kept")
+    if min_distance <= 0 or min_degrees < 0:
+        raise SensorError("a positive distance and an angle of 0 or more are needed")
+    turns = min_degrees > 0 and {"qw", "qx", "qy", "qz"} <= set(poses.columns)
+    kinds = dict(poses.dtypes)
+
+    def fold(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(order)
+        p = t[["x", "y", "z"]].to_numpy(float)
+        q = t[["qw", "qx", "qy", "qz"]].to_numpy(float) if turns else np.tile([1.0, 0, 0, 0], (len(t), 1))
+        q = q / np.linalg.norm(q, axis=1)[:, None]
+        last, out = 0, np.zeros(len(t), bool)
+        for i in range(len(t)):
+            angle = 2 * np.arccos(min(1.0, abs(q[i] @ q[last]))) if turns else 0.0
+            if i == 0 or np.linalg.norm(p[i] - p[last]) >= min_distance or (turns and angle >= np.radians(min_degrees)):
+                out[i], last = True, i
+        return t[[*by, order]].assign(accepted=out)
+
+    columns = [*by, order, "x", "y", "z", *(["qw", "qx", "qy", "qz"] if turns else [])]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, order))
+    got = poses.select(*columns).groupBy(*by).applyInPandas(fold, f"{schema}, accepted boolean")
+    return poses.join(got, [*by, order])
 
 
 def submaps(frames: DataFrame, max_keyframes: int, overlap: int = 0, by: tuple[str, ...] = (), order: str = "seq") -> DataFrame:

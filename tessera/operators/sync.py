@@ -29,20 +29,23 @@ def neighbours(samples: DataFrame, queries: DataFrame, time: str = "t", by: tupl
         F.min_by("_sample", F.when(F.col("_sample").isNotNull(), F.col("_time"))).alias("_first"),
         F.max_by("_sample", F.when(F.col("_sample").isNotNull(), F.col("_time"))).alias("_last"),
     )
-    over = Window.partitionBy(*by).orderBy("_bucket")
+    # what follows is read as a running frame over the descending order, which costs no more than what precedes
+    over, back = Window.partitionBy(*by).orderBy("_bucket"), Window.partitionBy(*by).orderBy(F.desc("_bucket"))
     carry = edges.select(
         *by,
         "_bucket",
         F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_last"),
-        F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_first"),
+        F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_first"),
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_time", F.col("_query").isNotNull())
+    is_query = F.col("_query").isNotNull()
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_time", is_query)
+    behind = Window.partitionBy(*by, "_bucket").orderBy(F.desc("_time"), is_query.desc())
     found = rows.select(
         *by,
         "_bucket",
         "_query",
         F.last("_sample", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_b"),
-        F.first("_sample", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_a"),
+        F.last("_sample", ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"),
     ).where("_query is not null")
     joined = found.join(carry, [*by, "_bucket"], "left") if by else found.join(carry, "_bucket", "left")
     return joined.select("_query.*", F.coalesce("_b", "_carry_last").alias("before"), F.coalesce("_a", "_carry_first").alias("after"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import SensorError
@@ -15,11 +15,20 @@ from tessera.operators import clouds, descriptors, estimation, graphs, odometry
 XYZ = "array<array<double>>"
 
 
+def _information(strength) -> Column:
+    return F.array(*[strength if i == j else F.lit(0.0) for i in range(6) for j in range(6)])
+
+
 class Session:
-    """tables: scans (frame, seq, x, y, z), nodes (id, transform), edges, descriptors, points and trajectory."""
+    """tables: scans (frame, seq, x, y, z), nodes (id, transform), edges, descriptors, points and trajectory.
+
+    Options for matching (max_iterations, max_distance) hold for every match; loops are matched without the distance.
+    """
 
-    def __init__(self, spark: SparkSession, voxel: float | None = None, keyframe_distance: float = 0.0, rotation: bool = False, **icp):
-        self.spark, self.voxel, self.distance, self.rotation, self.icp = spark, voxel, keyframe_distance, rotation, icp
+    def __init__(self, spark: SparkSession, voxel: float | None = None, rotation: bool = False, num_rings: int = 20, num_sectors: int = 60, max_range: float = 80.0, loop_threshold: float = 0.15, loop_gap: int = 5, exclusion: int = 50, pool: int = 25, **icp):
+        self.spark, self.voxel, self.rotation, self.icp = spark, voxel, rotation, icp
+        self.context = {"num_rings": num_rings, "num_sectors": num_sectors}
+        self.loops = {"max_range": max_range, "loop_threshold": loop_threshold, "loop_gap": loop_gap, "exclusion": exclusion, "pool": pool}
         self.tables: dict[str, DataFrame] = {}
         self.callbacks: dict[str, list[Callable]] = {}
 
@@ -34,34 +43,53 @@ class Session:
 
     def scans_of(self, bag: DataFrame, topic: str, key: str) -> DataFrame:
         m = bag.where(F.col("topic") == topic)
-        frame = F.row_number().over(Window.orderBy("offset")) - 1
-        p = m.select(frame.cast("long").alias("frame"), "timestamp", F.from_json(F.get_json_object("data", f"$.{key}"), XYZ).alias("_p"))
+        # frames are counted over the offsets alone; no payload passes through that one task
+        frame = m.select("offset", (F.row_number().over(Window.orderBy("offset")) - 1).cast("long").alias("frame"))
+        p = m.join(frame, "offset").select("frame", "timestamp", F.from_json(F.get_json_object("data", f"$.{key}"), XYZ).alias("_p"))
         return p.select("frame", "timestamp", F.posexplode("_p").alias("seq", "_q")).select("frame", "timestamp", "seq", *[F.col("_q")[i].alias(c) for i, c in enumerate("xyz")])
 
-    def run(self, bag: DataFrame, topic: str = "/lidar/points", key: str = "xyz", imu_topic: str | None = None, imu_information: float = 10.0) -> Session:
-        """Scan-to-scan odometry over the bag; edges hold the matched transforms, and inertial factors between frames if a topic is named."""
+    def run(self, bag: DataFrame, topic: str = "/lidar/points", key: str = "xyz", imu_topic: str | None = None, imu_information: float = 10.0, local_map: int | None = None, local_voxel: float = 0.1) -> Session:
+        """Odometry over the bag: each scan is matched to the one before, or with local_map to so many before, each reduced by local_voxel.
+
+        The pose is transform @ pose. Edges hold the matched transforms (information 100, or 1 where the match did not converge), inertial factors
+        between frames if a topic is named, and loop closures (information 50).
+        """
         for name, fs in self.callbacks.items():
             for f in fs:
                 f(bag.where(F.col("topic") == name))
         scans = self.scans_of(bag, topic, key)
         one = scans.withColumn("session", F.lit(0))
-        path = estimation.scan_odometry(one.select("session", "frame", "seq", "x", "y", "z"), **self.icp).drop("session").persist()
+        path = estimation.scan_odometry(one.select("session", "frame", "seq", "x", "y", "z"), forward=False, world=True, window=local_map or 1, voxel=local_voxel if local_map else None, **self.icp).drop("session").persist()
         self.tables["scans"] = scans
         self.tables["nodes"] = path.select(F.col("frame").alias("id"), F.col("pose").alias("transform"))
         self.tables["trajectory"] = path.select("frame", *[F.col("pose")[i].alias(c) for i, c in ((3, "x"), (7, "y"), (11, "z"))])
-        info = F.array(*[F.lit(200.0 if i == j else 0.0) for i in range(6) for j in range(6)])
-        prev = path.select((F.col("frame") + 1).alias("frame"), F.col("pose").alias("_before"))
-        links = path.join(prev, "frame")
-        self.tables["edges"] = links.select((F.col("frame") - 1).alias("a"), F.col("frame").alias("b"), se3.multiply(se3.inverse(F.col("_before")), F.col("pose")).alias("transform"), info.alias("information"))
+        strength = F.when(F.col("converged"), 100.0).otherwise(1.0)
+        self.tables["edges"] = path.where("transform is not null").select((F.col("frame") - 1).alias("a"), F.col("frame").alias("b"), "transform", _information(strength).alias("information"))
         if imu_topic:
             self.tables["edges"] = self.tables["edges"].unionByName(self._imu(bag, topic, imu_topic, imu_information))
-        self.tables["descriptors"] = descriptors.scan_context(scans)
+        self.tables["descriptors"] = descriptors.scan_context(scans, max_range=self.loops["max_range"], **self.context)
+        self.tables["edges"] = self.tables["edges"].unionByName(self._loops(scans))
         self._map()
         return self
 
+    def _loops(self, scans: DataFrame) -> DataFrame:
+        """An edge for each scan whose nearest earlier place is near enough, old enough and can be matched."""
+        inserted = scans.select("frame").distinct().withColumn("position", F.col("frame"))
+        near = descriptors.nearest_places(self.tables["descriptors"], inserted, exclusion_window=self.loops["exclusion"], candidate_pool=self.loops["pool"], **self.context)
+        near = near.where((F.col("distance") < self.loops["loop_threshold"]) & (F.col("a") - F.col("b") > self.loops["loop_gap"])).select("a", "b").persist()
+        xyz = ("seq", "x", "y", "z")
+        source = scans.join(near.select(F.col("a").alias("frame"), "b"), "frame").select(F.struct("frame", "b").cast("string").alias("_k"), *xyz)
+        target = scans.join(near.select("a", F.col("b").alias("frame")), "frame").select(F.struct("a", "frame").cast("string").alias("_k"), *xyz)
+        free = {k: v for k, v in self.icp.items() if k != "max_distance"}
+        got = estimation.icp_frames(source, target, by="_k", **free).where("converged")
+        named = near.withColumn("_k", F.struct("a", "b").cast("string")).join(got, "_k")
+        return named.select(F.col("b").alias("a"), F.col("a").alias("b"), "transform", _information(F.lit(50.0)).alias("information"))
+
     def _imu(self, bag: DataFrame, topic: str, imu_topic: str, information: float) -> DataFrame:
         rows = bag.where(F.col("topic").isin(topic, imu_topic))
-        i = F.sum((F.col("topic") == topic).cast("int")).over(Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)) - 1
+        # intervals are counted over offsets and topics alone; no payload passes through that one task
+        count = F.sum((F.col("topic") == topic).cast("int")).over(Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)) - 1
+        rows, i = rows.join(rows.select("offset", count.alias("_i")), "offset"), F.col("_i")
         v = lambda k: F.from_json(F.get_json_object("data", f"$.{k}"), "array<double>")
         d = rows.withColumn("interval", F.greatest(i, F.lit(0))).where(F.col("topic") == imu_topic).select("interval", F.col("timestamp").alias("t"), v("accel").alias("_a"), v("gyro").alias("_g"))
         d = d.select("interval", "t", *[F.col("_a")[k].alias(f"a{c}") for k, c in enumerate("xyz")], *[F.col("_g")[k].alias(f"w{c}") for k, c in enumerate("xyz")])
@@ -91,13 +119,11 @@ class Session:
         return self
 
     def localise(self, bag: DataFrame, map_points: DataFrame, topic: str = "/lidar/points", key: str = "xyz") -> DataFrame:
-        """frame and transform of each scan against a fixed map, from the identity. The map is loaded beside each scan's frame."""
+        """frame and transform of each scan against a fixed map, from the identity."""
         if not map_points.limit(1).count():
             raise SensorError("the map is empty")
         scans = self.scans_of(bag, topic, key)
-        frames = scans.select("frame").distinct()
-        target = F.broadcast(frames).crossJoin(map_points.select(F.monotonically_increasing_id().alias("seq"), "x", "y", "z"))
-        return estimation.icp_frames(scans.select("frame", "seq", "x", "y", "z"), target, **self.icp)
+        return estimation.icp_to_map(scans.select("frame", "seq", "x", "y", "z"), map_points, **self.icp)
 
     def load_map(self, path: str) -> DataFrame:
         from tessera.sources import text
@@ -108,17 +134,17 @@ class Session:
         """A folder of Parquet tables and one of settings."""
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        meta = json.dumps({"voxel": self.voxel, "rotation": self.rotation, "tables": sorted(self.tables)})
+        meta = json.dumps({"voxel": self.voxel, "rotation": self.rotation, "context": self.context, "loops": self.loops, "icp": self.icp, "tables": sorted(self.tables)})
         self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Session:
         meta = json.loads(spark.read.text(f"{path}/metadata").first().value)
-        out = cls(spark, meta["voxel"], rotation=meta["rotation"])
+        out = cls(spark, meta["voxel"], rotation=meta["rotation"], **meta["context"], **meta["loops"], **meta["icp"])
         out.tables = {n: spark.read.parquet(f"{path}/{n}") for n in meta["tables"]}
         return out
 
     def merge(self, other: Session, loop: tuple) -> Session:
-        out = Session(self.spark, self.voxel, rotation=self.rotation)
+        out = Session(self.spark, self.voxel, rotation=self.rotation, **self.context, **self.loops, **self.icp)
         out.tables = graphs.merge_sessions(self.tables, other.tables, loop)
         return out

@@ -78,14 +78,16 @@ def ransac_inliers(spark, sf_dir):
 
 @register("ransac_plane")
 def ransac_plane(spark, sf_dir):
-    normal, d, cloud = clouds.ransac_plane(pts(spark, sf_dir), threshold=2.0, iterations=40, seed=1)
-    return cloud.groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.col("inlier").cast("long")).alias("inliers"))
+    normal, d, cloud = clouds.ransac_plane(pts(spark, sf_dir), threshold=2.0, seed=1)
+    plane = [F.lit(round(float(v), 6)).alias(c) for c, v in zip(("nx", "ny", "nz", "d"), (*normal, d), strict=True)]
+    return cloud.groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.col("inlier").cast("long")).alias("inliers")).select("*", *plane)
 
 
 @register("ransac_ground")
 def ransac_ground(spark, sf_dir):
-    normal, d, cloud = clouds.ransac_ground(pts(spark, sf_dir), threshold=2.0, iterations=200, normal_threshold=0.5, seed=1)
-    return cloud.groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.col("ground").cast("long")).alias("ground"))
+    normal, d, cloud = clouds.ransac_ground(pts(spark, sf_dir), threshold=2.0, normal_threshold=0.5, seed=1)
+    plane = [F.lit(round(float(v), 6)).alias(c) for c, v in zip(("nx", "ny", "nz", "d"), (*normal, d), strict=True)]
+    return cloud.groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.col("ground").cast("long")).alias("ground")).select("*", *plane)
 
 
 @register("normals")
@@ -95,7 +97,7 @@ def normals(spark, sf_dir):
 
 @register("ground_normals")
 def ground_normals(spark, sf_dir):
-    return clouds.ground_by_normals(numbered(spark, sf_dir), 12, 0.5).groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.col("ground").cast("long")).alias("ground"))
+    return clouds.ground_by_normals(numbered(spark, sf_dir), 12, 0.5).select("frame", "seq", "nz", "ground")
 
 
 @register("map_scans", f"WITH {PTS_SQL} SELECT frame, round(sum(-y + 0.5*frame), 5) + 0.0 AS sx, round(sum(x), 5) + 0.0 AS sy, round(sum(z), 5) + 0.0 AS sz, count(*) AS n FROM pts GROUP BY frame")
@@ -166,8 +168,7 @@ def _occupancy(spark, sf_dir):
     p = pts(spark, sf_dir).withColumn("grid", F.col("frame"))
     # cells of 5 by 10, so the axes are scaled to cells first
     scaled = p.withColumn("x", (F.col("x") + 25) / 5).withColumn("y", (F.col("y") + 50) / 10).withColumn("ox", F.lit(5.5)).withColumn("oy", F.lit(5.5))
-    u = grids.occupancy_updates(scaled, 1.0, 11, 11, z_range=(-4.5, 1e9), by=("grid",))
-    return grids.occupancy(u, by=("grid",)).withColumn("log_odds", r(F.col("log_odds"), 6))
+    return grids.scan_occupancy(scaled, 1.0, 11, 11, z_range=(-4.5, 1e9), by=("grid",)).withColumn("log_odds", r(F.col("log_odds"), 6))
 
 
 @register("occupancy", _OCC + "SELECT * FROM f")

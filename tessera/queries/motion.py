@@ -96,24 +96,24 @@ def _shifted(spark, sf_dir):
 
 @register("icp")
 def icp(spark, sf_dir):
-    return estimation.icp_frames(*_shifted(spark, sf_dir), max_iterations=20)
+    return estimation.icp_frames(*_shifted(spark, sf_dir))
 
 
 @register("icp_plane")
 def icp_plane(spark, sf_dir):
-    return estimation.icp_frames(*_shifted(spark, sf_dir), plane=True, normals_k=10, max_iterations=10)
+    return estimation.icp_frames(*_shifted(spark, sf_dir), plane=True, normals_k=10)
 
 
 @register("radar_odometry")
 def radar_odometry(spark, sf_dir):
     p = numbered(spark, sf_dir).withColumn("session", F.floor(F.col("frame") / 10))
-    return estimation.scan_odometry(p, max_iterations=5)
+    return estimation.scan_odometry(p)
 
 
 @register("kiss_icp")
 def kiss_icp(spark, sf_dir):
     p = numbered(spark, sf_dir).withColumn("session", F.floor(F.col("frame") / 10))
-    return estimation.kiss_odometry(p, voxel=4.0, max_iterations=5)
+    return estimation.kiss_odometry(p, voxel=4.0)
 
 
 def _graph(spark, sf_dir):
@@ -139,12 +139,12 @@ def graph_cost(spark, sf_dir):
 
 @register("pose_graph")
 def pose_graph(spark, sf_dir):
-    return graphs.optimise(*_graph(spark, sf_dir), max_iterations=3)
+    return graphs.optimise(*_graph(spark, sf_dir))
 
 
 @register("smoother")
 def smoother(spark, sf_dir):
-    return graphs.smooth(*_graph(spark, sf_dir), window=4, max_iterations=1)
+    return graphs.smooth(*_graph(spark, sf_dir), window=4)
 
 
 @register("session_merge", "SELECT id FROM (SELECT o_orderkey AS id FROM orders UNION ALL SELECT o_orderkey + 1 + (SELECT max(o_orderkey) FROM orders) FROM orders)")
@@ -165,7 +165,7 @@ def _bag(spark, sf_dir):
 def session_run(spark, sf_dir):
     from tessera.plans.session import Session
 
-    return Session(spark, max_iterations=3).run(_bag(spark, sf_dir)).tables["trajectory"]
+    return Session(spark).run(_bag(spark, sf_dir)).tables["trajectory"]
 
 
 @register("session_localize")
@@ -173,4 +173,4 @@ def session_localize(spark, sf_dir):
     from tessera.plans.session import Session
 
     base = numbered(spark, sf_dir).where("frame = 1").select("x", "y", "z")  # the fixed map is one scan
-    return Session(spark, max_iterations=3).localise(_bag(spark, sf_dir), base)
+    return Session(spark).localise(_bag(spark, sf_dir), base)

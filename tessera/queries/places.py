@@ -37,10 +37,10 @@ def scan_context_distance(spark, sf_dir):
 
 @register("scan_context_query")
 def scan_context_query(spark, sf_dir):
-    """The earlier scans most like the first one, among all; the number of answers is the feature."""
+    """For every scan the one most like it among those inserted more than five before it."""
     sc = descriptors.scan_context(pts(spark, sf_dir))
-    order = sc.select("frame").distinct().withColumn("position", F.col("frame"))
-    return descriptors.scan_context_query(sc, 1, order, exclusion_window=5, candidate_pool=10, top_k=3)
+    order = pts(spark, sf_dir).select("frame").distinct().withColumn("position", F.col("frame"))
+    return descriptors.nearest_places(sc, order, exclusion_window=5, candidate_pool=10)
 
 
 _COS = "SELECT q.vec_id AS query, e.vec_id AS id, 1 - list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id < q.vec_id - 10"
@@ -68,9 +68,9 @@ def match_features(spark, sf_dir):
 
 @register("m2dp")
 def m2dp(spark, sf_dir):
-    return descriptors.m2dp(numbered(spark, sf_dir)).select("frame", F.size("descriptor").alias("length"))
+    return descriptors.m2dp(numbered(spark, sf_dir)).select("frame", "descriptor")
 
 
 @register("image_descriptor")
 def image_descriptor(spark, sf_dir):
-    return descriptors.image_descriptors(image(spark, sf_dir)).select("img", F.size("descriptor").alias("length"))
+    return descriptors.image_descriptors(image(spark, sf_dir)).select("img", "descriptor")

@@ -44,14 +44,14 @@ def triangulate(spark, sf_dir):
 @register("essential")
 def essential(spark, sf_dir):
     k = [[500, 0, 320], [0, 500, 240], [0, 0, 1.0]]
-    return vision.essential(_matches(spark, sf_dir).drop("x", "y", "z"), k, iterations=10)
+    return vision.essential(_matches(spark, sf_dir).drop("x", "y", "z"), k)
 
 
 @register("pnp")
 def pnp(spark, sf_dir):
     k = [[500, 0, 320], [0, 500, 240], [0, 0, 1.0]]
     m = _matches(spark, sf_dir).select(F.col("pair").alias("view"), "seq", "x", "y", "z", F.col("u2").alias("u"), F.col("v2").alias("v"))
-    return vision.pnp(m, k, iterations=10)
+    return vision.pnp(m, k)
 
 
 @register("stereo_points", f"WITH {_PIX}, d AS (SELECT *, 60.0/v AS z FROM px WHERE v > 1e-12) SELECT img, row_number() OVER (PARTITION BY img ORDER BY \"row\", col) - 1 AS seq, round((col-20)*z/500, 8) + 0.0 AS x, round((\"row\"-20)*z/500, 8) + 0.0 AS y, round(z, 8) + 0.0 AS z FROM d")
@@ -74,7 +74,7 @@ def harris(spark, sf_dir):
 @register("patch_descriptor")
 def patch_descriptor(spark, sf_dir):
     px = image(spark, sf_dir)
-    return vision.patches(px, vision.corners(px, radius=2).select("img", "row", "col"), 5).select("img", "row", "col", F.size("descriptor").alias("length"))
+    return vision.patches(px, vision.corners(px, radius=2).select("img", "row", "col"), 5).select("img", "row", "col", F.transform("descriptor", lambda v: r(v, 6)).alias("descriptor"))
 
 
 @register("disparity")

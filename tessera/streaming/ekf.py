@@ -25,7 +25,7 @@ class State:
     q: np.ndarray = field(default_factory=lambda: np.array([1.0, 0, 0, 0]))
     ba: np.ndarray = field(default_factory=lambda: np.zeros(3))
     bg: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    cov: np.ndarray = field(default_factory=lambda: np.eye(15) * 1e-2)
+    cov: np.ndarray = field(default_factory=lambda: np.eye(15) * 1e-4)
 
 
 class Filter:
@@ -41,13 +41,15 @@ class Filter:
         world = r @ a + self.gravity
         f = np.eye(15)
         f[0:3, 3:6] = np.eye(3) * dt
+        f[0:3, 6:9] = -0.5 * r @ kernels.skew(a) * dt**2
+        f[0:3, 9:12] = -0.5 * r * dt**2
         f[3:6, 6:9] = -r @ kernels.skew(a) * dt
         f[3:6, 9:12] = -r * dt
         f[6:9, 6:9] = kernels.exp_so3(-w * dt)
         f[6:9, 12:15] = -np.eye(3) * dt
         na, ng, wa, wg = self.noise
         q = np.diag(np.repeat([0.0, na**2 * dt, ng**2 * dt, wa**2 * dt, wg**2 * dt], 3))
-        return State(s.p + s.v * dt + 0.5 * world * dt * dt, s.v + world * dt, _turn(s.q, w * dt), s.ba, s.bg, f @ s.cov @ f.T + q)
+        return State(s.p + s.v * dt + 0.5 * world * dt * dt, s.v + world * dt, _turn(s.q, w * dt), s.ba, s.bg, _even(f @ s.cov @ f.T + q))
 
     def position(self, s: State, measured, noise) -> State:
         return self._update(s, np.asarray(measured) - s.p, _rows(0), noise)
@@ -56,11 +58,14 @@ class Filter:
         return self._update(s, np.asarray(measured) - s.v, _rows(3), noise)
 
     def pose(self, s: State, position, quaternion, position_noise, orientation_noise) -> State:
-        d = kernels.quat_multiply(s.q * [1, -1, -1, -1], np.asarray(quaternion) / np.linalg.norm(quaternion))
+        """The orientation's residual is the rotation vector of measured times conjugate of predicted, along the shorter arc."""
+        d = kernels.quat_multiply(np.asarray(quaternion) / np.linalg.norm(quaternion), s.q * [1, -1, -1, -1])
         d = -d if d[0] < 0 else d
+        angle, length = 2 * np.arccos(np.clip(d[0] / np.linalg.norm(d), -1, 1)), np.linalg.norm(d[1:])
+        turn = np.zeros(3) if angle < 1e-10 or length < 1e-10 else angle * d[1:] / length
         n = np.zeros((6, 6))
         n[:3, :3], n[3:, 3:] = _square(position_noise), _square(orientation_noise)
-        return self._update(s, np.concatenate((np.asarray(position) - s.p, 2 * d[1:])), np.vstack((_rows(0), _rows(6))), n)
+        return self._update(s, np.concatenate((np.asarray(position) - s.p, turn)), np.vstack((_rows(0), _rows(6))), n)
 
     def _update(self, s: State, residual, h, noise) -> State:
         n = _square(noise, len(residual))
@@ -68,7 +73,11 @@ class Filter:
         d = k @ residual
         a = np.eye(15) - k @ h
         cov = a @ s.cov @ a.T + k @ n @ k.T
-        return State(s.p + d[:3], s.v + d[3:6], _turn(s.q, d[6:9]), s.ba + d[9:12], s.bg + d[12:15], (cov + cov.T) / 2)
+        return State(s.p + d[:3], s.v + d[3:6], _turn(s.q, d[6:9]), s.ba + d[9:12], s.bg + d[12:15], _even(cov))
+
+
+def _even(m: np.ndarray) -> np.ndarray:
+    return (m + m.T) / 2
 
 
 def _rows(at: int) -> np.ndarray:
@@ -89,35 +98,59 @@ def _turn(q, v) -> np.ndarray:
     return out / np.linalg.norm(out)
 
 
-def _step(f: Filter, s: State, last, row, noise: float):
-    if row.kind == "imu":
-        if last is not None and row.t > last:
-            s = f.predict(s, row.a, row.b, row.t - last)
-        last = row.t
-    elif row.kind == "position":
-        s = f.position(s, row.a, noise)
-    elif row.kind == "velocity":
-        s = f.velocity(s, row.a, noise)
-    return s, last
+class Tracker:
+    """A filter at work: its state, the time of the last inertial row and of the last fix that was taken."""
+
+    def __init__(self, noise: float = 1.0, orientation_noise: float = 0.01, max_fix_age: float | None = None, on_outage=None, **options):
+        self.filter, self.state, self.last, self.fixed = Filter(**options), State(), None, None
+        self.noise, self.orientation_noise, self.max_fix_age, self.on_outage = noise, orientation_noise, max_fix_age, on_outage
+
+    def step(self, kind: str, t: float, a, b) -> State:
+        """imu: acceleration and rates; position, velocity: a; pose: place and quaternion; fix: a place that is skipped once the last one taken is too old."""
+        f, s = self.filter, self.state
+        if kind == "imu":
+            if self.last is not None and t > self.last:
+                s = f.predict(s, a, b, t - self.last)
+            self.last = t
+        elif kind == "position":
+            s = f.position(s, a, self.noise)
+        elif kind == "velocity":
+            s = f.velocity(s, a, self.noise)
+        elif kind == "pose":
+            s = f.pose(s, a, b, self.noise, self.orientation_noise)
+        elif kind == "fix":
+            if self.max_fix_age is not None and self.fixed is not None and t - self.fixed > self.max_fix_age:
+                if self.on_outage is not None:
+                    self.on_outage(t - self.fixed)
+            else:
+                s, self.fixed = f.position(s, a, self.noise), t
+        else:
+            raise SensorError(f"unknown kind of row {kind!r}")
+        self.state = s
+        return s
 
 
 OUT = "t double, x double, y double, z double, qw double, qx double, qy double, qz double"
 
 
-def track(rows: DataFrame, by: str = "vehicle", noise: float = 1.0, **options) -> DataFrame:
-    """by, t and the pose after each row (by, t, kind of imu, position or velocity, a, b), in order of time."""
+def track(rows: DataFrame, by: str = "vehicle", **options) -> DataFrame:
+    """by, t and the pose after each row (by, t, kind, a, b), in order of time; kinds and options as of Tracker.
+
+    A row of kind fix is gated: once the last fix taken is older than max_fix_age all later ones are skipped, and on_outage, called
+    in the worker, gets the age.
+    """
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        f, s, last, out = Filter(**options), State(), None, []
+        tracker, out = Tracker(**options), []
         for row in t.sort_values(["t", "kind"]).itertuples(index=False):
-            s, last = _step(f, s, last, row, noise)
+            s = tracker.step(row.kind, row.t, row.a, row.b)
             out.append((t[by].iloc[0], row.t, *s.p, *s.q))
         return pd.DataFrame(out, columns=[by, "t", "x", "y", "z", "qw", "qx", "qy", "qz"])
 
     return rows.groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, {OUT}")
 
 
-def track_stream(rows: DataFrame, by: str = "vehicle", watermark: str = "10 seconds", noise: float = 1.0, **options) -> DataFrame:
+def track_stream(rows: DataFrame, by: str = "vehicle", watermark: str = "10 seconds", **options) -> DataFrame:
     """The same over a stream with an event-time column ``ts`` beside t: rows wait until the watermark passes them, and are then folded in order of time.
 
     The state of a key is the filter and the rows that still wait.
@@ -128,21 +161,20 @@ def track_stream(rows: DataFrame, by: str = "vehicle", watermark: str = "10 seco
     def run(key, batches: Iterator[pd.DataFrame], held):
         import pickle
 
-        f = Filter(**options)
-        s, last, wait = pickle.loads(held.get[0]) if held.exists else (State(), None, [])
+        tracker = Tracker(**options)
+        wait = []
+        if held.exists:
+            tracker.state, tracker.last, tracker.fixed, wait = pickle.loads(held.get[0])
         for b in batches:
             wait += [(r.t, r.kind, np.asarray(r.a), np.asarray(r.b)) for r in b.itertuples(index=False)]
         mark = held.getCurrentWatermarkMs() / 1000
         ready = sorted((w for w in wait if w[0] <= mark), key=lambda w: w[:2])
         wait = [w for w in wait if w[0] > mark]
         out = []
-        Row = type("Row", (), {})
         for t, k, a, b in ready:
-            row = Row()
-            row.t, row.kind, row.a, row.b = t, k, a, b
-            s, last = _step(f, s, last, row, noise)
+            s = tracker.step(k, t, a, b)
             out.append((key[0], t, *s.p, *s.q))
-        held.update((pickle.dumps((s, last, wait)),))
+        held.update((pickle.dumps((tracker.state, tracker.last, tracker.fixed, wait)),))
         if wait:
             held.setTimeoutTimestamp(int(min(w[0] for w in wait) * 1000) + 1)
         yield pd.DataFrame(out, columns=[by, "t", "x", "y", "z", "qw", "qx", "qy", "qz"])

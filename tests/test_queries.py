@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, or at least for rows."""
+"""Every registered query against its SQL."""
 
 import pytest
 
@@ -22,9 +22,12 @@ def test_matches_sql(spark, duck, data, name):
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_gives_rows(spark, data, name):
-    assert QUERIES[name](spark, data).count() >= 0
+def test_every_query_without_sql_is_checked_elsewhere():
+    """tests/test_definitions.py holds a plain loop, or a property with a known answer, for each of them."""
+    import os
+
+    text = open(os.path.join(os.path.dirname(__file__), "test_definitions.py"), encoding="utf-8").read()
+    assert [n for n in sorted(set(QUERIES) - set(SQL)) if f'"{n}"' not in text] == []
 
 
 def test_entry(spark):

@@ -130,17 +130,18 @@ def submaps(frames: DataFrame, max_keyframes: int, overlap: int = 0, by: tuple[s
 
 
 def preintegrate(imu: DataFrame, accel_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0, 0.0), by: str = "interval") -> DataFrame:
-    """by, rotation (9), velocity (3), position (3), duration, n from rows of t, ax..az, wx..wz, by the midpoint rule."""
+    """by, rotation (9), quaternion (4, w first), velocity (3), position (3), duration, n from rows of t, ax..az, wx..wz, by the midpoint rule."""
+    from tessera.kernels import matrix_to_quat
     from tessera.kernels import preintegrate as kernel
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("t")
         if len(t) < 2 or (np.diff(t["t"]) <= 0).any():
-            return pd.DataFrame(columns=[by, "rotation", "velocity", "position", "duration", "n"])
+            return pd.DataFrame(columns=[by, "rotation", "quaternion", "velocity", "position", "duration", "n"])
         r, v, p = kernel(t["t"].to_numpy(float), t[["ax", "ay", "az"]].to_numpy(float) - np.array(accel_bias), t[["wx", "wy", "wz"]].to_numpy(float) - np.array(gyro_bias))
-        return pd.DataFrame({by: [t[by].iloc[0]], "rotation": [r.ravel().tolist()], "velocity": [v.tolist()], "position": [p.tolist()], "duration": [float(t["t"].iloc[-1] - t["t"].iloc[0])], "n": [len(t)]})
+        return pd.DataFrame({by: [t[by].iloc[0]], "rotation": [r.ravel().tolist()], "quaternion": [matrix_to_quat(r).tolist()], "velocity": [v.tolist()], "position": [p.tolist()], "duration": [float(t["t"].iloc[-1] - t["t"].iloc[0])], "n": [len(t)]})
 
-    return imu.groupBy(by).applyInPandas(run, f"{by} {dict(imu.dtypes)[by]}, rotation array<double>, velocity array<double>, position array<double>, duration double, n long")
+    return imu.groupBy(by).applyInPandas(run, f"{by} {dict(imu.dtypes)[by]}, rotation array<double>, quaternion array<double>, velocity array<double>, position array<double>, duration double, n long")
 
 
 def deskew(points: DataFrame, imu: DataFrame, frame: str = "frame", gravity=(0.0, 0.0, -9.81), velocity=(0.0, 0.0, 0.0), ref: str = "ref_time") -> DataFrame:

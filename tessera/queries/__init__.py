@@ -1,3 +1,3 @@
 """Registered queries of the sensor operators; importing the modules fills tessera.catalog."""
 
-from tessera.queries import bags, clouds, geometry, motion, places, streams, vision  # noqa: F401
+from tessera.queries import bags, clouds, geometry, motion, places, sources, streams, vision  # noqa: F401

@@ -53,8 +53,8 @@ def radar(data: bytes) -> np.ndarray:
 _KIND = {"<f4": ("float", pa.float32()), "<f8": ("double", pa.float64())}
 
 
-def read(spark: SparkSession, path: str, layout, decoder) -> DataFrame:
-    """path, idx and the fields of the layout; fields that a file's own layout lacks are null."""
+def parse(files: DataFrame, layout, decoder) -> DataFrame:
+    """path, idx and the fields of the layout, of rows of (path, content) from any source; fields that a file's own layout lacks are null."""
     names = [n for n, _ in layout]
     schema = pa.schema([("path", pa.string()), ("idx", pa.int64()), *[(n, _KIND[k][1]) for n, k in layout]])
     ddl = ", ".join(["path string", "idx long", *[f"`{n}` {_KIND[k][0]}" for n, k in layout]])
@@ -68,7 +68,11 @@ def read(spark: SparkSession, path: str, layout, decoder) -> DataFrame:
                 cols += [pa.array(np.ascontiguousarray(r[n])) if n in have else pa.nulls(len(r), schema.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ddl)
+    return files.select("path", "content").mapInArrow(run, ddl)
+
+
+def read(spark: SparkSession, path: str, layout, decoder) -> DataFrame:
+    return parse(spark.read.format("binaryFile").load(path), layout, decoder)
 
 
 def read_velodyne(spark: SparkSession, path: str) -> DataFrame:

@@ -84,6 +84,12 @@ def test_rtcm(spark, tmp_path):
     assert rows[1].msm.satellites == str(1 << 63 | 1)
     assert rows[1].msm.ranges == pytest.approx([70.5 * rtcm.LIGHT_MS, 71 * rtcm.LIGHT_MS])
     assert rtcm.crc24q(b"") == 0
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    (folder / "a.rtcm").write_bytes(good + rtcm_frame(msm))
+    q = rtcm.read_stream(spark, str(folder)).writeStream.format("memory").queryName("rtcm_messages").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.message for r in spark.table("rtcm_messages").collect()) == [1005, 1074]
 
 
 def test_bag(spark, tmp_path):

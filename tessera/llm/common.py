@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    It is what ``spark.checkpoint.dir`` names. Only a session without that setting
-    (tests, notebooks on one machine) gets a temporary folder of its own.
+    It is what ``spark.checkpoint.dir`` names. Only a session on one machine (a master local[..]) may
+    be without that setting, and gets a temporary folder of its own; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if have.isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoints-"))
         have = sc._jsc.sc().getCheckpointDir()
     return have.get().rstrip("/")
@@ -34,6 +37,12 @@ def new_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_path named, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared folder and forgets its lineage; lost executors lose nothing of it.
 

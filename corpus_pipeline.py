@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import dartminhash, langid, mixing, pii, spm
-from tessera.llm.common import new_path, small_batches
+from tessera.llm.common import drop_path, new_path, small_batches
 from tessera.llm.queries import remainder, tokenizer_file
 
 #: A text whose n-grams are on average no likelier in its predicted language than at random (log odds), or ``und``, is rejected.
@@ -68,9 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:  # nothing reads it any more
+            drop_path(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

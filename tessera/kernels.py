@@ -438,7 +438,7 @@ def edge_error(xi, xj, measured) -> np.ndarray:
     return np.concatenate((e[:3, 3], log_so3(e[:3, :3])))
 
 
-def _log_so3_many(r) -> np.ndarray:
+def log_so3_many(r) -> np.ndarray:
     a = np.arccos(np.clip((np.trace(r, axis1=1, axis2=2) - 1) / 2, -1, 1))
     w = np.stack((r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]), axis=1)
     small = a < 1e-10
@@ -534,7 +534,7 @@ def optimise_graph(poses: dict, edges: list, priors: list = (), max_iterations=2
 
     def error(a, b):
         e = measured @ _inv_rigid_many(a) @ b
-        return np.concatenate((e[:, :3, 3], _log_so3_many(e[:, :3, :3])), axis=1)
+        return np.concatenate((e[:, :3, 3], log_so3_many(e[:, :3, :3])), axis=1)
 
     eps = 1e-7
     turns = {s: [exp_so3(s * eps * np.eye(3)[c]) for c in range(3)] for s in (1, -1)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +29,24 @@ def imu_edges(factors: DataFrame, weight: float = 10.0) -> DataFrame:
 
 
 def graph_errors(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> DataFrame:
-    """by, a, b, e (6), cost: half e' W e of every edge. nodes: by, id, transform (16); edges: by, a, b, transform, information (36)."""
+    """by, a, b, e (6), cost: half e' W e of every edge, in Arrow batches. nodes: by, id, transform (16); edges: by, a, b, transform, information (36)."""
     one = nodes.select(by, F.col("id").alias("a"), F.col("transform").alias("_ta"))
     two = nodes.select(by, F.col("id").alias("b"), F.col("transform").alias("_tb"))
-    rel = edges.join(one, [by, "a"]).join(two, [by, "b"]).select(by, "a", "b", "information", se3.multiply(se3.inverse(F.col("transform")), se3.multiply(se3.inverse(F.col("_ta")), F.col("_tb"))).alias("_m"))
-    e = F.concat(F.array(F.col("_m")[3], F.col("_m")[7], F.col("_m")[11]), se3.log_so3(se3.rotation_of(F.col("_m"))))
-    rel = rel.select(by, "a", "b", "information", e.alias("e"))
-    row = lambda i: F.aggregate(F.zip_with(F.slice("information", 6 * i + 1, 6), "e", lambda w, x: w * x), F.lit(0.0), lambda s, x: s + x)
-    cost = sum(F.col("e")[i] * row(i) for i in range(6)) / 2
-    return rel.select(by, "a", "b", "e", cost.alias("cost"))
+    rel = edges.join(one, [by, "a"]).join(two, [by, "b"]).select(by, "a", "b", "transform", "_ta", "_tb", "information")
+    kinds = {f.name: f.dataType.simpleString() for f in rel.schema}
+
+    def run(batches):
+        for t in batches:
+            if not t.num_rows:
+                continue
+            square = lambda c, n, t=t: t.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n, n)
+            m = np.linalg.inv(square("transform", 4)) @ np.linalg.inv(square("_ta", 4)) @ square("_tb", 4)
+            e = np.concatenate((m[:, :3, 3], kernels.log_so3_many(m[:, :3, :3])), axis=1)
+            cost = 0.5 * np.einsum("mi,mij,mj->m", e, square("information", 6), e)
+            lists = pa.ListArray.from_arrays(np.arange(len(e) + 1, dtype=np.int32) * 6, e.ravel())
+            yield pa.RecordBatch.from_arrays([t.column(by), t.column("a"), t.column("b"), lists, pa.array(cost)], names=[by, "a", "b", "e", "cost"])
+
+    return rel.mapInArrow(run, f"{by} {kinds[by]}, a {kinds['a']}, b {kinds['b']}, e array<double>, cost double")
 
 
 def graph_cost(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> DataFrame:

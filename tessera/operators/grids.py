@@ -168,24 +168,42 @@ def tsdf(points: DataFrame, size: float, truncation: float, origin=(0.0, 0.0, 0.
     """by, ix, iy, iz, tsdf, weight. points: x, y, z in the world and ox, oy, oz, the sensor's place.
 
     A point updates the voxels in its box of the truncation distance whose centre projects
-    onto its ray within that distance of it. The running mean of equal weights is the mean, so the order does not matter and a plain aggregation does it.
+    onto its ray within that distance of it. The running mean of equal weights is the mean, so the order does not matter and a plain aggregation does it,
+    of sums that each batch of points has made already.
     """
     if size <= 0 or truncation <= 0:
         raise SensorError("a voxel and the truncation are positive")
     names = ("x", "y", "z")
-    p = points
-    depth = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in names))
-    p = p.withColumn("_d", depth).where("_d > 1e-9")
-    for c, o, n in zip(names, origin, shape, strict=True):
-        low = F.greatest(F.lit(0).cast("long"), F.floor((F.col(c) - truncation - o) / size).cast("long"))
-        high = F.least(F.lit(n - 1).cast("long"), F.ceil((F.col(c) + truncation - o) / size).cast("long"))
-        p = p.withColumn(f"_r{c}", F.when(low <= high, F.sequence(low, high)))
-    for c in names:
-        p = p.withColumn(f"i{c}", F.explode(f"_r{c}"))
-    along = sum((voxel_to_world(F.col(f"i{c}"), o, size) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) / F.col("_d") for c, o in zip(names, origin, strict=True))
-    p = p.withColumn("_sdf", F.col("_d") - along).where(F.abs(F.col("_sdf")) <= truncation)
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_sdf") / truncation))
-    return p.groupBy(*by, "ix", "iy", "iz").agg(F.avg(value).alias("tsdf"), F.count("*").cast("double").alias("weight"))
+    kinds = dict(points.dtypes)
+
+    def run(batches):
+        for t in batches:
+            q = np.stack([t[c].to_numpy(float) for c in names], axis=1)
+            ray = q - np.stack([t[f"o{c}"].to_numpy(float) for c in names], axis=1)
+            depth = np.sqrt((ray * ray).sum(axis=1))
+            low = np.maximum(0, np.floor((q - truncation - origin) / size)).astype(np.int64)
+            high = np.minimum(np.array(shape) - 1, np.ceil((q + truncation - origin) / size)).astype(np.int64)
+            width = np.where((depth > 1e-9)[:, None], np.maximum(high - low + 1, 0), 0)
+            count = width.prod(axis=1)
+            # some thousand points at a time, so that a batch's boxes stay small
+            for part in np.array_split(np.arange(len(q)), max(1, int(count.sum()) // 2_000_000 + 1)):
+                i = np.repeat(part, count[part])
+                k = np.arange(len(i)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+                w = width[i]
+                voxel = low[i] + np.stack((k // (w[:, 1] * w[:, 2]), k // w[:, 2] % w[:, 1], k % w[:, 2]), axis=1) if len(i) else np.zeros((0, 3), np.int64)
+                centre = np.array(origin) + (voxel + 0.5) * size
+                along = ((centre - (q - ray)[i]) * ray[i]).sum(axis=1) / depth[i]
+                sdf = depth[i] - along
+                near = np.abs(sdf) <= truncation
+                out = t[list(by)].iloc[i[near]].reset_index(drop=True)
+                for axis, c in enumerate(names):
+                    out[f"i{c}"] = voxel[near, axis]
+                out["s"] = np.clip(sdf[near] / truncation, -1, 1)
+                yield out.groupby([*by, "ix", "iy", "iz"], sort=False, dropna=False).agg(s=("s", "sum"), n=("s", "size")).reset_index()
+
+    schema = "".join(f"{c} {kinds[c]}, " for c in by) + "ix long, iy long, iz long, s double, n long"
+    sums = points.select(*by, *names, "ox", "oy", "oz").mapInPandas(run, schema)
+    return sums.groupBy(*by, "ix", "iy", "iz").agg((F.sum("s") / F.sum("n")).alias("tsdf"), F.sum("n").cast("double").alias("weight"))
 
 
 def surface(volume: DataFrame, size: float, origin=(0.0, 0.0, 0.0), threshold: float = 0.1) -> DataFrame:

@@ -74,25 +74,92 @@ def kabsch_from_moments(mean_src, mean_tgt, cross) -> np.ndarray:
     return rigid(r, mean_tgt - r @ mean_src)
 
 
+#: Products of queries and points below which all distances are taken.
+ALL_PAIRS = 4_000_000
+
+
+class Cells:
+    """Points by cubic cells of one size, to be asked for those in the cells around a place."""
+
+    def __init__(self, points: np.ndarray, size: float):
+        self.points, self.size, self.low = points, size, points.min(axis=0)
+        at = self._cell(points)
+        self.shape = at.max(axis=0) + 3
+        self.order = np.argsort(self._key(at), kind="stable")
+        self.keys = self._key(at)[self.order]
+
+    def _cell(self, p):
+        return np.floor((p - self.low) / self.size).astype(np.int64)
+
+    def _key(self, at):
+        return ((at[:, 0] + 1) * self.shape[1] + at[:, 1] + 1) * self.shape[2] + at[:, 2] + 1
+
+    def around(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, squared distance) of all points in the 27 cells around each query, nearest first, ties to the smaller index."""
+        at, who, found = self._cell(queries), [], []
+        for shift in np.indices((3, 3, 3)).reshape(3, 27).T - 1:
+            cell = at + shift
+            inside = np.flatnonzero(((cell >= -1) & (cell < self.shape - 1)).all(axis=1))
+            key = self._key(cell[inside])
+            first, last = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+            n = last - first
+            who.append(np.repeat(inside, n))
+            found.append(self.order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+        who, found = np.concatenate(who), np.concatenate(found)
+        d2 = ((queries[who] - self.points[found]) ** 2).sum(axis=1)
+        order = np.lexsort((found, d2, who))
+        return who[order], found[order], d2[order]
+
+
+def _cell_size(points: np.ndarray, wanted: float) -> float:
+    """A size at which about so many points lie in the cells around one, by the extent of the points."""
+    extent = np.maximum(points.max(axis=0) - points.min(axis=0), 1e-9)
+    size = float((extent.prod() * wanted / len(points)) ** (1 / 3))
+    return max(size, float(extent.max()) / 100_000, 1e-9)
+
+
 def nearest(queries, points, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(index, distance) of the nearest point of each query, in blocks; ties to the smaller index."""
+    """(index, distance) of the nearest point of each query; ties to the smaller index. Many points are asked by cells, and all of them only for a query with none near."""
     index, dist = np.empty(len(queries), int), np.empty(len(queries))
+    todo = np.arange(len(queries))
+    if len(queries) * len(points) > ALL_PAIRS:
+        cells = Cells(points, _cell_size(points, 1.0))
+        rest = []
+        for part in np.array_split(todo, len(todo) // 20_000 + 1):
+            who, found, d2 = cells.around(queries[part])
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            near = first[d2[first] <= cells.size**2]
+            index[part[who[near]]], dist[part[who[near]]] = found[near], np.sqrt(d2[near])
+            rest.append(np.delete(part, who[near]))
+        todo = np.concatenate(rest)
     sq = (points**2).sum(axis=1)
-    for at in range(0, len(queries), block):
-        q = queries[at : at + block]
-        i = (sq - 2 * q @ points.T).argmin(axis=1)
-        index[at : at + block] = i
-        dist[at : at + block] = np.linalg.norm(q - points[i], axis=1)
+    for at in range(0, len(todo), block):
+        own = todo[at : at + block]
+        i = (sq - 2 * queries[own] @ points.T).argmin(axis=1)
+        index[own], dist[own] = i, np.linalg.norm(queries[own] - points[i], axis=1)
     return index, dist
 
 
 def k_nearest(points, k: int, block: int = 512) -> np.ndarray:
-    """Indices of the k nearest points of each point, itself included; ties to the smaller index."""
+    """Indices of the k nearest points of each point, itself included; ties to the smaller index. Many points are asked by cells."""
     k = min(k, len(points))
     out = np.empty((len(points), k), int)
-    for at in range(0, len(points), block):
-        d = ((points[at : at + block, None, :] - points[None]) ** 2).sum(axis=2)
-        out[at : at + block] = np.argsort(d, axis=1, kind="stable")[:, :k]
+    todo = np.arange(len(points))
+    if len(points) ** 2 > ALL_PAIRS:
+        size = _cell_size(points, k / 3)
+        for _ in range(3):  # points at a border have fewer neighbours, and are asked again with wider cells
+            cells, rest = Cells(points, size), []
+            for part in np.array_split(todo, len(todo) // 5_000 + 1):
+                who, found, d2 = cells.around(points[part])
+                turn = np.arange(len(who)) - np.searchsorted(who, who)
+                last = np.flatnonzero((turn == k - 1) & (d2 <= cells.size**2))
+                out[part[who[last]]] = found[last[:, None] + np.arange(1 - k, 1)]
+                rest.append(np.delete(part, who[last]))
+            todo, size = np.concatenate(rest), 1.6 * size
+    for at in range(0, len(todo), block):
+        own = todo[at : at + block]
+        d = ((points[own, None, :] - points[None]) ** 2).sum(axis=2)
+        out[own] = np.argsort(d, axis=1, kind="stable")[:, :k]
     return out
 
 

@@ -278,6 +278,16 @@ def test_large_graphs_are_solved_like_small_ones(monkeypatch):
     assert all(np.allclose(small[k], large[k], atol=1e-6) for k in small)
 
 
+def test_neighbours_by_cells_are_those_of_all_pairs(monkeypatch):
+    p = np.concatenate((RNG.uniform(-5, 5, (700, 3)), RNG.normal(0, 0.01, (300, 3)), np.tile([[40.0, 0, 0]], (5, 1)), np.round(RNG.uniform(-2, 2, (200, 3)))))
+    q = np.concatenate((RNG.uniform(-6, 6, (400, 3)), [[400.0, 3, 3], [40, 0, 0]]))
+    want = kernels.nearest(q, p), kernels.k_nearest(p, 12)
+    monkeypatch.setattr(kernels, "ALL_PAIRS", 10)
+    got = kernels.nearest(q, p), kernels.k_nearest(p, 12)
+    assert np.allclose(got[0][1], want[0][1]) and (got[1] == want[1]).all()
+    assert kernels.nearest(q, p[:1])[0].tolist() == [0] * len(q) and kernels.k_nearest(p[:2], 5).shape == (2, 2)
+
+
 # ---- registered queries
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import kernels as K
-from tessera.llm.common import batch_from, cut, text_column
+from tessera.llm.common import cut, text_column
 from tessera.llm.components import components
 
 BANDS, ROWS = 24, 5

@@ -72,7 +72,7 @@ def nearest_places(context: DataFrame, inserted: DataFrame, num_rings: int = 20,
         x, y = np.stack(one["key"]) if len(one) else np.zeros((0, num_rings)), np.stack(two["key"]) if len(two) else np.zeros((0, num_rings))
         out = []
         for i, (a, at) in enumerate(zip(one["id"], one["position"], strict=True)):
-            far = np.abs(y - x[i]).sum(axis=1)
+            far = np.round(np.abs(y - x[i]).sum(axis=1), 9)  # ties in the order of insertion, whatever the order of the sum
             far[two["position"].to_numpy() >= at - exclusion_window] = np.inf
             best = np.lexsort((two["position"], far))[:candidate_pool]
             out += [(a, b, n, d) for b, n, d in zip(two["id"].iloc[best], two["position"].iloc[best], far[best], strict=True) if np.isfinite(d)]

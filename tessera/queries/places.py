@@ -35,12 +35,20 @@ def scan_context_distance(spark, sf_dir):
     return descriptors.scan_context_distance(sc, pairs).select("a", "b", r(F.col("distance"), 6).alias("distance"))
 
 
-@register("scan_context_query")
+@register("scan_context_query", _SC + """, n AS (SELECT frame, ring, sqrt(sum(h*h)) AS n FROM sc GROUP BY ALL), fr AS (SELECT DISTINCT frame FROM pts),
+k AS (SELECT fr.frame, r.ring, coalesce(sum(h), 0)/60 AS key FROM fr CROSS JOIN range(20) r(ring) LEFT JOIN sc ON sc.frame = fr.frame AND sc.ring = r.ring GROUP BY ALL),
+l AS (SELECT x.frame AS a, y.frame AS b, round(sum(abs(x.key - y.key)), 9) AS l1 FROM k x JOIN k y ON y.ring = x.ring AND y.frame < x.frame - 5 GROUP BY ALL),
+f AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY l1, b) AS i FROM l) WHERE i <= 10),
+d AS (SELECT a, b, x.ring, (y.sector - x.sector + 60) % 60 AS s, sum(x.h*y.h) AS dot FROM f JOIN sc x ON x.frame = a JOIN sc y ON y.frame = b AND y.ring = x.ring GROUP BY ALL),
+g AS (SELECT a, b, r.ring, s, na.n AS na, nb.n AS nb FROM f, range(20) r(ring), range(60) t(s) LEFT JOIN n na ON na.frame = a AND na.ring = r.ring LEFT JOIN n nb ON nb.frame = b AND nb.ring = r.ring),
+m AS (SELECT g.a, g.b, g.s, sum(CASE WHEN na IS NULL AND nb IS NULL THEN 0 WHEN na IS NULL OR nb IS NULL THEN 1 ELSE 1 - coalesce(dot, 0)/(na*nb) END)/20 AS distance FROM g LEFT JOIN d ON d.a = g.a AND d.b = g.b AND d.ring = g.ring AND d.s = g.s GROUP BY ALL),
+e AS (SELECT a, b, round(min(distance), 12) AS distance FROM m GROUP BY a, b)
+SELECT a, arg_min(b, (distance, b)) AS b, round(min(distance), 6) + 0.0 AS distance FROM e GROUP BY a""")
 def scan_context_query(spark, sf_dir):
     """For every scan the one most like it among those inserted more than five before it."""
     sc = descriptors.scan_context(pts(spark, sf_dir))
     order = pts(spark, sf_dir).select("frame").distinct().withColumn("position", F.col("frame"))
-    return descriptors.nearest_places(sc, order, exclusion_window=5, candidate_pool=10)
+    return descriptors.nearest_places(sc, order, exclusion_window=5, candidate_pool=10).select("a", "b", r(F.col("distance"), 6).alias("distance"))
 
 
 _COS = "SELECT q.vec_id AS query, e.vec_id AS id, 1 - list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id < q.vec_id - 10"

@@ -77,7 +77,13 @@ def patch_descriptor(spark, sf_dir):
     return vision.patches(px, vision.corners(px, radius=2).select("img", "row", "col"), 5).select("img", "row", "col", F.transform("descriptor", lambda v: r(v, 6)).alias("descriptor"))
 
 
-@register("disparity")
+@register("disparity", f"""WITH {_PIX}, size AS (SELECT img, max("row") + 1 AS h, max(col) + 1 AS w FROM px GROUP BY img),
+both_ AS (SELECT l.img, l."row", l.col, l.v AS lv, coalesce(r.v, 0) AS rv FROM px l LEFT JOIN px r ON r.img = l.img AND r."row" = l."row" AND r.col = l.col + 3),
+ad AS (SELECT a.img, a."row", a.col, d, abs(a.lv - coalesce(m.rv, 0)) AS v FROM both_ a CROSS JOIN range(0, 8) s(d) LEFT JOIN both_ m ON m.img = a.img AND m."row" = a."row" AND m.col = a.col - d),
+c AS (SELECT p.img, p."row", p.col, n.d, sum(n.v) AS v FROM px p JOIN size USING (img) JOIN ad n ON n.img = p.img AND n."row" BETWEEN p."row" - 2 AND p."row" + 2 AND n.col BETWEEN p.col - 2 AND p.col + 2
+ WHERE p."row" >= 2 AND p."row" < h - 2 AND p.col >= 2 AND p.col < w - 2 GROUP BY ALL),
+b AS (SELECT img, "row", col, arg_min(d, v * 1000 + d) AS d FROM c GROUP BY ALL)
+SELECT px.img, px."row", px.col, CAST(coalesce(b.d, 0) AS DOUBLE) AS d FROM px LEFT JOIN b ON b.img = px.img AND b."row" = px."row" AND b.col = px.col""")
 def disparity(spark, sf_dir):
     px = image(spark, sf_dir)
     right = px.select("img", "row", (F.col("col") - 3).alias("col"), F.col("v").alias("right"))

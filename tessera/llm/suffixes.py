@@ -34,6 +34,8 @@ from tessera.llm.common import cut
 ANCHOR = 8
 #: Anchors with more occurrences than this get full-window prefixes.
 HEAVY = 20_000
+#: Records of repeated anchors that a task holds before it hands them on.
+HELD = 500_000
 BUCKET_BYTES = 12_000_000
 
 _CENSUS = np.dtype([("key", "<u8"), ("text", "<u8"), ("other", "<u8"), ("bucket", "<i4"), ("kind", "<i4")])
@@ -114,7 +116,20 @@ def _records(column, dtype: np.dtype) -> np.ndarray:
 def _census(docs: DataFrame, window: int, n: int) -> DataFrame:
     """(part, data): for each bucket the texts that occur again and the anchors that occur again, with their weight."""
 
+    def summed(parts: list[np.ndarray]) -> np.ndarray:
+        """One record for each repeated key and bucket, with the number of texts in ``text``."""
+        r = np.concatenate(parts)
+        r = r[np.lexsort((r["bucket"], r["key"]))]
+        new = np.ones(len(r), bool)
+        new[1:] = (r["key"][1:] != r["key"][:-1]) | (r["bucket"][1:] != r["bucket"][:-1])
+        first = np.flatnonzero(new)
+        out = r[first]
+        if len(first):
+            out["text"] = np.add.reduceat(r["text"], first)
+        return out
+
     def count(batches):
+        held, waiting = [np.zeros(0, _CENSUS)], 0  # what a task knows to be repeated is told once to each bucket, however many of its texts have it
         for b in batches:
             out = []
             bucket = b.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
@@ -144,12 +159,19 @@ def _census(docs: DataFrame, window: int, n: int) -> DataFrame:
             many &= out["kind"] != WHOLE
             rest = out[many]
             if len(rest):
-                rest["kind"] = MANY
-                _, i, size = np.unique(rest[["key", "bucket"]], return_index=True, return_counts=True)
-                rest = rest[i]
-                rest["text"], rest["other"] = size, 0  # a repeated key's texts no longer matter, only how many there are
-                out = np.concatenate((out[~many], rest))
+                rest["kind"], rest["text"], rest["other"] = MANY, 1, 0  # a repeated key's texts no longer matter, only how many there are
+                held.append(summed([rest]))
+                waiting += len(held[-1])
+                if waiting > HELD:
+                    held = [summed(held)]
+                    waiting = 0
+                out = out[~many]
             yield _packed(out, (out["key"] % np.uint64(n)).astype(np.int32), _PART)
+            if len(held[0]) > HELD:
+                yield _packed(held[0], (held[0]["key"] % np.uint64(n)).astype(np.int32), _PART)
+                held[0] = held[0][:0]
+        out = summed(held)
+        yield _packed(out, (out["key"] % np.uint64(n)).astype(np.int32), _PART)
 
     def repeated(table: pa.Table) -> pa.Table:
         r = _records(table.column("data"), _CENSUS)

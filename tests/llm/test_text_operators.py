@@ -480,8 +480,10 @@ def kept_by_brute_force(texts, window):
 
 
 @pytest.mark.parametrize("heavy", [suffixes.HEAVY, 1])
-def test_repeats_are_those_of_brute_force(docs, local, monkeypatch, heavy):
+def test_repeats_are_those_of_brute_force(spark, docs, local, monkeypatch, heavy):
     monkeypatch.setattr(suffixes, "HEAVY", heavy)
+    monkeypatch.setattr(suffixes, "HELD", suffixes.HELD if heavy > 1 else 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in suffixes.remove_repeats(docs).collect()}
     assert got == dict(zip(local.doc_id, kept_by_brute_force(local.text, 35), strict=True))
 

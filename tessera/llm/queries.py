@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import collisions, dartminhash, langid, mixing, nndescent, pii, rans, spm, suffixes, toxicity
+from tessera.llm import collisions, dartminhash, langid, mixing, nndescent, pii, rans, spm, suffixes, toxicity, whitening
 from tessera.llm.common import new_path, small_batches
 
 
@@ -132,8 +132,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans, op2_mixing, op3_nndescent, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op8_suffixes, op9_collisions, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_rans, op2_mixing, op3_nndescent, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op8_suffixes, op9_collisions, op10_sentencepiece, op11_whitening)}
 
 
 _CLOSURE = """

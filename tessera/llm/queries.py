@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import collisions, dartminhash, langid, mixing, nndescent, pii, rans, spm, suffixes, toxicity, whitening
+from tessera.llm import collisions, dartminhash, langid, mixing, nndescent, pii, prefix_trie, rans, spm, suffixes, toxicity, whitening
 from tessera.llm.common import new_path, small_batches
 
 
@@ -136,8 +136,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans, op2_mixing, op3_nndescent, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op8_suffixes, op9_collisions, op10_sentencepiece, op11_whitening)}
+    return {f.__name__: f for f in (op1_rans, op2_mixing, op3_nndescent, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op8_suffixes, op9_collisions, op10_sentencepiece, op11_whitening, op12_prefix_trie)}
 
 
 _CLOSURE = """
@@ -182,5 +186,37 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN cut ON cut.doc_id = w.
 """
 
 
+OP12_SQL = r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+names AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM own),
+-- crc32, bit by bit
+convs AS (
+  SELECT c, c - c % 5 AS first,
+         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda i: CAST(unicode(s[i]) AS BIGINT))),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 9 AS h
+  FROM names),
+parts AS (
+  SELECT c, 0 AS part, p, id, text FROM convs JOIN own ON own.conv_id = first AND p < h
+  UNION ALL SELECT c, 1, p, id, text FROM convs JOIN own ON own.conv_id = c AND p >= h),
+seq AS (SELECT c, row_number() OVER w AS d, strlen(text) AS bytes, list(id) OVER (w ROWS UNBOUNDED PRECEDING) AS path FROM parts WINDOW w AS (PARTITION BY c ORDER BY part, p)),
+steps AS (SELECT c, d, bytes, path FROM seq UNION ALL SELECT c, 0, 0, CAST([] AS VARCHAR[]) FROM convs),
+ends AS (SELECT c, max(d) AS last FROM steps GROUP BY c),
+node AS (
+  SELECT d, path, any_value(bytes) AS bytes, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = last), '')) AS ends_sha256
+  FROM steps JOIN ends USING (c) GROUP BY d, path),
+child AS (SELECT d - 1 AS d, path[1:d-1] AS path, count(*) AS kids FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN child USING (d, path)),
+below AS (SELECT d, path, unnest(range(0, d + 1)) AS top, kids, (n - 1) * bytes AS saved FROM full_),
+total AS (SELECT top AS d, path[1:top] AS path, count(*) FILTER (kids = 0) AS leaves, sum(saved) AS saved FROM below GROUP BY ALL)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, b.conv_id AS parent_conv_id, CAST(a.n AS BIGINT) AS n_convs, CAST(a.kids AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM full_ a JOIN total USING (d, path) LEFT JOIN node b ON b.d = a.d - 1 AND b.path = a.path[1:a.d-1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_nndescent": OP3_SQL, "op6_dartminhash": OP6_SQL, "op8_suffixes": OP8_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_nndescent": OP3_SQL, "op6_dartminhash": OP6_SQL, "op8_suffixes": OP8_SQL, "op12_prefix_trie": OP12_SQL}

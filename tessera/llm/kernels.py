@@ -48,9 +48,9 @@ def chunks(column: pa.Array):
         at = end
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words in bytes, and the index of each document's first word (one more at the end)."""
-    solid = ~SEPARATOR[data]
+    solid = ~separator[data]
     inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))]
     before = np.zeros(len(data), bool)
     before[1:] = solid[:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import collisions, dartminhash, langid, mixing, nndescent, pii, prefix_trie, rans, spm, suffixes, toxicity, whitening
+from tessera.llm import collisions, dartminhash, langid, licenses, mixing, nndescent, pii, prefix_trie, rans, spm, suffixes, toxicity, whitening
 from tessera.llm.common import new_path, small_batches
 
 
@@ -140,8 +140,17 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p.base)
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p.label))), ",")
+    starts = F.transform(base, lambda p: p.start)
+    score = F.coalesce(F.array_max(F.transform("places", lambda p: p.share)), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"), score.alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans, op2_mixing, op3_nndescent, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op8_suffixes, op9_collisions, op10_sentencepiece, op11_whitening, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_rans, op2_mixing, op3_nndescent, op4_language, op5_toxicity, op6_dartminhash, op7_pii, op8_suffixes, op9_collisions, op10_sentencepiece, op11_whitening, op12_prefix_trie, op13_licenses)}
 
 
 _CLOSURE = """
@@ -218,5 +227,43 @@ FROM full_ a JOIN total USING (d, path) LEFT JOIN node b ON b.d = a.d - 1 AND b.
 """
 
 
+def _values(rows) -> str:
+    text = lambda v: "'" + v + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+
+
+OP13_SQL = rf"""
+WITH notice(i, label, words, base) AS (VALUES {_values((i, n.label, n.words, n.base) for i, n in enumerate(licenses.NOTICES))}),
+phrase(i, j, words) AS (VALUES {_values((i, j, p) for i, n in enumerate(licenses.NOTICES) for j, p in enumerate(n.phrases))}),
+nw AS (SELECT i, unnest(string_split(words, ' ')) AS x, unnest(range(0, len(string_split(words, ' ')))) AS q FROM notice),
+pw AS (SELECT i, j, len(string_split(words, ' ')) AS n, unnest(string_split(words, ' ')) AS x, unnest(range(0, len(string_split(words, ' ')))) AS q FROM phrase),
+doc AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+word AS (SELECT row, x, p FROM (SELECT row, unnest(ws) AS x, unnest(range(0, len(ws))) AS p FROM doc) WHERE x IN (SELECT x FROM nw UNION SELECT x FROM pw)),
+df AS (SELECT x, count(DISTINCT row) AS n FROM word GROUP BY x),
+stands AS (SELECT row, i, j, n, p - q AS s FROM word JOIN pw USING (x) GROUP BY row, i, j, n, p - q HAVING count(*) = n),
+-- the rarest words of a notice that a file holds, and where their places agree
+held AS (SELECT DISTINCT row, i, x FROM word JOIN nw USING (x) WHERE (row, i) IN (SELECT (row, i) FROM stands)),
+key_ AS (SELECT row, i, x FROM held JOIN df USING (x) QUALIFY row_number() OVER (PARTITION BY row, i ORDER BY n, encode(x)) <= {licenses.RAREST}),
+many AS (SELECT row, i, count(*) AS n FROM key_ GROUP BY row, i),
+agree AS (SELECT k.row, k.i, p - q AS s, count(DISTINCT x) AS c FROM key_ k JOIN word w USING (row, x) JOIN nw USING (i, x) GROUP BY k.row, k.i, p - q),
+share AS (
+  SELECT a.row, a.i, a.s, any_value(base) AS base, any_value(label) AS label, any_value(len(string_split(words, ' '))) AS len,
+         CAST(count(w.x) AS DOUBLE) / any_value(len(string_split(words, ' '))) AS f
+  FROM agree a JOIN many m ON m.row = a.row AND m.i = a.i AND 2 * c >= m.n JOIN notice ON notice.i = a.i
+  JOIN nw ON nw.i = a.i LEFT JOIN word w ON w.row = a.row AND w.p = a.s + nw.q AND w.x = nw.x GROUP BY a.row, a.i, a.s),
+good AS (SELECT * FROM share WHERE f >= CASE WHEN base THEN 1 ELSE {licenses.SHARE} END),
+place AS (
+  SELECT g.row, g.i, g.s, any_value(base) AS base, any_value(label) AS label, any_value(f) AS f
+  FROM good g JOIN stands t ON t.row = g.row AND t.i = g.i AND t.s >= g.s - CASE WHEN base THEN 0 ELSE {licenses.SLACK} END AND t.s + t.n <= g.s + g.len + CASE WHEN base THEN 0 ELSE {licenses.SLACK} END
+  GROUP BY g.row, g.i, g.s HAVING count(DISTINCT j) = (SELECT count(*) FROM phrase WHERE phrase.i = g.i)),
+found AS (
+  SELECT row, count(*) FILTER (base) AS n, min(s) FILTER (base) AS lo, max(s) FILTER (base) AS hi, max(f) AS f,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(f, 0)::DOUBLE AS score
+FROM doc LEFT JOIN found USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_nndescent": OP3_SQL, "op6_dartminhash": OP6_SQL, "op8_suffixes": OP8_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_nndescent": OP3_SQL, "op6_dartminhash": OP6_SQL, "op8_suffixes": OP8_SQL, "op12_prefix_trie": OP12_SQL, "op13_licenses": OP13_SQL}

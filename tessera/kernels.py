@@ -19,6 +19,18 @@ def exp_so3(v) -> np.ndarray:
     return np.eye(3) + np.sin(a) * k + (1 - np.cos(a)) * k @ k
 
 
+def exp_so3_many(v: np.ndarray) -> np.ndarray:
+    """[n, 3, 3] of rotation vectors [n, 3]."""
+    a = np.linalg.norm(v, axis=1)
+    k = np.zeros((len(v), 3, 3))
+    k[:, 2, 1], k[:, 0, 2], k[:, 1, 0] = v.T
+    k -= k.transpose(0, 2, 1)
+    small = a < 1e-10
+    safe = np.where(small, 1.0, a)
+    sin, cos = np.where(small, 1.0, np.sin(a) / safe), np.where(small, 0.0, (1 - np.cos(a)) / (safe * safe))
+    return np.eye(3) + sin[:, None, None] * k + cos[:, None, None] * (k @ k)
+
+
 def log_so3(r) -> np.ndarray:
     a = np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1))
     w = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import kernels
 from tessera.errors import CalibrationError, SensorError
+from tessera.operators.scans import number_rows, prefix_products
 
 XYZ = ("x", "y", "z")
 
@@ -159,13 +160,15 @@ def scan_odometry(scans: DataFrame, session: str = "session", frame: str = "fram
 
     forward aligns the frame before to the current one, as radar odometry does; else the current one is aligned to what is before. The pose becomes
     pose @ transform, or with world transform @ pose. With window the target is the last so many frames together, each reduced to means of
-    voxels if asked (not with forward). Matching needs only two neighbouring frames, so it runs frame by frame; the product of transforms is one ordered fold of a session.
+    voxels if asked (not with forward). Matching needs only two neighbouring frames, so it runs frame by frame; the transforms of a session
+    are multiplied up by partitions.
     """
     if forward and window > 1:
         raise SensorError("a window of frames is a target only")
-    frames = scans.select(session, frame).distinct()
-    over = Window.partitionBy(session).orderBy(frame)
-    number = frames.withColumn("_i", F.row_number().over(over))
+    # frames are counted over all sessions, and each session subtracts where it begins
+    counted = number_rows(scans.select(session, frame).distinct(), session, frame, name="_at")
+    began = counted.groupBy(F.col(session).alias("_s")).agg(F.min("_at").alias("_from"))
+    number = counted.join(began, F.col(session).eqNullSafe(F.col("_s"))).select(session, frame, (F.col("_at") - F.col("_from") + 1).alias("_i"))
     key = F.struct(session, "_i").cast("string").alias("_k")
     cols = (session, frame, "seq", *XYZ)
     numbered = scans.select(*cols).join(number, [session, frame])
@@ -181,18 +184,8 @@ def scan_odometry(scans: DataFrame, session: str = "session", frame: str = "fram
     steps = icp_frames(*((before, current) if forward else (current, before)), by="_k", **options)
     keyed = number.withColumn("_k", key).join(steps, "_k", "left")
 
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(frame)
-        pose, out = np.eye(4), []
-        for m in t["transform"]:
-            if m is not None:
-                m = np.array(m).reshape(4, 4)
-                pose = m @ pose if world else pose @ m
-            out.append(pose.ravel().tolist())
-        return pd.DataFrame({session: t[session], frame: t[frame], "pose": out, "transform": t["transform"], "mse": t["mse"], "converged": t["converged"]})
-
-    kinds = dict(scans.dtypes)
-    return keyed.select(session, frame, "transform", "mse", "converged").groupBy(session).applyInPandas(fold, f"{session} {kinds[session]}, {frame} {kinds[frame]}, pose array<double>, transform array<double>, mse double, converged boolean")
+    poses = prefix_products(keyed.select(session, frame, "transform", "mse", "converged"), "transform", (session,), (frame,), left=world, name="pose")
+    return poses.select(session, frame, "pose", "transform", "mse", "converged")
 
 
 def kiss_odometry(scans: DataFrame, session: str = "session", frame: str = "frame", voxel: float = 1.0, max_voxels: int = 100_000, initial: float = 2.0, alpha: float = 0.9, low: float = 0.1, high: float = 10.0, max_iterations: int = 50, tolerance: float = 1e-4) -> DataFrame:

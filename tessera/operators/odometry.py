@@ -6,10 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from tessera.errors import SensorError
+from tessera.operators.scans import key_of, prefix_products, previous, products, starts
+from tessera.shared import map_in_arrow
 
 
 def _integrate(samples: DataFrame, speed: Column, rate: Column, by: tuple[str, ...], time: str) -> DataFrame:
@@ -72,46 +76,59 @@ def check_times(samples: DataFrame, by: tuple[str, ...] = (), time: str = "t") -
 
 
 def adaptive_threshold(residuals: DataFrame, by: tuple[str, ...], order: str, value: str, initial: float, alpha: float = 0.9, low: float = 0.0, high: float = float("inf")) -> DataFrame:
-    """by, order, sigma, threshold after each residual: sigma <- alpha sigma + (1 - alpha) r; the threshold is 3 sigma, clipped. One ordered pass a group."""
-    kinds = dict(residuals.dtypes)
+    """by, order, sigma, threshold after each residual: sigma <- alpha sigma + (1 - alpha) r; the threshold is 3 sigma, clipped.
 
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t, sigma, out = t.sort_values(order), float(initial), []
-        for r in t[value].to_numpy(float):
-            sigma = alpha * sigma + (1 - alpha) * r
-            out.append(sigma)
-        return t[[*by, order]].assign(sigma=out, threshold=np.clip(3 * np.array(out), low, high))
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, order))
-    return residuals.select(*by, order, value).groupBy(*by).applyInPandas(fold, f"{schema}, sigma double, threshold double")
+    A step is an affine map, so the steps of a group are a prefix product of 2x2 matrices; a group may span partitions. After a null residual a group's sigma is NaN.
+    """
+    r = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    steps = residuals.select(*by, order, F.array(F.lit(float(alpha)), r * (1 - alpha), F.lit(0.0), F.lit(1.0)).alias("_step"))
+    got = prefix_products(steps, "_step", by, (order,), size=2, left=True, name="_map")
+    sigma = F.col("_map")[0] * float(initial) + F.col("_map")[1]
+    limit = 3 * F.col("sigma")
+    clipped = F.when(F.isnan(limit), limit).otherwise(F.least(F.greatest(limit, F.lit(float(low))), F.lit(float(high))))
+    return got.select(*by, order, sigma.alias("sigma")).withColumn("threshold", clipped)
 
 
 def keyframes(poses: DataFrame, min_distance: float, by: tuple[str, ...], order: str = "seq", min_degrees: float = 10.0) -> DataFrame:
     """poses with accepted: the first pose, then each at min_distance or more, or turned by min_degrees or more, from the last accepted.
 
-    Poses have x, y, z and may have qw, qx, qy, qz; without these, or with min_degrees 0, turns do not count. One ordered pass a group, since it looks back to acceptances.
+    Poses have x, y, z and may have qw, qx, qy, qz; without these, or with min_degrees 0, turns do not count. Every row is kept with all its columns; rows of one order
+    follow each other by their place and turn, and rows with a null key are a group. Acceptance looks back to acceptances, so a group is one ordered stream, which carries
+    nothing but the last accepted pose; many groups share a task and a batch, and rows are not joined.
     """
     if min_distance <= 0 or min_degrees < 0:
         raise SensorError("a positive distance and an angle of 0 or more are needed")
     turns = min_degrees > 0 and {"qw", "qx", "qy", "qz"} <= set(poses.columns)
-    kinds = dict(poses.dtypes)
-
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(order)
-        p = t[["x", "y", "z"]].to_numpy(float)
-        q = t[["qw", "qx", "qy", "qz"]].to_numpy(float) if turns else np.tile([1.0, 0, 0, 0], (len(t), 1))
-        q = q / np.linalg.norm(q, axis=1)[:, None]
-        last, out = 0, np.zeros(len(t), bool)
-        for i in range(len(t)):
-            angle = 2 * np.arccos(min(1.0, abs(q[i] @ q[last]))) if turns else 0.0
-            if i == 0 or np.linalg.norm(p[i] - p[last]) >= min_distance or (turns and angle >= np.radians(min_degrees)):
-                out[i], last = True, i
-        return t[[*by, order]].assign(accepted=out)
-
-    columns = [*by, order, "x", "y", "z", *(["qw", "qx", "qy", "qz"] if turns else [])]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, order))
-    got = poses.select(*columns).groupBy(*by).applyInPandas(fold, f"{schema}, accepted boolean")
-    return poses.join(got, [*by, order])
+    columns = ["x", "y", "z", *(["qw", "qx", "qy", "qz"] if turns else [])]
+    reach, least = min_distance * min_distance, math.cos(math.radians(min_degrees) / 2) if turns else -1.0
+
+    def run(batches):
+        last, ax, ay, az, aq = None, 0.0, 0.0, 0.0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = starts(b, by, last)
+            last = key_of(b, by)
+            p = np.stack([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            xs, ys, zs = p[:, 0].tolist(), p[:, 1].tolist(), p[:, 2].tolist()
+            qs = (p[:, 3:] / np.linalg.norm(p[:, 3:], axis=1)[:, None]).tolist() if turns else None
+            out = [False] * b.num_rows
+            for i, first in enumerate(new.tolist()):
+                if not first:
+                    dx, dy, dz = xs[i] - ax, ys[i] - ay, zs[i] - az
+                    if not dx * dx + dy * dy + dz * dz >= reach:
+                        if not turns:
+                            continue
+                        w, x, y, z = qs[i]
+                        if not abs(w * aq[0] + x * aq[1] + y * aq[2] + z * aq[3]) <= least:
+                            continue
+                out[i], ax, ay, az = True, xs[i], ys[i], zs[i]
+                aq = qs[i] if turns else None
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "accepted"])
+
+    schema = StructType([*poses.schema.fields, StructField("accepted", BooleanType())])
+    dealt = poses.repartition(*by) if by else poses.coalesce(1)
+    return map_in_arrow(dealt.sortWithinPartitions(*by, order, *columns), run, schema)
 
 
 def submaps(frames: DataFrame, max_keyframes: int, overlap: int = 0, by: tuple[str, ...] = (), order: str = "seq") -> DataFrame:
@@ -129,19 +146,62 @@ def submaps(frames: DataFrame, max_keyframes: int, overlap: int = 0, by: tuple[s
     return d.select(*by, "submap", (F.col("_i") - F.col("submap") * step).cast("int").alias("position"), order)
 
 
+def increments(imu: DataFrame, by: tuple[str, ...], accel_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0, 0.0)) -> DataFrame:
+    """by, t, step: the motion since the sample before by the midpoint rule, as a 5x5 matrix [[R, v, p], [0, 1, dt], [0, 0, 1]]; null for a first sample.
+
+    Products of such matrices are motions over longer spans. Where time does not increase the matrix is NaN.
+    """
+    from tessera.kernels import exp_so3_many
+
+    columns = ("t", "ax", "ay", "az", "wx", "wy", "wz")
+    rows = imu.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    bias = np.array([*accel_bias, *gyro_bias])
+    kinds = {f.name: f for f in imu.schema.fields}
+    schema = StructType([*[kinds[c] for c in by], StructField("t", DoubleType()), StructField("step", ArrayType(DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            before = b.column("before")
+            there = np.flatnonzero(before.is_valid().to_numpy(zero_copy_only=False))
+            now = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)[there]
+            was = np.stack([before.field(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)[there]
+            dt = now[:, 0] - was[:, 0]
+            mean = (now[:, 1:] + was[:, 1:]) / 2 - bias
+            m = np.zeros((len(there), 5, 5))
+            m[:, :3, :3] = exp_so3_many(mean[:, 3:] * dt[:, None])
+            m[:, :3, 3], m[:, :3, 4] = mean[:, :3] * dt[:, None], mean[:, :3] * (dt * dt / 2)[:, None]
+            m[:, 3, 3] = m[:, 4, 4] = 1
+            m[:, 3, 4] = dt
+            m[~(dt > 0)] = np.nan
+            sizes = np.zeros(b.num_rows, bool)
+            sizes[there] = True
+            steps = pa.array(m.reshape(-1, 25).tolist(), pa.list_(pa.float64())) if len(there) else pa.array([], pa.list_(pa.float64()))
+            place = pa.array(np.cumsum(sizes) - 1, mask=~sizes)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in by], b.column("t"), steps.take(place)], names=schema.names)
+
+    return previous(rows, columns, by, ("t",)).mapInArrow(run, schema)
+
+
 def preintegrate(imu: DataFrame, accel_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0, 0.0), by: str = "interval") -> DataFrame:
-    """by, rotation (9), quaternion (4, w first), velocity (3), position (3), duration, n from rows of t, ax..az, wx..wz, by the midpoint rule."""
+    """by, rotation (9), quaternion (4, w first), velocity (3), position (3), duration, n from rows of t, ax..az, wx..wz, by the midpoint rule.
+
+    Samples are multiplied up as matrices, partition by partition, so an interval may be of any length. Intervals of one sample, or whose times do not increase, give no row.
+    """
     from tessera.kernels import matrix_to_quat
-    from tessera.kernels import preintegrate as kernel
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("t")
-        if len(t) < 2 or (np.diff(t["t"]) <= 0).any():
-            return pd.DataFrame(columns=[by, "rotation", "quaternion", "velocity", "position", "duration", "n"])
-        r, v, p = kernel(t["t"].to_numpy(float), t[["ax", "ay", "az"]].to_numpy(float) - np.array(accel_bias), t[["wx", "wy", "wz"]].to_numpy(float) - np.array(gyro_bias))
-        return pd.DataFrame({by: [t[by].iloc[0]], "rotation": [r.ravel().tolist()], "quaternion": [matrix_to_quat(r).tolist()], "velocity": [v.tolist()], "position": [p.tolist()], "duration": [float(t["t"].iloc[-1] - t["t"].iloc[0])], "n": [len(t)]})
+    whole = products(increments(imu, (by,), accel_bias, gyro_bias), "step", (by,), ("t",), size=5)
+
+    def run(batches):
+        for b in batches:
+            m = np.array(b.column("product").to_pylist()).reshape(-1, 5, 5)
+            good = np.flatnonzero((b.column("n").to_numpy() > 1) & ~np.isnan(m[:, 3, 4]))
+            m, lists = m[good], pa.list_(pa.float64())
+            quat = [matrix_to_quat(r).tolist() for r in m[:, :3, :3]]
+            parts = [m[:, :3, :3].reshape(-1, 9).tolist(), quat, m[:, :3, 3].tolist(), m[:, :3, 4].tolist()]
+            at = pa.array(good)
+            yield pa.RecordBatch.from_arrays([b.column(by).take(at), *[pa.array(v, lists) for v in parts], pa.array(m[:, 3, 4]), b.column("n").take(at)], names=[by, "rotation", "quaternion", "velocity", "position", "duration", "n"])
 
-    return imu.groupBy(by).applyInPandas(run, f"{by} {dict(imu.dtypes)[by]}, rotation array<double>, quaternion array<double>, velocity array<double>, position array<double>, duration double, n long")
+    return whole.mapInArrow(run, f"{by} {dict(imu.dtypes)[by]}, rotation array<double>, quaternion array<double>, velocity array<double>, position array<double>, duration double, n long")
 
 
 def deskew(points: DataFrame, imu: DataFrame, frame: str = "frame", gravity=(0.0, 0.0, -9.81), velocity=(0.0, 0.0, 0.0), ref: str = "ref_time") -> DataFrame:

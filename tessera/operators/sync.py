@@ -108,7 +108,7 @@ def temporal_overlap(streams: DataFrame) -> DataFrame:
 
 
 def pose_at(poses: DataFrame, queries: DataFrame, duration: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """queries' columns plus pose: the first pose, by seq, whose frame [timestamp, timestamp + duration) holds t; null if none does.
+    """queries' columns plus pose: the first pose, by seq, whose frame [timestamp, timestamp + duration) holds t; null if none does. Each query row gives one row, repeated ones too.
 
     A frame spans two buckets of its own length at most, so the range condition becomes an equality on buckets.
     """
@@ -116,8 +116,11 @@ def pose_at(poses: DataFrame, queries: DataFrame, duration: float, by: tuple[str
         raise SensorError("a frame has a positive duration")
     slot = lambda c: F.floor(c / F.lit(duration)).cast("long")
     p = poses.select(*by, F.struct(*poses.columns).alias("_pose"), F.explode(F.array(slot(F.col("timestamp")), slot(F.col("timestamp")) + 1)).alias("_slot"))
-    q = queries.withColumn("_slot", slot(F.col("t"))).withColumn("_row", F.struct(*queries.columns))
+    # equal queries are looked up once and given back as often as they came
+    asked = queries.select(F.struct(*[F.col(f"`{c}`") for c in queries.columns]).alias("_row")).groupBy("_row").agg(F.count("*").cast("int").alias("_n"))
+    q = asked.select("_row", "_n", *[F.col("_row")[c].alias(c) for c in (*by, "t")]).withColumn("_slot", slot(F.col("t")))
     start = F.col("_pose.timestamp")
     hit = q.join(p, [*by, "_slot"], "left").withColumn("_in", (F.col("t") >= start) & (F.col("t") < start + duration))
     best = F.min_by("_pose", F.when(F.col("_in"), F.col("_pose.seq")))
-    return hit.groupBy("_row").agg(best.alias("pose")).select("_row.*", "pose")
+    found = hit.groupBy("_row", "_n").agg(best.alias("pose"))
+    return found.select("_row", "pose", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*", "pose")

@@ -5,16 +5,22 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import SensorError
 from tessera.functions import se3
 from tessera.operators import clouds, descriptors, estimation, graphs, odometry
+from tessera.operators.scans import number_rows, prefix_products
 
 XYZ = "array<array<double>>"
 
 
+def _place(bag: DataFrame) -> list[str]:
+    """What orders the messages of a bag: offsets count from the beginning of each file."""
+    return [c for c in ("path", "offset") if c in bag.columns]
+
+
 def _information(strength) -> Column:
     return F.array(*[strength if i == j else F.lit(0.0) for i in range(6) for j in range(6)])
 
@@ -42,10 +48,10 @@ class Session:
         return add
 
     def scans_of(self, bag: DataFrame, topic: str, key: str) -> DataFrame:
-        m = bag.where(F.col("topic") == topic)
-        # frames are counted over the offsets alone; no payload passes through that one task
-        frame = m.select("offset", (F.row_number().over(Window.orderBy("offset")) - 1).cast("long").alias("frame"))
-        p = m.join(frame, "offset").select("frame", "timestamp", F.from_json(F.get_json_object("data", f"$.{key}"), XYZ).alias("_p"))
+        """frame, timestamp, seq, x, y, z of a topic's messages, in order of file and offset. Frames are numbered by counts of partitions, without their payload."""
+        m, at = bag.where(F.col("topic") == topic), _place(bag)
+        frame = number_rows(m.select(*at), *at, name="frame")
+        p = m.join(frame, at).select("frame", "timestamp", F.from_json(F.get_json_object("data", f"$.{key}"), XYZ).alias("_p"))
         return p.select("frame", "timestamp", F.posexplode("_p").alias("seq", "_q")).select("frame", "timestamp", "seq", *[F.col("_q")[i].alias(c) for i, c in enumerate("xyz")])
 
     def run(self, bag: DataFrame, topic: str = "/lidar/points", key: str = "xyz", imu_topic: str | None = None, imu_information: float = 10.0, local_map: int | None = None, local_voxel: float = 0.1) -> Session:
@@ -86,10 +92,11 @@ class Session:
         return named.select(F.col("b").alias("a"), F.col("a").alias("b"), "transform", _information(F.lit(50.0)).alias("information"))
 
     def _imu(self, bag: DataFrame, topic: str, imu_topic: str, information: float) -> DataFrame:
-        rows = bag.where(F.col("topic").isin(topic, imu_topic))
-        # intervals are counted over offsets and topics alone; no payload passes through that one task
-        count = F.sum((F.col("topic") == topic).cast("int")).over(Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)) - 1
-        rows, i = rows.join(rows.select("offset", count.alias("_i")), "offset"), F.col("_i")
+        rows, at = bag.where(F.col("topic").isin(topic, imu_topic)), _place(bag)
+        # an interval is the number of scans up to here, less one: their prefix sum over places and topics alone
+        scan = (F.col("topic") == topic).cast("double")
+        sums = prefix_products(rows.select(*at, F.array(F.lit(1.0), scan, F.lit(0.0), F.lit(1.0)).alias("_m")), "_m", (), tuple(at), size=2, name="_sum")
+        rows, i = rows.join(sums.select(*at, (F.col("_sum")[1] - 1).cast("long").alias("_i")), at), F.col("_i")
         v = lambda k: F.from_json(F.get_json_object("data", f"$.{k}"), "array<double>")
         d = rows.withColumn("interval", F.greatest(i, F.lit(0))).where(F.col("topic") == imu_topic).select("interval", F.col("timestamp").alias("t"), v("accel").alias("_a"), v("gyro").alias("_g"))
         d = d.select("interval", "t", *[F.col("_a")[k].alias(f"a{c}") for k, c in enumerate("xyz")], *[F.col("_g")[k].alias(f"w{c}") for k, c in enumerate("xyz")])

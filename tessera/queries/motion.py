@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.functions import se3
-from tessera.operators import estimation, graphs, odometry
+from tessera.operators import estimation, graphs, odometry, scans
 from tessera.queries.adapters import MICROS, WHEEL_SQL, numbered, r, table, wheel
 
 _LAG = """, d AS (SELECT *, {v} AS v, {w} AS w FROM wheel),
@@ -80,6 +80,41 @@ def preintegration(spark, sf_dir):
     return odometry.preintegrate(_imu(spark, sf_dir))
 
 
+@register("planar_preintegration", f"""WITH e AS (SELECT user_id AS interval, epoch_us(ts)/3.6e9::DOUBLE AS t, value/1000::DOUBLE AS a, value/1e5::DOUBLE AS w FROM events),
+g AS (SELECT *, t - lag(t) OVER o AS dt, (a + lag(a) OVER o)/2 AS ma, (w + lag(w) OVER o)/2 AS mw FROM e WINDOW o AS (PARTITION BY interval ORDER BY t)),
+h AS (SELECT *, coalesce(sum(mw*dt) OVER (PARTITION BY interval ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS th FROM g),
+i AS (SELECT *, coalesce(th - mw*dt, 0) AS was FROM h),
+k AS (SELECT *, ma*cos(was) - 0.1*sin(was) AS ax, ma*sin(was) + 0.1*cos(was) AS ay FROM i),
+l AS (SELECT *, coalesce(sum(ax*dt) OVER o, 0) AS vx, coalesce(sum(ay*dt) OVER o, 0) AS vy FROM k WINDOW o AS (PARTITION BY interval ORDER BY t ROWS UNBOUNDED PRECEDING))
+SELECT interval, count(*) AS n, round(sum(dt), 4) + 0.0 AS duration, round(max_by(cos(th), t), 6) + 0.0 AS cosine, round(max_by(sin(th), t), 6) + 0.0 AS sine, round(max_by(vx, t), 4) + 0.0 AS vx, round(max_by(vy, t), 4) + 0.0 AS vy,
+       round(sum((vx - ax*dt)*dt + ax*dt*dt/2), 2) + 0.0 AS px, round(sum((vy - ay*dt)*dt + ay*dt*dt/2), 2) + 0.0 AS py
+FROM l GROUP BY interval HAVING count(*) > 1 AND min(dt) > 0""")
+def planar_preintegration(spark, sf_dir):
+    """Turns about the vertical only, whose products SQL can write as sums of angles."""
+    imu = _imu(spark, sf_dir).withColumns({"az": F.lit(0.0), "wx": F.lit(0.0), "wy": F.lit(0.0)})
+    p = odometry.preintegrate(imu)
+    at = lambda c, i, d: r(F.col(c)[i], d)
+    return p.select("interval", "n", r(F.col("duration"), 4).alias("duration"), at("rotation", 0, 6).alias("cosine"), at("rotation", 3, 6).alias("sine"), at("velocity", 0, 4).alias("vx"), at("velocity", 1, 4).alias("vy"), at("position", 0, 2).alias("px"), at("position", 1, 2).alias("py"))
+
+
+def _steps(spark, sf_dir):
+    """A motion in the plane for each order of a customer."""
+    a = (F.col("o_orderkey") % 7) / 10.0
+    turn = F.array(F.cos(a), -F.sin(a), F.lit(0.0), F.col("o_totalprice") * 1.37e-5, F.sin(a), F.cos(a), F.lit(0.0), F.lit(0.51234567), *[F.lit(v) for v in (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)])
+    return table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), turn.alias("step"))
+
+
+@register("path_products", """WITH s AS (SELECT o_custkey, o_orderkey AS seq, (o_orderkey % 7) / 10.0::DOUBLE AS a, o_totalprice * 1.37e-5::DOUBLE AS d FROM orders),
+h AS (SELECT *, sum(a) OVER (PARTITION BY o_custkey ORDER BY seq ROWS UNBOUNDED PRECEDING) AS th FROM s),
+i AS (SELECT *, d*cos(th - a) - 0.51234567::DOUBLE*sin(th - a) AS dx, d*sin(th - a) + 0.51234567::DOUBLE*cos(th - a) AS dy FROM h)
+SELECT seq, round(cos(th), 6) + 0.0 AS cosine, round(sin(th), 6) + 0.0 AS sine, round(sum(dx) OVER o, 5) + 0.0 AS x, round(sum(dy) OVER o, 5) + 0.0 AS y FROM i WINDOW o AS (PARTITION BY o_custkey ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def path_products(spark, sf_dir):
+    """Poses as prefix products of rigid motions."""
+    p = scans.prefix_products(_steps(spark, sf_dir), "step", ("o_custkey",), ("seq",), name="pose")
+    at = lambda i, d: r(F.col("pose")[i], d)
+    return p.select("seq", at(0, 6).alias("cosine"), at(4, 6).alias("sine"), at(3, 5).alias("x"), at(7, 5).alias("y"))
+
+
 @register("deskew")
 def deskew(spark, sf_dir):
     imu = _imu(spark, sf_dir).withColumnRenamed("interval", "frame")

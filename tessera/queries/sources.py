@@ -113,3 +113,17 @@ def rotvec_quaternion(spark, sf_dir):
     v = F.array(F.col("x") / 25, F.col("y") / 50, F.col("z") / 5)
     q = numbered(spark, sf_dir).where("x <> 0 or y <> 0 or z <> 0").select("frame", se3.quaternion_from_rotvec(v).alias("q"))
     return q.groupBy("frame").agg(*[r(F.sum(F.col("q")[i]), 4).alias(c) for i, c in enumerate("wxyz")])
+
+
+@register("source_bag", "SELECT event_type AS topic, epoch_us(ts)::DOUBLE AS \"timestamp\", CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('click', 'view') AND epoch_us(ts) >= (SELECT min(epoch_us(ts)) + 3600000000 FROM events)")
+def source_bag(spark, sf_dir):
+    """Events written as bags, read back in ranges of bytes, with topics and times tested on the heads of records."""
+    from tessera.shared import new_path
+    from tessera.sources import bag
+
+    events = table(spark, sf_dir, "events").selectExpr("event_id AS offset", "event_type AS topic", f"CAST({MICROS} AS double) AS timestamp", "props AS data")
+    path = new_path(spark, "bags")
+    bag.write_parts(events, path)
+    first = events.agg(F.min("timestamp")).first()[0]
+    m = bag.read(spark, path, ["click", "view"], start=first + 3_600_000_000, split=1 << 20)
+    return m.select("topic", "timestamp", F.get_json_object("data", "$.k").cast("long").alias("k"))

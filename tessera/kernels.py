@@ -594,6 +594,151 @@ def _sparse_step(i, j, ja, jb, weight, e, n: int, damping: float, fixed: bool, t
     return x[:n]
 
 
+#: Systems of so many poses are solved as dense ones; every so many poses of a chain one is kept, so that its stretches are eliminated side by side.
+DENSE_SYSTEM, STRETCH = 120, 64
+_EPS = 1e-7
+
+
+def linearise(a, b, inv_measured) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Errors [m, 6] of edges between poses a and b, and their derivatives [m, 6, 6] by steps of a and of b: central differences, all edges at once."""
+
+    def error(a, b):
+        e = inv_measured @ _inv_rigid_many(a) @ b
+        return np.concatenate((e[:, :3, 3], log_so3_many(e[:, :3, :3])), axis=1)
+
+    turns = {s: [exp_so3(s * _EPS * np.eye(3)[c]) for c in range(3)] for s in (1, -1)}
+
+    def nudged(m, c, sign):
+        m = m.copy()
+        if c < 3:
+            m[:, c, 3] += sign * _EPS
+        else:
+            m[:, :3, :3] = m[:, :3, :3] @ turns[sign][c - 3]
+        return m
+
+    ja, jb = np.zeros((len(a), 6, 6)), np.zeros((len(a), 6, 6))
+    for c in range(6):
+        ja[:, :, c] = (error(nudged(a, c, 1), b) - error(nudged(a, c, -1), b)) / (2 * _EPS)
+        jb[:, :, c] = (error(a, nudged(b, c, 1)) - error(a, nudged(b, c, -1))) / (2 * _EPS)
+    return error(a, b), ja, jb
+
+
+def factors(e, ja, jb, weight) -> tuple[np.ndarray, np.ndarray]:
+    """The normal equations of edges: [m, 12, 12] and [m, 12] over the steps of both ends."""
+    j = np.concatenate((ja, jb), axis=2)
+    wj = np.einsum("mki,mkl->mil", j, weight)
+    return wj @ j, np.einsum("mik,mk->mi", wj, e)
+
+
+def moved(poses, steps) -> np.ndarray:
+    """Poses after steps [n, 6]: a shift, and a turn on the right."""
+    out = poses.copy()
+    out[:, :3, 3] += steps[:, :3]
+    out[:, :3, :3] = out[:, :3, :3] @ exp_so3_many(steps[:, 3:])
+    return out
+
+
+class Stretches:
+    """Elimination of the poses between kept ones of a chain, by its factors h [n-1, 12, 12] and g [n-1, 12] between neighbours; all stretches take a step at a time.
+
+    starts and ends are the kept neighbours, h and g the factors that remain between them.
+    """
+
+    def __init__(self, h, g, kept, damping: float):
+        at = np.flatnonzero(kept)
+        u, v = at[:-1], at[1:]
+        order = np.argsort(u - v, kind="stable")  # the longest first
+        self.n, self.u, self.length = len(kept), u[order], (v - u)[order]
+        r, s = h[self.u].copy(), g[self.u].copy()
+        self.steps = []
+        for k in range(1, int(self.length.max(initial=1))):
+            live = int(np.searchsorted(-self.length, -k, side="left"))  # those longer than k
+            c = self.u[:live] + k
+            f, a = h[c], r[:live]
+            inverse = np.linalg.inv(a[:, 6:, 6:] + f[:, :6, :6] + damping * np.eye(6))
+            left, right, rest = inverse @ a[:, 6:, :6], inverse @ f[:, :6, 6:], np.einsum("mij,mj->mi", inverse, s[:live, 6:] + g[c, :6])
+            self.steps.append((c, left, right, rest))
+            new, uc, nc = np.empty_like(a), a[:, :6, 6:], f[:, 6:, :6]
+            new[:, :6, :6], new[:, :6, 6:] = a[:, :6, :6] - uc @ left, -uc @ right
+            new[:, 6:, :6], new[:, 6:, 6:] = -nc @ left, f[:, 6:, 6:] - nc @ right
+            s[:live] = np.concatenate((s[:live, :6] - np.einsum("mij,mj->mi", uc, rest), g[c, 6:] - np.einsum("mij,mj->mi", nc, rest)), axis=1)
+            r[:live] = new
+        back = np.argsort(order)
+        self.starts, self.ends, self.h, self.g = u, v, r[back], s[back]
+
+    def fill(self, x: np.ndarray) -> np.ndarray:
+        """Steps [n, 6], given at kept poses, also of those between."""
+        for c, left, right, rest in reversed(self.steps):
+            x[c] = -(rest + np.einsum("mij,mj->mi", left, x[self.u[: len(c)]]) + np.einsum("mij,mj->mi", right, x[c + 1]))
+        return x
+
+
+def solve_chain(h, g, i, j, lh, lg, damping: float, tolerance: float = 1e-12) -> np.ndarray:
+    """Steps [n, 6] of a chain of poses with factors h, g between neighbours and lh, lg of links (i, j); the first pose is held.
+
+    Stretches without links are eliminated again and again; what links leave is solved densely, or by conjugate gradients preconditioned by the inverse blocks of the diagonal.
+    """
+    n = len(h) + 1
+    if n > DENSE_SYSTEM:
+        kept = np.zeros(n, bool)
+        kept[::STRETCH] = kept[-1] = True
+        kept[i] = kept[j] = True
+        if kept.sum() <= 0.8 * n:
+            stretches, number = Stretches(h, g, kept, damping), np.cumsum(kept) - 1
+            x = np.zeros((n, 6))
+            x[kept] = solve_chain(stretches.h, stretches.g, number[i], number[j], lh, lg, damping, tolerance)
+            return stretches.fill(x)
+    a, b = np.concatenate((np.arange(n - 1), i)).astype(int), np.concatenate((np.arange(1, n), j)).astype(int)
+    hh, gg = np.concatenate((h, lh)), np.concatenate((g, lg))
+    right = np.zeros((n, 6))
+    np.add.at(right, a, -gg[:, :6])
+    np.add.at(right, b, -gg[:, 6:])
+    right[0] = 0
+    if n <= DENSE_SYSTEM:
+        m = np.zeros((n, n, 6, 6))
+        for p, q, r, c in ((a, a, 0, 0), (a, b, 0, 6), (b, a, 6, 0), (b, b, 6, 6)):
+            np.add.at(m, (p, q), hh[:, r : r + 6, c : c + 6])
+        m = m.transpose(0, 2, 1, 3).reshape(6 * n, 6 * n)
+        m[:6], m[:, :6] = 0, 0
+        m[:6, :6] = np.eye(6)
+        m += damping * np.eye(6 * n)
+        try:
+            return np.linalg.solve(m, right.ravel()).reshape(n, 6)
+        except np.linalg.LinAlgError:
+            return np.linalg.lstsq(m, right.ravel(), rcond=None)[0].reshape(n, 6)
+
+    def apply(v):
+        w = np.einsum("mij,mj->mi", hh, np.concatenate((v[a], v[b]), axis=1))
+        out = damping * v
+        np.add.at(out, a, w[:, :6])
+        np.add.at(out, b, w[:, 6:])
+        out[0] = v[0]
+        return out
+
+    own = np.zeros((n, 6, 6))
+    np.add.at(own, a, hh[:, :6, :6])
+    np.add.at(own, b, hh[:, 6:, 6:])
+    same = a == b
+    np.add.at(own, a[same], hh[same][:, :6, 6:] + hh[same][:, 6:, :6])
+    own += damping * np.eye(6)
+    own[0] = np.eye(6)
+    inverse = np.linalg.inv(own)
+    x, r = np.zeros((n, 6)), right
+    z = np.einsum("nij,nj->ni", inverse, r)
+    p, rz = z, float((r * z).sum())
+    goal = tolerance * tolerance * max(rz, 1e-300)
+    for _ in range(12 * n):
+        if rz <= goal:
+            break
+        q = apply(p)
+        step = rz / float((p * q).sum())
+        x, r = x + step * p, r - step * q
+        z = np.einsum("nij,nj->ni", inverse, r)
+        rz, old = float((r * z).sum()), rz
+        p = z + rz / old * p
+    return x
+
+
 def optimise_graph(poses: dict, edges: list, priors: list = (), max_iterations=20, tolerance=1e-6, damping=1e-6):
     """(poses, cost, iterations, converged) by damped Gauss-Newton with central numerical Jacobians; without priors the first pose is fixed.
 
@@ -611,37 +756,23 @@ def optimise_graph(poses: dict, edges: list, priors: list = (), max_iterations=2
     measured = np.linalg.inv(np.array([e[2] for e in edges] + [p[1] for p in priors], float))
     weight = np.array([e[3] for e in edges] + [p[2] for p in priors], float)
 
-    def error(a, b):
-        e = measured @ _inv_rigid_many(a) @ b
-        return np.concatenate((e[:, :3, 3], log_so3_many(e[:, :3, :3])), axis=1)
-
-    eps = 1e-7
-    turns = {s: [exp_so3(s * eps * np.eye(3)[c]) for c in range(3)] for s in (1, -1)}
-
-    def nudged(m, c, sign):
-        m = m.copy()
-        if c < 3:
-            m[:, c, 3] += sign * eps
-        else:
-            m[:, :3, :3] = m[:, :3, :3] @ turns[sign][c - 3]
-        return m
-
     converged, done = False, 0
     for done in range(1, max_iterations + 1):
-        a, b = x[i], x[j]
-        e = error(a, b)
-        ja, jb = np.zeros((len(i), 6, 6)), np.zeros((len(i), 6, 6))
-        for c in range(6):
-            ja[:, :, c] = (error(nudged(a, c, 1), b) - error(nudged(a, c, -1), b)) / (2 * eps)
-            jb[:, :, c] = (error(a, nudged(b, c, 1)) - error(a, nudged(b, c, -1))) / (2 * eps)
-        if n > DENSE_POSES:
-            step = _sparse_step(i, j, ja, jb, weight, e, n, damping, fixed=not priors)
-        else:
+        e, ja, jb = linearise(x[i], x[j], measured)
+        if n <= DENSE_POSES:
             step = _dense_step(i, j, ja, jb, weight, e, n, damping, fixed=not priors)
-        for k in range(n):
-            x[k] = rigid(x[k, :3, :3] @ exp_so3(step[k, 3:]), x[k, :3, 3] + step[k, :3])
+        elif priors:
+            step = _sparse_step(i, j, ja, jb, weight, e, n, damping, fixed=False)
+        else:
+            h, g = factors(e, ja, jb, weight)
+            near = j == i + 1
+            ch, cg = np.zeros((n - 1, 12, 12)), np.zeros((n - 1, 12))
+            np.add.at(ch, i[near], h[near])
+            np.add.at(cg, i[near], g[near])
+            step = solve_chain(ch, cg, i[~near], j[~near], h[~near], g[~near], damping)
+        x[:n] = moved(x[:n], step)
         if np.linalg.norm(step) < tolerance:
             converged = True
             break
-    e = error(x[i], x[j])
+    e = linearise(x[i], x[j], measured)[0]
     return dict(zip(ids, x, strict=False)), float(0.5 * np.einsum("mi,mij,mj->", e, weight, e)), done, converged

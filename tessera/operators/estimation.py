@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tessera import kernels
 from tessera.errors import CalibrationError, SensorError
 from tessera.operators.scans import number_rows, prefix_products
+from tessera.shared import map_in_arrow
 
 XYZ = ("x", "y", "z")
 
@@ -49,18 +52,42 @@ def solve_ego_velocity(row, min_inliers: int = 3) -> tuple[np.ndarray, bool]:
     return np.linalg.lstsq(a, np.array([row["bx"], row["by"], row["bz"]]), rcond=None)[0], True
 
 
+def calibrate_rigs(planes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, n, transform (16): lidar to camera of each rig from matched planes (lx, ly, lz, ld, cx, cy, cz, cd), null with fewer than three planes.
+
+    The rotation is that of the normals, without centring; then t from n_c . t = d_c - d_l. A rig's planes become one row of sums, and rows are solved many at a time.
+    """
+    cross = [F.sum(F.col(f"l{a}") * F.col(f"c{b}")).alias(f"_w{a}{b}") for a in XYZ for b in XYZ]
+    quad = [F.sum(F.col(f"c{a}") * F.col(f"c{b}")).alias(f"_q{a}{b}") for a in XYZ for b in XYZ]
+    right = [F.sum(F.col(f"c{a}") * (F.col("cd") - F.col("ld"))).alias(f"_r{a}") for a in XYZ]
+    sums = planes.groupBy(*by).agg(F.count("*").alias("n"), *cross, *quad, *right)
+    kinds = {f.name: f for f in sums.schema.fields}
+    schema = StructType([*[kinds[c] for c in by], kinds["n"], StructField("transform", ArrayType(DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            column = lambda c, b=b: b.column(c).fill_null(0.0).to_numpy(zero_copy_only=False)
+            w = np.stack([column(f"_w{a}{c}") for a in XYZ for c in XYZ], axis=1).reshape(-1, 3, 3)
+            q = np.stack([column(f"_q{a}{c}") for a in XYZ for c in XYZ], axis=1).reshape(-1, 3, 3)
+            d = np.stack([column(f"_r{a}") for a in XYZ], axis=1)
+            u, _, vt = np.linalg.svd(w)
+            vt[:, 2] *= np.linalg.det(vt.transpose(0, 2, 1) @ u.transpose(0, 2, 1))[:, None]
+            m = np.tile(np.eye(4), (len(w), 1, 1))
+            m[:, :3, :3] = vt.transpose(0, 2, 1) @ u.transpose(0, 2, 1)
+            m[:, :3, 3] = np.einsum("nij,nj->ni", np.linalg.pinv(q), d)  # the shortest where planes leave a direction open
+            few = b.column("n").to_numpy() < 3
+            lists = pa.array([None if f else r for f, r in zip(few, m.reshape(-1, 16).tolist(), strict=True)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in by], b.column("n"), lists], names=schema.names)
+
+    return map_in_arrow(sums, run, schema)
+
+
 def calibrate(planes: DataFrame) -> np.ndarray:
-    """lidar-to-camera transform from matched planes (lx, ly, lz, ld, cx, cy, cz, cd): rotation of the normals without centring, then t from n_c . t = d_c - d_l."""
-    cross = [F.sum(F.col(f"l{a}") * F.col(f"c{b}")).alias(f"w{a}{b}") for a in XYZ for b in XYZ]
-    quad = [F.sum(F.col(f"c{a}") * F.col(f"c{b}")).alias(f"q{a}{b}") for a in XYZ for b in XYZ]
-    right = [F.sum(F.col(f"c{a}") * (F.col("cd") - F.col("ld"))).alias(f"r{a}") for a in XYZ]
-    row = planes.agg(F.count("*").alias("n"), *cross, *quad, *right).first()
-    if row.n < 3:
+    """The lidar-to-camera transform of one rig, see calibrate_rigs."""
+    row = calibrate_rigs(planes).first()
+    if row.transform is None:
         raise CalibrationError("three planes or more are needed")
-    zero = np.zeros(3)
-    r = kernels.kabsch_from_moments(zero, zero, np.array([[row[f"w{a}{b}"] for b in XYZ] for a in XYZ]))[:3, :3]
-    t = np.linalg.lstsq(np.array([[row[f"q{a}{b}"] for b in XYZ] for a in XYZ]), np.array([row[f"r{a}"] for a in XYZ]), rcond=None)[0]
-    return kernels.rigid(r, t)
+    return np.reshape(row.transform, (4, 4))
 
 
 def _nearest_in_cells(source: DataFrame, target: DataFrame, cell: float) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera import kernels
 from tessera.errors import SensorError
 from tessera.functions import se3
+from tessera.operators.large_graphs import optimise_large
+from tessera.shared import kept
 
 
 def check_graph(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> None:
@@ -53,20 +55,31 @@ def graph_cost(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> DataFra
     return graph_errors(nodes, edges, by).groupBy(by).agg(F.sum("cost").alias("cost"), F.count("*").alias("edges"))
 
 
+#: Poses of a graph that one task solves.
+TASK_POSES = 20_000
+
+
 def optimise(nodes: DataFrame, edges: DataFrame, by: str = "graph", **options) -> DataFrame:
-    """by, id, transform, cost, converged. A graph is solved in one task; graphs run side by side. The node with the least seq is fixed."""
+    """by, id, transform, cost, converged. The node with the least seq is fixed; of equal seq the least id.
+
+    Graphs of up to TASK_POSES poses are solved in a task each, side by side; larger ones block by block, see large_graphs.
+    """
+    kinds = dict(nodes.dtypes)
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):
             return pd.DataFrame(columns=[by, "id", "transform", "cost", "converged"])
-        n = n.sort_values("seq")
+        n = n.sort_values(["seq", "id"])
         poses = {k: np.array(m).reshape(4, 4) for k, m in zip(n["id"], n["transform"], strict=True)}
         links = [(a, b, np.array(m).reshape(4, 4), np.array(w).reshape(6, 6)) for a, b, m, w in zip(e["a"], e["b"], e["transform"], e["information"], strict=True)]
         x, cost, _, ok = kernels.optimise_graph(poses, links, **options)
         return pd.DataFrame({by: n[by].iloc[0], "id": list(x), "transform": [m.ravel().tolist() for m in x.values()], "cost": cost, "converged": ok})
 
-    kinds = dict(nodes.dtypes)
-    return nodes.groupBy(by).cogroup(edges.groupBy(by)).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, transform array<double>, cost double, converged boolean")
+    large = kept(nodes.groupBy(F.col(by).alias("_by")).count().where(F.col("count") > TASK_POSES).select("_by"))  # poses / TASK_POSES rows at most
+    some = large.limit(1).count() > 0
+    split = (lambda df, how: df.join(F.broadcast(large), F.col(by).eqNullSafe(F.col("_by")), how)) if some else lambda df, how: df
+    out = split(nodes, "left_anti").groupBy(by).cogroup(split(edges, "left_anti").groupBy(by)).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, transform array<double>, cost double, converged boolean")
+    return out.unionByName(optimise_large(split(nodes, "left_semi"), split(edges, "left_semi"), by, **options)) if some else out
 
 
 class Smoother:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import kernels
@@ -128,3 +129,61 @@ def triangulate(matches: DataFrame, p1, p2, by: str = "pair") -> DataFrame:
 
     kinds = dict(matches.dtypes)
     return matches.select(by, "seq", "u1", "v1", "u2", "v2").mapInPandas(run, f"{by} {kinds[by]}, seq {kinds['seq']}, x double, y double, z double")
+
+
+def stereo_rectify(k1, d1, k2, d2, r, t, image_size) -> dict:
+    """Rotations r1, r2 (3x3) and projections p1, p2 (3x4) of a rectified pair, with all that remapping needs.
+
+    k1, k2: 3x3; d1, d2: k1, k2, p1, p2, k3, missing ones 0, which do not turn the cameras but bend the way back to their pixels; r, t: from camera 1 to 2; image_size: (height, width).
+    """
+    k1, k2, r, t = (np.asarray(m, float) for m in (k1, k2, r, t))
+    if k1.shape != (3, 3) or k2.shape != (3, 3) or r.shape != (3, 3) or t.ravel().shape != (3,):
+        raise CalibrationError("two 3x3 camera matrices, a 3x3 rotation and a translation of three are needed")
+    if len(image_size) != 2 or min(image_size) <= 0:
+        raise CalibrationError("an image has a positive height and width")
+    try:
+        r1, r2, p1, p2 = kernels.rectify(k1, k2, r, t.ravel())
+    except ValueError as e:
+        raise CalibrationError(str(e)) from e
+    return {"r1": r1, "r2": r2, "p1": p1, "p2": p2, "k1": k1, "k2": k2, "d1": tuple(d1), "d2": tuple(d2), "image_size": tuple(image_size)}
+
+
+def rectified_pixels(pair: dict, side: int, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """[n, 2] of u, v: where pixels of the rectified image of camera 1 or 2 lie in that camera's own image; NaN where they look backwards."""
+    k, rot, p = pair[f"k{side}"], pair[f"r{side}"], pair[f"p{side}"]
+    k1, k2, p1, p2, k3 = [*map(float, pair[f"d{side}"]), 0.0, 0.0, 0.0, 0.0, 0.0][:5]
+    ray = np.stack(((col - p[0, 2]) / p[0, 0], (row - p[1, 2]) / p[1, 1], np.ones(len(row))), axis=1) @ rot  # its inverse is its transpose
+    ahead = ray[:, 2] > 0
+    x, y = (ray[:, :2] / np.where(ahead, ray[:, 2], np.nan)[:, None]).T
+    r2 = x * x + y * y
+    radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
+    bent = np.stack((x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x), y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y, np.ones(len(x))), axis=1)
+    return bent @ k[:2].T
+
+
+def rectification_map(spark: SparkSession, pair: dict, side: int) -> DataFrame:
+    """row, col, u, v of every pixel of the rectified image; u and v are null where it looks backwards."""
+    height, width = map(int, pair["image_size"])
+
+    def run(batches):
+        for b in batches:
+            i = b.column(0).to_numpy()
+            uv = rectified_pixels(pair, side, i // width, i % width)
+            yield pa.RecordBatch.from_arrays([pa.array((i // width).astype(np.int32)), pa.array((i % width).astype(np.int32)), *[pa.array(c, mask=np.isnan(c)) for c in uv.T]], names=["row", "col", "u", "v"])
+
+    return spark.range(height * width).mapInArrow(run, "row int, col int, u double, v double")
+
+
+def remap(images: DataFrame, lookup: DataFrame, by: tuple[str, ...] = ("img",), value: str = "v") -> DataFrame:
+    """by, row, col, value: images (by, row, col, value) looked up between pixels, by weights of the four around.
+
+    lookup: row, col, u (column), v (row). A pixel that needs any that an image does not have is left out. Places that fall on a pixel need that one alone.
+    """
+    u, v = F.col("u"), F.col("v")
+    x0, y0 = F.floor(u), F.floor(v)
+    fx, fy = u - x0, v - y0
+    four = F.array(*[F.struct((y0 + i).cast("int").alias("_r"), (x0 + j).cast("int").alias("_c"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("_w")) for i in (0, 1) for j in (0, 1)])
+    asked = lookup.where(u.isNotNull() & v.isNotNull()).select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.explode(F.filter(four, lambda q: q._w > 0)).alias("_q")).select("_row", "_col", "_q.*")
+    there = images.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).cast("double").alias("_v")).join(asked, ["_r", "_c"])
+    out = there.groupBy(*by, "_row", "_col").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_v")).alias(value))
+    return out.where(F.col("_w") > 1 - 1e-9).select(*by, F.col("_row").alias("row"), F.col("_col").alias("col"), value)

@@ -139,6 +139,22 @@ def icp_plane(spark, sf_dir):
     return estimation.icp_frames(*_shifted(spark, sf_dir), plane=True, normals_k=10)
 
 
+@register("calibration", """SELECT c_nationkey AS rig, count(*) AS n, round(cos(c_nationkey / 10.0), 6) + 0.0 AS cosine, round(sin(c_nationkey / 10.0), 6) + 0.0 AS sine,
+ round(c_nationkey / 5.0, 5) + 0.0 AS tx, round(-c_nationkey / 7.0, 5) + 0.0 AS ty, 0.25 AS tz FROM customer GROUP BY c_nationkey HAVING count(*) >= 3""")
+def calibration(spark, sf_dir):
+    """Planes that a lidar and a camera both see, planted with a known transform for each nation's rig, and found again."""
+    k, g = F.col("c_custkey"), F.col("c_nationkey")
+    raw = [F.sin(k * 1.0), F.cos(k * 2.0), F.sin(k * 3.0) + 0.3]
+    length = F.sqrt(sum((v * v for v in raw[1:]), raw[0] * raw[0]))
+    n = table(spark, sf_dir, "customer").select(g.alias("rig"), *[(v / length).alias(f"l{c}") for v, c in zip(raw, "xyz", strict=True)], (F.col("c_acctbal") / 1000).alias("ld"))
+    cos, sin = F.cos(F.col("rig") / 10), F.sin(F.col("rig") / 10)
+    n = n.withColumns({"cx": cos * F.col("lx") - sin * F.col("ly"), "cy": sin * F.col("lx") + cos * F.col("ly"), "cz": F.col("lz")})
+    n = n.withColumn("cd", F.col("ld") + F.col("cx") * F.col("rig") / 5 - F.col("cy") * F.col("rig") / 7 + F.col("cz") * 0.25)
+    m = F.col("transform")
+    found = estimation.calibrate_rigs(n, ("rig",)).where("transform is not null")
+    return found.select("rig", "n", r(m[0], 6).alias("cosine"), r(m[4], 6).alias("sine"), r(m[3], 5).alias("tx"), r(m[7], 5).alias("ty"), r(m[11], 5).alias("tz"))
+
+
 @register("radar_odometry")
 def radar_odometry(spark, sf_dir):
     p = numbered(spark, sf_dir).withColumn("session", F.floor(F.col("frame") / 10))

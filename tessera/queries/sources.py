@@ -127,3 +127,103 @@ def source_bag(spark, sf_dir):
     first = events.agg(F.min("timestamp")).first()[0]
     m = bag.read(spark, path, ["click", "view"], start=first + 3_600_000_000, split=1 << 20)
     return m.select("topic", "timestamp", F.get_json_object("data", "$.k").cast("long").alias("k"))
+
+
+def _as_files(files, path, suffix):
+    """Each row (path, content) as a file of its own in a folder; the number of files."""
+    import pyarrow as pa
+
+    from tessera.shared import file_system
+
+    def run(batches):
+        for b in batches:
+            system, folder = file_system(path)
+            system.create_dir(folder, recursive=True)
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with system.open_output_stream(f"{folder}/{name}{suffix}") as f:
+                    f.write(content.as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
+
+    return files.mapInArrow(run, "path string").count()
+
+
+@register("source_livox", f"""WITH {_NUMBERED}, m AS (SELECT frame, idx, CAST(x * 1000 AS FLOAT) AS a, CAST(y * 1000 AS FLOAT) AS b, CAST(z * 1000 AS FLOAT) AS c, CAST(abs(x) * 1000 + 1 AS FLOAT)::DOUBLE / 1000 AS d, radians(CAST(y * 100 AS FLOAT)::DOUBLE / 100) AS zen, radians(CAST(z * 100 AS FLOAT)::DOUBLE / 100) AS az FROM num),
+p AS (SELECT frame, idx, CASE frame % 3 WHEN 0 THEN a::DOUBLE / 1000 WHEN 1 THEN d * sin(zen) * cos(az) ELSE trunc(a) / 1000 END AS x, CASE frame % 3 WHEN 0 THEN b::DOUBLE / 1000 WHEN 1 THEN d * sin(zen) * sin(az) ELSE trunc(b) / 1000 END AS y, CASE frame % 3 WHEN 0 THEN c::DOUBLE / 1000 WHEN 1 THEN d * cos(zen) ELSE trunc(c) / 1000 END AS z FROM m)
+SELECT frame AS file, idx // 21 AS frame, idx % 21 AS idx, round(CAST(x AS FLOAT)::DOUBLE, 3) + 0.0 AS x, round(CAST(y AS FLOAT)::DOUBLE, 3) + 0.0 AS y, round(CAST(z AS FLOAT)::DOUBLE, 3) + 0.0 AS z, round(CAST((idx % 256) / 255.0 AS FLOAT)::DOUBLE, 4) + 0.0 AS intensity FROM p""")
+def source_livox(spark, sf_dir):
+    """Recordings of the three kinds of points, in packages of seven points and frames of three packages, read from files in runs of frames."""
+    import struct
+
+    from tessera.shared import new_path
+    from tessera.sources import livox
+
+    def pack(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seq")
+        kind, n = int(t["frame"].iloc[0]) % 3, len(t)
+        mm = (t[["x", "y", "z"]].to_numpy(np.float32) * np.float32(1000)).astype(np.float32)
+        light = (np.arange(n) % 256).astype(np.float32)
+        if kind == 2:
+            records = np.zeros(n, np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("i", "u1"), ("tag", "u1")]))
+            for k, c in enumerate("xyz"):
+                records[c] = np.trunc(mm[:, k])
+            records["i"] = light
+        else:
+            records = np.zeros((n, 4), "<f4")
+            if kind == 0:
+                records[:, :3] = mm
+            else:
+                records[:, 0] = np.abs(t["x"].to_numpy(np.float32)) * np.float32(1000) + np.float32(1)
+                records[:, 1:3] = t[["y", "z"]].to_numpy(np.float32) * np.float32(100)
+            records[:, 3] = light
+        parts = [livox.SIGNATURE + bytes([1, 1, 0, 0]) + bytes(8) + bytes([1, 0]) + bytes(livox.DEVICE_V1)]
+        at = len(parts[0])
+        for f in range(0, n, 21):
+            body = b""
+            for p in range(f, min(f + 21, n), 7):
+                raw = records[p : min(p + 7, f + 21, n)].tobytes()
+                body += bytes([0, kind, 0]) + struct.pack("<QI", 0, 0) + struct.pack("<I", livox.PACKAGE_V1 + len(raw)) + raw
+            parts.append(struct.pack("<QQQ", at, at + livox.FRAME + len(body), f) + body)
+            at += len(parts[-1])
+        return pd.DataFrame({"path": [str(t["frame"].iloc[0])], "content": [b"".join(parts)]})
+
+    path = new_path(spark, "livox")
+    _as_files(numbered(spark, sf_dir).groupBy("frame").applyInPandas(pack, "path string, content binary"), path, ".lvx")
+    p = livox.read(spark, path, split=1 << 16)
+    file = F.regexp_extract("path", r"([0-9]+)\.lvx$", 1).cast("long")
+    return p.select(file.alias("file"), "frame", "idx", *[r(F.col(c).cast("double"), 3).alias(c) for c in "xyz"], r(F.col("intensity").cast("double"), 4).alias("intensity"))
+
+
+_MSM_SQL = """WITH c AS (SELECT c_custkey AS k, 299792.458::DOUBLE AS ms, 299792458.0::DOUBLE / 1575420000.0::DOUBLE AS wave FROM customer),
+rough AS (SELECT *, k % 200 + CASE WHEN k % 2 = 0 THEN 0 ELSE (k * 7) % 1024 / 1024.0::DOUBLE END AS a, k % 100 + 60 + CASE WHEN k % 2 = 0 THEN 0 ELSE (k * 11) % 1024 / 1024.0::DOUBLE END AS b FROM c),
+cell AS (SELECT *, unnest([0, 1, 2]) AS cell, unnest([a, a, b]) AS rough, unnest([k % 1024, k * 3 % 1024, k * 5 % 1024]) AS part, unnest([k % 1000 - 500, k * 3 % 1000 - 500, k * 5 % 1000 - 500]) AS fine, unnest([k % 5000 - 2500, k * 3 % 5000 - 2500, k * 5 % 5000 - 2500]) AS phase FROM rough)
+SELECT k AS path, CASE WHEN k % 2 = 0 THEN 1074 ELSE 1127 END AS message, CASE WHEN k % 2 = 0 THEN 'GPS' ELSE 'BEIDOU' END AS system, k % 4096 AS station, k AS epoch,
+  CAST(9223372036854775808::HUGEINT + (1::HUGEINT << CAST(62 - k % 63 AS INT)) AS VARCHAR) AS satellites, 2147483648 + (1::BIGINT << CAST(30 - k % 31 AS INT)) AS signals, cell,
+  round(CASE WHEN k % 2 = 0 THEN (rough + part / 1024.0::DOUBLE) * ms ELSE (rough + fine / 536870912.0::DOUBLE) * ms END, 3) + 0.0 AS range,
+  CASE WHEN k % 2 = 1 THEN round(rough * ms / wave + phase / 16777216.0::DOUBLE, 3) + 0.0 END AS phase FROM cell"""
+
+
+@register("source_msm", _MSM_SQL)
+def source_msm(spark, sf_dir):
+    """An observation message a customer, MSM4 or MSM7, of two satellites and two signals with three of the four cells; a damaged copy stands before it."""
+
+    def build(batches):
+        for t in batches:
+            content = []
+            for k in t["c_custkey"].tolist():
+                seven = k % 2
+                fields = [(1127 if seven else 1074, 12), (k % 4096, 12), (k, 30), (0, 16), (1 << 63 | 1 << 62 - k % 63, 64), (1 << 31 | 1 << 30 - k % 31, 32), (0b1101, 4), (k % 200, 8), (k % 100 + 60, 8)]
+                if seven:
+                    fields += [(k * 7 % 1024, 10), (k * 11 % 1024, 10), *[(k * m % 1000 - 500, 20) for m in (1, 3, 5)], *[(k * m % 5000 - 2500, 24) for m in (1, 3, 5)]]
+                else:
+                    fields += [(k * m % 1024, 10) for m in (1, 3, 5)]
+                body = bits = 0
+                for v, n in fields:
+                    body, bits = body << n | v & ((1 << n) - 1), bits + n
+                pad = -bits % 8
+                good = _framed(body << pad, bits + pad)
+                content.append(good[:-1] + bytes([good[-1] ^ 1]) + good)
+            yield pd.DataFrame({"path": t["c_custkey"].astype(str), "content": content})
+
+    m = rtcm.parse(table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(build, "path string, content binary"))
+    cells = m.select(F.col("path").cast("long").alias("path"), "message", "msm.*", F.posexplode("msm.ranges").alias("cell", "_range"))
+    return cells.select("path", "message", "system", F.col("station").cast("long").alias("station"), "epoch", "satellites", "signals", "cell", r(F.col("_range"), 3).alias("range"), r(F.get("phases", "cell"), 3).alias("phase"))

@@ -117,3 +117,38 @@ def rviz_markers(spark, sf_dir):
     # rviz_markers takes poses of one trajectory; here each customer is one
     m = rasters.rviz_markers(p.withColumn("timestamp", F.struct("o_custkey")))
     return m.select(F.col("stamp.o_custkey").alias("o_custkey"), "id", F.col("position.x").alias("x"), "type")
+
+
+#: A pair of cameras whose baseline is their x axis; both are turned about it by the same half, so that SQL can write the rectification with sines.
+_HALF = 0.02
+_PAIR = dict(k1=[[30.0, 0, 20], [0, 32.0, 19], [0, 0, 1]], d1=(0.05, -0.01, 0.002, -0.001), k2=[[31.0, 0, 21], [0, 31.0, 20], [0, 0, 1]], d2=(0.03,), t=[-0.5, 0, 0], image_size=(40, 40))
+_RECTIFIED = """cam(side, k11, k22, cx, cy, a, b, p, q, turn) AS (VALUES (1, 30.0::DOUBLE, 32.0::DOUBLE, 20.0::DOUBLE, 19.0::DOUBLE, 0.05::DOUBLE, -0.01::DOUBLE, 0.002::DOUBLE, -0.001::DOUBLE, 0.0::DOUBLE), (2, 31.0, 31.0, 21.0, 20.0, 0.03, 0.0, 0.0, 0.0, 0.04)),
+grid AS (SELECT side, r AS "row", c AS col, k11, k22, cx, cy, a, b, p, q, (c - 20.5) / 31.0 AS gx, (r - 19.5) / 31.0 AS gy, turn FROM cam, range(40) t(r), range(40) s(c)),
+-- the baseline points to -x: the new axes are those of the first camera turned about z by half a circle, and the second camera's turn about x remains
+ray AS (SELECT *, -gx AS x, -gy * cos(turn) - sin(turn) AS y, cos(turn) - gy * sin(turn) AS z FROM grid),
+flat AS (SELECT *, x/z AS m, y/z AS n, x/z*x/z + y/z*y/z AS rr FROM ray),
+map AS (SELECT side, "row", col, k11*(m*(1 + a*rr + b*rr*rr) + 2*p*m*n + q*(rr + 2*m*m)) + cx AS u, k22*(n*(1 + a*rr + b*rr*rr) + p*(rr + 2*n*n) + 2*q*m*n) + cy AS v FROM flat)"""
+
+
+def _pair():
+    turn = np.array([[1, 0, 0], [0, np.cos(2 * _HALF), -np.sin(2 * _HALF)], [0, np.sin(2 * _HALF), np.cos(2 * _HALF)]])
+    return vision.stereo_rectify(r=turn, **_PAIR)
+
+
+@register("rectify", f"WITH {_PIX}, {_RECTIFIED} SELECT DISTINCT m.side, img, m.\"row\", m.col, round(m.u, 6) + 0.0 AS u, round(m.v, 6) + 0.0 AS v FROM map m, px")
+def rectify(spark, sf_dir):
+    """Where the pixels of both rectified images lie in the images of the cameras, for every image."""
+    pair = _pair()
+    images = image(spark, sf_dir).select("img").distinct()
+    both = [vision.rectification_map(spark, pair, s).withColumn("side", F.lit(s)) for s in (1, 2)]
+    return both[0].unionByName(both[1]).crossJoin(images).select("side", "img", "row", "col", r(F.col("u"), 6).alias("u"), r(F.col("v"), 6).alias("v"))
+
+
+@register("remap", f"""WITH {_PIX}, {_RECTIFIED},
+four AS (SELECT side, "row", col, floor(v)::INT + i AS r, floor(u)::INT + j AS c, CASE WHEN i = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END * CASE WHEN j = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END AS w FROM map, range(2) a(i), range(2) b(j))
+SELECT side, img, f."row", f.col, round(sum(w * px.v), 4) + 0.0 AS v FROM four f JOIN px ON px."row" = f.r AND px.col = f.c WHERE w > 0 GROUP BY side, img, f."row", f.col HAVING sum(w) > 1 - 1e-9""")
+def remap(spark, sf_dir):
+    """Images as the rectified cameras would have taken them."""
+    pair, px = _pair(), image(spark, sf_dir)
+    both = [vision.remap(px, vision.rectification_map(spark, pair, s)).withColumn("side", F.lit(s)) for s in (1, 2)]
+    return both[0].unionByName(both[1]).select("side", "img", "row", "col", r(F.col("v"), 4).alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -44,3 +45,10 @@ def map_in_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
             yield b.rename_columns(plain.names)
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
+def file_system(path: str):
+    """(pyarrow file system, name in it) of a path or URI, for byte formats that tasks read by ranges."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if re.match(r"[a-z0-9]+:", path) else fs.FileSystem.from_uri(os.path.abspath(path))

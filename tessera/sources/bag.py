@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
-import re
 import struct
 import uuid
 from dataclasses import dataclass
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThanOrEqual, WriterCommitMessage
 
 from tessera.errors import BagError, SensorError
+from tessera.shared import file_system
 
 # Signature, version and footer of the format.
 # A record: u32 bytes after this field, u16 length of the topic, topic, f64 time, JSON.
@@ -167,12 +166,6 @@ class Range(InputPartition):
     first: int | None
 
 
-def _file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if re.match(r"[a-z0-9]+:", path) else fs.FileSystem.from_uri(os.path.abspath(path))
-
-
 class BagReader(DataSourceReader):
     """Reads ranges of bag files. Topics and times are tested on a record's head, before its payload is touched.
 
@@ -209,7 +202,7 @@ class BagReader(DataSourceReader):
         return out
 
     def read(self, part: Range):
-        system, name = _file_system(part.path)
+        system, name = file_system(part.path)
         with system.open_input_file(name) as file:
             window = _Window(file, part.size)
             if part.start == 0 and window.get(0, len(MAGIC)) != MAGIC:
@@ -276,7 +269,7 @@ class BagWriter(DataSourceWriter):
     def write(self, rows):
         from pyspark import TaskContext
 
-        system, folder = _file_system(self.path)
+        system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.sbag"
         with system.open_output_stream(f"{folder}/_{name}") as file:
@@ -292,7 +285,7 @@ class BagWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         from pyarrow import fs
 
-        system, folder = _file_system(self.path)
+        system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
         names = [m.name for m in messages if m is not None]
         if self.overwrite:
@@ -303,7 +296,7 @@ class BagWriter(DataSourceWriter):
             system.move(f"{folder}/_{n}", f"{folder}/{n}")
 
     def abort(self, messages) -> None:
-        system, folder = _file_system(self.path)
+        system, folder = file_system(self.path)
         for m in messages:
             if m is not None:
                 system.delete_file(f"{folder}/_{m.name}")
@@ -383,10 +376,10 @@ def write(bag: DataFrame, path: str) -> None:
     """One file. Parts are written side by side and their records joined, as bytes."""
     folder = f"{path}.parts"
     write_parts(bag, folder, "overwrite")
-    system, name = _file_system(path)
+    system, name = file_system(path)
     from pyarrow import fs
 
-    _, parts = _file_system(folder)
+    _, parts = file_system(folder)
     with system.open_output_stream(name) as out:
         out.write(MAGIC + bytes([VERSION]))
         for f in sorted(system.get_file_info(fs.FileSelector(parts)), key=lambda f: f.base_name):

@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.errors import SensorError
+from tessera.shared import file_system
 
 # Signature and sizes of the format.
 SIGNATURE = b"livox_tech"
 HEADER, DEVICE_V1, DEVICE_V2, FRAME, PACKAGE_V1, PACKAGE_V2 = 24, 59, 63, 24, 19, 22
+#: Bytes of frames that one task decodes.
+SPLIT = 32 << 20
 
 
 def points(data: bytes, kind: int) -> np.ndarray:
@@ -30,37 +33,84 @@ def points(data: bytes, kind: int) -> np.ndarray:
     return np.zeros((0, 4))
 
 
-def decode(data: bytes) -> np.ndarray:
-    """All points of a recording. The frames form a chain, so a file is one unit of work."""
-    if len(data) < HEADER or data[:10] != SIGNATURE:
+def _begin(head: bytes) -> tuple[int, int]:
+    """Of a recording's first bytes: where its frames begin, and the size of a package's head."""
+    if len(head) < HEADER or head[:10] != SIGNATURE:
         raise SensorError("no LVX signature")
-    first, devices = data[10] < 2, data[22]
-    at = HEADER + devices * (DEVICE_V1 if first else DEVICE_V2)
-    size = PACKAGE_V1 if first else PACKAGE_V2
-    out = [np.zeros((0, 4))]
-    while at + FRAME <= len(data):
-        here, nxt, _ = struct.unpack_from("<QQQ", data, at)
-        at += FRAME
-        end = at + max(0, nxt - here - FRAME)
-        stop = min(end, len(data))
-        while at + size <= stop:
-            (n,) = struct.unpack_from("<I", data, at + size - 4)  # of the package, its header included
-            if n == 0 or at + n > stop:
-                break
-            out.append(points(data[at + size : at + n], data[at + 1]))
-            at += n
+    first, devices = head[10] < 2, head[22]
+    return HEADER + devices * (DEVICE_V1 if first else DEVICE_V2), PACKAGE_V1 if first else PACKAGE_V2
+
+
+def frame_bounds(get, size: int):
+    """(begin, end) of the packages of each frame; get(at, n) reads bytes. Only heads are read, so frames are walked by seeks."""
+    at, _ = _begin(get(0, HEADER))
+    while at + FRAME <= size:
+        here, nxt, _ = struct.unpack("<QQQ", get(at, FRAME))
+        end = at + FRAME + max(0, nxt - here - FRAME)
+        yield at + FRAME, min(end, size)
         at = end
+
+
+def packages(data: bytes, head: int) -> np.ndarray:
+    """[n, 4] points of a frame's packages."""
+    out, at = [np.zeros((0, 4))], 0
+    while at + head <= len(data):
+        (n,) = struct.unpack_from("<I", data, at + head - 4)  # of the package, its head included
+        if n == 0 or at + n > len(data):
+            break
+        out.append(points(data[at + head : at + n], data[at + 1]))
+        at += n
     return np.concatenate(out)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, idx, x, y, z, intensity."""
-    schema = pa.schema([("path", pa.string()), ("idx", pa.int64()), *[(c, pa.float32()) for c in ("x", "y", "z", "intensity")]])
+def decode(data: bytes) -> np.ndarray:
+    """All points of a recording."""
+    _, head = _begin(data)
+    return np.concatenate([np.zeros((0, 4)), *[packages(data[s:e], head) for s, e in frame_bounds(lambda at, n: data[at : at + n], len(data))]])
+
+
+def read(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """path, frame, idx, x, y, z, intensity; frames are numbered in a file and points in a frame.
+
+    A first pass follows the chain of frames by their heads alone and cuts a file into runs of frames of about ``split`` bytes; then each run is read and decoded by a task.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    runs = pa.schema([("path", pa.string()), ("first", pa.int64()), ("bounds", pa.list_(pa.int64()))])
+
+    def walk(batches):
+        for b in batches:
+            for p, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, name = file_system(p)
+                with system.open_input_file(name) as f:
+                    first, bounds, number = 0, [], 0
+
+                    def get(at, n, f=f):
+                        f.seek(at)
+                        return f.read(n)
+
+                    rows = []
+                    for s, e in frame_bounds(get, size):
+                        if bounds and e - bounds[0] > split:
+                            rows.append((p, first, bounds))
+                            first, bounds = number, []
+                        bounds += [s, e]
+                        number += 1
+                    if bounds:
+                        rows.append((p, first, bounds))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], runs.field(k).type) for k in range(3)], schema=runs)
+
+    schema = pa.schema([("path", pa.string()), ("frame", pa.int64()), ("idx", pa.int64()), *[(c, pa.float32()) for c in ("x", "y", "z", "intensity")]])
 
     def run(batches):
         for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                r = decode(c.as_py()).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(r), pa.string()), pa.array(np.arange(len(r))), *[pa.array(np.ascontiguousarray(r[:, k])) for k in range(4)]], schema=schema)
+            for p, first, bounds in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                system, name = file_system(p)
+                with system.open_input_file(name) as f:
+                    _, head = _begin(f.read(HEADER))
+                    for k in range(len(bounds) // 2):
+                        f.seek(bounds[2 * k])
+                        r = packages(f.read(bounds[2 * k + 1] - bounds[2 * k]), head).astype(np.float32)
+                        yield pa.RecordBatch.from_arrays([pa.array([p] * len(r), pa.string()), pa.array(np.full(len(r), first + k)), pa.array(np.arange(len(r))), *[pa.array(np.ascontiguousarray(r[:, c])) for c in range(4)]], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, idx long, x float, y float, z float, intensity float")
+    found = files.mapInArrow(walk, "path string, first long, bounds array<long>")
+    return found.repartition("path", "first").mapInArrow(run, "path string, frame long, idx long, x float, y float, z float, intensity float")

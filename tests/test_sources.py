@@ -142,3 +142,91 @@ def test_nmea(spark, tmp_path):
     assert [r.kind for r in got] == ["GGA", "RMC"]
     assert got[0].lat == pytest.approx(48.1173) and got[0].altitude == 545.4
     assert got[1].lat == pytest.approx(-48.1173) and got[1].lon == pytest.approx(-11.516666667) and got[1].status == "A"
+
+
+def recording(frames, kind, version=1):
+    """A recording of frames of packages of raw points."""
+    device, head = (livox.DEVICE_V1, livox.PACKAGE_V1) if version < 2 else (livox.DEVICE_V2, livox.PACKAGE_V2)
+    out = livox.SIGNATURE + bytes([version, 1, 0, 0]) + bytes(8) + bytes([2, 0]) + bytes(2 * device)
+    for packages in frames:
+        body = b"".join(bytes([0, kind]) + bytes(head - 6) + struct.pack("<I", head + len(p)) + p for p in packages)
+        out += struct.pack("<QQQ", len(out), len(out) + livox.FRAME + len(body), 0) + body
+    return out
+
+
+@pytest.mark.parametrize(("kind", "version"), [(0, 1), (2, 1), (0, 2)])
+def test_livox_in_runs_of_frames(spark, tmp_path, kind, version):
+    """Runs of one frame, some or all give what decoding the whole gives; a cut-off frame gives its whole packages."""
+    rng = np.random.default_rng(kind)
+    frames = [[rng.integers(0, 100, 14 * 16 * int(rng.integers(0, 3)), np.uint8).tobytes() if kind == 2 else rng.uniform(0, 100, 4 * int(rng.integers(0, 9))).astype("<f4").tobytes() for _ in range(rng.integers(0, 4))] for _ in range(25)]
+    data = recording(frames, kind, version)
+    (tmp_path / "a.lvx").write_bytes(data)
+    (tmp_path / "b.lvx").write_bytes(data[:-20])
+    for split in (1, 1500, 1 << 20):
+        got = livox.read(spark, str(tmp_path / "*.lvx"), split=split).orderBy("path", "frame", "idx").toPandas()
+        for name, raw in (("a", data), ("b", data[:-20])):
+            own = got[got.path.str.endswith(f"{name}.lvx")]
+            assert np.allclose(own[["x", "y", "z", "intensity"]].to_numpy(), livox.decode(raw).astype(np.float32), equal_nan=True)
+            assert own.frame.max() <= 24 and (own.groupby("frame").idx.max() + 1 == own.groupby("frame").size()).all()
+
+
+def plain_observations(payload: bytes, kind: int):
+    """Bit by bit."""
+    b = rtcm.Bits(payload)
+    out = {"station": None, "epoch": None, "satellites": 0, "signals": 0, "ranges": [], "phases": []}
+    try:
+        b.take(12)
+        out["station"] = b.take(12)
+        out["epoch"] = b.take(30)
+        b.take(16)
+        sats, sigs = b.take(64), b.take(32)
+        out["satellites"], out["signals"] = sats, sigs
+        ns, ng = sats.bit_count(), sigs.bit_count()
+        used = [i // ng for i in range(ns * ng) if b.take(1)]
+        whole = [b.take(8) for _ in range(ns)]
+        if kind % 10 == 7:
+            rough = [w + b.take(10) / 1024 for w in whole]
+            fine = [b.signed(20) * 2.0**-29 for _ in used]
+            phase = [b.signed(24) * 2.0**-24 for _ in used]
+            out["ranges"] = [(rough[s] + f) * rtcm.LIGHT_MS for s, f in zip(used, fine, strict=True)]
+            out["phases"] = [rough[s] * rtcm.LIGHT_MS / rtcm.L1_WAVE + f for s, f in zip(used, phase, strict=True)]
+        else:
+            part = [b.take(10) / 1024 for _ in used]
+            out["ranges"] = [(whole[s] + p) * rtcm.LIGHT_MS for s, p in zip(used, part, strict=True)]
+    except EOFError:
+        pass
+    return out
+
+
+def test_observations_many_at_once():
+    """Random masks and bits, of every length, of all systems and kinds."""
+    rng = np.random.default_rng(4)
+    payloads, kinds = [], []
+    for i in range(400):
+        kind = int(rng.choice([1074, 1077, 1085, 1096, 1097, 1124, 1127]))
+        sats, sigs = (int(sum(1 << int(k) for k in rng.choice(n, rng.integers(0, m), replace=False))) for n, m in ((64, 9), (32, 5)))
+        head = bits((kind, 12), (i, 12), (i * 1000, 30), (0, 16), (sats, 64), (sigs, 32))
+        raw = head + rng.integers(0, 256, int(rng.integers(0, 400)), np.uint8).tobytes()
+        payloads.append(raw[: int(rng.integers(2, len(raw)))] if i % 3 == 0 else raw)
+        kinds.append(kind)
+    got = rtcm.observations(payloads, kinds)
+    for p, k, g in zip(payloads, kinds, got, strict=True):
+        want = plain_observations(p, k)
+        assert (g["station"], g["epoch"], int(g["satellites"]), g["signals"]) == (want["station"], want["epoch"], want["satellites"], want["signals"])
+        assert g["ranges"] == pytest.approx(want["ranges"]) and g["phases"] == pytest.approx(want["phases"])
+    assert rtcm.observations([], []) == [] and sum(bool(g["ranges"]) for g in got) > 100
+
+
+def test_checksum_by_table():
+    def plain(data):
+        crc = 0
+        for b in data:
+            crc ^= b << 16
+            for _ in range(8):
+                crc <<= 1
+                if crc & 0x1000000:
+                    crc ^= rtcm.POLYNOMIAL
+        return crc & 0xFFFFFF
+
+    data = np.random.default_rng(0).integers(0, 256, 300, np.uint8).tobytes()
+    assert all(rtcm.crc24q(data[:n]) == plain(data[:n]) for n in (0, 1, 2, 17, 300))

@@ -1,7 +1,9 @@
 """Near-duplicate embeddings by NN-descent.
 
-Copies of one vector are one node. Dense groups are covered first: a cluster's members lie within half the
-threshold's angle of its representative, so all of them link with each other and no pair of them has to be made. NN-descent then runs over representatives.
+Copies of one vector are one node. Dense groups are covered first: a tight cluster's members lie within half the
+threshold's angle of its representative, so all of them link with each other and no pair of them has to be made. In many dimensions the members of a noisy group are about as far from
+each other as any two of them, and none is so near to the others; such a group becomes a loose cluster, whose members all link with its representative, and whose members' links with
+each other are counted in blocks. NN-descent then runs over representatives.
 A first graph comes from leaves of random orderings; then every node looks at the neighbours of some of its
 neighbours, again and again. A list holds the ``k`` nearest, but a list that is saturated, with its k-th
 neighbour still within reach of a link, is enlarged to hold all neighbours within reach: those whose clusters' radii allow
@@ -9,8 +11,8 @@ a link between members. Candidates are fetched once for a block of nearby nodes
 a round finds nothing more within reach of any node, or no list changes any more, the recall is audited on nodes drawn without regard to their lists, against all nodes; if it falls short, further
 orderings are added, and after SEEDS sets all pairs of representatives are compared in blocks.
 
-Pairs of clusters that link as a whole count by their sizes; pairs of which only some members may link are compared in blocks, which return
-counts. So no list or group of pairs grows with the square of a group of near copies.
+Pairs of clusters that link as a whole count by their sizes; pairs of which only some members may link, and loose clusters within themselves, are compared in blocks, which return
+a count a member. So no list of pairs grows with the square of a group of near copies; the products of a loose cluster do, as its counts need them, and so do the copies of its vectors, divided by a block's members.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm.common import batch_from, cut
 from tessera.llm.components import components
-from tessera.llm.vectors import matrix, usable
+from tessera.llm.vectors import flagged, matrix
 
 log = logging.getLogger(__name__)
 LEAF, TREES, LEAVES_A_BLOCK = 128, 3, 16
 #: Sets of orderings before all pairs of representatives are compared; nodes in a part of that comparison, and of the comparison of two clusters.
 SEEDS, PART, SIDE = 8, 6000, 1000
-#: Passes that cover dense groups.
-COVERS = 3
-#: An audit draws twice as many nodes until so many of them have links, or it has drawn AUDIT_MOST.
-ENOUGH, AUDIT_MOST = 50, 4000
+#: Passes that cover tight groups and loose ones; nodes of a leaf that a leader of a loose one leads at least; tight clusters of fewer nodes may become part of a loose one.
+COVERS, LOOSE_COVERS, CROWD, FEW = 3, 2, 24, 8
+#: Members in a block of a loose cluster.
+INSIDE = 8000
+#: An audit draws twice as many nodes until so many of them have links. Where more than AUDIT_MOST would be drawn nothing is known, and all pairs are compared.
+ENOUGH, AUDIT_MOST = 50, 16_000
 _ROUNDING = 1e-6
 
 
@@ -77,10 +81,10 @@ def _reach(theta: float, a, b) -> np.ndarray:
     return np.cos(np.minimum(theta + a + b + (_ROUNDING if np.any(a) or np.any(b) else 0), np.pi)) - 1e-15
 
 
-def _leaders(units: DataFrame, theta: float, seed: int, rows: int) -> DataFrame:
-    """(id, leader): within leaves of one ordering, nodes taken by a hash of the id lead all free ones within half the angle."""
+def _leaders(units: DataFrame, radius: float, seed: int, rows: int, crowd: int = 1) -> DataFrame:
+    """(id, leader): within leaves of one ordering, nodes taken by a hash of the id lead all free ones within the radius, if these are crowd or more."""
     out = pa.schema([("id", pa.int64()), ("leader", pa.int64())])
-    least = np.cos(theta / 2 - _ROUNDING)
+    least = np.cos(radius - _ROUNDING)
 
     def run(batches):
         for _, ids, x, _ in _leaves(batches):
@@ -88,44 +92,60 @@ def _leaders(units: DataFrame, theta: float, seed: int, rows: int) -> DataFrame:
             leader = np.full(len(ids), -1)
             for i in np.argsort(K.mix(ids.astype(np.uint64) + np.uint64(seed))):
                 if leader[i] < 0:
-                    leader[(leader < 0) & near[i]] = i
+                    led = (leader < 0) & near[i]
+                    if led.sum() >= crowd:
+                        leader[led] = i
                     leader[i] = i
             yield batch_from({"id": ids, "leader": ids[leader]}, out)
 
     return _ordered(units, seed, 1, rows).mapInArrow(run, "id long, leader long")
 
 
-def cover(units: DataFrame, theta: float) -> DataFrame:
-    """(id, x, n, rep, angle) of all units (id, x, n): clusters of members no further than half of theta from their representative, itself a member.
+def _covered(units: DataFrame, radius: float, seed: int, passes: int, crowd: int) -> DataFrame:
+    """(id, x, n, rep, angle) of those units (id, x, n) that are within the radius of a representative, itself a unit, and not its only member.
 
-    Leaders of leaves are led by leaders of leaders; members that are too far from the last of these are tried once more among themselves,
-    and who is nobody's member in the end represents itself.
+    Leaders of leaves are led by leaders of leaders; members that are too far from the last of these are tried once more among themselves.
     """
-    units = units.withColumn("rad", F.lit(0.0))
     dot = F.aggregate(F.zip_with("x", "_x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    todo, done, rows = units, None, units.count()
-    for turn in range(COVERS):
-        chain = cut(_leaders(todo, theta, 1000 + 10 * turn, rows))
+    todo, done, rows = units.select("id", "x", "n", F.lit(0.0).alias("rad")), None, units.count()
+    for turn in range(passes):
+        if rows < 2:
+            break
+        chain = cut(_leaders(todo, radius, seed + 10 * turn, rows, crowd))
         for step in range(1, 10):
             hubs = chain.groupBy("leader").count().where("count > 1").select(F.col("leader").alias("id"))
             found = cut(hubs.join(todo, "id"))
             if (many := found.count()) < 2:
                 break
-            over = _leaders(found, theta, 1000 + 10 * turn + step, many).select(F.col("id").alias("leader"), F.col("leader").alias("over"))
+            over = _leaders(found, radius, seed + 10 * turn + step, many).select(F.col("id").alias("leader"), F.col("leader").alias("over"))
             chain = cut(chain.join(over, "leader", "left").select("id", F.coalesce("over", "leader").alias("leader")))
             if many <= LEAF:
                 break
         # whoever is led by another one is tried against that leader, if it still leads itself
         led = chain.where("id <> leader")
         lead = chain.where("id = leader").join(led.select("leader").distinct(), "leader").join(todo.select("id", F.col("x").alias("_x")), "id").select("leader", "_x")
-        tried = cut(led.join(todo, "id").join(lead, "leader", "left").withColumn("angle", F.acos(F.least(dot, F.lit(1.0)))).select("id", "x", "n", "leader", "angle", (F.col("angle") <= theta / 2 - _ROUNDING).alias("near")))
-        got = tried.where("near").select("id", "x", "n", F.col("leader").alias("rep"), "angle")
-        done = got if done is None else done.union(got)
-        todo = tried.where("near is null or not near").select("id", "x", "n", F.lit(0.0).alias("rad"))
+        tried = led.join(todo, "id").join(lead, "leader", "left").withColumn("angle", F.acos(F.least(dot, F.lit(1.0))))
+        near = cut(tried.where(F.col("angle") <= radius - _ROUNDING).select("id", "x", "n", F.col("leader").alias("rep"), "angle"))
+        reps = near.select(F.col("rep").alias("id")).distinct().join(todo, "id").select("id", "x", "n", F.col("id").alias("rep"), F.lit(0.0).alias("angle"))
+        got = near.union(reps)
+        done = cut(got if done is None else done.union(got))
+        todo = cut(todo.join(done.select("id"), "id", "left_anti"))
+        if crowd == 1:  # who leads nobody is alone; who was too far from its leader is tried again
+            todo = cut(todo.join(led.select("id"), "id", "left_semi"))
         rows = todo.count()
-        if rows < 2:
-            break
-    done = cut(done)
+    return done if done is not None else units.select("id", "x", "n", F.col("id").alias("rep"), F.lit(0.0).alias("angle")).limit(0)
+
+
+def cover(units: DataFrame, theta: float) -> DataFrame:
+    """(id, x, n, rep, angle) of all units (id, x, n): tight clusters, loose ones, and who is nobody's member by itself.
+
+    Members are within half of theta of the representative of a tight cluster, and within theta of that of a loose one.
+    """
+    tight = _covered(units, theta / 2, 1000, COVERS, 1)
+    sizes = tight.groupBy("rep").agg(F.count("*").alias("members")).where(F.col("members") >= FEW)
+    tight = cut(tight.join(sizes.select("rep"), "rep").select("id", "x", "n", "rep", "angle"))
+    loose = _covered(units.join(tight.select("id"), "id", "left_anti"), theta, 2000, LOOSE_COVERS, CROWD)
+    done = cut(tight.union(loose))
     alone = units.join(done.select("id"), "id", "left_anti").select("id", "x", "n", F.col("id").alias("rep"), F.lit(0.0).alias("angle"))
     return cut(done.union(alone))
 
@@ -217,7 +237,7 @@ _PAIR, _PAIR_SQL = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.flo
 def _audit(units: DataFrame, lists: DataFrame, theta: float, sample: int) -> tuple[float | None, DataFrame]:
     """(mean share of what is within reach of a node that its list has, those true pairs (u, v, s)) of the nodes with the smallest hashes.
 
-    The share is None where no drawn node has anything within reach: nothing is missed there, and nothing is known.
+    The share is None where too few drawn nodes have anything within reach, so that nothing is known. With all nodes drawn it is exact.
     """
     while True:
         asked = units.orderBy(F.xxhash64("id", F.lit(77)), "id").limit(sample).collect()
@@ -236,9 +256,11 @@ def _audit(units: DataFrame, lists: DataFrame, theta: float, sample: int) -> tup
         true = cut(units.select("id", "x", "rad").mapInArrow(brute, _PAIR_SQL)) if len(asked) else units.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("s")).limit(0)
         have = lists.select(F.col("id").alias("u"), F.explode(F.filter("near", lambda x: x.link)).alias("x")).select("u", F.col("x.v").alias("v"), F.lit(1).alias("found"))
         r = true.join(have, ["u", "v"], "left").groupBy("u").agg(F.avg(F.coalesce("found", F.lit(0))).alias("share")).agg(F.count("*").alias("n"), F.avg("share").alias("share")).first()
-        if r.n >= ENOUGH or len(asked) < sample or sample >= AUDIT_MOST:
-            return r.share, true
+        if r.n >= ENOUGH or len(asked) < sample:
+            return (1.0 if r.share is None else r.share), true
         sample *= 2
+        if sample > AUDIT_MOST:
+            return None, true
 
 
 def _all_pairs(units: DataFrame, theta: float) -> DataFrame:
@@ -290,11 +312,13 @@ def links(units: DataFrame, theta: float, k: int = 10, recall: float = 0.995, sa
                 break
         got, true = _audit(units, lists, theta, sample)
         log.info("audited recall %s after %d orderings and %d rounds", got, TREES * (seed + 1), turn)
-        if got is None or got >= recall:
+        if got is None:  # so few links that an audit tells nothing
+            break
+        if got >= recall:
             one = flat(lists).where("link").select("u", "v", "s").union(true)
             return cut(one.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("s").alias("s"))), got
         edges = flat(lists)
-    log.warning("audited recall %s is short of %s: all pairs of representatives are compared", got, recall)
+    log.warning("audited recall %s is unknown or short of %s: all pairs of representatives are compared", got, recall)
     return cut(_all_pairs(units, theta)), 1.0
 
 
@@ -322,20 +346,47 @@ def _partial(members: DataFrame, pairs: DataFrame, threshold: float) -> tuple[Da
     return got.groupBy("id").agg(F.sum("others").alias("others")), got.select("a", "b").distinct()
 
 
+def _inside(members: DataFrame, loose: DataFrame, threshold: float) -> DataFrame:
+    """(id, others): the members of its own loose cluster (rep) that each one links with, counted with their copies, in blocks of two parts."""
+    parts = loose.select("rep", F.ceil(F.col("members") / INSIDE).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(83)), F.col("parts")).cast("int")
+    at = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q")))
+    blocks = members.join(parts, "rep").withColumn("part", part).withColumn("at", F.explode(at)).select("rep", "at.p", "at.q", "part", "id", "x", "n")
+    schema = pa.schema([("id", pa.int64()), ("others", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, x, n, of = t.column("id").to_numpy(), matrix(t.column("x")), t.column("n").to_numpy(), t.column("part").to_numpy()
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        left, right, others = np.flatnonzero(of == p), np.flatnonzero(of == q), np.zeros(len(ids), np.int64)
+        for low in range(0, len(left), 1000):
+            own = left[low : low + 1000]
+            link = x[own] @ x[right].T >= threshold
+            if p == q:  # both sides are the same rows
+                link[np.arange(len(own)), np.arange(low, low + len(own))] = False
+            others[own] += link @ n[right]
+            if p != q:
+                others[right] += n[own] @ link
+        return pa.table([ids, others], schema=schema)
+
+    return blocks.groupBy("rep", "p", "q").applyInArrow(compare, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, **options) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    A vector that is null, zero, of another length than most or has null or non-finite components links with nothing. Copies of one
-    vector link with each other and with the same others. Rows with one id count as one vector, the least of them; a row with a null id
+    A vector is an id with its components: rows with one id and different vectors are all compared, rows that repeat both count once and each get the result. A vector that is null, zero, of another
+    length than most or has null or non-finite components links with nothing. Copies of one vector link with each other and with the same others. A row with a null id
     has no links and a null component, and is kept. A similarity of exactly the threshold links. An empty table gives an empty result; other columns may have any names.
     """
     theta = float(np.arccos(threshold))
-    v = cut(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")))
-    groups = cut(v.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    rows = cut(flagged(vectors))
+    v = rows.where("v is not null")
+    groups = cut(v.distinct().groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n")))
+    groups = cut(groups.withColumn("id", F.monotonically_increasing_id()))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    nodes = cut(groups.withColumn("norm", norm).select(F.col("rep").alias("id"), F.transform("v", lambda x: x / F.col("norm")).alias("x"), "n"))
+    nodes = cut(groups.withColumn("norm", norm).select("id", F.transform("v", lambda x: x / F.col("norm")).alias("x"), "n"))
     members = cover(nodes, theta)
-    clusters = cut(members.groupBy("rep").agg(F.max("angle").alias("rad"), F.sum("n").alias("total")))
+    clusters = cut(members.groupBy("rep").agg(F.max("angle").alias("rad"), F.sum("n").alias("total"), F.count("*").alias("members")))
     units = cut(clusters.join(nodes, F.col("rep") == F.col("id")).select("id", "x", "rad"))
     pairs, _ = links(units, theta, **options)
     of = lambda c: clusters.select(F.col("rep").alias(c), F.col("rad").alias(f"r{c}"), F.col("total").alias(f"t{c}"))
@@ -346,19 +397,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, **options) -> D
     sure = known.where("whole")
     by_size = sure.select(F.col("u").alias("rep"), F.col("tv").alias("all")).union(sure.select(F.col("v").alias("rep"), F.col("tu").alias("all"))).groupBy("rep").agg(F.sum("all").alias("all"))
     some, touching = _partial(members, known.where("not whole"), threshold)
+    loose = clusters.where(F.col("rad") > theta / 2 - _ROUNDING)
+    inside = _inside(members, loose, threshold).withColumnRenamed("others", "inside")
     comp = components(sure.select(F.col("u").alias("a"), F.col("v").alias("b")).union(touching))
-    # the smallest id of a component is that of its smallest member, not of its smallest representative
-    label = members.select("id", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("comp", "rep").alias("comp"))
-    label = cut(label)
-    least = label.groupBy("comp").agg(F.min("id").alias("component_id"))
+    # the smallest id of a component is that of its smallest row, not of its smallest representative
+    label = members.select("id", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    label = cut(label.join(groups.select("id", "low"), "id"))
+    least = label.groupBy("comp").agg(F.min("low").alias("component_id"))
+    own = F.when(F.col("rad") > theta / 2 - _ROUNDING, F.col("n") - 1 + F.coalesce("inside", F.lit(0))).otherwise(F.col("total") - 1)
     node = (
         label.join(least, "comp")
-        .join(clusters.select("rep", "total"), "rep")
+        .join(clusters.select("rep", "total", "rad"), "rep")
         .join(by_size, "rep", "left")
         .join(some, "id", "left")
-        .select("id", (F.col("total") - 1 + F.coalesce("all", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+        .join(inside, "id", "left")
+        .select("id", (own + F.coalesce("all", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     )
-    known = v.join(groups.select("v", F.col("rep").alias("id")), "v").join(node, "id").select("vec_id", "n_links", "component_id")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = rows.join(known, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    found = v.join(groups.select("v", "id"), "v").join(node, "id").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = found.union(rows.where("v is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _whole(vectors: DataFrame) -> tuple[DataFrame, Column]:
+    """((vec_id, v array<double>) of all rows, whether v is usable: not null or zero, of finite components, and with an id)."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    return v, F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(fine, F.lit(False))
+
+
 def _fine(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>): vectors that are not null or zero and have only finite components."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return v.where(F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(fine, F.lit(False)))
+    v, good = _whole(vectors)
+    return v.where(good)
+
+
+def flagged(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v) of all rows; v is null unless it is usable and has the commonest length."""
+    v, good = _whole(vectors)
+    return v.select("vec_id", F.when(good & (F.size("v") == dimension(vectors)), F.col("v")).alias("v"))
 
 
 def dimension(vectors: DataFrame) -> int:

@@ -81,13 +81,48 @@ def test_search_and_its_audit_without_the_exact_comparison(spark, monkeypatch):
 
 
 def test_links_of_odd_rows(spark):
-    """Repeated and null ids, a similarity of exactly the threshold, copies that are scaled."""
+    """Repeated rows and null ids, rows of one id that differ (all are compared), a similarity of exactly the threshold, copies that are scaled."""
     e = lambda *v: [*map(float, v), *[0.0] * (4 - len(v))]
     rows = [(1, e(1)), (1, e(1)), (2, e(0.5, 0.75**0.5)), (3, e(0, 0, 1)), (4, e(0, 0, 5)), (None, e(1)), (7, e(0, 0, 0, 1)), (7, e(0, 1))]
     got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.5).collect()
-    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
-    assert len(got) == len(rows) and found[None] == (0, None, True)
-    assert found[1] == (1, 1, True) and found[2] == (1, 1, False) and found[3] == (1, 3, True) and found[4] == (1, 3, False) and found[7] == (0, 7, True)
+    found = {}
+    for r in got:
+        found.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
+    assert len(got) == len(rows) and found[None] == [(0, None, True)]
+    assert found[1] == [(1, 1, True)] * 2 and found[2] == [(2, 1, False)] and found[3] == [(1, 3, True)] and found[4] == [(1, 3, False)] and sorted(found[7]) == [(0, 7, True), (1, 1, False)]
+    plain = nndescent.near_duplicates(spark.createDataFrame(rows[:6], "vec_id long, embedding array<double>"), threshold=0.5).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in plain} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (None, 0, None)}
+
+
+@pytest.mark.parametrize("n", [300, 1500])
+def test_a_shell_whose_members_are_equally_far_from_each_other(spark, monkeypatch, n):
+    """No member is near enough to the others to vouch for them: one loose cluster, whose links are counted in blocks."""
+    monkeypatch.setattr(nndescent, "INSIDE", 200)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64)
+    x = np.concatenate((base / np.linalg.norm(base) + 0.16 / 8 * rng.normal(size=(n, 64)), rng.normal(size=(200, 64))))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = []
+    one = nndescent.links
+    monkeypatch.setattr(nndescent, "links", lambda units, *a, **b: rows.append(units.count()) or one(units, *a, **b))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(frame).collect()}
+    links, comp = brute_links(x)
+    assert [got[i] for i in range(len(x))] == list(zip(links, comp, strict=True)) and max(links) > 0.9 * n
+    assert rows[0] < 200 + 0.1 * n
+
+
+def test_few_links_are_not_taken_on_trust(spark, monkeypatch):
+    """Where an audit finds too few links to know its recall, all pairs are compared."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(3000, 16))
+    x[1] = x[0] + 1e-3
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nndescent, "AUDIT_MOST", 200)
+    compared = []
+    every = nndescent._all_pairs
+    monkeypatch.setattr(nndescent, "_all_pairs", lambda *a: compared.append(1) or every(*a))
+    got = {r.vec_id: r.n_links for r in nndescent.near_duplicates(frame, sample=100).collect()}
+    assert compared and [got[i] for i in range(len(x))] == brute_links(x)[0]
 
 
 def test_rare_links_of_single_pairs_are_found(spark):

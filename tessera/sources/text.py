@@ -2,56 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import SensorError
 from tessera.functions.nmea import parse_nmea
+from tessera.shared import file_system, kept
 
 POSE = "timestamp double, x double, y double, z double, qw double, qx double, qy double, qz double"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and its line number; a file is read as one row, since a header says how to read the rest."""
-    t = spark.read.text(path, wholetext=True)
-    return t.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-
+#: Headers of so many files are broadcast; those of more are joined by path.
+SMALL = 100_000
 
-def _head(lines: DataFrame, end: str, most: int = 64) -> list[str]:
-    rows = lines.where(F.col("line") < most).orderBy("line").collect()
-    out = []
-    for r in rows:
-        out.append(r.value.strip())
-        if r.value.strip().lower().startswith(end):
-            return out
-    raise SensorError("no end of the header")
 
-
-def _columns(lines: DataFrame, skip: int, names: list[str], count: int | None = None) -> DataFrame:
-    body = lines.where((F.col("line") >= skip) & (F.trim("value") != "")).where(F.lit(True) if count is None else F.col("line") < skip + count)
-    f = F.split(F.trim("value"), r"\s+")
-    cols = [F.get(f, F.lit(names.index(c))).cast("double").alias(c) for c in "xyz"]
-    if all(c in names for c in "rgb"):
-        cols += [F.get(f, F.lit(names.index(c))).cast("double").cast("short").alias(c) for c in "rgb"]
-    return body.select((F.col("line") - skip).cast("long").alias("seq"), *cols)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, value: lines numbered from 0 in each file, which is read in splits. A split's own rows are counted, and counts of the splits before are added."""
+    t = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_id"), F.rtrim("value", F.lit("\r")).alias("value"))
+    t = t.withColumnsRenamed({"file_path": "path", "file_block_start": "_block"})
+    counts = t.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("path", "_block", "_first", before.alias("_before"))
+    return t.join(F.broadcast(counts), ["path", "_block"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")  # a row a split
 
 
-def read_pcd(spark: SparkSession, path: str) -> DataFrame:
-    """seq, x, y, z [, r, g, b] of an ASCII file; a binary one raises."""
-    lines = _lines(spark, path)
-    head = _head(lines, "data")
-    if head[-1].split()[1].lower() != "ascii":
-        raise SensorError("only ASCII PCD is read")
-    fields = next((h.lower().split()[1:] for h in head if h.upper().startswith("FIELDS")), [])
-    return _columns(lines, len(head), fields)
+def _pcd_layout(head: list[str]) -> tuple[list[str] | None, int | None]:
+    """(names of columns, None for a binary file; rows, if the header says)."""
+    if head[-1].split()[1:2] != ["ascii"]:
+        return None, None
+    return next((h.split()[1:] for h in head if h.startswith("fields")), []), None
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """seq, x, y, z [, r, g, b] of the vertices of an ASCII file."""
-    lines = _lines(spark, path)
-    head = _head(lines, "end_header")
+def _ply_layout(head: list[str]) -> tuple[list[str] | None, int | None]:
     if not any(h.startswith("format ascii") for h in head):
-        raise SensorError("only ASCII PLY is read")
+        return None, None
     names, count, vertex = [], 0, False
     for h in head:
         w = h.split()
@@ -60,7 +45,45 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
             count = int(w[2]) if vertex else count
         elif w[:1] == ["property"] and vertex:
             names.append({"red": "r", "green": "g", "blue": "b"}.get(w[-1], w[-1]))
-    return _columns(lines, len(head), names, count)
+    return names, count
+
+
+def _read(spark: SparkSession, path: str, end: str, layout, with_path: bool) -> DataFrame:
+    """The points of text clouds. Each file's header, of any length, says how its lines are read."""
+    lines = _lines(spark, path)
+    last = lines.where(F.lower(F.trim("value")).startswith(end)).groupBy("path").agg(F.min("line").alias("_end"))
+    heads = lines.join(last, "path").where("line <= _end").groupBy("path").agg(F.max("line").alias("_end"), F.array_sort(F.collect_list(F.struct("line", F.lower(F.trim("value")).alias("value")))).alias("_head"))
+
+    def run(batches):
+        for b in batches:
+            found = [layout([r["value"] for r in head]) for head in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _ in found], pa.list_(pa.string())), pa.array([c for _, c in found], pa.int64())], names=["path", "_end", "_names", "_count"])
+
+    found = kept(heads.mapInArrow(run, "path string, _end long, _names array<string>, _count long"))
+    coloured = F.forall(F.array(*map(F.lit, "rgb")), lambda c: F.array_contains("_names", c))
+    files, (headed, read, colours) = lines.select("path").distinct().count(), found.agg(F.count("*"), F.count("_names"), F.coalesce(F.every(coloured), F.lit(False))).first()
+    if headed < files:
+        raise SensorError("no end of the header")
+    if read < headed:
+        raise SensorError("only ASCII clouds are read")
+    if files > 1 and not with_path:
+        raise SensorError("several files: with_path keeps them apart")
+    found = F.broadcast(found) if headed <= SMALL else found
+    body = lines.join(found, "path").withColumn("seq", F.col("line") - F.col("_end") - 1).where((F.col("seq") >= 0) & (F.trim("value") != "") & (F.col("_count").isNull() | (F.col("seq") < F.col("_count"))))
+    words = F.split(F.trim("value"), r"\s+")
+    number = lambda c: F.get(words, (F.array_position("_names", c) - 1).cast("int")).cast("double")
+    columns = [number(c).alias(c) for c in "xyz"] + [number(c).cast("short").alias(c) for c in "rgb" if colours]
+    return body.select(*["path"] * with_path, "seq", *columns)
+
+
+def read_pcd(spark: SparkSession, path: str, with_path: bool = False) -> DataFrame:
+    """[path,] seq, x, y, z [, r, g, b if all files have them] of ASCII files; a binary one raises. Blank lines count, but give no point."""
+    return _read(spark, path, "data", _pcd_layout, with_path)
+
+
+def read_ply(spark: SparkSession, path: str, with_path: bool = False) -> DataFrame:
+    """[path,] seq, x, y, z [, r, g, b if all files have them] of the vertices of ASCII files."""
+    return _read(spark, path, "end_header", _ply_layout, with_path)
 
 
 def _body(cloud: DataFrame) -> DataFrame:
@@ -71,10 +94,11 @@ def _body(cloud: DataFrame) -> DataFrame:
 
 
 def _write(path: str, head: list[str], body: DataFrame) -> None:
-    with open(path, "w") as f:  # one file for exchange: its rows stream through the driver
-        f.write("\n".join(head) + "\n")
+    system, name = file_system(path)
+    with system.open_output_stream(name) as f:  # one file for exchange: its rows stream through the driver
+        f.write(("\n".join(head) + "\n").encode())
         for r in body.toLocalIterator():
-            f.write(r.value + "\n")
+            f.write((r.value + "\n").encode())
 
 
 def write_pcd(cloud: DataFrame, path: str) -> None:

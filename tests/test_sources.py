@@ -230,3 +230,40 @@ def test_checksum_by_table():
 
     data = np.random.default_rng(0).integers(0, 256, 300, np.uint8).tobytes()
     assert all(rtcm.crc24q(data[:n]) == plain(data[:n]) for n in (0, 1, 2, 17, 300))
+
+
+@pytest.mark.parametrize("read", ["pcd", "ply"])
+def test_clouds_in_splits(spark, tmp_path, read):
+    """Splits of a few lines, headers of 100 lines, several files kept apart, blank lines, faces after the vertices, a colour in one file only."""
+    rng = np.random.default_rng(6)
+    want = {}
+    for name, n, colour in (("a", 300, True), ("b", 70, False), ("c", 0, False)):
+        p = np.round(rng.uniform(-9, 9, (n, 3)), 3)
+        body = [" ".join(map(str, r)) + (" 1 2 3" if colour else "") for r in p.tolist()]
+        extra = [f"comment line {i}" if read == "ply" else f"# line {i}" for i in range(100)]
+        if read == "ply":
+            head = ["ply", "format ascii 1.0", *extra, f"element vertex {n}", *[f"property float {c}" for c in "xyz"], *[f"property uchar {c}" for c in ("red", "green", "blue") if colour], "element face 1", "property list uchar int vertex_indices", "end_header"]
+            body.append("3 0 1 2")
+        else:
+            head = [*extra, "FIELDS x y z" + " r g b" * colour, f"POINTS {n}", "DATA ascii"]
+            body += ["", " "]
+        (tmp_path / f"{name}.{read}").write_text(("\r\n" if name == "b" else "\n").join(head + body) + "\n")
+        want[name] = p
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        f = text.read_pcd if read == "pcd" else text.read_ply
+        got = f(spark, str(tmp_path), with_path=True)
+        assert got.columns == ["path", "seq", "x", "y", "z"]
+        got = got.toPandas()
+        for name, p in want.items():
+            own = got[got.path.str.endswith(f"{name}.{read}")].sort_values("seq")
+            assert own.seq.tolist() == list(range(len(p))) and np.allclose(own[["x", "y", "z"]].to_numpy().reshape(-1, 3), p)
+        one = f(spark, str(tmp_path / f"a.{read}"))
+        assert one.columns == ["seq", "x", "y", "z", "r", "g", "b"] and one.rdd.getNumPartitions() > 3 and one.where("b = 3").count() == 300
+        with pytest.raises(SensorError, match="several"):
+            f(spark, str(tmp_path))
+        (tmp_path / "a.txt").write_text("no header\nat all\n")
+        with pytest.raises(SensorError, match="header"):
+            f(spark, str(tmp_path / "a.txt"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

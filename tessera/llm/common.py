@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,6 +75,11 @@ def text_column(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def batch_from(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

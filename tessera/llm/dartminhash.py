@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import kernels as K
-from tessera.llm.common import cut, text_column
+from tessera.llm.common import cut, text_column, whole_row
 from tessera.llm.components import components
 
 BANDS, ROWS = 24, 5
@@ -322,7 +322,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     texts = _classes(docs, threshold).where("doc_id = class_id").groupBy("comp", "doc_id", "f1", "f2").agg(F.count("*").alias("n"))
     one = texts.where("comp is not null").groupBy("comp").agg(F.min(F.struct("f1", "f2", "doc_id", "n")).alias("m")).select("m.doc_id", "m.f1", "m.f2", "m.n")
     keep = cut(one.union(texts.where("comp is null").select("doc_id", "f1", "f2", "n")))
-    rows = _tagged(docs.where(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text")
+    rows = _tagged(docs.where(F.col("doc_id").isNotNull()).select(whole_row(docs).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text")
     out = rows.join(keep, ["doc_id", "f1", "f2"])
     kept = out.where("n = 1").select("_row")
     if keep.where("n > 1").limit(1).count():

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm.common import batch_from, text_column
+from tessera.shared import map_in_arrow
 
 # Language families by ISO 639-1 code. Codes that are not listed form the family "other".
 FAMILIES = {
@@ -41,8 +42,12 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-#: Rows that the driver learns from, of all languages together, and languages that it learns: those with the most rows, of equal ones the first by name.
-TRAINING_ROWS, MAX_LANGS = 8000, 400
+#: Rows that the driver learns from, of all languages together; with more languages than that, one of each.
+TRAINING_ROWS = 8000
+#: Languages of a family; a larger one is cut into parts.
+GROUP = 12
+#: Tables of so many languages are broadcast, larger ones joined by their key.
+BROADCAST_LANGS = 100_000
 BITS = 13
 GRAMS = (1, 2, 3)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -180,12 +185,35 @@ def train_svm(rows: Rows, use: np.ndarray, y: np.ndarray, epochs: int = 30, reg:
     return w * scale, b, 4.0 / max(spread, 0.25)
 
 
+def families(langs: list[str], rows: Rows, lang: np.ndarray) -> dict[str, str]:
+    """The family of each language. One of more than GROUP is cut into parts along a chain of languages whose n-grams are alike, so that duels grow with the languages, not with their square."""
+    family = {x: FAMILY_OF.get(x, "other") for x in langs}
+    for name in sorted(set(family.values())):
+        own = [x for x in langs if family[x] == name]
+        if len(own) <= GROUP:
+            continue
+        mean = np.zeros((len(own), 1 << BITS), np.float32)
+        for i, x in enumerate(own):
+            _, bucket, share = rows.take(np.flatnonzero(lang == x))
+            mean[i] = np.bincount(bucket, share, minlength=1 << BITS)
+        mean /= np.maximum(np.linalg.norm(mean, axis=1), 1e-9)[:, None]
+        left, at, chain = set(range(1, len(own))), 0, [0]
+        while left:
+            rest = np.array(sorted(left))
+            at = int(rest[np.argmax(mean[rest] @ mean[at])])
+            left.remove(at)
+            chain.append(at)
+        for place, i in enumerate(chain):
+            family[own[i]] = f"{name} {place // GROUP}"
+    return family
+
+
 class Model:
     """machines: (level, one, other) -> column of weights. Level None is the family level."""
 
-    def __init__(self, langs: list[str]):
+    def __init__(self, langs: list[str], family: dict[str, str] | None = None):
         self.langs = langs
-        self.family = {x: FAMILY_OF.get(x, "other") for x in langs}
+        self.family = family or {x: FAMILY_OF.get(x, "other") for x in langs}
         self.families = sorted(set(self.family.values()))
         self.members = {f: [x for x in langs if self.family[x] == f] for f in self.families}
         self.pairs = [(None, a, b) for a, b in itertools.combinations(self.families, 2)]
@@ -257,7 +285,7 @@ def fit(docs: DataFrame, per_lang: int = 500, held_out=None) -> Model:
     """Learns from per_lang distinct texts of each language (all, if it has fewer), those with the smallest hashes of the text.
 
     The sample's bound is per_lang, less where all languages together would pass TRAINING_ROWS; each sampled text is read whole, and copies of a text count once.
-    The MAX_LANGS languages with the most rows are learned. Rows with null language or text or for which held_out is true are never used. docs: doc_id, text, lang;
+    Every language is learned. Rows with null language or text or for which held_out is true are never used. docs: doc_id, text, lang;
     other columns may have any names. Without labelled rows, or of an empty table, the model knows no language.
     """
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -265,17 +293,16 @@ def fit(docs: DataFrame, per_lang: int = 500, held_out=None) -> Model:
     if held_out is not None:
         rows = rows.where(~held_out(F.coalesce(F.col("id"), F.lit(""))))
     rows = rows.select("lang", F.xxhash64("text", F.lit("langid")).alias("h"), "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("texts")).collect()  # a row a language
     langs = sorted(r.lang for r in counts)
     if not langs:
         return Model([])
     per_lang = max(1, min(per_lang, TRAINING_ROWS // len(langs)))
     # a generous share of the hashes first, so that the ranking below is over few rows even of a hot language
-    chosen = F.lit(False)
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (2 * per_lang + 50) / max(r.texts, 1))) for r in counts], "lang string, share double")
     draw = F.col("h") / F.lit(float(1 << 64)) + 0.5
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r.lang) & (draw < min(1.0, (2 * per_lang + 50) / max(r.texts, 1))))
-    one = rows.where(chosen).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = rows.join(F.broadcast(shares) if len(langs) <= BROADCAST_LANGS else shares, "lang").where(draw < F.col("share"))
+    one = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.binary()), ("share", pa.binary())])
 
@@ -288,7 +315,8 @@ def fit(docs: DataFrame, per_lang: int = 500, held_out=None) -> Model:
 
     got = one.withColumn("turn", turn).where(F.col("turn") <= per_lang).select("text", "lang").mapInArrow(featurise, "lang string, bucket binary, share binary").collect()
     got.sort(key=lambda r: (r.lang, r.bucket, r.share))
-    return Model(langs).fit(Rows([(np.frombuffer(r.bucket, np.uint16), np.frombuffer(r.share, np.float32)) for r in got]), np.array([r.lang for r in got]))
+    sample, lang = Rows([(np.frombuffer(r.bucket, np.uint16), np.frombuffer(r.share, np.float32)) for r in got]), np.array([r.lang for r in got])
+    return Model(langs, families(langs, sample, lang)).fit(sample, lang)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -321,4 +349,4 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
             lang, _, usual = model.predict(b.column(i))
             yield b.filter(pa.array([x != "und" and u >= least for x, u in zip(lang, usual.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_in_arrow(docs, run, docs.schema)

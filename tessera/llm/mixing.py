@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The table of sources is broadcast up to so many rows and joined by its key beyond.
@@ -162,6 +162,6 @@ def mix_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: f
 
 def take(docs: DataFrame, plan: DataFrame, small: bool, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The rows of docs, each as often as the plan takes it, with docs' columns, whatever their names. No text is shuffled for a small plan."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), _order(F.col("doc_id"), seed).alias("ord"))
+    own = docs.select(whole_row(docs).alias("_row"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), _order(F.col("doc_id"), seed).alias("ord"))
     copies = _rounded(_with_source(own, plan, small), cap).select("_row", _copies().cast("int").alias("copies")).where("copies > 0")
     return copies.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import kernels as K
 from tessera.llm.common import batch_from, text_column
+from tessera.shared import map_in_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -533,4 +534,4 @@ def redact_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
             cols = [pa.array(done, b.schema.field(i).type) if k == i else pa.array([None if t is None else len(t) for t in done], b.schema.field(k).type) if b.schema.field(k).name == "n_chars" else b.column(k) for k in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_in_arrow(docs, run, docs.schema)

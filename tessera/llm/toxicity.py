@@ -63,6 +63,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+#: Log-likelihood ratio of a term's presence against the label, and texts that hold it, at least.
+LEAST_GAIN, LEAST_TEXTS = 20.0, 3
+
+
 def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, keep: int = 8192, epochs: int = 40, seed: int = 5) -> Model:
     """docs: the distinct buckets of each sampled text. Logistic loss, Adagrad, L2 on w and v."""
     if not len(y) or y.min() == y.max():
@@ -79,7 +83,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, keep: int = 8
     xlog = lambda k, n, q: k * np.log(np.maximum(q, 1e-12)) + (n - k) * np.log(np.maximum(1 - q, 1e-12))
     gain = 2 * (xlog(in_pos, pos, a) + xlog(in_neg, neg, b) - xlog(in_pos, pos, p) - xlog(in_neg, neg, p))
     best = np.lexsort((all_terms, -gain))[:keep]
-    best = np.sort(best[(gain[best] > 20.0) & (in_pos[best] + in_neg[best] >= 3)])
+    # a few labels cannot tie any term so closely: then most of what a perfect one would have must do
+    most = -2 * (xlog(pos, pos + neg, pos / (pos + neg)))
+    best = np.sort(best[(gain[best] > min(LEAST_GAIN, 0.8 * most)) & (in_pos[best] + in_neg[best] >= min(LEAST_TEXTS, pos, neg))])
     slot = np.full(len(all_terms), -1)
     slot[best] = np.arange(len(best))
     rng = np.random.default_rng(seed)
@@ -121,7 +127,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, keep: int = 8
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, held_out=None) -> Model:
     """Learns from at most about per_class labelled rows of either class, drawn by a hash of the id. The model has at most ``keep`` terms, those tied
-    closest to the label, each with a log-likelihood ratio of at least 20 and in three texts or more (see train); other terms weigh nothing.
+    closest to the label, each with a log-likelihood ratio above LEAST_GAIN and in LEAST_TEXTS texts or more, less where the labels are too few for that (see train); other terms weigh nothing.
 
     Labels other than 0 and 1, null texts and ids for which held_out is true are not used. A
     repeated label row counts once; contradicting ones count as toxic.

@@ -263,6 +263,97 @@ def test_factorisation_machine_learns_an_interaction():
     assert len(v) == 2 and text(0, 1) + v[0] @ v[1] > max(text(0), text(1))
 
 
+def plain_language(m, text):
+    """Family by the votes of all duels, then the language by those of the family's own; each margin summed n-gram by n-gram."""
+    ((bucket, share),) = langid.bags(pa.array([text]))
+
+    def duel(level, names):
+        votes, weakest = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
+        for k, (at, a, b) in enumerate(m.pairs):
+            if at == level:
+                z = (sum(float(m.w[k][int(g)]) * float(s) for g, s in zip(bucket, share, strict=True)) + m.b[k]) * m.scale[k]
+                p = 1 / (1 + np.exp(-min(30, max(-30, z))))
+                votes[a] += (p >= 0.5) + 1e-3 * p
+                votes[b] += (p < 0.5) + 1e-3 * (1 - p)
+                weakest[a], weakest[b] = min(weakest[a], p), min(weakest[b], 1 - p)
+        best = max(names, key=lambda n: votes[n])
+        return best, weakest[best]
+
+    family, sure = duel(None, m.families)
+    lang, more = duel(family, m.members[family])
+    return lang, sure * more
+
+
+def test_language_is_that_of_all_duels(docs):
+    m = langid.fit(docs)
+    texts = [r.text for r in docs.limit(60).collect()] + ["a", "été à l'école", "x" * 3000, "日本 語", "der die das 12"]
+    lang, score, _ = m.predict(pa.array(texts))
+    for t, got, s in zip(texts, lang, score, strict=True):
+        want, sure = plain_language(m, t)
+        assert got == want and s == pytest.approx(sure, abs=1e-5)
+
+
+def test_every_label_is_learned(spark):
+    """Hundreds of unknown labels are cut into families of their own, and none is left out."""
+    rng = np.random.default_rng(8)
+    letters, rows = list("abcdefghijklmnopqrstuvwxyz"), []
+    for k in range(450):
+        own = ["".join(rng.choice(letters, 5)) for _ in range(4)]
+        rows += [(f"l{k:03d}", " ".join(rng.choice(own, 30))) for _ in range(3)]
+    d = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    m = langid.fit(d)
+    assert len(m.langs) == 450 and max(len(v) for v in m.members.values()) <= langid.GROUP
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, m).collect()}
+    assert np.mean([got[i] == lang for i, (lang, _) in enumerate(rows)]) > 0.8
+
+
+def plain_score(m, text):
+    """The machine's score with a sum over all pairs of known terms."""
+    ((_, data, off),) = K.chunks(pa.array([text]))
+    _, bucket = toxicity.terms(data, off)
+    own = [i for i, t in enumerate(m.index.tolist()) if t in set(bucket.tolist())]
+    z = m.w0 + sum(m.w[i] for i in own) + sum(float(m.v[i] @ m.v[j]) for n, i in enumerate(own) for j in own[:n])
+    return 1 / (1 + np.exp(-min(40, max(-40, z))))
+
+
+def test_toxicity_scores_are_those_of_all_pairs(spark, docs, data):
+    m = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    texts = [t or "" for t in ODD] + [r.text for r in docs.limit(60).collect()]
+    got = m.score(pa.array(texts))
+    assert np.allclose(got, [plain_score(m, t) for t in texts], atol=1e-9) and len(m.index) > 0
+
+
+def test_pairs_decide_what_no_sum_can():
+    """Exclusive or: toxic with one of two terms, clean with none or both. Without the factors no more than three of the four cases come out right."""
+    rng = np.random.default_rng(2)
+    x = [np.array(sorted({*([0] if a else []), *([1] if b else []), *(rng.choice(np.arange(2, 12), 2).tolist())})) for a, b in rng.integers(0, 2, (4000, 2))]
+    y = np.array([float((0 in d) != (1 in d)) for d in x])
+    gain, texts = toxicity.LEAST_GAIN, toxicity.LEAST_TEXTS
+    toxicity.LEAST_GAIN, toxicity.LEAST_TEXTS = -1.0, 1  # neither term alone tells anything
+    try:
+        m = toxicity.train(x, y, epochs=150)
+    finally:
+        toxicity.LEAST_GAIN, toxicity.LEAST_TEXTS = gain, texts
+    at = {t: i for i, t in enumerate(m.index.tolist())}
+
+    def score(terms, pairs=True):
+        own = [at[t] for t in terms if t in at]
+        return m.w0 + sum(m.w[i] for i in own) + (sum(float(m.v[i] @ m.v[j]) for n, i in enumerate(own) for j in own[:n]) if pairs else 0)
+
+    both, one, other, none = score([0, 1]), score([0]), score([1]), score([])
+    assert min(one, other) > max(both, none)
+    right = lambda pairs: np.mean([(score(d, pairs) > 0) == bool(v) for d, v in zip(x, y, strict=True)])
+    assert right(True) > 0.95 and right(False) < 0.8  # a sum orders three of the four cases at most
+
+
+def test_few_labels_still_teach(spark):
+    rows = [(i, "you are an awful vile goblin" if i < 2 else f"a calm note about gardens number {i}") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(30)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(d, toxicity.fit(d, labels)).collect()}
+    assert min(got[0], got[1]) > max(v for k, v in got.items() if k > 1)
+
+
 def test_toxicity(spark, data, docs):
     got = queries.op5_toxicity(spark, data).toPandas()
     assert len(got) == docs.count() and got.score.between(0, 1).all()

@@ -240,7 +240,7 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
 
     rows = [(i, t, "en" if i % 2 else None, "s" if i % 3 else None, None) for i, t in enumerate(ODD + ["plain words in a row", "plain words in a row"])]
     rows += [rows[-1], (None, "no id", "en", "s", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as rows_of_id", "2 as class_id", "'x' as kept", "3 as bands", "4 as size", "5 as part")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as rows_of_id", "2 as class_id", "'x' as kept", "3 as bands", "4 as size", "5 as part").withColumns({"a.b": F.lit("dot"), "c`d": F.lit(1)})
     for d in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             got = stage(spark, d, "")

@@ -14,6 +14,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 #: Rows that the driver learns from, of all languages together; with more languages than that, one of each.
 TRAINING_ROWS = 8000
+#: Bytes of texts that are predicted at a time.
+PIECE = 250_000
 #: Languages of a family; a larger one is cut into parts.
 GROUP = 12
 #: Tables of so many languages are broadcast, larger ones joined by their key.
@@ -129,6 +132,15 @@ class Grams:
         return self.sums(table, wanted) / np.maximum(self.count, 1)
 
 
+def pieces(batch: pa.RecordBatch, i: int):
+    """Slices of a batch with about PIECE bytes of texts in column i, one row at least: an n-gram takes some fifty bytes while a text is predicted."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, relative frequencies) of each text."""
     g = Grams(texts)
@@ -331,7 +343,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = pickle.loads(blob.value)
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, 1)):
             lang, score, _ = model.predict(b.column(1))
             yield batch_from({"doc_id": b.column(0), "lang_pred": lang, "score": score}, schema)
 
@@ -345,7 +357,7 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches):
         model = pickle.loads(blob.value)
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, i)):
             lang, _, usual = model.predict(b.column(i))
             yield b.filter(pa.array([x != "und" and u >= least for x, u in zip(lang, usual.tolist(), strict=True)], pa.bool_()))
 

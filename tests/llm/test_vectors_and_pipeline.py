@@ -195,6 +195,19 @@ def test_search_falls_back_to_all_vectors(spark):
         assert [round(r.score, 9) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == pytest.approx(want)
 
 
+def test_search_with_a_useless_line_is_exact_in_the_end(spark, monkeypatch):
+    """Windows so narrow that queries miss the ranges of their neighbours: the audit is short every time, and all vectors are compared."""
+    monkeypatch.setattr(collisions, "WIDE", 0.0)
+    monkeypatch.setattr(collisions, "BLOCK_ROWS", 40)
+    d, x = vectors(spark, seed=6)
+    got = {}
+    for r in collisions.nearest(d, d.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    for q in range(0, len(x), 20):
+        s = np.delete(x @ x[q], q)
+        assert np.allclose(got[q], np.sort(s)[::-1][:20])
+
+
 def test_search_of_odd_rows(spark):
     """Ties, repeated ids on either side, null ids, queries of other lengths than the vectors."""
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (None, [9.0, 9.0]), (5, [3.0]), (6, [0.0, 0.0])]

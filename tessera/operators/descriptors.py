@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TWO_PI = 2 * np.pi
 
@@ -107,30 +109,99 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((na == 0) & (nb == 0), 0.0).when((na == 0) | (nb == 0), 1.0).otherwise(1 - F.try_divide(dot(a, b), na * nb))
 
 
+#: Descriptors of each side in a block of pairs; pairs whose differences are held at once.
+BLOCK_ROWS, HELD = 2000, 100_000
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, compare, schema: StructType) -> DataFrame:
+    """compare(left rows, right rows) -> rows, for all blocks of BLOCK_ROWS of either side, dealt by id: every pair meets in one block, and no side is broadcast or held whole."""
+    sizes = [max(1, -(-d.count() // BLOCK_ROWS)) for d in (left, right)]
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = left.withColumn("_p", part(sizes[0])).withColumn("_q", every(sizes[1]))
+    two = right.withColumn("_q", part(sizes[1])).withColumn("_p", every(sizes[0]))
+    two = two.toDF(*[f"r_{c}" for c in two.columns])  # the sides may share an ancestor, and so share no name
+
+    arrow = left.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        return pa.table(compare(x, y.rename_columns([c[2:] for c in y.column_names])), schema=arrow) if x.num_rows and y.num_rows else arrow.empty_table()
+
+    return one.groupBy("_p", "_q").cogroup(two.groupBy("r__p", "r__q")).applyInArrow(run, schema)
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    return t.column("descriptor").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+
+
+def _pieces(rows: int, others: int):
+    """Slices of rows so that HELD pairs or one row are held."""
+    step = max(1, HELD // max(others, 1))
+    return [slice(at, at + step) for at in range(0, rows, step)]
+
+
 def nearest_descriptors(database: DataFrame, queries: DataFrame, exclusion_window: int = 0, top_k: int = 1) -> DataFrame:
-    """query, id, distance, rank. database, queries: id, position, descriptor; queries are a stated small set, broadcast.
+    """query, id, distance, rank. database, queries: id, position, descriptor of one length.
 
-    Exhaustive over the rows inserted more than exclusion_window before the query; ties to the earlier.
+    Exhaustive, in blocks, over the rows inserted more than exclusion_window before the query; ties to the earlier. Rows without a descriptor take no part.
     """
-    q = queries.select(F.col("id").alias("query"), F.col("position").alias("_at"), F.col("descriptor").alias("_q"))
-    pair = database.crossJoin(F.broadcast(q)).where(F.col("position") < F.col("_at") - exclusion_window)
-    d = pair.select("query", "id", "position", cosine_distance(F.col("descriptor"), F.col("_q")).alias("distance"))
+    kinds = {f.name: f.dataType for f in database.schema.fields} | {"query": queries.schema["id"].dataType}
+    schema = StructType([StructField(c, kinds[c]) for c in ("query", "id", "position")] + [StructField("distance", DoubleType())])
+
+    def compare(x: pa.Table, y: pa.Table):
+        base, asked = _matrix(x), _matrix(y)
+        at, own = x.column("position").to_numpy(), y.column("position").to_numpy()
+        size, names = np.sqrt((base * base).sum(axis=1)), [[], [], []]
+        for part in _pieces(len(asked), len(base)):
+            q = asked[part]
+            norm = np.sqrt((q * q).sum(axis=1))
+            dot = (q[:, None, :] * base[None, :, :]).sum(axis=2)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.where((norm == 0)[:, None] & (size == 0), 0.0, np.where((norm == 0)[:, None] | (size == 0), 1.0, 1 - dot / (norm[:, None] * size)))
+            for i, row in enumerate(d):
+                good = np.flatnonzero(at < own[part.start + i] - exclusion_window)
+                best = good[np.lexsort((at[good], row[good]))[:top_k]]
+                names[0] += [part.start + i] * len(best)
+                names[1] += best.tolist()
+                names[2] += row[best].tolist()
+        there = pa.array(names[1], pa.int64())
+        return [y.column("id").take(pa.array(names[0], pa.int64())), x.column("id").take(there), x.column("position").take(there), pa.array(names[2], pa.float64())]
+
+    there = lambda d: d.where(F.col("descriptor").isNotNull()).select("id", "position", "descriptor")
+    found = _in_blocks(there(database), there(queries), compare, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "position"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query", "id", "distance", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query", "id", "distance", "rank")
 
 
 def match_features(left: DataFrame, right: DataFrame, ratio: float = 0.75) -> DataFrame:
     """a, b, distance: Lowe's ratio test over Euclidean distances; zero descriptors and lone candidates do not match. Not mutual.
 
-    left, right: id, descriptor, the keypoints of one image each; right is broadcast.
+    left, right: id, descriptor, the keypoints of one image each. A block gives each left row its nearest and the nearest of another id; blocks are put together by row.
     """
-    sq = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    a = left.where(sq(F.col("descriptor")) > 0).select(F.col("id").alias("a"), F.col("descriptor").alias("da"))
-    b = right.where(sq(F.col("descriptor")) > 0).select(F.col("id").alias("b"), F.col("descriptor").alias("db"))
-    d = F.sqrt(sq(F.zip_with("da", "db", lambda x, y: x.cast("double") - y.cast("double"))))
-    near = a.crossJoin(F.broadcast(b)).select("a", F.struct(d.alias("d"), "b").alias("s"))
-    best = near.groupBy("a").agg(F.min("s").alias("m"), F.count("*").alias("n"))
-    second = near.join(best, "a").where(F.col("s.b") != F.col("m.b")).groupBy("a").agg(F.first("m").alias("m"), F.min("s.d").alias("d2"))
+    kinds = {"a": left.schema["id"].dataType, "b": right.schema["id"].dataType}
+    schema = StructType([StructField("a", kinds["a"]), StructField("d", DoubleType()), StructField("b", kinds["b"])])
+
+    def compare(x: pa.Table, y: pa.Table):
+        one, two = _matrix(x), _matrix(y)
+        order = np.argsort(np.array(y.column("id").to_pylist(), dtype=object), kind="stable")
+        code = np.unique(np.array(y.column("id").to_pylist(), dtype=object), return_inverse=True)[1]
+        two, code, rows = two[order], code[order], [[], [], []]
+        for part in _pieces(len(one), len(two)):
+            gap = one[part][:, None, :] - two[None, :, :]
+            for i, row in enumerate(np.sqrt((gap * gap).sum(axis=2))):
+                first = int(np.argmin(row))
+                others = np.where(code == code[first], np.inf, row)
+                for k in (first, int(np.argmin(others))):
+                    if k == first or np.isfinite(others[k]):
+                        rows[0].append(part.start + i)
+                        rows[1].append(float(row[k]))
+                        rows[2].append(int(order[k]))
+        return [x.column("id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.float64()), y.column("id").take(pa.array(rows[2], pa.int64()))]
+
+    solid = lambda d: d.where(F.exists("descriptor", lambda v: v != 0)).select("id", "descriptor")
+    near = _in_blocks(solid(left), solid(right), compare, schema).select("a", F.struct("d", "b").alias("s"))
+    both = near.groupBy("a").agg(F.min("s").alias("m"), F.collect_set("s").alias("_all"))  # two rows a block of the right side
+    second = both.select("a", "m", F.array_min(F.transform(F.filter("_all", lambda s: s.b != F.col("m.b")), lambda s: s.d)).alias("d2")).where("d2 is not null")
     ok = F.when(F.col("d2") <= 1e-12, F.lit(1.0)).otherwise(F.try_divide(F.col("m.d"), F.col("d2"))) < ratio
     return second.where(ok).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("distance"))
 

@@ -8,7 +8,8 @@ Two signatures agree in a coordinate with the weighted Jaccard similarity. The w
 draw an element plus about k*ln(k) darts, whatever the weights.
 
 Signatures are cut into bands. Documents with one band in common are compared with
-two centres of their bucket, exactly, on whole texts: its smallest document, and one that each band draws anew. That joins
+the centre of their bucket, its smallest document, exactly, on whole texts; those of large buckets then with a second centre. Tests run in rounds,
+and one whose two are in one class by then is left out, so a document has no more than two tests a band and classes grow as a contracted graph. That joins
 most groups. Then all pairs of a bucket that are not in one class yet are compared too, in blocks of bounded size; only pairs
 within the bucket's largest class are left out, as they change nothing. So every similar pair that meets in a band is linked,
 at a cost that grows with the square of what a bucket holds beside its largest class.
@@ -27,6 +28,8 @@ from tessera.llm.common import cut, text_column, whole_row
 from tessera.llm.components import components
 
 BANDS, ROWS = 24, 5
+#: The bands whose centres are asked first; they join most of a large group, whose further tests are then left out.
+EARLY = 4
 SHINGLE = 5
 #: Documents on a side of a block of pairs, and columns of a block's dense product.
 SIDE, COLUMNS = 128, 4096
@@ -203,15 +206,47 @@ def common_weights(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, doc
     return out
 
 
+def _open(comp: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (rep, centre) that are in different classes, each once."""
+    p = pairs.where("rep <> centre").distinct().join(comp.withColumnRenamed("comp", "_c"), "rep")
+    p = p.join(comp.select(F.col("rep").alias("centre"), F.col("comp").alias("_d")), "centre").where("_c <> _d")
+    return p.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (rep, comp) after further links (a, b), which may be repeated: classes are the nodes, so only those that a link touches are walked."""
+    of = lambda end: comp.select(F.col("rep").alias(end), F.col("comp").alias(f"_{end}"))
+    e = links.join(of("a"), "a").join(of("b"), "b").where("_a <> _b")
+    top = components(e.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct())
+    return cut(comp.join(top.select(F.col("id").alias("comp"), F.col("comp").alias("_top")), "comp", "left").select("rep", F.coalesce("_top", "comp").alias("comp")))
+
+
+def spanning(ends: np.ndarray, nodes: int) -> list[int]:
+    """Those rows of ends [n, 2] that join two parts which no earlier row has joined."""
+    up, out = list(range(nodes)), []
+    for k, pair in enumerate(ends.tolist()):
+        for e in (0, 1):
+            while up[pair[e]] != pair[e]:
+                up[pair[e]] = up[up[pair[e]]]
+                pair[e] = up[pair[e]]
+        if pair[0] != pair[1]:
+            up[pair[0]] = pair[1]
+            out.append(k)
+    return out
+
+
 def _rest(texts: DataFrame, members: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): similar pairs of different classes within one bucket, except those with its centres, which are decided.
+    """(a, b): of the similar pairs of different classes within one bucket so many that they join the same classes; those with its centres are decided.
 
     A bucket's largest class is one side, all others the other side. Large buckets with one largest class, whatever their bands, are
-    taken as one, so that a pair that meets in many bands is compared once; small ones stay alone. Both sides are dealt at random
-    into parts of about SIDE; a block is two parts that have to be compared.
+    taken as one, so that a pair that meets in many bands is compared once; of small ones those with the same members are one. Both sides are dealt at random
+    into parts of about SIDE; a block is two parts that have to be compared. A block gives a forest of its classes, no more links than it has members.
     """
-    m = members.where("n > 3 and rep <> first and rep <> drawn").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    m = cut(m.select("band", "key", "rep", F.coalesce("comp", "rep").alias("label")))
+    undecided = f"n > 2 and rep <> first and (n <= {SIDE} or rep <> drawn)"
+    m = cut(members.where(undecided).join(comp, "rep").select("band", "key", "n", "rep", F.col("comp").alias("label")))
+    small = m.where(f"n <= {SIDE}").groupBy("band", "key").agg(F.sort_array(F.collect_list("rep")).alias("reps"), F.min("label").alias("low"), F.max("label").alias("high"))
+    small = small.where("low <> high").groupBy("reps").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key")
+    m = m.join(small, ["band", "key"], "left_semi").union(m.where(f"n > {SIDE}")).drop("n")
     sizes = m.groupBy("band", "key", "label").count().groupBy("band", "key")
     sizes = sizes.agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     large = F.col("all") > SIDE
@@ -251,7 +286,11 @@ def _rest(texts: DataFrame, members: DataFrame, comp: DataFrame, threshold: floa
         both = common_weights(doc, element, weight, len(ids), left, right)
         good = both / (total[left][:, None] + total[right] - both) >= threshold
         i, j = np.nonzero(good & (label[left][:, None] != label[right]))
-        x, y = ids[left[i]], ids[right[j]]
+        # one link of each pair of classes, and of those a spanning forest
+        _, at = np.unique(label, return_inverse=True)
+        ends, one = np.unique(np.sort(np.stack((at[left[i]], at[right[j]]), axis=1), axis=1), axis=0, return_index=True)
+        keep = one[spanning(ends, len(ids))]
+        x, y = ids[left[i[keep]]], ids[right[j[keep]]]
         return pa.table([np.maximum(x, y), np.minimum(x, y)], schema=schema)
 
     return blocks.join(texts, "rep").groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long").distinct()
@@ -274,27 +313,19 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     nodes = ids.where("words > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
     nodes = cut(nodes.select("f1", "f2", F.col("m.doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("rep"), F.col("m.bands").alias("bands")))
     flat = nodes.select(F.posexplode("bands").alias("band", "key"), "rep")
-    # every bucket has two centres: its smallest node, and one drawn anew in each band
-    draw = F.struct(F.xxhash64("rep", "band").alias("h"), "rep")
+    # every bucket has two centres: its smallest node, and the smallest by a hash. Both orders are those of all bands, so that a pair that meets in many is tested once
+    draw = F.struct(F.xxhash64("rep").alias("h"), "rep")
     shared = cut(flat.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.min(draw).alias("d")).where("n > 1").select("band", "key", "n", "first", F.col("d.rep").alias("drawn")))
     members = cut(flat.join(shared, ["band", "key"]).select("band", "key", "rep", "n", "first", "drawn"))
     asked = nodes.join(members.select("rep").distinct(), "rep").select("doc_id", "f1", "f2", "rep")
     # an id may have several texts: the one with the node's digest is meant, and of texts with the same words the least
     found = _tagged(text_column(docs).join(asked.select("doc_id").distinct(), "doc_id").select("doc_id", "text"))
     texts = cut(found.join(asked, ["doc_id", "f1", "f2"]).groupBy("doc_id", "f1", "f2", "rep").agg(F.min("text").alias("text")).select("rep", "text"))
-    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    tried = members.where("rep <> first").select(*pair("rep", "first")).distinct()
-    links = cut(_verify(texts, tried, threshold))
-    # the drawn centre is needed only where it and the member are not both known to be similar to the first
-    good = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("yes", F.lit(True))
-    m = members.where("n > 2 and rep <> drawn").select("rep", "first", "drawn").distinct()
-    m = m.join(good.select(F.col("a").alias("rep"), F.col("b").alias("first"), F.col("yes").alias("ok_rep")), ["rep", "first"], "left")
-    m = m.join(good.select(F.col("a").alias("drawn"), F.col("b").alias("first"), F.col("yes").alias("ok_drawn")), ["drawn", "first"], "left")
-    know = lambda ok, who: F.coalesce(F.col(ok), F.lit(False)) | (F.col(who) == F.col("first"))
-    more = m.where(~(know("ok_rep", "rep") & know("ok_drawn", "drawn"))).select(*pair("rep", "drawn")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = cut(links.union(_verify(texts, more, threshold)))
-    found = cut(_rest(texts, members, components(links), threshold))
-    comp = components(links.union(found)).withColumnRenamed("id", "rep")
+    # a test is left out where its two are in one class by then, and a class stays one node: what is joined grows with members, not with links
+    comp = cut(asked.select("rep", F.col("rep").alias("comp")))
+    for centre, some in (("first", F.col("band") < EARLY), ("first", F.col("band") >= EARLY), ("drawn", F.col("n") > SIDE)):
+        comp = _joined(comp, cut(_verify(texts, _open(comp, members.where(some).select("rep", F.col(centre).alias("centre"))), threshold)))
+    comp = _joined(comp, cut(_rest(texts, members, comp, threshold)))
     label = cut(nodes.select("f1", "f2", "doc_id", "rep").join(comp, "rep", "left").select("f1", "f2", "doc_id", F.coalesce("comp", "rep").alias("comp")))
     # the smallest id of a class by all its members
     named = label.join(label.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("f1", "f2", "class_id", "comp")

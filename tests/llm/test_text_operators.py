@@ -714,3 +714,22 @@ def test_normaliser_with_a_character_map(local):
             norm, origin = own.normalize(t.encode())
             assert norm.decode() == lib.normalize(t)
             assert len(origin) == len(norm) + 1 and (np.diff(origin) >= 0).all() and origin[-1] <= len(t.encode())
+
+
+def test_links_grow_with_members_and_triples_are_whole(spark, monkeypatch):
+    """A large group of near copies is joined by about as many links as it has members, and a bucket of three has no untested pair."""
+    from tessera.llm import dartminhash
+
+    seen = []
+    walk = dartminhash.components
+    monkeypatch.setattr(dartminhash, "components", lambda e: seen.append(e.count()) or walk(e))
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[:i], f"own{i}", *words[i + 1 :]])) for i in range(200)]
+    got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and len(got) == 200
+    assert sum(seen) < 4 * 200
+    # the smallest of three is unlike the two others, which are alike; only one bucket holds them
+    tail = spark.createDataFrame([(1, "a b c d e f"), (2, "p q r s t u v w x y z"), (3, "p q r s t u v w x y z 1")], "rep long, text string")
+    comp = tail.selectExpr("rep", "rep AS comp")
+    members = tail.selectExpr("0 AS band", "7L AS key", "rep", "3L AS n", "1L AS first", "1L AS drawn")
+    assert [tuple(r) for r in dartminhash._rest(tail, members, comp, 0.8).collect()] == [(3, 2)]

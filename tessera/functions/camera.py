@@ -110,16 +110,26 @@ def fisheye_distort_point(x: Column, y: Column, dist=()) -> Column:
 
 
 def _theta_from(rd: Column, dist, steps: int, tolerance: float) -> Column:
-    """Newton on theta * (1 + k1 theta^2 + ...) = rd."""
+    """Newton on theta * (1 + k1 theta^2 + ...) = rd, in Arrow batches over the values that are not done yet."""
     k = [*map(float, dist), 0.0, 0.0, 0.0, 0.0][:4]
 
-    def step(s: Column, _: Column) -> Column:
-        t2 = s.t * s.t
-        slope = 1 + t2 * (3 * k[0] + t2 * (5 * k[1] + t2 * (7 * k[2] + t2 * 9 * k[3])))
-        move = F.when(F.abs(slope) > 1e-12, F.try_divide(_theta_d(s.t, dist) - rd, slope)).otherwise(F.lit(0.0))
-        return F.struct(F.when(s.done, s.t).otherwise(s.t - move).alias("t"), (s.done | (F.abs(move) < tolerance)).alias("done"))
+    @F.pandas_udf("double")
+    def run(rd: pd.Series) -> pd.Series:
+        goal = rd.to_numpy(float)
+        out, live = goal.copy(), np.flatnonzero(~np.isnan(goal))
+        for _ in range(steps):
+            t = out[live]
+            t2 = t * t
+            slope = 1 + t2 * (3 * k[0] + t2 * (5 * k[1] + t2 * (7 * k[2] + t2 * 9 * k[3])))
+            off = t * (1 + t2 * (k[0] + t2 * (k[1] + t2 * (k[2] + t2 * k[3])))) - goal[live]
+            move = np.divide(off, slope, out=np.zeros(len(t)), where=np.abs(slope) > 1e-12)
+            out[live] = t - move
+            live = live[~(np.abs(move) < tolerance)]
+            if not len(live):
+                break
+        return pd.Series(out)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(rd.alias("t"), F.lit(False).alias("done")), step, lambda s: s.t)
+    return run(rd.cast("double"))
 
 
 def fisheye_undistort_point(x: Column, y: Column, dist=(), steps: int = 20, tolerance: float = 1e-8) -> Column:
@@ -163,20 +173,43 @@ def rolling_shutter_correct_point(p: tuple[Column, Column, Column], velocity, ra
 
 
 def rolling_shutter_project_point(k: list[float], p, velocity, rate, image_height: int, readout_time: float, dist=(), steps: int = 10, tolerance: float = 1e-6) -> Column:
-    """struct<u,v>: the row a point falls on depends on when the row is read, so its row is a fixed point."""
+    """struct<u,v>: the row a point falls on depends on when the row is read, so its row is a fixed point.
 
-    def image(row: Column) -> Column:
-        q = rolling_shutter_correct_point(p, velocity, rate, rolling_shutter_row_time(row, image_height, readout_time))
-        d = distort_point(q.x / q.z, q.y / q.z, dist)
-        return F.struct((k[0] * d.x + k[1] * d.y + k[2]).alias("u"), (k[3] * d.x + k[4] * d.y + k[5]).alias("v"))
+    The steps run in Arrow batches, over the points of a batch that are not done yet.
+    """
+    _need(image_height > 1, "an image of two rows or more")
+    (vx, vy, vz), (wx, wy, wz) = map(float, velocity), map(float, rate)
+    k1, k2, p1, p2, k3 = [*map(float, dist), 0.0, 0.0, 0.0, 0.0, 0.0][:5]
+    last = float(image_height - 1)
 
-    def step(s: Column, _: Column) -> Column:
-        got = image(F.greatest(F.lit(0.0), F.least(F.lit(float(image_height - 1)), s.v)))
-        return F.struct(F.when(s.done, s.u).otherwise(got.u).alias("u"), F.when(s.done, s.v).otherwise(got.v).alias("v"), (s.done | (F.abs(got.v - s.v) < tolerance)).alias("done"))
+    @F.pandas_udf("u double, v double")
+    def run(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
+        p = np.stack([c.to_numpy(float) for c in (x, y, z)])
 
-    first = image(F.lit(0.0))
-    start = F.struct(first.u.alias("u"), first.v.alias("v"), F.lit(False).alias("done"))
-    return F.when(p[2] > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: F.struct(s.u.alias("u"), s.v.alias("v"))))
+        def image(row: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+            s = row / last * readout_time
+            q = z - s * (vz + wx * y - wy * x)
+            a, b = (x - s * (vx + wy * z - wz * y)) / q, (y - s * (vy + wz * x - wx * z)) / q
+            r2 = a * a + b * b
+            radial = 1 + k1 * r2 + k2 * r2 * r2 + k3 * r2 * r2 * r2
+            a, b = a * radial + (2 * p1 * a * b + p2 * (r2 + 2 * a * a)), b * radial + (p1 * (r2 + 2 * b * b) + 2 * p2 * a * b)
+            return np.stack((k[0] * a + k[1] * b + k[2], k[3] * a + k[4] * b + k[5]))
+
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            out = image(np.zeros(p.shape[1]), *p)
+            live = np.arange(p.shape[1])
+            for _ in range(steps):
+                got = image(np.clip(out[1, live], 0.0, last), *p[:, live])
+                more = ~(np.abs(got[1] - out[1, live]) < tolerance)
+                out[:, live] = got
+                live = live[more]
+                if not len(live):
+                    break
+        return pd.DataFrame({"u": out[0], "v": out[1]})
+
+    # a null coordinate is behind the camera as well
+    there = (p[2] > 0) & p[0].isNotNull() & p[1].isNotNull() if all(isinstance(c, Column) for c in p) else F.lit(p[2]) > 0
+    return F.when(there, run(*[(c if isinstance(c, Column) else F.lit(c)).cast("double") for c in p]))
 
 
 def in_image(k: list[float], x: Column, y: Column, z: Column, width: int, height: int) -> Column:

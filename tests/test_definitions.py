@@ -509,3 +509,28 @@ def test_deskew_query_keeps_points_at_the_reference_time(spark, data):
     got = query(spark, data, "deskew")
     frames = clouds_of(spark, data)
     assert set(got.frame) <= set(frames) and len(got) == sum(len(frames[f]) for f in set(got.frame)) and got[["x", "y", "z"]].notna().all().all()
+
+
+def test_camera_iterations_run_in_batches(spark):
+    """The steps are Arrow functions and no nested lambdas, and keep nulls and points behind the camera."""
+    from tessera.functions import camera
+
+    k = camera.camera_matrix(500.0, 510.0, 320.0, 240.0)
+    d = spark.createDataFrame([(1.0, 0.5, 4.0), (0.3, -0.2, 2.0), (1.0, 1.0, -1.0), (None, 1.0, 2.0)], "x double, y double, z double")
+    x, y, z = (F.col(c) for c in "xyz")
+    moving = camera.rolling_shutter_project_point(k, (x, y, z), (1.0, 2.0, 0.5), (0.1, 0.2, 0.3), 480, 0.03, (-0.1, 0.02, 0.001, -0.002, 0.003))
+    plan = d.select(moving.alias("p"), camera.fisheye_unproject_pixel(k, x, y, z, (0.05, -0.01)).alias("q"))
+    assert "aggregate(" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = d.select(moving.alias("p")).collect()
+    assert got[2].p is None and got[3].p is None
+    for (px, py, pz), out in zip([(1.0, 0.5, 4.0), (0.3, -0.2, 2.0)], got, strict=False):
+        v = 0.0
+        for _ in range(200):
+            s = min(max(v, 0.0), 479.0) / 479 * 0.03
+            a, b, c = px - s * (1 + 0.2 * pz - 0.3 * py), py - s * (2 + 0.3 * px - 0.1 * pz), pz - s * (0.5 + 0.1 * py - 0.2 * px)
+            a, b = a / c, b / c
+            q = a * a + b * b
+            f = 1 - 0.1 * q + 0.02 * q * q + 0.003 * q**3
+            a, b = a * f + 0.002 * a * b - 0.002 * (q + 2 * a * a), b * f + 0.001 * (q + 2 * b * b) - 0.004 * a * b
+            u, v = 500 * a + 320, 510 * b + 240
+        assert abs(out.p.u - u) < 1e-4 and abs(out.p.v - v) < 1e-4

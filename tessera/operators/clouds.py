@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
+from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.errors import SensorError
 
@@ -29,11 +33,12 @@ def voxel_downsample(cloud: DataFrame, size: float, by: tuple[str, ...] = (), or
     """
     _positive(size, "a voxel's size")
     if origin == "min":
-        low = [F.min(c).over(Window.partitionBy(*by)).alias(f"_{c}") for c in XYZ] if by else None
-        if by:
-            base = cloud.select("*", *low)
+        corner = [F.min(c).alias(f"_{c}") for c in XYZ]
+        if by:  # a join with the corners, as a window would hold a cloud's rows
+            low = cloud.groupBy(*by).agg(*corner).toDF(*[f"_by{i}" for i in range(len(by))], *[f"_{c}" for c in XYZ])
+            base = cloud.join(low, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]))
         else:
-            base = cloud.crossJoin(F.broadcast(cloud.agg(*[F.min(c).alias(f"_{c}") for c in XYZ])))
+            base = cloud.crossJoin(F.broadcast(cloud.agg(*corner)))
         keys = [_voxel(c, size, F.col(f"_{c}")).alias(f"i{c}") for c in XYZ]
     else:
         base, keys = cloud, [_voxel(c, size).alias(f"i{c}") for c in XYZ]
@@ -112,9 +117,24 @@ def plane_hypotheses(cloud: DataFrame, triples: DataFrame, key: str = "seq") ->
 
 
 def count_inliers(cloud: DataFrame, planes: DataFrame, threshold: float, inclusive: bool = True) -> DataFrame:
-    """hyp and how many points lie within the threshold; planes, a handful, are broadcast and the cloud is read once."""
-    off = F.abs(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") - F.col("d"))
-    return cloud.select(*XYZ).crossJoin(F.broadcast(planes)).where(off <= threshold if inclusive else off < threshold).groupBy("hyp").agg(F.count("*").alias("inliers"))
+    """hyp and how many points lie within the threshold; planes, a handful, go to every task, which reads its points once and gives one row a plane."""
+    kind = planes.schema["hyp"].dataType
+    found = [(p.hyp, p.nx, p.ny, p.nz, p.d) for p in planes.select("hyp", "nx", "ny", "nz", "d").collect()]
+
+    def run(batches):
+        counts = np.zeros(len(found), np.int64)
+        for b in batches:
+            x, y, z = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3))
+            for at in range(0, len(x), 8192):  # a piece stays in the cache while all planes pass
+                u, v, w = x[at : at + 8192], y[at : at + 8192], z[at : at + 8192]
+                for i, (_, nx, ny, nz, d) in enumerate(found):
+                    off = np.abs(nx * u + ny * v + nz * w - d)
+                    counts[i] += np.count_nonzero(off <= threshold if inclusive else off < threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(counts)], names=["i", "n"])
+
+    sums = cloud.select(*[F.col(c).cast("double") for c in XYZ]).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("inliers")).where("inliers > 0")
+    names = cloud.sparkSession.createDataFrame([(i, p[0]) for i, p in enumerate(found)], StructType([StructField("i", LongType()), StructField("hyp", kind)]))
+    return sums.join(F.broadcast(names), "i").select("hyp", "inliers")
 
 
 def _triples(n: int, iterations: int, seed: int) -> list[tuple[int, int, int, int]]:
@@ -122,19 +142,28 @@ def _triples(n: int, iterations: int, seed: int) -> list[tuple[int, int, int, in
     return [(i, *map(int, rng.choice(n, 3, replace=False))) for i in range(iterations)]
 
 
-def ransac_plane(cloud: DataFrame, threshold: float = 0.05, iterations: int = 100, min_inliers: int = 10, seed: int = 0) -> tuple[np.ndarray, float, DataFrame]:
-    """(normal, d, cloud with inlier). Triples are drawn over the row number by seq; the first of the best wins and is refitted."""
-    spark = cloud.sparkSession
-    n = cloud.count()
+def _drawn(cloud: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """plane_hypotheses of triples drawn over the row number by seq. Only the drawn points, three a triple, leave the tasks."""
+    from tessera.operators.scans import number_rows
+
+    spark, points = cloud.sparkSession, number_rows(cloud.select("seq", *XYZ), "seq", name="_row")
+    n = points.count()
     if n < 3:
         raise SensorError("a plane needs three points")
-    numbered = cloud.withColumn("_i", F.row_number().over(Window.orderBy("seq")) - 1)
-    planes = plane_hypotheses(numbered, spark.createDataFrame(_triples(n, iterations, seed), "hyp int, a int, b int, c int"), "_i").persist()
+    triples = _triples(n, iterations, seed)
+    wanted = spark.createDataFrame([(i,) for i in sorted({i for t in triples for i in t[1:]})], "_row long")
+    points = points.select("_row", *XYZ)
+    some = spark.createDataFrame(points.join(F.broadcast(wanted), "_row").select(*points.columns).collect(), points.schema)
+    return plane_hypotheses(some, spark.createDataFrame(triples, "hyp int, a long, b long, c long"), "_row")
+
+
+def ransac_plane(cloud: DataFrame, threshold: float = 0.05, iterations: int = 100, min_inliers: int = 10, seed: int = 0) -> tuple[np.ndarray, float, DataFrame]:
+    """(normal, d, cloud with inlier). Triples are drawn over the row number by seq; the first of the best wins and is refitted."""
+    planes = _drawn(cloud, iterations, seed)
     best = count_inliers(cloud, planes, threshold).orderBy(F.desc("inliers"), "hyp").first()
     if best is None or best.inliers < min_inliers:
         raise SensorError("too few inliers")
     plane = planes.where(F.col("hyp") == best.hyp).first()
-    planes.unpersist()
     off = lambda nx, ny, nz, d: F.abs(nx * F.col("x") + ny * F.col("y") + nz * F.col("z") - d)
     normal, d = fit_plane(cloud.where(off(plane.nx, plane.ny, plane.nz, plane.d) <= threshold))
     return normal, d, cloud.withColumn("inlier", off(*map(float, normal), d) <= threshold)
@@ -142,13 +171,10 @@ def ransac_plane(cloud: DataFrame, threshold: float = 0.05, iterations: int = 10
 
 def ransac_ground(cloud: DataFrame, threshold: float = 0.2, iterations: int = 1000, normal_threshold: float = 0.9, seed: int = 0) -> tuple[np.ndarray, float, DataFrame]:
     """(normal, d, cloud with ground): planes whose upward normal is steep enough; strict inliers, no refit. Under three points nothing is ground."""
-    spark = cloud.sparkSession
-    n = cloud.count()
     none = (np.zeros(3), 0.0, cloud.withColumn("ground", F.lit(False)))
-    if n < 3:
+    if len(cloud.limit(3).select("seq").take(3)) < 3:
         return none
-    numbered = cloud.withColumn("_i", F.row_number().over(Window.orderBy("seq")) - 1)
-    planes = plane_hypotheses(numbered, spark.createDataFrame(_triples(n, iterations, seed), "hyp int, a int, b int, c int"), "_i")
+    planes = _drawn(cloud, iterations, seed)
     sign = F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
     planes = planes.select("hyp", *[(F.col(c) * sign).alias(c) for c in ("nx", "ny", "nz", "d")]).where(F.col("nz") >= normal_threshold)
     best = count_inliers(cloud, planes, threshold, inclusive=False).orderBy(F.desc("inliers"), "hyp").first()

@@ -186,3 +186,20 @@ def test_session(spark, tmp_path):
     both = back.merge(back, (0, 0, np.eye(4), np.eye(6)))
     assert both.tables["nodes"].count() == 8 and both.tables["edges"].count() == 7
     assert s.localise(bag, frame(spark, CLOUD)).count() == 4
+
+
+def test_planes_are_drawn_without_a_window_over_the_cloud(spark):
+    """Row numbers come from ranges, corners from a join; null groups keep their corner, and counts are those of plain numbers."""
+    rows = [(i, float(i % 7), float(i % 11), 0.01 * (i % 3), None if i % 2 else 1) for i in range(300)]
+    d = spark.createDataFrame(rows, "seq long, x double, y double, z double, g int")
+    low = clouds.voxel_downsample(d, 4.0, ("g",))
+    assert "Window" not in low._jdf.queryExecution().executedPlan().toString()
+    assert {r.g for r in low.collect()} == {None, 1} and sum(r.n for r in low.collect()) == 300
+    normal, off, got = clouds.ransac_plane(d, 0.05, iterations=5, seed=3)
+    assert abs(normal[2]) > 0.99 and got.where("inlier").count() == 300
+    assert "Window" not in got._jdf.queryExecution().analyzed().toString()
+    planes = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 0.0, 6.0), (2, 0.0, 0.0, 1.0, 9.0)], "hyp int, nx double, ny double, nz double, d double")
+    want = {0: sum(r[3] <= 0.01 for r in rows), 1: sum(r[1] == 6 for r in rows)}
+    counted = clouds.count_inliers(d, planes, 0.01)
+    assert {r.hyp: r.inliers for r in counted.collect()} == want
+    assert "NestedLoop" not in counted._jdf.queryExecution().executedPlan().toString()

@@ -33,6 +33,11 @@ def multiply(a: Column, b: Column, n: int = 4) -> Column:
     return _hold(F.struct(a.alias("x"), b.alias("y")), body)
 
 
+def product_entry(a: Column, b: Column, i: int, j: int, n: int = 4) -> Column:
+    """One number of multiply(a, b), for plans that need few of them."""
+    return sum((a[n * i + k] * b[n * k + j] for k in range(1, n)), a[n * i] * b[j])
+
+
 def apply_to_point(t: Column, x: Column, y: Column, z: Column) -> Column:
     """struct<x,y,z> of a transform applied to a point."""
     row = lambda i: t[4 * i] * x + t[4 * i + 1] * y + t[4 * i + 2] * z + t[4 * i + 3]

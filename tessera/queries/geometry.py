@@ -15,6 +15,8 @@ K = camera.camera_matrix(500.0, 510.0, 320.0, 240.0)
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 KEYED_SQL = "p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_quantity - 25 AS DOUBLE) AS x, CAST(l_extendedprice / 1000 - 50 AS DOUBLE) AS y, CAST(l_discount * 100 - 5 AS DOUBLE) AS z FROM lineitem)"
 KEYED = ", ".join(KEYS)
+#: Parts of a name in a join of pairs, and the tasks of that join.
+SPREAD, TASKS = 8, 96
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +71,14 @@ def compose_transforms(spark, sf_dir):
 @register("sensor_pair_matrix", f"""WITH {_Q_SQL} SELECT a.s_suppkey AS source, b.s_suppkey AS target, round((b.s_nationkey - a.s_nationkey) / 100.0, 6) + 0.0 AS time_offset,
   round(b.r0*(a.tx-b.tx) + b.r3*(a.ty-b.ty) + b.r6*(a.tz-b.tz), 6) + 0.0 AS tx, round(b.r0*a.r0 + b.r3*a.r3 + b.r6*a.r6, 6) + 0.0 AS r0 FROM m a JOIN m b ON a.s_suppkey <> b.s_suppkey AND a.s_nationkey = b.s_nationkey""")
 def sensor_pair_matrix(spark, sf_dir):
+    """A matrix is inverted once a sensor. Few names hold all pairs, so a name is dealt in SPREAD parts, and the parts over as many tasks."""
     s = _sensors(spark, sf_dir)
-    a = s.select("name", F.col("s_suppkey").alias("source"), F.col("transform").alias("ta"), F.col("time_offset").alias("oa"))
-    b = s.select("name", F.col("s_suppkey").alias("target"), F.col("transform").alias("tb"), F.col("time_offset").alias("ob"))
-    p = a.join(b, "name").where("source <> target").withColumn("m", se3.sensor_to_sensor(F.col("ta"), F.col("tb")))
-    return p.select("source", "target", r(F.col("ob") - F.col("oa"), 6).alias("time_offset"), r(F.col("m")[3], 6).alias("tx"), r(F.col("m")[0], 6).alias("r0"))
+    part = F.pmod(F.xxhash64("source"), F.lit(SPREAD)).cast("int")
+    a = s.select("name", F.col("s_suppkey").alias("source"), F.col("transform").alias("ta"), F.col("time_offset").alias("oa")).withColumn("part", part)
+    b = s.select("name", F.col("s_suppkey").alias("target"), se3.inverse(F.col("transform")).alias("tb"), F.col("time_offset").alias("ob")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    p = a.repartition(TASKS, "name", "part").join(b.repartition(TASKS, "name", "part").hint("merge"), ["name", "part"]).where("source <> target")
+    entry = lambda i, j: se3.product_entry(F.col("tb"), F.col("ta"), i, j)
+    return p.select("source", "target", r(F.col("ob") - F.col("oa"), 6).alias("time_offset"), r(entry(0, 3), 6).alias("tx"), r(entry(0, 0), 6).alias("r0"))
 
 
 @register("exp_log_so3", f"WITH {KEYED_SQL} SELECT {KEYED}, round(x / 25, 8) + 0.0 AS a, round(y / 100, 8) + 0.0 AS b, round(z / 10, 8) + 0.0 AS c FROM p")

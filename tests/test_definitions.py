@@ -534,3 +534,18 @@ def test_camera_iterations_run_in_batches(spark):
             a, b = a * f + 0.002 * a * b - 0.002 * (q + 2 * a * a), b * f + 0.001 * (q + 2 * b * b) - 0.004 * a * b
             u, v = 500 * a + 320, 510 * b + 240
         assert abs(out.p.u - u) < 1e-4 and abs(out.p.v - v) < 1e-4
+
+
+def test_pairs_of_sensors_are_dealt_and_inverted_once(spark, tmp_path):
+    """One entry of a product is that of the whole one, and no inverse is taken above the join."""
+    from tessera.functions import se3
+    from tessera.queries.geometry import sensor_pair_matrix
+
+    m = spark.range(1).select(se3.matrix([float(i * i % 7) for i in range(16)]).alias("a"), se3.matrix([float(i * 3 % 5) for i in range(16)]).alias("b"))
+    got = m.select(se3.multiply(F.col("a"), F.col("b"))[7].alias("x"), se3.product_entry(F.col("a"), F.col("b"), 1, 3).alias("y")).first()
+    assert got.x == got.y
+    spark.createDataFrame([(i, i % 2, float(i)) for i in range(6)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = sensor_pair_matrix(spark, str(tmp_path))
+    assert pairs.count() == 12
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan[: plan.index("Join")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.errors import SensorError
 from tessera.functions.colour import colour_by_height, jet
@@ -14,9 +15,20 @@ def _cell(x: Column, y: Column, resolution: float, origin, height: int) -> tuple
     return col, (height - 1 - F.floor((y - origin[1]) / resolution)).cast("long")
 
 
-def _last(drawn: DataFrame, width: int, height: int) -> DataFrame:
-    inside = drawn.where((F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width))
-    return inside.groupBy("row", "col").agg(F.max(F.struct("at", "r", "g", "b")).alias("m")).select("row", "col", "m.r", "m.g", "m.b")
+def _last(drawn: DataFrame, width: int, height: int, radius: int = 0) -> DataFrame:
+    """The last drawn of each pixel, as a square of that radius. The last of each centre is found first, so squares are spread over an image's centres only."""
+    inside = drawn.where((F.col("row") >= -radius) & (F.col("row") < height + radius) & (F.col("col") >= -radius) & (F.col("col") < width + radius))
+    kind = inside.schema["at"].dataType
+    lead = F.col("at")[kind.names[0]] if isinstance(kind, StructType) else F.col("at")
+    # the largest leading value of each pixel is a hash aggregation without a sort; few rows have it, and among those the whole order decides
+    first = inside.select(F.col("row").alias("_r"), F.col("col").alias("_c"), lead.alias("_l")).groupBy("_r", "_c").agg(F.max("_l").alias("_m"))
+    inside = inside.join(first, (F.col("row") == F.col("_r")) & (F.col("col") == F.col("_c")) & lead.eqNullSafe(F.col("_m"))).drop("_r", "_c", "_m")
+    newest = lambda d: d.groupBy("row", "col").agg(F.max(F.struct("at", "r", "g", "b")).alias("m"))
+    last = newest(inside)
+    if radius:
+        square = _square(last.select("row", "col", "m.*"), radius)
+        last = newest(square.where((F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width)))
+    return last.select("row", "col", "m.r", "m.g", "m.b")
 
 
 def birdseye(points: DataFrame, width: int, height: int, resolution: float = 0.1, origin=(0.0, 0.0), z_range=None) -> DataFrame:
@@ -53,7 +65,7 @@ def overlay(points: DataFrame, width: int, height: int, radius: int = 2, d_range
     lo, hi = map(float, d_range)
     t = F.lit(0.5) if hi <= lo else (F.col("depth") - lo) / (hi - lo)
     p = p.select(F.rint("v").cast("long").alias("row"), F.rint("u").cast("long").alias("col"), F.col("seq").alias("at"), jet(t).alias("c"))
-    return _last(_square(p, radius).select("row", "col", "at", "c.*"), width, height)
+    return _last(p.select("row", "col", "at", "c.*"), width, height, radius)
 
 
 def layered(*layers: DataFrame) -> DataFrame:

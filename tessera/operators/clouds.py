@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tessera.errors import SensorError
+from tessera.kernels import Cells
 
 XYZ = ("x", "y", "z")
 
@@ -65,19 +66,59 @@ def is_static(velocity: Column, doppler_threshold: float = 0.5) -> Column:
     return F.abs(velocity) <= doppler_threshold
 
 
+#: Distances in the side of a block of space, reference points that are searched at once if no block holds more, and pairs that are held at once.
+BLOCK_SIDE, TASK_POINTS, HELD = 8, 100_000, 1_000_000
+
+
 def within_distance(cloud: DataFrame, reference: DataFrame, distance: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """cloud's columns plus keep: whether any reference point lies within the distance, itself included.
+    """cloud's columns plus keep: whether any reference point lies within the distance, itself included. Each row gives one row, repeated ones too.
 
-    Points are hashed to cells as wide as the distance; a point's candidates are the reference points of its 27 cells.
+    Space is cut into blocks of BLOCK_SIDE distances. A point goes to its block, a reference point to those that its reach touches (two on average, eight at most).
+    Blocks are dealt to groups of about TASK_POINTS; there a point asks the cells around it in its block, about as wide as the distance, some points at a time.
     """
     _positive(distance, "a distance")
-    offsets = F.array(*[F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip(XYZ, o, strict=True)]) for o in itertools.product((-1, 0, 1), repeat=3)])
-    points = cloud.select(*by, *XYZ).distinct()
-    near = points.withColumn("_o", F.explode(offsets)).select(*by, *XYZ, *[(_voxel(c, distance) + F.col(f"_o.d{c}")).alias(f"_i{c}") for c in XYZ])
-    ref = reference.select(*by, *[F.col(c).alias(f"_{c}") for c in XYZ], *[_voxel(c, distance).alias(f"_i{c}") for c in XYZ]).distinct()
-    d2 = sum((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in XYZ)
-    hit = near.join(ref, [*by, *[f"_i{c}" for c in XYZ]]).where(d2 <= distance * distance).select(*by, *XYZ).distinct().withColumn("_hit", F.lit(True))
-    return cloud.join(hit, [*by, *XYZ], "left").withColumn("keep", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    side, reach = BLOCK_SIDE * distance, distance * (1 + 1e-9)
+    axes = [f"_b{c}" for c in XYZ]
+    keys = [f"_g{i}" for i in range(len(by))]
+    names = cloud.columns
+    block = lambda c: F.floor(c / side).cast("long")
+    spread = lambda c: F.explode(F.sequence(block(F.col(c) - reach - F.abs(F.col(c)) * 1e-12), block(F.col(c) + reach + F.abs(F.col(c)) * 1e-12)))
+    group = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    own = cloud.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"), *[F.col(c).cast("double").alias(f"_{c}") for c in XYZ], *group, *[block(F.col(c)).alias(a) for c, a in zip(XYZ, axes, strict=True)])
+    sound = [*[F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in XYZ], *[F.col(c).isNotNull() for c in by]]
+    other = reference.where(reduce(and_, sound)).select(*[F.col(c).cast("double").alias(f"_{c}") for c in XYZ], *group)
+    for c, a in zip(XYZ, axes, strict=True):
+        other = other.withColumn(a, spread(f"_{c}"))
+    other = other.toDF(*[f"r{c}" for c in other.columns])
+    schema = StructType([StructField("_row", own.schema["_row"].dataType), StructField("keep", BooleanType())])
+
+    def run(t: pa.Table, o: pa.Table) -> pa.Table:
+        keep = np.zeros(t.num_rows, bool)
+        if t.num_rows and o.num_rows:
+            code = np.zeros(t.num_rows + o.num_rows, np.int64)
+            for k in (*keys, *axes):  # blocks are numbered
+                found = pa.chunked_array([*t.column(k).chunks, *o.column(f"r{k}").chunks]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                code = np.unique(code * (int(found.max()) + 1) + found, return_inverse=True)[1]
+            xyz = lambda t, head, kind="": np.stack([t.column(f"{head}_{kind}{c}").to_numpy().astype(float) for c in XYZ], axis=1)
+            p, q = xyz(t, ""), xyz(o, "r")
+            # blocks stand side by side along x, too far apart to meet; cells are a little wider than the distance for what this rounds
+            apart = np.array([side + 4 * distance, 0, 0])
+            place = p - xyz(t, "", "b") * side + code[: len(p), None] * apart
+            cells = Cells(q - xyz(o, "r", "b") * side + code[len(p) :, None] * apart, distance * (1 + 1e-6))
+            ask, step = np.flatnonzero(np.isfinite(place).all(axis=1)), 256
+            while len(ask):
+                some, ask = ask[:step], ask[step:]
+                who, found, _ = cells.around(place[some])
+                gap = p[some][who] - q[found]
+                keep[some[who[gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2] <= distance * distance]]] = True
+                step = int(np.clip(HELD * len(some) // max(1, len(who)), 1, 50_000))
+        return pa.table([t.column("_row"), pa.array(keep)], names=["_row", "keep"])
+
+    deal = F.lit(reference.count() // TASK_POINTS + 1)
+    own = own.withColumn("_deal", F.pmod(F.xxhash64(*keys, *axes), deal))
+    other = other.withColumn("_rdeal", F.pmod(F.xxhash64(*[f"r{c}" for c in (*keys, *axes)]), deal))
+    out = own.groupBy("_deal").cogroup(other.groupBy("_rdeal")).applyInArrow(run, schema)
+    return out.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], "keep")
 
 
 def plane_moments(cloud: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

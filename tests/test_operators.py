@@ -203,3 +203,31 @@ def test_planes_are_drawn_without_a_window_over_the_cloud(spark):
     counted = clouds.count_inliers(d, planes, 0.01)
     assert {r.hyp: r.inliers for r in counted.collect()} == want
     assert "NestedLoop" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_within_distance_meets_across_blocks_and_keeps_rows(spark):
+    """Against brute force over block borders; repeated rows, null and NaN places and null groups stay, and no row is spread over 27 cells."""
+    rng = np.random.default_rng(5)
+    p, q = rng.uniform(-20, 20, (400, 3)).round(1), rng.uniform(-20, 20, (300, 3)).round(1)
+    rows = [(i % 3, *map(float, v)) for i, v in enumerate(p)]
+    rows += [rows[0], (1, None, 0.0, 0.0), (1, float("nan"), 0.0, 0.0), (None, *map(float, q[0]))]
+    ref = [(i % 3, *map(float, v)) for i, v in enumerate(q)] + [(None, *map(float, q[0]))]
+    kind = "g int, x double, y double, z double"
+    got = clouds.within_distance(spark.createDataFrame(rows, kind), spark.createDataFrame(ref, kind), 2.0, ("g",))
+    assert "Generate explode([" not in got._jdf.queryExecution().executedPlan().toString()
+    near = [any(r[0] == o[0] and sum((a - b) ** 2 for a, b in zip(r[1:], o[1:], strict=True)) <= 4 for o in ref) if r[0] is not None and r[1] is not None else False for r in rows]
+    key = lambda r: repr(tuple(r))
+    assert sorted(key(r) for r in got.collect()) == sorted(key((*r, k)) for r, k in zip(rows, near, strict=True))
+
+
+def test_overlay_spreads_centres_only(spark):
+    """The last by the whole of seq wins, also from centres beside the image."""
+    from tessera.operators import rasters
+
+    rows = [((1, 1), -1.0, 0.0, True, 0.0), ((1, 2), -1.0, 0.0, True, 10.0), ((0, 9), 1.0, 0.0, True, 5.0), ((9, 9), -3.0, 0.0, True, 0.0)]
+    p = spark.createDataFrame(rows, "seq struct<a:int,b:int>, u double, v double, valid boolean, depth double")
+    got = {(r.row, r.col): (r.r, r.g, r.b) for r in rasters.overlay(p, 4, 2, 1, (0.0, 10.0)).collect()}
+    assert set(got) == {(r, c) for r in (0, 1) for c in (0, 1, 2)}
+    assert got[0, 0][0] == 255 and got[0, 1] == got[0, 2] and got[0, 1][0] != 255
+    plan = rasters.overlay(p, 4, 2, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # plans read from the top: squares come after centres

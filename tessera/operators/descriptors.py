@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tessera import kernels
+
 TWO_PI = 2 * np.pi
 
 
@@ -37,21 +39,34 @@ def scan_context_distance(context: DataFrame, pairs: DataFrame, num_rings: int =
 
     A ring that is empty on both sides counts 0, one that is empty on one side 1.
     """
-    one = context.select(F.col(frame).alias("a"), "ring", F.col("sector").alias("sa"), F.col("h").alias("ha"))
-    two = context.select(F.col(frame).alias("b"), "ring", F.col("sector").alias("sb"), F.col("h").alias("hb"))
-    norms = context.groupBy(frame, "ring").agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("n"))
-    both = pairs.select("a", "b").join(one, "a").join(two, ["b", "ring"])
-    dots = both.groupBy("a", "b", "ring", F.pmod(F.col("sb") - F.col("sa"), F.lit(num_sectors)).alias("shift")).agg(F.sum(F.col("ha") * F.col("hb")).alias("dot"))
-    rings = pairs.select("a", "b").withColumn("ring", F.explode(F.sequence(F.lit(0), F.lit(num_rings - 1))))
-    rings = rings.join(norms.select(F.col(frame).alias("a"), "ring", F.col("n").alias("na")), ["a", "ring"], "left").join(norms.select(F.col(frame).alias("b"), "ring", F.col("n").alias("nb")), ["b", "ring"], "left")
-    shifted = rings.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(num_sectors - 1)))).join(dots, ["a", "b", "ring", "shift"], "left")
-    d = F.when(F.col("na").isNull() & F.col("nb").isNull(), 0.0).when(F.col("na").isNull() | F.col("nb").isNull(), 1.0).otherwise(1 - F.coalesce("dot", F.lit(0.0)) / (F.col("na") * F.col("nb")))
-    mean = shifted.groupBy("a", "b", "shift").agg((F.sum(d) / num_rings).alias("distance"))
-    return mean.groupBy("a", "b").agg(F.min(F.struct(F.round("distance", 12).alias("distance"), "shift")).alias("m")).select("a", "b", "m.distance", "m.shift")
+    packed = context.groupBy(frame).agg(F.collect_list(F.struct((F.col("ring") * num_sectors + F.col("sector")).cast("int").alias("cell"), F.col("h").cast("double").alias("h"))).alias("bins"))
+    side = lambda k: packed.select(F.col(frame).alias(k), F.col("bins.cell").alias(f"_cells_{k}"), F.col("bins.h").alias(f"_heights_{k}"))
+    kind = dict(pairs.dtypes)
+    # a pair travels once, with the bins of b; those of a meet it where it arrives
+    both = pairs.select("a", "b").distinct().join(side("b"), "b", "left").join(side("a"), "a", "left").select("a", "b", *[f"_{c}_{k}" for k in "ab" for c in ("cells", "heights")])
+
+    def dense(cells, heights) -> np.ndarray:
+        out = np.zeros((len(cells), num_rings * num_sectors))
+        at = np.repeat(np.arange(len(cells)), cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        out[at, cells.flatten().to_numpy(zero_copy_only=False)] = heights.flatten().to_numpy(zero_copy_only=False)
+        return out.reshape(-1, num_rings, num_sectors)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS_HELD):
+                t = whole.slice(at, PAIRS_HELD)
+                found = kernels.ring_distances(dense(t.column(2), t.column(3)), dense(t.column(4), t.column(5)))
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *map(pa.array, found)], names=["a", "b", "distance", "shift"])
+
+    return both.mapInArrow(run, f"a {kind['a']}, b {kind['b']}, distance double, shift int")
+
+
+#: Pairs of scan contexts held as dense arrays at once.
+PAIRS_HELD = 64
 
 
-#: Scans on a side of a block of ring-key comparisons.
-KEY_BLOCK = 2000
+#: Scans on a side of a block of ring-key comparisons; a key is copied once a block.
+KEY_BLOCK = 8000
 
 
 def nearest_places(context: DataFrame, inserted: DataFrame, num_rings: int = 20, num_sectors: int = 60, exclusion_window: int = 50, candidate_pool: int = 25, frame: str = "frame") -> DataFrame:
@@ -71,13 +86,25 @@ def nearest_places(context: DataFrame, inserted: DataFrame, num_rings: int = 20,
     def pool(t: pd.DataFrame) -> pd.DataFrame:
         p, q = t["p"].iloc[0], t["q"].iloc[0]
         one, two = t[t["own"] == p].sort_values("position"), t[t["own"] == q].sort_values("position")
-        x, y = np.stack(one["key"]) if len(one) else np.zeros((0, num_rings)), np.stack(two["key"]) if len(two) else np.zeros((0, num_rings))
-        out = []
-        for i, (a, at) in enumerate(zip(one["id"], one["position"], strict=True)):
-            far = np.round(np.abs(y - x[i]).sum(axis=1), 9)  # ties in the order of insertion, whatever the order of the sum
-            far[two["position"].to_numpy() >= at - exclusion_window] = np.inf
-            best = np.lexsort((two["position"], far))[:candidate_pool]
-            out += [(a, b, n, d) for b, n, d in zip(two["id"].iloc[best], two["position"].iloc[best], far[best], strict=True) if np.isfinite(d)]
+        if not len(one) or not len(two):
+            return pd.DataFrame([], columns=["a", "b", "position", "l1"])
+        x, y = np.stack(one["key"]), np.ascontiguousarray(np.stack(two["key"]).T)
+        ids, places = two["id"].to_numpy(), two["position"].to_numpy()  # in order, so what is far enough before a scan comes first
+        ends = np.searchsorted(places, one["position"].to_numpy() - exclusion_window)
+        far, off, out = np.empty(len(two)), np.empty(len(two)), []
+        for i, (a, end) in enumerate(zip(one["id"], ends, strict=True)):
+            if not end:
+                continue
+            total, part = far[:end], off[:end]
+            total[:] = 0
+            for d in range(num_rings):
+                np.subtract(y[d, :end], x[i, d], out=part)
+                np.abs(part, out=part)
+                total += part
+            near = np.flatnonzero(total <= np.partition(total, candidate_pool - 1)[candidate_pool - 1] + 1e-8) if end > candidate_pool else np.arange(end)
+            l1 = np.round(total[near], 9)  # ties in the order of insertion, whatever the order of the sum
+            best = np.lexsort((near, l1))[:candidate_pool]
+            out += zip([a] * len(best), ids[near[best]], places[near[best]], l1[best], strict=True)
         return pd.DataFrame(out, columns=["a", "b", "position", "l1"])
 
     found = blocks.groupBy("p", "q").applyInPandas(pool, f"a {kind}, b {kind}, position long, l1 double")

@@ -231,3 +231,27 @@ def test_overlay_spreads_centres_only(spark):
     assert got[0, 0][0] == 255 and got[0, 1] == got[0, 2] and got[0, 1][0] != 255
     plan = rasters.overlay(p, 4, 2, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")  # plans read from the top: squares come after centres
+
+
+def test_scan_context_distances_of_pairs_at_once(spark, monkeypatch):
+    """Repeated pairs count once; empty scans and empty rings; bins travel once a pair, not once a bin, ring and shift."""
+    from tessera.operators import descriptors
+
+    rng = np.random.default_rng(3)
+    maps = {f: np.where(rng.random((3, 8)) < 0.5, rng.uniform(0.5, 3, (3, 8)), 0) for f in range(4)}
+    maps[1][2], maps[2][2], maps[3][:] = 0, 0, 0
+    rows = [(f, r, s, float(m[r, s])) for f, m in maps.items() for r in range(3) for s in range(8) if m[r, s] > 0]
+    context = spark.createDataFrame(rows, "frame long, ring int, sector int, h double")
+    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(4)] * 2, "a long, b long")
+    monkeypatch.setattr(descriptors, "PAIRS_HELD", 3)
+    d = descriptors.scan_context_distance(context, pairs, num_rings=3, num_sectors=8)
+    assert "Generate" not in d._jdf.queryExecution().executedPlan().toString()
+    got = {(r.a, r.b): (r.distance, r["shift"]) for r in d.collect()}
+    assert len(got) == 16
+    for (a, b), (distance, shift) in got.items():
+        best = (np.inf, 0)
+        for s in range(8):
+            turned = np.roll(maps[b], -s, axis=1)
+            ring = [0.0 if not (u.any() or v.any()) else 1.0 if not (u.any() and v.any()) else 1 - u @ v / np.linalg.norm(u) / np.linalg.norm(v) for u, v in zip(maps[a], turned, strict=True)]
+            best = min(best, (round(float(np.mean(ring)), 12), s))
+        assert abs(distance - best[0]) < 1e-11 and shift == best[1]

@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera import kernels
 from tessera.errors import SensorError
@@ -55,30 +56,123 @@ def graph_cost(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> DataFra
     return graph_errors(nodes, edges, by).groupBy(by).agg(F.sum("cost").alias("cost"), F.count("*").alias("edges"))
 
 
-#: Poses of a graph that one task solves.
-TASK_POSES = 20_000
+#: Poses of a graph that one task solves; poses of the graphs that are solved side by side; poses of a graph among them.
+TASK_POSES, BUCKET_POSES, SIDE_POSES = 20_000, 5_000, 60
+
+
+def _side_by_side(nodes: DataFrame, edges: DataFrame, by: str, poses: int, solve, schema: str) -> DataFrame:
+    """solve(_Bucket) -> table, for graphs dealt over buckets of about BUCKET_POSES poses, not one call a graph."""
+    bucket = F.pmod(F.xxhash64(by), F.lit(max(1, -(-poses // BUCKET_POSES)))).alias("_bucket")
+    one = nodes.select(bucket, F.col(by).alias("_g"), "id", "seq", "transform")
+    two = edges.select(bucket, F.col(by).alias("_g"), "a", "b", "transform", "information")
+    two = two.toDF(*[f"_e{c}" for c in two.columns])  # the sides may share an ancestor, and so share no name
+    arrow = to_arrow_schema(nodes.sparkSession.createDataFrame([], schema).schema)
+
+    def run(n: pa.Table, e: pa.Table) -> pa.Table:
+        return solve(_Bucket(n, e.rename_columns([c[2:] for c in e.column_names]), arrow)) if n.num_rows else arrow.empty_table()
+
+    return one.groupBy("_bucket").cogroup(two.groupBy("_e_bucket")).applyInArrow(run, schema)
+
+
+def _codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Numbers from 0 of the values of columns of one type; nulls are a value."""
+    values = [v for c in columns for v in c.chunks]
+    whole = pa.chunked_array([v.cast(columns[0].type) for v in values], columns[0].type)
+    if pa.types.is_nested(whole.type):
+        whole = pa.chunked_array([[repr(v) for v in whole.to_pylist()]], pa.string())
+    codes = whole.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() if len(whole) else np.zeros(0, int)
+    return np.split(codes.astype(np.int64), np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _square(c: pa.ChunkedArray, n: int) -> np.ndarray:
+    return c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n, n)
+
+
+class _Bucket:
+    """Graphs of a task, rows ordered by graph, seq and id: g, at (places in the graph), x; edges: eg, i, j (places, -1 where there is no such pose), measured, weight."""
+
+    def __init__(self, nodes: pa.Table, edges: pa.Table, schema: pa.Schema):
+        self.schema = schema
+        g, self.eg = _codes(nodes.column("_g"), edges.column("_g"))
+        ids, a, b = _codes(nodes.column("id"), edges.column("a"), edges.column("b"))
+        order = pd.DataFrame({"g": g, "seq": nodes.column("seq").to_pandas(), "id": nodes.column("id").to_pandas()}).sort_values(["g", "seq", "id"]).index.to_numpy()
+        self.nodes, self.g, self.x = nodes.take(pa.array(order)), g[order], _square(nodes.column("transform"), 4)[order]
+        self.measured, self.weight = _square(edges.column("transform"), 4), _square(edges.column("information"), 6)
+        self.graphs = int(max(g.max(), self.eg.max(initial=-1))) + 1
+        self.count = np.bincount(self.g, minlength=self.graphs)
+        self.starts = np.concatenate(([0], np.cumsum(self.count)[:-1]))
+        self.at = np.arange(len(self.g)) - self.starts[self.g]
+        span = int(max(ids.max(), a.max(initial=-1), b.max(initial=-1))) + 1
+        keys = self.g * span + ids[order]
+        sort = np.argsort(keys, kind="stable")
+        self.repeated = np.zeros(self.graphs, bool)
+        self.repeated[self.g[sort[1:]][np.diff(keys[sort]) == 0]] = True
+
+        def places(ends):
+            k = self.eg * span + ends
+            found = sort[np.minimum(np.searchsorted(keys[sort], k), len(sort) - 1)]
+            return np.where(keys[found] == k, self.at[found], -1)
+
+        self.i, self.j = places(a), places(b)
+
+    def padded(self, graphs: np.ndarray) -> np.ndarray:
+        out = np.tile(np.eye(4), (len(graphs), int(self.count[graphs].max(initial=1)), 1, 1))
+        for k, g in enumerate(graphs):
+            out[k, : self.count[g]] = self.x[self.starts[g] : self.starts[g] + self.count[g]]
+        return out
+
+    def table(self, rows: np.ndarray, x: np.ndarray, *columns) -> pa.Table:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 16), pa.array(np.ascontiguousarray(x).ravel()))
+        own = self.nodes.take(pa.array(rows))
+        return pa.table([own.column("_g"), own.column("id"), lists, *columns], schema=self.schema)
 
 
 def optimise(nodes: DataFrame, edges: DataFrame, by: str = "graph", **options) -> DataFrame:
     """by, id, transform, cost, converged. The node with the least seq is fixed; of equal seq the least id.
 
-    Graphs of up to TASK_POSES poses are solved in a task each, side by side; larger ones block by block, see large_graphs.
+    Graphs of up to SIDE_POSES poses are solved many at a time, those of up to TASK_POSES one after the other, in tasks side by side; larger ones block by block, see large_graphs.
     """
     kinds = dict(nodes.dtypes)
 
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(n):
-            return pd.DataFrame(columns=[by, "id", "transform", "cost", "converged"])
-        n = n.sort_values(["seq", "id"])
-        poses = {k: np.array(m).reshape(4, 4) for k, m in zip(n["id"], n["transform"], strict=True)}
-        links = [(a, b, np.array(m).reshape(4, 4), np.array(w).reshape(6, 6)) for a, b, m, w in zip(e["a"], e["b"], e["transform"], e["information"], strict=True)]
-        x, cost, _, ok = kernels.optimise_graph(poses, links, **options)
-        return pd.DataFrame({by: n[by].iloc[0], "id": list(x), "transform": [m.ravel().tolist() for m in x.values()], "cost": cost, "converged": ok})
-
-    large = kept(nodes.groupBy(F.col(by).alias("_by")).count().where(F.col("count") > TASK_POSES).select("_by"))  # poses / TASK_POSES rows at most
+    def solve(t: _Bucket) -> pa.Table:
+        x, cost, ok, keep = t.x.copy(), np.zeros(t.graphs), np.zeros(t.graphs, bool), np.ones(len(t.g), bool)
+        if ((t.i < 0) | (t.j < 0))[t.count[t.eg] > 0].any():
+            raise KeyError("an edge ends at no node")
+        edges_of = np.argsort(t.eg, kind="stable")
+        bounds = np.searchsorted(t.eg[edges_of], np.arange(t.graphs + 1))
+        plain = ~t.repeated & (t.count <= SIDE_POSES) & (t.count > 0)
+        for g in np.flatnonzero(~plain & (t.count > 0)):
+            own, e = np.arange(t.starts[g], t.starts[g] + t.count[g]), edges_of[bounds[g] : bounds[g + 1]]
+            names = np.arange(t.count[g])
+            if t.repeated[g]:  # a name's first place, its last pose
+                named = pd.Series(t.nodes.column("id").take(pa.array(own)).to_pylist(), dtype=object)
+                first = named.map(dict(reversed(list(zip(named, names, strict=True))))).to_numpy().astype(int)
+                keep[own[first != names]] = False
+                names = first
+            poses: dict = {}
+            for k, m in zip(names, t.x[own], strict=True):
+                poses[int(k)] = m
+            links = [(int(names[a]), int(names[b]), m, w) for a, b, m, w in zip(t.i[e], t.j[e], t.measured[e], t.weight[e], strict=True)]
+            found, cost[g], _, ok[g] = kernels.optimise_graph(poses, links, **options)
+            x[own[list(found)]] = list(found.values())
+        sized = np.flatnonzero(plain)[np.argsort(t.count[plain], kind="stable")]
+        for at in range(0, len(sized), 200):  # of much the same size
+            some = sized[at : at + 200]
+            of = np.full(t.graphs, -1)
+            of[some] = np.arange(len(some))
+            e = np.flatnonzero(of[t.eg] >= 0)
+            found, cost[some], ok[some] = kernels.optimise_many(t.padded(some), t.count[some], t.i[e], t.j[e], t.measured[e], t.weight[e], of[t.eg[e]], np.zeros(len(e), bool), **options)
+            rows = np.flatnonzero(of[t.g] >= 0)
+            x[rows] = found[of[t.g[rows]], t.at[rows]]
+        rows = np.flatnonzero(keep)
+        return t.table(rows, x[rows], cost[t.g[rows]], ok[t.g[rows]])
+
+    sizes = kept(nodes.groupBy(F.col(by).alias("_by")).count())
+    large = kept(sizes.where(F.col("count") > TASK_POSES).select("_by"))  # poses / TASK_POSES rows at most
     some = large.limit(1).count() > 0
     split = (lambda df, how: df.join(F.broadcast(large), F.col(by).eqNullSafe(F.col("_by")), how)) if some else lambda df, how: df
-    out = split(nodes, "left_anti").groupBy(by).cogroup(split(edges, "left_anti").groupBy(by)).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, transform array<double>, cost double, converged boolean")
+    poses = sizes.agg(F.sum("count")).first()[0] or 0
+    out = _side_by_side(split(nodes, "left_anti"), split(edges, "left_anti"), by, poses, solve, f"{by} {kinds[by]}, id {kinds['id']}, transform array<double>, cost double, converged boolean")
     return out.unionByName(optimise_large(split(nodes, "left_semi"), split(edges, "left_semi"), by, **options)) if some else out
 
 

@@ -112,3 +112,37 @@ def test_a_graph_that_no_task_holds(spark):
     i, j = a[n - 1 :], b[n - 1 :]
     off = lambda p: np.linalg.norm((inv(p[i]) @ p[j])[:, :3, 3] - measured[n - 1 :, :3, 3], axis=1).mean()
     assert off(x) < 0.1 * off(poses)
+
+
+def test_small_graphs_are_solved_side_by_side(spark, monkeypatch):
+    """Several sizes, loops, no edges, a null name and repeated ids: what one graph after the other gives, in one call for many graphs."""
+    rng = np.random.default_rng(11)
+
+    def chain(n, loop):
+        poses = [kernels.rigid(kernels.exp_so3(rng.normal(0, 0.2, 3)), [i + rng.normal(0, 0.1), 0, 0]) for i in range(n)]
+        links = [(i, i + 1, kernels.rigid(kernels.exp_so3(rng.normal(0, 0.1, 3)), [1.0, 0.1, 0]), np.diag([9.0, 8, 7, 50, 60, 70])) for i in range(n - 1)]
+        return poses, links + ([(n - 1, 0, kernels.rigid(np.eye(3), [1.0 - n, 0, 0]), np.eye(6))] if loop else [])
+
+    named = {f"g{k}": chain(1 + k, k > 3 and k % 2) for k in range(9)} | {None: chain(4, True)}
+    nodes, edges = frames(spark, named)
+    monkeypatch.setattr(graphs, "SIDE_POSES", 7)  # the largest go through the plain kernel
+    planned = graphs.optimise(nodes, edges, max_iterations=9)
+    assert "_bucket" in planned._jdf.queryExecution().executedPlan().toString()
+    rows = planned.collect()
+    assert len(rows) == nodes.count()
+    for g, (poses, links) in named.items():
+        want, cost, _, ok = kernels.optimise_graph(dict(enumerate(poses)), links, max_iterations=9)
+        own = {r.id: r for r in rows if r.graph == g}
+        assert max(np.abs(np.reshape(own[i].transform, (4, 4)) - want[i]).max() for i in want) < 1e-6
+        assert own[0].cost == pytest.approx(cost, rel=1e-6, abs=1e-9) and own[0].converged == ok
+    twice = graphs.optimise(nodes.where("graph = 'g3'").unionByName(nodes.where("graph = 'g3' and id = 2")), edges.where("graph = 'g3'"), max_iterations=9).collect()
+    assert sorted(r.id for r in twice) == [0, 1, 2, 3]
+
+
+def test_derivatives_are_those_of_differences():
+    """Small and large turns, near a half turn, and a matrix that is no rotation."""
+    rng = np.random.default_rng(2)
+    m = [np.array([kernels.rigid(kernels.exp_so3(v * s), rng.normal(0, 3, 3)) for v, s in zip(rng.normal(0, 1, (30, 3)), np.repeat([0, 1e-5, 1], 10), strict=True)]) for _ in range(3)]
+    m[0][4, 0, 0] *= 1.1
+    for one, two in zip(kernels.derivatives(*m), kernels.linearise(*m), strict=True):
+        assert np.abs(one - two).max() < 1e-5

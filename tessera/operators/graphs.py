@@ -212,25 +212,66 @@ class Smoother:
 
 
 def smooth(nodes: DataFrame, edges: DataFrame, window: int, by: str = "graph", **options) -> DataFrame:
-    """by, id, transform: nodes in order of seq through a sliding window, optimised after each."""
+    """by, id, transform: nodes in order of seq through a sliding window, optimised after each.
 
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(n):
-            return pd.DataFrame(columns=[by, "id", "transform"])
+    Graphs of a task step together; a window beyond SIDE_POSES poses, repeated ids and edges that reach beyond the window go through a Smoother each.
+    """
+    kinds = dict(nodes.dtypes)
+
+    def alone(t: _Bucket, g: int) -> dict:
+        """Poses by their places."""
+        own = np.arange(t.starts[g], t.starts[g] + t.count[g])
+        named = pd.Series(t.nodes.column("id").take(pa.array(own)).to_pylist(), dtype=object)
+        first = named.map(dict(reversed(list(zip(named, range(len(own)), strict=True))))).to_numpy().astype(int)
         s, seen, at = Smoother(window, **options), set(), {}
-        links = [(a, b, np.array(m).reshape(4, 4), np.array(w).reshape(6, 6)) for a, b, m, w in zip(e["a"], e["b"], e["transform"], e["information"], strict=True)]
-        for x in links:
+        for e in np.flatnonzero((t.eg == g) & (t.i >= 0) & (t.j >= 0)):
+            x = (int(first[t.i[e]]), int(first[t.j[e]]), t.measured[e], t.weight[e])
             for k in {x[0], x[1]}:
                 at.setdefault(k, []).append(x)
-        for k, m in n.sort_values("seq")[["id", "transform"]].itertuples(index=False):
+        for k, m in zip(first.tolist(), t.x[own], strict=True):
             seen.add(k)
-            s.add(k, np.array(m).reshape(4, 4), [x for x in at.get(k, ()) if seen.issuperset(x[:2])])
+            s.add(k, m, [x for x in at.get(k, ()) if seen.issuperset(x[:2])])
             s.optimise()
-        out = {**s.frozen, **s.poses}
-        return pd.DataFrame({by: n[by].iloc[0], "id": list(out), "transform": [m.ravel().tolist() for m in out.values()]})
+        return {**s.frozen, **s.poses}
 
-    kinds = dict(nodes.dtypes)
-    return nodes.groupBy(by).cogroup(edges.groupBy(by)).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, transform array<double>")
+    def solve(t: _Bucket) -> pa.Table:
+        x, keep = t.x.copy(), np.ones(len(t.g), bool)
+        there = (t.i >= 0) & (t.j >= 0)
+        plain = ~t.repeated & (window <= SIDE_POSES) & (t.count > 0)
+        plain[t.eg[there & ((t.i == t.j) | (np.abs(t.i - t.j) >= window))]] = False
+        for g in np.flatnonzero(~plain & (t.count > 0)):
+            own, found = np.arange(t.starts[g], t.starts[g] + t.count[g]), alone(t, g)
+            keep[own] = False
+            keep[own[list(found)]] = True
+            x[own[list(found)]] = list(found.values())
+        ours = np.flatnonzero(there & plain[t.eg])
+        ours = ours[np.argsort(np.maximum(t.i[ours], t.j[ours]), kind="stable")]
+        low, high = np.minimum(t.i[ours], t.j[ours]), np.maximum(t.i[ours], t.j[ours])
+        for now in range(int(t.count[plain].max(initial=0))):
+            first = max(0, now - window + 1)
+            graphs = np.flatnonzero(plain & (t.count > now))
+            of = np.full(t.graphs, -1)
+            of[graphs] = np.arange(len(graphs))
+            k = slice(*np.searchsorted(high, [first, now + 1]))  # edges whose later end is in the window
+            e, lo, hi = ours[k], low[k], high[k]
+            going = of[t.eg[e]] >= 0
+            e, lo, hi = e[going], lo[going], hi[going]
+            if not len(e):
+                continue
+            prior = lo < first  # its earlier end has left, and stays where it was
+            i, j, measured = t.i[e] - first, t.j[e] - first, t.measured[e]
+            ahead = prior & (t.i[e] < t.j[e])
+            back = prior & ~ahead
+            frozen = x[t.starts[t.eg[e]] + lo]
+            measured[ahead] = frozen[ahead] @ measured[ahead]
+            measured[back] = frozen[back] @ np.linalg.inv(measured[back])
+            i, j = np.where(prior, 0, i), np.where(prior, hi - first, j)
+            rows = t.starts[graphs][:, None] + np.arange(first, now + 1)
+            x[rows] = kernels.optimise_many(x[rows], np.full(len(graphs), now + 1 - first), i, j, measured, t.weight[e], of[t.eg[e]], prior, **options)[0]
+        rows = np.flatnonzero(keep)
+        return t.table(rows, x[rows])
+
+    return _side_by_side(nodes, edges, by, nodes.count(), solve, f"{by} {kinds[by]}, id {kinds['id']}, transform array<double>")
 
 
 def merge_sessions(a: dict[str, DataFrame], b: dict[str, DataFrame], loop: tuple) -> dict[str, DataFrame]:

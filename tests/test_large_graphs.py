@@ -137,6 +137,16 @@ def test_small_graphs_are_solved_side_by_side(spark, monkeypatch):
         assert own[0].cost == pytest.approx(cost, rel=1e-6, abs=1e-9) and own[0].converged == ok
     twice = graphs.optimise(nodes.where("graph = 'g3'").unionByName(nodes.where("graph = 'g3' and id = 2")), edges.where("graph = 'g3'"), max_iterations=9).collect()
     assert sorted(r.id for r in twice) == [0, 1, 2, 3]
+    for window in (2, 3):
+        smooth = {(r.graph, r.id): r.transform for r in graphs.smooth(nodes, edges.where("abs(a - b) = 1"), window).collect()}
+        assert len(smooth) == len(rows)
+        for g, (poses, links) in named.items():
+            s = graphs.Smoother(window)
+            for i, p in enumerate(poses):
+                s.add(i, p, [e for e in links if max(e[:2]) == i and abs(e[0] - e[1]) == 1])
+                s.optimise()
+            for i, p in {**s.frozen, **s.poses}.items():
+                assert np.abs(np.reshape(smooth[g, i], (4, 4)) - p).max() < 1e-6
 
 
 def test_derivatives_are_those_of_differences():

@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r(c: Column, digits: int) -> Column:
-    """Rounded, with no negative zero."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounded as the SQL rounds doubles, the nearest whole of c * 10^digits, half away from zero; with no negative zero. F.round goes by the shortest decimal of c, which may lie on the other side of a tie."""
+    return F.round(c * F.lit(10.0**digits), 0) / F.lit(10.0**digits) + F.lit(0.0)
 
 
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"

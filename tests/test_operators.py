@@ -255,3 +255,46 @@ def test_scan_context_distances_of_pairs_at_once(spark, monkeypatch):
             ring = [0.0 if not (u.any() or v.any()) else 1.0 if not (u.any() and v.any()) else 1 - u @ v / np.linalg.norm(u) / np.linalg.norm(v) for u, v in zip(maps[a], turned, strict=True)]
             best = min(best, (round(float(np.mean(ring)), 12), s))
         assert abs(distance - best[0]) < 1e-11 and shift == best[1]
+
+
+def test_essential_and_triangulation_take_many_at_once(monkeypatch):
+    """What one trial and one point after the other gave; a pair of 40,000 points has no matrix of points x points (12.8 GB)."""
+    k = np.array([[500, 0, 320], [0, 500, 240], [0, 0, 1.0]])
+    rng = np.random.default_rng(6)
+
+    def seen(n, noise):
+        x = np.c_[rng.uniform(-2, 2, (n, 2)), rng.uniform(4, 10, n)]
+        a, b = x @ k.T, (x @ kernels.exp_so3([0.02, 0.1, -0.03]).T + [0.5, 0.1, 0.05]) @ k.T
+        b = b[:, :2] / b[:, 2:]
+        return a[:, :2] / a[:, 2:], b + rng.normal(0, noise, b.shape) * (rng.random((n, 1)) < 0.3)
+
+    def plain(a, b, threshold, iterations):
+        ki = np.linalg.inv(k)
+        n1, n2 = ((np.c_[p, np.ones(len(p))] @ ki.T)[:, :2] for p in (a, b))
+        draw, best = np.random.default_rng(0), np.zeros(len(a), bool)
+        for _ in range(iterations):
+            i = draw.choice(len(a), 8, replace=False)
+            ok = kernels.sampson(kernels._eight(n1[i], n2[i]), n1, n2) < threshold**2
+            if ok.sum() > best.sum():
+                best = ok
+                if ok.all():
+                    break
+        e = kernels._eight(n1[best], n2[best])
+        return e, kernels.sampson(e, n1, n2) < threshold**2
+
+    for n, noise, held in ((60, 3.0, 200_000), (60, 0.0, 200_000), (60, 3.0, 100), (8, 0.0, 5)):
+        a, b = seen(n, noise)
+        monkeypatch.setattr(kernels, "TRIALS_HELD", held)
+        (e, ok), (e2, ok2) = kernels.essential(a, b, k, threshold=0.002, iterations=60), plain(a, b, 0.002, 60)
+        assert (ok == ok2).all() and np.allclose(e, e2, atol=1e-12)
+    a, b = seen(40_000, 0.0)
+    e, ok = kernels.essential(a, b, k, iterations=5)
+    assert ok.all()
+    p1, p2 = k @ np.eye(3, 4), k @ np.c_[np.eye(3), [-0.5, 0, 0]]
+    few = kernels.triangulate(p1, p2, np.array([[320.0, 240], [330, 250]]), np.array([[320.0, 240], [290, 250]]))
+    assert np.isnan(few[0]).all() and np.isfinite(few[1]).all() and kernels.triangulate(p1, p2, np.zeros((0, 2)), np.zeros((0, 2))).shape == (0, 3)
+    calls = []
+    svd = np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda *a, **kw: calls.append(1) or svd(*a, **kw))
+    kernels.triangulate(p1, p2, a, b)
+    assert len(calls) == 1

@@ -298,3 +298,14 @@ def test_essential_and_triangulation_take_many_at_once(monkeypatch):
     monkeypatch.setattr(np.linalg, "svd", lambda *a, **kw: calls.append(1) or svd(*a, **kw))
     kernels.triangulate(p1, p2, a, b)
     assert len(calls) == 1
+
+
+def test_k_nearest_sorts_no_whole_rows(monkeypatch):
+    """Ties, copies, fewer points than k and points that are no numbers: what a stable sort of all distances gives, which is asked for the last only."""
+    rng = np.random.default_rng(8)
+    clouds_ = [rng.normal(size=(700, 3)), rng.integers(0, 4, (600, 3)).astype(float), np.ones((30, 3)), rng.normal(size=(5, 3)), np.vstack((rng.normal(size=(20, 3)), np.full((15, 3), np.nan)))]
+    want = [np.argsort(((p[:, None] - p[None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, :12] for p in clouds_]
+    calls, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or sort(*a, **k))
+    for i, (p, w) in enumerate(zip(clouds_, want, strict=True)):
+        assert (kernels.k_nearest(p, 12) == w).all() and len(calls) == (i == 4)

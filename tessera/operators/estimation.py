@@ -7,11 +7,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from tessera import kernels
 from tessera.errors import CalibrationError, SensorError
-from tessera.operators.scans import number_rows, prefix_products
+from tessera.operators.scans import number_rows, prefix_products, starts, whole_groups
 from tessera.shared import map_in_arrow
 
 XYZ = ("x", "y", "z")
@@ -138,20 +138,50 @@ def icp(source: DataFrame, target: DataFrame, max_distance: float, max_iteration
 
 ICP_SCHEMA = "transform array<double>, mse double, iterations int, converged boolean"
 
+#: Points that are read before the clouds among them are matched.
+READ = 40_000
+
+
+def _xyz(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in XYZ], axis=1)
+
+
+def _matched(keys: pa.Array, name: str, got) -> pa.RecordBatch:
+    t, mse, n, ok = got
+    lists = pa.array(np.reshape(t, (-1, 16)).tolist(), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([keys, lists, pa.array(mse, pa.float64()), pa.array(n, pa.int32()), pa.array(ok, pa.bool_())], names=[name, "transform", "mse", "iterations", "converged"])
+
+
+def _match_schema(source: DataFrame, by: str) -> StructType:
+    return StructType([StructField(by, source.schema[by].dataType), StructField("transform", ArrayType(DoubleType())), StructField("mse", DoubleType()), StructField("iterations", IntegerType()), StructField("converged", BooleanType())])
+
 
 def icp_frames(source: DataFrame, target: DataFrame, by: str = "frame", plane: bool = False, normals_k: int = 20, **options) -> DataFrame:
-    """by, transform (16), mse, iterations, converged for each group of two clouds; with plane point-to-plane."""
+    """by, transform (16), mse, iterations, converged for each group of two clouds; with plane point-to-plane.
 
-    def run(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(s) or not len(t):
-            return pd.DataFrame(columns=[by, "transform", "mse", "iterations", "converged"])
-        a, b = s.sort_values("seq")[list(XYZ)].to_numpy(float), t.sort_values("_seq")[[f"_{c}" for c in XYZ]].to_numpy(float)
-        m, mse, n, ok = kernels.icp(a, b, plane_normals=kernels.point_normals(b, normals_k) if plane else None, **options)
-        return pd.DataFrame({by: [s[by].iloc[0]], "transform": [m.ravel().tolist()], "mse": [mse], "iterations": [n], "converged": [ok]})
+    The clouds of a group lie side by side in one sorted partition, and a task matches some groups together.
+    """
 
-    # the two clouds may share an ancestor, so one gets columns of its own
-    other = target.select(*[F.col(c).alias(f"_{c}") for c in (by, "seq", *XYZ)])
-    return source.groupBy(by).cogroup(other.groupBy(f"_{by}")).applyInPandas(run, f"{by} {dict(source.dtypes)[by]}, {ICP_SCHEMA}")
+    def run(batches):
+        for b in whole_groups(batches, ("_k",), READ):
+            p, side = _xyz(b), b.column("_side").to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(starts(b, ("_k",), None))
+            end = np.append(begin[1:], b.num_rows)
+            middle = begin + np.add.reduceat(side == 0, begin)
+            both = np.flatnonzero((middle > begin) & (middle < end))
+            if not len(both):
+                continue
+            one, two = [p[begin[i] : middle[i]] for i in both], [p[middle[i] : end[i]] for i in both]
+            if plane:
+                each = [kernels.icp(x, y, plane_normals=kernels.point_normals(y, normals_k), **options) for x, y in zip(one, two, strict=True)]
+                got = [np.array(v) for v in zip(*each, strict=True)]
+            else:
+                got = kernels.icp_many(one, two, **options)
+            yield _matched(b.column("_k").take(pa.array(begin[both])), by, got)
+
+    sided = lambda d, side: d.select(F.col(by).alias("_k"), F.lit(side).alias("_side"), "seq", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    rows = sided(source, 0).unionByName(sided(target, 1)).repartition("_k").sortWithinPartitions("_k", "_side", "seq")
+    return rows.select("_k", "_side", *XYZ).mapInArrow(run, _match_schema(source, by))
 
 
 #: Points of a fixed map that are read by a task as one array; beyond, a map is matched by joins over cells.
@@ -175,11 +205,14 @@ def icp_to_map(scans: DataFrame, map_points: DataFrame, by: str = "frame", **opt
         return scans.sparkSession.createDataFrame(rows, f"{by} {dict(scans.dtypes)[by]}, {ICP_SCHEMA}")
     target = scans.sparkSession.sparkContext.broadcast(points.toPandas().to_numpy(float))
 
-    def run(s: pd.DataFrame) -> pd.DataFrame:
-        m, mse, n, ok = kernels.icp(s.sort_values("seq")[list(XYZ)].to_numpy(float), target.value, **options)
-        return pd.DataFrame({by: [s[by].iloc[0]], "transform": [m.ravel().tolist()], "mse": [mse], "iterations": [n], "converged": [ok]})
+    def run(batches):
+        for b in whole_groups(batches, ("_k",), READ):
+            begin = np.flatnonzero(starts(b, ("_k",), None))
+            clouds = np.split(_xyz(b), begin[1:])
+            yield _matched(b.column("_k").take(pa.array(begin)), by, kernels.icp_many(clouds, [target.value] * len(clouds), **options))
 
-    return scans.groupBy(by).applyInPandas(run, f"{by} {dict(scans.dtypes)[by]}, {ICP_SCHEMA}")
+    rows = scans.select(F.col(by).alias("_k"), "seq", *[F.col(c).cast("double").alias(c) for c in XYZ]).repartition("_k").sortWithinPartitions("_k", "seq")
+    return rows.select("_k", *XYZ).mapInArrow(run, _match_schema(scans, by))
 
 
 def scan_odometry(scans: DataFrame, session: str = "session", frame: str = "frame", forward: bool = True, world: bool = False, window: int = 1, voxel: float | None = None, **options) -> DataFrame:
@@ -218,27 +251,48 @@ def scan_odometry(scans: DataFrame, session: str = "session", frame: str = "fram
 def kiss_odometry(scans: DataFrame, session: str = "session", frame: str = "frame", voxel: float = 1.0, max_voxels: int = 100_000, initial: float = 2.0, alpha: float = 0.9, low: float = 0.1, high: float = 10.0, max_iterations: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """session, frame, pose (16), residual, threshold: scan-to-map matching with a threshold that follows the residuals.
 
-    Each frame depends on the map of all before, so a session is one fold; sessions run side by side.
+    Each frame depends on the map of all before, so a session is one fold; the sessions of a task take their frames in step.
     """
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        pose, sigma, have, rows = np.eye(4), initial, {}, []
-        for f, g in t.sort_values([frame, "seq"]).groupby(frame):
-            p = g[list(XYZ)].to_numpy(float)
-            p = kernels.voxel_means(p, voxel)
-            limit, residual = float(np.clip(3 * sigma, low, high)), 0.0
-            if have and len(p) >= 3:
-                m, mse, _, _ = kernels.icp(p, np.array(list(have.values())), max_iterations, tolerance, limit)
-                pose = pose @ np.linalg.inv(m)
-                if np.isfinite(mse):
-                    residual = float(np.sqrt(mse))
-                    sigma = alpha * sigma + (1 - alpha) * residual
-            for q in p @ pose[:3, :3].T + pose[:3, 3]:
-                have.setdefault(tuple(np.floor(q / voxel).astype(int)), q)
-            for old in list(have)[: max(0, len(have) - max_voxels)]:  # the oldest voxels leave first
-                del have[old]
-            rows.append((t[session].iloc[0], f, pose.ravel().tolist(), residual, limit))
-        return pd.DataFrame(rows, columns=[session, frame, "pose", "residual", "threshold"])
-
-    kinds = dict(scans.dtypes)
-    return scans.select(session, frame, "seq", *XYZ).groupBy(session).applyInPandas(run, f"{session} {kinds[session]}, {frame} {kinds[frame]}, pose array<double>, residual double, threshold double")
+    def run(batches):
+        for b in whole_groups(batches, ("_s",), 5 * READ):
+            b = b.filter(b.column("_f").is_valid())
+            if not b.num_rows:
+                continue
+            xyz, at = _xyz(b), np.flatnonzero(starts(b, ("_s", "_f"), None))
+            end = np.append(at[1:], len(xyz))
+            first = np.flatnonzero(starts(b, ("_s",), None)[at])  # of each session's frames
+            count = np.diff(np.append(first, len(at)))
+            n = len(first)
+            pose, sigma, have, points = np.tile(np.eye(4), (n, 1, 1)), np.full(n, float(initial)), [{} for _ in first], [np.empty((0, 3)) for _ in first]
+            poses, residuals, limits = np.empty((len(at), 16)), np.zeros(len(at)), np.empty(len(at))
+            for turn in range(int(count.max())):
+                live = np.flatnonzero(count > turn)
+                row = first[live] + turn
+                scans = [kernels.voxel_means(xyz[at[i] : end[i]], voxel) for i in row]
+                limits[row] = np.clip(3 * sigma[live], low, high)
+                some = np.array([i for i, s in enumerate(live) if len(points[s]) and len(scans[i]) >= 3], int)
+                if len(some):
+                    m, mse, _, _ = kernels.icp_many([scans[i] for i in some], [points[s] for s in live[some]], max_iterations, tolerance, limits[row[some]])
+                    pose[live[some]] = pose[live[some]] @ np.linalg.inv(m)
+                    good = np.isfinite(mse)
+                    s, found = live[some[good]], np.sqrt(mse[good])
+                    residuals[row[some[good]]], sigma[s] = found, alpha * sigma[s] + (1 - alpha) * found
+                poses[row] = pose[live].reshape(-1, 16)
+                for p, s in zip(scans, live.tolist(), strict=True):
+                    moved, known, fresh = p @ pose[s, :3, :3].T + pose[s, :3, 3], have[s], []
+                    for i, key in enumerate(map(tuple, np.floor(moved / voxel).astype(int).tolist())):
+                        if key not in known:
+                            known[key] = None
+                            fresh.append(i)
+                    points[s] = np.concatenate((points[s], moved[fresh]))
+                    if len(known) > max_voxels:  # the oldest voxels leave first
+                        points[s] = points[s][len(known) - max_voxels :]
+                        for old in list(known)[: len(known) - max_voxels]:
+                            del known[old]
+            names = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column("_s").take(names), b.column("_f").take(names), pa.array(poses.tolist(), pa.list_(pa.float64())), pa.array(residuals), pa.array(limits)], names=[session, frame, "pose", "residual", "threshold"])
+
+    rows = scans.select(F.col(session).alias("_s"), F.col(frame).alias("_f"), "seq", *[F.col(c).cast("double").alias(c) for c in XYZ]).repartition("_s").sortWithinPartitions("_s", "_f", "seq")
+    schema = StructType([*[StructField(c, scans.schema[c].dataType) for c in (session, frame)], StructField("pose", ArrayType(DoubleType())), StructField("residual", DoubleType()), StructField("threshold", DoubleType())])
+    return rows.select("_s", "_f", *XYZ).mapInArrow(run, schema)

@@ -77,6 +77,24 @@ def key_of(batch: pa.RecordBatch, by: tuple[str, ...]) -> tuple:
     return tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in by)
 
 
+def whole_groups(batches, by: tuple[str, ...], hold: int):
+    """Sorted batches as batches of whole groups, of about ``hold`` rows, or of one group that is longer."""
+    held, rows, limit = [], 0, hold
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < limit:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        last = int(np.flatnonzero(starts(t, by, None))[-1])
+        if last:
+            yield t.slice(0, last)
+        held, rows = [t.slice(last)], rows - last
+        limit = max(hold, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _matrices(column: pa.Array, size: int) -> np.ndarray:
     """[n, size, size]; null is the identity."""
     out = np.broadcast_to(np.eye(size), (len(column), size, size)).copy()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from tessera.errors import SensorError
-from tessera.operators.scans import key_of, prefix_products, previous, products, starts
+from tessera.operators.scans import key_of, prefix_products, previous, products, starts, whole_groups
 from tessera.shared import map_in_arrow
 
 
@@ -205,16 +205,32 @@ def preintegrate(imu: DataFrame, accel_bias=(0.0, 0.0, 0.0), gyro_bias=(0.0, 0.0
 
 
 def deskew(points: DataFrame, imu: DataFrame, frame: str = "frame", gravity=(0.0, 0.0, -9.81), velocity=(0.0, 0.0, 0.0), ref: str = "ref_time") -> DataFrame:
-    """points (frame, seq, t, x, y, z, ref_time) moved to where the sensor was at ref_time, along the path of the frame's inertial rows."""
+    """points (frame, seq, t, x, y, z, ref_time) moved to where the sensor was at ref_time, along the path of the frame's inertial rows.
+
+    Points and inertial rows of a frame lie side by side in one sorted partition, which is read by whole frames. Frames with under two inertial rows stay as they are.
+    """
     from tessera.kernels import deskew as kernel
 
-    def run(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("seq")
-        if not len(p) or len(m) < 2:
-            return p[[frame, "seq", "x", "y", "z"]]
-        m = m.sort_values("t")
-        out = kernel(p[["x", "y", "z"]].to_numpy(float), p["t"].to_numpy(float), m["t"].to_numpy(float), m[["ax", "ay", "az"]].to_numpy(float), m[["wx", "wy", "wz"]].to_numpy(float), float(p[ref].iloc[0]), np.array(gravity), np.array(velocity))
-        return pd.DataFrame({frame: p[frame].to_numpy(), "seq": p["seq"].to_numpy(), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
+    xyz, motion = ("x", "y", "z"), ("ax", "ay", "az", "wx", "wy", "wz")
 
-    kinds = dict(points.dtypes)
-    return points.groupBy(frame).cogroup(imu.groupBy(frame)).applyInPandas(run, f"{frame} {kinds[frame]}, seq {kinds['seq']}, x double, y double, z double")
+    def run(batches):
+        for b in whole_groups(batches, ("_f",), 40_000):
+            side = b.column("_side").to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(starts(b, ("_f",), None))
+            end = np.append(begin[1:], b.num_rows)
+            middle = begin + np.add.reduceat(side == 0, begin)
+            column = lambda c, b=b: b.column(c).to_numpy(zero_copy_only=False)
+            t, when, p, m = column("_t"), column("_ref"), np.stack([column(f"_{c}") for c in motion[:3]], axis=1), np.stack([column(f"_{c}") for c in motion], axis=1)
+            for at, of, to in zip(begin, middle, end, strict=True):  # imu rows stand first
+                if of - at >= 2 and to > of:
+                    p[of:to] = kernel(p[of:to], t[of:to], t[at:of], m[at:of, :3], m[at:of, 3:], float(when[of]), np.array(gravity), np.array(velocity))
+            rows = pa.array(np.flatnonzero(side == 1))
+            yield pa.RecordBatch.from_arrays([b.column("_f").take(rows), b.column("_seq").take(rows), *[pa.array(np.ascontiguousarray(p[side == 1, k])) for k in range(3)]], names=[frame, "seq", *xyz])
+
+    number = lambda c: F.col(c).cast("double")
+    nothing = lambda c: F.lit(None).cast("double").alias(c)
+    one = imu.select(F.col(frame).alias("_f"), F.lit(0).alias("_side"), F.lit(None).cast(points.schema["seq"].dataType).alias("_seq"), number("t").alias("_t"), nothing("_ref"), *[number(c).alias(f"_{c}") for c in motion])
+    two = points.select(F.col(frame).alias("_f"), F.lit(1).alias("_side"), F.col("seq").alias("_seq"), number("t").alias("_t"), number(ref).alias("_ref"), *[number(c).alias(f"_{a}") for c, a in zip(xyz, motion, strict=False)], *[nothing(f"_{c}") for c in motion[3:]])
+    rows = one.unionByName(two).repartition("_f").sortWithinPartitions("_f", "_side", "_seq", "_t")
+    schema = StructType([StructField(frame, points.schema[frame].dataType), StructField("seq", points.schema["seq"].dataType), *[StructField(c, DoubleType()) for c in xyz]])
+    return rows.mapInArrow(run, schema)

@@ -164,46 +164,45 @@ def world_to_voxel(v: Column, origin: float, size: float) -> Column:
     return (v - origin) / size
 
 
+#: Voxels in the side of a block of space that points are dealt by.
+VOLUME_SIDE = 32
+
+
 def tsdf(points: DataFrame, size: float, truncation: float, origin=(0.0, 0.0, 0.0), shape=(1 << 40, 1 << 40, 1 << 40), by: tuple[str, ...] = ()) -> DataFrame:
     """by, ix, iy, iz, tsdf, weight. points: x, y, z in the world and ox, oy, oz, the sensor's place.
 
     A point updates the voxels in its box of the truncation distance whose centre projects
-    onto its ray within that distance of it. The running mean of equal weights is the mean, so the order does not matter and a plain aggregation does it,
-    of sums that each batch of points has made already.
+    onto its ray within that distance of it. The running mean of equal weights is the mean, so the order does not matter and a plain aggregation does it.
+    With by, points are dealt by group and block of space, and their voxels, several a point, are made and summed where they arrive; without it sums are made first and dealt then.
     """
     if size <= 0 or truncation <= 0:
         raise SensorError("a voxel and the truncation are positive")
-    names = ("x", "y", "z")
-    kinds = dict(points.dtypes)
-
-    def run(batches):
-        for t in batches:
-            q = np.stack([t[c].to_numpy(float) for c in names], axis=1)
-            ray = q - np.stack([t[f"o{c}"].to_numpy(float) for c in names], axis=1)
-            depth = np.sqrt((ray * ray).sum(axis=1))
-            low = np.maximum(0, np.floor((q - truncation - origin) / size)).astype(np.int64)
-            high = np.minimum(np.array(shape) - 1, np.ceil((q + truncation - origin) / size)).astype(np.int64)
-            width = np.where((depth > 1e-9)[:, None], np.maximum(high - low + 1, 0), 0)
-            count = width.prod(axis=1)
-            # some thousand points at a time, so that a batch's boxes stay small
-            for part in np.array_split(np.arange(len(q)), max(1, int(count.sum()) // 2_000_000 + 1)):
-                i = np.repeat(part, count[part])
-                k = np.arange(len(i)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
-                w = width[i]
-                voxel = low[i] + np.stack((k // (w[:, 1] * w[:, 2]), k // w[:, 2] % w[:, 1], k % w[:, 2]), axis=1) if len(i) else np.zeros((0, 3), np.int64)
-                centre = np.array(origin) + (voxel + 0.5) * size
-                along = ((centre - (q - ray)[i]) * ray[i]).sum(axis=1) / depth[i]
-                sdf = depth[i] - along
-                near = np.abs(sdf) <= truncation
-                out = t[list(by)].iloc[i[near]].reset_index(drop=True)
-                for axis, c in enumerate(names):
-                    out[f"i{c}"] = voxel[near, axis]
-                out["s"] = np.clip(sdf[near] / truncation, -1, 1)
-                yield out.groupby([*by, "ix", "iy", "iz"], sort=False, dropna=False).agg(s=("s", "sum"), n=("s", "size")).reset_index()
-
-    schema = "".join(f"{c} {kinds[c]}, " for c in by) + "ix long, iy long, iz long, s double, n long"
-    sums = points.select(*by, *names, "ox", "oy", "oz").mapInPandas(run, schema)
-    return sums.groupBy(*by, "ix", "iy", "iz").agg((F.sum("s") / F.sum("n")).alias("tsdf"), F.sum("n").cast("double").alias("weight"))
+    axes = list(zip(("x", "y", "z"), map(float, origin), shape, strict=True))
+    number = lambda c: F.col(c).cast("double")
+    d = points.select(*by, *[number(c).alias(f"_{c}") for c, _, _ in axes], *[number(f"o{c}").alias(f"_o{c}") for c, _, _ in axes])
+    block = lambda v: F.floor(v / VOLUME_SIDE)
+    for c, o, n in axes:  # the ends of the box
+        low = F.greatest(F.lit(0), F.floor((F.col(f"_{c}") - truncation - o) / size))
+        high = F.least(F.lit(n - 1), F.ceil((F.col(f"_{c}") + truncation - o) / size))
+        d = d.where(~F.isnan(f"_{c}") & ~F.isnan(f"_o{c}") & (low <= high))
+        if by:
+            d = d.withColumn(f"_b{c}", F.explode(F.sequence(block(low), block(high))))
+    if by:
+        d = d.repartition(*by, *[f"_b{c}" for c, _, _ in axes])
+    ray = {c: F.col(f"_{c}") - F.col(f"_o{c}") for c, _, _ in axes}
+    d = d.withColumn("_d", F.sqrt(ray["x"] * ray["x"] + ray["y"] * ray["y"] + ray["z"] * ray["z"])).where("_d > 1e-9")
+    for c, o, n in axes:
+        low = F.greatest(F.lit(0), F.floor((F.col(f"_{c}") - truncation - o) / size))
+        high = F.least(F.lit(n - 1), F.ceil((F.col(f"_{c}") + truncation - o) / size))
+        if by:
+            low, high = F.greatest(low, F.col(f"_b{c}") * VOLUME_SIDE), F.least(high, F.col(f"_b{c}") * VOLUME_SIDE + VOLUME_SIDE - 1)
+        d = d.withColumn(f"i{c}", F.explode(F.sequence(low, high)))
+    dot = [(voxel_to_world(F.col(f"i{c}"), o, size) - F.col(f"_o{c}")) * ray[c] for c, o, _ in axes]
+    sdf = F.col("_d") - (dot[0] + dot[1] + dot[2]) / F.col("_d")
+    share = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("_s") / truncation))
+    near = d.withColumn("_s", sdf).where(F.abs("_s") <= truncation)
+    sums = near.groupBy(*by, *[f"_b{c}" for c, _, _ in axes if by], "ix", "iy", "iz").agg(F.avg(share).alias("tsdf"), F.count("*").cast("double").alias("weight"))
+    return sums.select(*by, "ix", "iy", "iz", "tsdf", "weight")
 
 
 def surface(volume: DataFrame, size: float, origin=(0.0, 0.0, 0.0), threshold: float = 0.1) -> DataFrame:

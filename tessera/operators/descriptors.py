@@ -136,8 +136,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((na == 0) & (nb == 0), 0.0).when((na == 0) | (nb == 0), 1.0).otherwise(1 - F.try_divide(dot(a, b), na * nb))
 
 
-#: Descriptors of each side in a block of pairs; pairs whose differences are held at once.
-BLOCK_ROWS, HELD = 2000, 100_000
+#: Descriptors of each side in a block of pairs; numbers of differences of pairs that are held at once.
+BLOCK_ROWS, HELD = 2000, 1_000_000
 
 
 def _in_blocks(left: DataFrame, right: DataFrame, compare, schema: StructType) -> DataFrame:
@@ -161,9 +161,9 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return t.column("descriptor").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
 
 
-def _pieces(rows: int, others: int):
-    """Slices of rows so that HELD pairs or one row are held."""
-    step = max(1, HELD // max(others, 1))
+def _pieces(rows: int, others: int, width: int):
+    """Slices of rows so that HELD numbers, pairs times the width of a descriptor, or one row are held."""
+    step = max(1, HELD // max(others * width, 1))
     return [slice(at, at + step) for at in range(0, rows, step)]
 
 
@@ -179,7 +179,7 @@ def nearest_descriptors(database: DataFrame, queries: DataFrame, exclusion_windo
         base, asked = _matrix(x), _matrix(y)
         at, own = x.column("position").to_numpy(), y.column("position").to_numpy()
         size, names = np.sqrt((base * base).sum(axis=1)), [[], [], []]
-        for part in _pieces(len(asked), len(base)):
+        for part in _pieces(len(asked), len(base), base.shape[1]):
             q = asked[part]
             norm = np.sqrt((q * q).sum(axis=1))
             dot = (q[:, None, :] * base[None, :, :]).sum(axis=2)
@@ -213,7 +213,7 @@ def match_features(left: DataFrame, right: DataFrame, ratio: float = 0.75) -> Da
         order = np.argsort(np.array(y.column("id").to_pylist(), dtype=object), kind="stable")
         code = np.unique(np.array(y.column("id").to_pylist(), dtype=object), return_inverse=True)[1]
         two, code, rows = two[order], code[order], [[], [], []]
-        for part in _pieces(len(one), len(two)):
+        for part in _pieces(len(one), len(two), two.shape[1]):
             gap = one[part][:, None, :] - two[None, :, :]
             for i, row in enumerate(np.sqrt((gap * gap).sum(axis=2))):
                 first = int(np.argmin(row))

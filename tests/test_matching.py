@@ -48,3 +48,10 @@ def test_matches_in_blocks(spark, monkeypatch):
             want[i] = (d[0][1], d[0][0])
     assert got.keys() == want.keys() >= set(range(8)) and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
     assert descriptors.match_features(a, b.limit(1), 0.8).count() == 0 == descriptors.match_features(a.limit(0), b).count()
+
+
+def test_held_differences_are_bounded_whatever_the_width():
+    for width in (2, 64, 4096):
+        parts = descriptors._pieces(2000, 2000, width)
+        assert sum(p.stop - p.start for p in parts[:-1]) < 2000 <= parts[-1].stop
+        assert all((p.stop - p.start) * 2000 * width <= descriptors.HELD or p.stop - p.start == 1 for p in parts)

@@ -52,3 +52,25 @@ def test_filter_over_a_stream(spark, tmp_path):
     q = ekf.track_stream(s, watermark="1 second").writeStream.format("memory").queryName("track").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("track").count() > 0
+
+
+def test_a_fleet_steps_as_its_trackers(spark):
+    """All kinds of rows, vehicles of different lengths and a null one, in few steps of many vehicles."""
+    rng, rows = np.random.default_rng(9), []
+    for v, n in ((1, 30), (2, 1), (3, 12), (None, 9)):
+        for k in range(n):
+            q = rng.normal(0, 0.05, 4) + [1.0, 0, 0, 0]
+            kind = ("imu", "position", "velocity", "pose", "fix", "imu")[int(rng.integers(6))]
+            rows.append((v, k * 0.1 + (50 if k > 20 else 0), kind, rng.normal(0, 1, 3).tolist(), (q if kind == "pose" else rng.normal(0, 0.2, 3)).tolist()))
+    got = {(r.vehicle, r.t): [r.x, r.y, r.z, r.qw, r.qx, r.qy, r.qz] for r in ekf.track(spark.createDataFrame(rows, "vehicle int, t double, kind string, a array<double>, b array<double>"), max_fix_age=5.0).collect()}
+    trackers = {}
+    assert len(got) == len(rows)
+    for v, t, kind, a, b in rows:
+        s = trackers.setdefault(v, ekf.Tracker(max_fix_age=5.0)).step(kind, t, np.array(a), np.array(b))
+        assert np.allclose(got[v, t], [*s.p, *s.q], atol=1e-9)
+    calls, fleet = [], ekf.Fleet()
+    fleet.grow(500)
+    fleet._predict, update = None, fleet._update
+    fleet._update = lambda *row: calls.append(1) or update(*row)
+    fleet.step(np.arange(500), np.array(["position"] * 500, dtype=object), np.zeros(500), [[1.0, 2.0, 3.0]] * 500, [[0.0] * 3] * 500)
+    assert len(calls) == 1

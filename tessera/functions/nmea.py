@@ -9,14 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often use names it: Spark copies an expression to each place that names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def xor_of(text: Column) -> Column:
+    """The exclusive or of a text's characters."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: a.bitwiseXOR(F.ascii(c)))
+
+
 def strip_checksum(sentence: Column) -> Column:
     """The body after '$'; null if a checksum after the last '*' is wrong or no hexadecimal number. Without '*' all is accepted."""
-    body = F.regexp_replace(sentence, r"^\$", "")
-    head = F.regexp_extract(body, r"^(.*)\*([^*]*)$", 1)
-    told = F.substring(F.regexp_extract(body, r"^(.*)\*([^*]*)$", 2), 1, 2)
-    xor = F.aggregate(F.split(head, ""), F.lit(0), lambda a, c: a.bitwiseXOR(F.ascii(c)))
-    good = told.rlike("^[0-9A-Fa-f]{1,2}$") & (F.conv(told, 16, 10).cast("int") == xor)
-    return F.when(~F.contains(body, F.lit("*")), body).when(good, head)
+
+    def checked(body: Column) -> Column:
+        tail = F.substring_index(body, "*", -1)
+        head = F.left(body, F.length(body) - F.length(tail) - 1)
+        told = F.left(tail, F.lit(2))
+        good = told.rlike("^[0-9A-Fa-f]{1,2}$") & (F.conv(told, 16, 10).cast("int") == xor_of(head))
+        return F.when(~F.contains(body, F.lit("*")), body).when(good, head)
+
+    return bound(sentence, lambda s: bound(F.when(F.startswith(s, F.lit("$")), F.substring(s, 2, 1 << 30)).otherwise(s), checked))
 
 
 def _coordinate(value: Column, hemisphere: Column, degrees: int, negative: str) -> Column:
@@ -43,7 +56,7 @@ def _number(f: Column, kind: str = "double") -> Column:
 def parse_sentence(sentence: Column) -> Column:
     """struct of a GGA or RMC sentence of a GP or GN talker; null for others, short or damaged ones."""
     fields = F.split(strip_checksum(F.trim(sentence)), ",")
-    return F.element_at(F.transform(F.array(fields), _parse_fields), 1)  # the fields are split once
+    return bound(fields, _parse_fields)
 
 
 def _parse_fields(f: Column) -> Column:
@@ -60,7 +73,7 @@ def _parse_fields(f: Column) -> Column:
         nothing("int").alias("quality"), nothing("int").alias("satellites"), nothing("double").alias("hdop"), nothing("double").alias("altitude"), nothing("double").alias("geoid"),
         at(2).alias("status"), _number(at(7)).alias("speed_knots"), _number(at(8)).alias("course"), at(9).alias("date"),
     )
-    sound = lambda s, names: F.element_at(F.transform(F.array(s), lambda x: F.when(reduce(and_, [x[n].isNotNull() for n in names]), x)), 1)
+    sound = lambda s, names: bound(s, lambda x: F.when(reduce(and_, [x[n].isNotNull() for n in names]), x))
     return F.when(kind.isin("GPGGA", "GNGGA") & (F.size(f) >= 15), sound(gga, ["lat", "lon", "quality", "satellites", "hdop", "altitude", "geoid"])).when(kind.isin("GPRMC", "GNRMC") & (F.size(f) >= 10), sound(rmc, ["lat", "lon", "speed_knots", "course"]))
 
 
@@ -68,7 +81,12 @@ def is_valid(status: Column) -> Column:
     return status == "A"
 
 
+def with_fix(lines: DataFrame, column: str = "value", alias: str = "fix") -> DataFrame:
+    """lines and the fix of each; those without one are dropped. A filter on the fix would be pushed below it and parse each line again, so lines are dropped as they are parsed."""
+    return lines.select("*", F.explode(F.array_compact(F.array(parse_sentence(F.col(column))))).alias(alias))
+
+
 def parse_nmea(lines: DataFrame, column: str = "value") -> DataFrame:
     """Fixes of a table of lines (as spark.read.text gives it); other lines are dropped."""
     s = F.trim(F.col(column))
-    return lines.where(F.startswith(s, F.lit("$"))).select(parse_sentence(s).alias("fix")).where("fix is not null").select("fix.*")
+    return with_fix(lines.where(F.startswith(s, F.lit("$"))).select(F.col(column).alias("value"))).select("fix.*")

@@ -144,6 +144,38 @@ def test_nmea(spark, tmp_path):
     assert got[1].lat == pytest.approx(-48.1173) and got[1].lon == pytest.approx(-11.516666667) and got[1].status == "A"
 
 
+def test_a_sentence_is_parsed_once_and_by_many_tasks(spark, data):
+    """Dropping lines without a fix must not parse them again, and one small file must not make one task."""
+    from tessera.queries import geometry
+
+    found = geometry.nmea_parse(spark, data)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("GPGGA, 120000") == 1 and plan.count("StartsWith(") == 1
+    assert found.rdd.getNumPartitions() == geometry.TASKS
+
+
+def test_checksums(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import nmea
+
+    def plain(s):
+        body, star, told = s.removeprefix("$").rpartition("*")
+        if not star:
+            return told
+        if not told[:2] or not all(c in "0123456789abcdefABCDEF" for c in told[:2]):
+            return None
+        x = 0
+        for c in body:
+            x ^= ord(c)
+        return body if x == int(told[:2], 16) else None
+
+    lines = ["$A,b*23", "$AB*3", "$AB*03", "$AB*03xyz", "$AB*04", "$AB*", "$AB*g1", "AB*03", "$$AB*27", "$A*B*29", "$A*B*2A", "$", "", "$AB", "$a\u00e9*88", "$a\nb*09", "$O*4f", "*00", "$*0"]
+    rows = spark.createDataFrame([(s,) for s in lines], "value string").select("value", nmea.strip_checksum(F.col("value")).alias("body")).collect()
+    assert {r.value: r.body for r in rows} == {s: plain(s) for s in lines}
+    assert sum(r.body is not None for r in rows) >= 9
+
+
 def recording(frames, kind, version=1):
     """A recording of frames of packages of raw points."""
     device, head = (livox.DEVICE_V1, livox.PACKAGE_V1) if version < 2 else (livox.DEVICE_V2, livox.PACKAGE_V2)

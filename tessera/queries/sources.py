@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.functions import geo, nmea, se3
-from tessera.queries.adapters import FIX_SQL, MICROS, PTS_SQL, fixes, numbered, r, table
+from tessera.queries.adapters import FIX_SQL, MICROS, PTS_SQL, fixes, numbered, pts, r, table
 from tessera.sources import binary, rtcm, text
 
 _NUMBERED = PTS_SQL + ", num AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY seq) - 1 AS idx, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z FROM pts)"
@@ -129,10 +132,28 @@ def source_bag(spark, sf_dir):
     return m.select("topic", "timestamp", F.get_json_object("data", "$.k").cast("long").alias("k"))
 
 
+def _whole_frames(batches):
+    """Lists of (frame, [n, 3] points) of rows frame, x, y, z that come frame by frame; a frame may begin in one batch and end in a later one."""
+    last, held = None, []
+    for b in batches:
+        frame, xyz = b.column(0).to_numpy(), np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]).astype(np.float32)
+        some = []
+        for at, end in itertools.pairwise([0, *(np.flatnonzero(np.diff(frame)) + 1).tolist(), len(frame)]):
+            if at == end:
+                continue
+            if held and frame[at] != last:
+                some.append((last, np.concatenate(held)))
+                held = []
+            last = int(frame[at])
+            held.append(xyz[at:end])
+        if some:
+            yield some
+    if held:
+        yield [(last, np.concatenate(held))]
+
+
 def _as_files(files, path, suffix):
     """Each row (path, content) as a file of its own in a folder; the number of files."""
-    import pyarrow as pa
-
     from tessera.shared import file_system
 
     def run(batches):
@@ -157,10 +178,9 @@ def source_livox(spark, sf_dir):
     from tessera.shared import new_path
     from tessera.sources import livox
 
-    def pack(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("seq")
-        kind, n = int(t["frame"].iloc[0]) % 3, len(t)
-        mm = (t[["x", "y", "z"]].to_numpy(np.float32) * np.float32(1000)).astype(np.float32)
+    def pack(frame: int, xyz: np.ndarray) -> bytes:
+        kind, n = frame % 3, len(xyz)
+        mm = xyz * np.float32(1000)
         light = (np.arange(n) % 256).astype(np.float32)
         if kind == 2:
             records = np.zeros(n, np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("i", "u1"), ("tag", "u1")]))
@@ -172,8 +192,8 @@ def source_livox(spark, sf_dir):
             if kind == 0:
                 records[:, :3] = mm
             else:
-                records[:, 0] = np.abs(t["x"].to_numpy(np.float32)) * np.float32(1000) + np.float32(1)
-                records[:, 1:3] = t[["y", "z"]].to_numpy(np.float32) * np.float32(100)
+                records[:, 0] = np.abs(xyz[:, 0]) * np.float32(1000) + np.float32(1)
+                records[:, 1:3] = xyz[:, 1:] * np.float32(100)
             records[:, 3] = light
         parts = [livox.SIGNATURE + bytes([1, 1, 0, 0]) + bytes(8) + bytes([1, 0]) + bytes(livox.DEVICE_V1)]
         at = len(parts[0])
@@ -184,12 +204,18 @@ def source_livox(spark, sf_dir):
                 body += bytes([0, kind, 0]) + struct.pack("<QI", 0, 0) + struct.pack("<I", livox.PACKAGE_V1 + len(raw)) + raw
             parts.append(struct.pack("<QQQ", at, at + livox.FRAME + len(body), f) + body)
             at += len(parts[-1])
-        return pd.DataFrame({"path": [str(t["frame"].iloc[0])], "content": [b"".join(parts)]})
+        return b"".join(parts)
+
+    def packed(batches):
+        for some in _whole_frames(batches):
+            names = [str(frame) for frame, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pack(*f) for f in some], pa.binary())], names=["path", "content"])
 
     path = new_path(spark, "livox")
-    _as_files(numbered(spark, sf_dir).groupBy("frame").applyInPandas(pack, "path string, content binary"), path, ".lvx")
+    rows = pts(spark, sf_dir).repartition("frame").sortWithinPartitions("frame", "seq").select("frame", "x", "y", "z")
+    _as_files(rows.mapInArrow(packed, "path string, content binary"), path, ".lvx")
     p = livox.read(spark, path, split=1 << 16)
-    file = F.regexp_extract("path", r"([0-9]+)\.lvx$", 1).cast("long")
+    file = F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("long")
     return p.select(file.alias("file"), "frame", "idx", *[r(F.col(c).cast("double"), 3).alias(c) for c in "xyz"], r(F.col("intensity").cast("double"), 4).alias("intensity"))
 
 

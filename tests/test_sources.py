@@ -202,6 +202,58 @@ def test_livox_in_runs_of_frames(spark, tmp_path, kind, version):
             assert own.frame.max() <= 24 and (own.groupby("frame").idx.max() + 1 == own.groupby("frame").size()).all()
 
 
+def mixed_recording(seed: int, frames: int) -> tuple[bytes, list[np.ndarray]]:
+    """A recording whose frames mix kinds (one unknown), partial last points and packages without points; and the points of each frame, taken package by package."""
+    rng = np.random.default_rng(seed)
+    out = livox.SIGNATURE + bytes([1, 1, 0, 0]) + bytes(8) + bytes([2, 0]) + bytes(2 * livox.DEVICE_V1)
+    want = []
+    for k in range(frames):
+        body, got = b"", [np.zeros((0, 4))]
+        for _ in range(rng.integers(0, 5)):
+            kind = int(rng.choice([0, 1, 2, 7]))
+            raw = rng.uniform(0, 100, 4 * int(rng.integers(0, 6))).astype("<f4").tobytes() + bytes(int(rng.integers(0, 5)))
+            got.append(livox.points(raw, kind))
+            body += bytes([0, kind]) + bytes(livox.PACKAGE_V1 - 6) + struct.pack("<I", livox.PACKAGE_V1 + len(raw)) + raw
+        if k % 7 == 3:
+            body += bytes(livox.PACKAGE_V1 + 32)  # a package of length 0 ends the frame
+        out += struct.pack("<QQQ", len(out), len(out) + livox.FRAME + len(body), k) + body
+        want.append(np.concatenate(got))
+    return out, want
+
+
+def test_livox_packages_are_decoded_together(spark, tmp_path, monkeypatch):
+    """A decoding a kind and not one a package, in the order of packages; many small files are read by a fixed number of tasks."""
+    files = [mixed_recording(seed, 30) for seed in range(20)]
+    for k, (data, _) in enumerate(files):
+        (tmp_path / f"{k}.lvx").write_bytes(data)
+    for split in (200, 1 << 20):
+        read = livox.read(spark, str(tmp_path), split=split)
+        assert read.rdd.getNumPartitions() == max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        got = read.orderBy("path", "frame", "idx").toPandas()
+        for k, (_, want) in enumerate(files):
+            own = got[got.path.str.endswith(f"/{k}.lvx")]
+            assert own.frame.tolist() == [f for f, w in enumerate(want) for _ in w] and own.idx.tolist() == [i for w in want for i in range(len(w))]
+            assert np.allclose(own[["x", "y", "z", "intensity"]].to_numpy(), np.concatenate(want).astype(np.float32), equal_nan=True)
+    calls, plain = [], livox.points
+    monkeypatch.setattr(livox, "points", lambda *a: calls.append(a) or plain(*a))
+    assert np.allclose(livox.decode(files[0][0]), np.concatenate(files[0][1]), equal_nan=True)
+    assert len(calls) <= 3
+
+
+def test_frames_that_go_over_batches():
+    import pyarrow as pa
+
+    from tessera.queries.sources import _whole_frames
+
+    frame = np.repeat([5, 2, 9, 4], [3, 1, 7, 2])
+    rows = pa.RecordBatch.from_arrays([pa.array(frame), *[pa.array(np.arange(13.0) + c) for c in range(3)]], names=["frame", "x", "y", "z"])
+    for size in (1, 2, 5, 13):
+        got = [f for some in _whole_frames(rows.slice(at, size) for at in range(0, 13, size)) for f in some]
+        assert [f for f, _ in got] == [5, 2, 9, 4] and np.array_equal(np.concatenate([x for _, x in got])[:, 0], np.arange(13))
+        assert [len(x) for _, x in got] == [3, 1, 7, 2]
+    assert not list(_whole_frames(iter([rows.slice(0, 0)])))
+
+
 def plain_observations(payload: bytes, kind: int):
     """Bit by bit."""
     b = rtcm.Bits(payload)
